@@ -96,32 +96,47 @@ def sized_broadcast(df: DataFrame, rows: int) -> DataFrame:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``edges``; component is the smallest node reachable.
 
-    Alternating large-star and small-star rounds over (node, smaller neighbour) rows: each round is two
-    aggregations and joins on node ids, partial results stay distributed, the lineage is cut by reliable
-    checkpoints, and only one number a round (whether labels changed) comes to the driver. The stars are built
-    from the minimum of each neighbourhood, an aggregation that combines before the shuffle, so that a node with
-    a third of all edges does not land in one task. Null ids and self loops are ignored; no edges: no rows.
+    Alternating large-star and small-star rounds over (node, smaller neighbour) rows. A round's intermediate tables
+    are cut by reliable checkpoints: both sides of every join are then plain shuffles, which adaptive execution can
+    split where one node holds a third of all rows, and minima are combined before they are shuffled. Only one row
+    of sums a round (whether anything moved) comes to the driver. Null ids and self loops are ignored; no edges: no rows.
     """
     e = edges.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v"))
     e = e.where("u is not null and v is not null and u <> v")
     e = cut_lineage(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:
-        # large star: every larger neighbour of u moves to the smallest node of u's neighbourhood
+        state = e.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
+        if state == before or not state[0]:
+            break
+        before = state
+        # large star: a node's larger neighbours move to the smallest node of its neighbourhood, as does the node
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        big = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # u itself hangs on its minimum too, so that no link is lost
-        big = big.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        # small star: the smaller neighbours of u, and u, move to the smallest of them
-        least = big.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        # (u, v) of e has v below u: seen from v, u is a larger neighbour
+        moved = e.select(F.col("v").alias("w"), F.col("u").alias("n")).join(low.withColumnRenamed("u", "w"), "w").select(F.col("n").alias("u"), F.col("m").alias("v"))
+        big = cut_lineage(moved.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).distinct())
+        # small star: a node's smaller neighbours move to the smallest of them, as does the node
+        least = cut_lineage(big.groupBy("u").agg(F.min("v").alias("m")))
         small = big.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut_lineage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        # done once every node hangs on exactly one root that hangs on none
-        now = tuple(e.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = nodes.select(F.col("component").alias("node"), "component").distinct()
-    return nodes.unionByName(roots)
+    return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def forest(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A spanning forest of ``links`` as (node, smallest node of its tree) rows."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        up.setdefault(x, x)
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for x, y in links:
+        x, y = root(x), root(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    return [(x, root(x)) for x in up if root(x) != x]
