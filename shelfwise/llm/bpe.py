@@ -10,10 +10,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import Remembered, map_texts
 
-#: Distinct pieces whose counts a worker remembers; beyond that it starts anew (results do not change).
-CACHE_PIECES = 400_000
+#: Distinct pieces whose counts a worker remembers in each of two generations (results do not change).
+CACHE_PIECES = 300_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -43,7 +43,7 @@ class BpeCounter:
         # fixed pattern of byte-level pre-tokenizers
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.split = regex.compile("|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True))) if self.specials else None
-        self.known: dict[str, int] = {}
+        self.known = Remembered(CACHE_PIECES, self.piece)
 
     def merges(self, data: bytes) -> int:
         """Merges done on one piece: the lowest-rank adjacent pair is popped until none is left.
@@ -88,17 +88,7 @@ class BpeCounter:
         return len(data) - self.merges(data)
 
     def plain(self, text: str) -> int:
-        parts, known = self.pattern.findall(text), self.known
-        try:
-            return sum(map(known.__getitem__, parts))
-        except KeyError:
-            new = set(parts).difference(known)
-            if len(known) + len(new) > CACHE_PIECES:
-                known.clear()
-                new = set(parts)
-            for p in new:
-                known[p] = self.piece(p)
-            return sum(map(known.__getitem__, parts))
+        return sum(map(self.known.__getitem__, self.pattern.findall(text)))
 
     def count(self, text: str) -> int:
         if self.split is None or not any(s in text for s in self.specials):

@@ -67,6 +67,28 @@ def map_texts(df: DataFrame, keep: dict[str, str], text: str, fn: Callable[[list
     return made.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keep)], *out)
 
 
+class Remembered(dict):
+    """A dict of computed values in two generations: at ``most`` entries the young one becomes the old one.
+
+    Values asked for again move back into the young one, so common keys are computed once and rare ones are forgotten;
+    what is returned never depends on it.
+    """
+
+    def __init__(self, most: int, compute: Callable):
+        super().__init__()
+        self.most, self.compute, self.old = most, compute, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 ARROW = {
     "bigint": pa.int64(),
     "int": pa.int32(),

@@ -9,15 +9,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_texts
+from .common import Remembered, crc_mod, map_texts
 from .sample import labelled_sample
 
 #: Fixed sizes of the model: buckets of subwords, width of their vectors, n-gram lengths, words averaged at a time.
 BUCKETS, WIDTH, GRAMS, WINDOW = 1 << 17, 12, (3, 4, 5), 32
 #: Texts that a subword must occur in to be learned.
 MIN_TEXTS = 5
-#: Words whose values a worker remembers; beyond that it starts anew (results do not change).
-CACHE_WORDS = 400_000
+#: Words whose values a worker remembers in each of two generations (results do not change).
+CACHE_WORDS = 300_000
 
 
 def subwords(word: str) -> list[int]:
@@ -49,29 +49,24 @@ class ToxicityModel:
 
     value: np.ndarray
     bias: float
-    known: dict[str, float] = field(default_factory=dict)
+    known: Remembered | None = field(default=None, repr=False)
+
+    def __post_init__(self):
+        self.known = Remembered(CACHE_WORDS, self.word)
 
     def word(self, w: str) -> float:
         return float(self.value[subwords(w)].mean())
 
     def logit(self, text: str) -> float:
         words = text.lower().split()
-        known = self.known
-        new = set(words).difference(known)
-        if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = set(words)
-            for w in new:
-                known[w] = self.word(w)
-        v = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+        v = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
         return float(window_means(v).max()) + self.bias
 
     def score(self, text: str) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.logit(text), -500, 500))))
 
-    def __getstate__(self):
-        return {"value": self.value, "bias": self.bias, "known": {}}
+    def __reduce__(self):
+        return ToxicityModel, (self.value, self.bias)
 
 
 def fit(texts: list[str], y: list[int], steps: int = 120, warm: int = 40, rate: float = 0.05, decay: float = 3e-5, seed: int = 7) -> ToxicityModel:
