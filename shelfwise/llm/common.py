@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -22,18 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that the cluster shares (``spark.checkpoint.dir``).
-
-    Only where a session names no such folder, as in tests, one is made for it.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    """Reliable checkpoint in the folder that the cluster shares (``spark.checkpoint.dir``)."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], text: str | int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Record batches of at most ``limit`` bytes of ``text`` (one row at least)."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
@@ -67,6 +62,33 @@ def map_texts(df: DataFrame, keep: dict[str, str], text: str, fn: Callable[[list
     return made.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keep)], *out)
 
 
+def filter_texts(df: DataFrame, text: str, fn: Callable[[list[str]], list[bool]]) -> DataFrame:
+    """The rows of ``df``, with all their columns as they are, for which ``fn`` of whole texts (null: empty) is true."""
+    at = df.columns.index(text)
+
+    def run(batches):
+        for b in slices(batches, at):
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array(fn(texts), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines of a cluster share; one is made only where a session names none, as in tests."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 class Remembered(dict):
     """A dict of computed values in two generations: at ``most`` entries the young one becomes the old one.
 

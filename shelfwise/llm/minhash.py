@@ -197,3 +197,19 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     out = cut_lineage(slim.select("id", "n_shingles", "rep")).join(linked_to, "rep", "left")
     label = F.coalesce("component", "rep")
     return out.select(F.col("id").alias(id_col), "n_shingles", label.alias("component_id"), F.coalesce(label == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def deduplicated(df: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, with all columns, that represent their group of near-duplicates: one row of each group.
+
+    Rows with a null id and rows without words are groups by themselves; of rows that repeat an id one stays.
+    """
+    found = cut_lineage(near_duplicates(df, shingle, percent, id_col, text_col).select(id_col, "kept"))
+    gone = found.where(~F.col("kept")).select(id_col).distinct()
+    again = cut_lineage(found.where(F.col("kept") & F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col))
+    out = df.join(sized_broadcast(gone, gone.count()), id_col, "left_anti")
+    many = again.count()
+    if many:
+        again = sized_broadcast(again, many)
+        out = out.join(again, id_col, "left_anti").unionByName(out.join(again, id_col, "left_semi").dropDuplicates([id_col]))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])
