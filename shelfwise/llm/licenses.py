@@ -28,7 +28,7 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved. No part of this work may be reproduced without permission."),
 )
 #: Words that start some word of more than a third of each template's bigrams (a test checks this); see ``MATCH``.
-CUES = ("licen", "cc", "copyright", "permission", "softw", "rights", "charge", "public", "law", "use", "source", "granted", "free", "work")
+CUES = ("licen", "cc", "copyright", "permission", "softw", "rights", "charge", "public", "law", "use", "source", "granted", "free", "work", "released", "under", "attribution", "mozilla")
 #: Dice from which a passage is a template. At 0.8 a passage shares two thirds of the template's bigrams at least, so it
 #: holds a bigram of any set of more than a third of them: passages without a cue word are pruned without loss.
 MATCH = 0.8

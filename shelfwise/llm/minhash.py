@@ -195,7 +195,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     linked_to = cut_lineage(connected_components(confirmed(sets, percent)).select(F.col("node").alias("rep"), "component"))
     slim = sigs.drop("keys").join(copies, "digest", "left").withColumn("rep", F.coalesce("first", "id"))
     out = cut_lineage(slim.select("id", "n_shingles", "rep")).join(linked_to, "rep", "left")
-    label = F.coalesce("component", "rep")
+    label = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep"))
     return out.select(F.col("id").alias(id_col), "n_shingles", label.alias("component_id"), F.coalesce(label == F.col("id"), F.lit(True)).alias("kept"))
 
 
