@@ -12,8 +12,8 @@ from .common import connected_components, cut_lineage, forest, map_texts, sized_
 
 #: Minwise tokens a document has, independent trees, and branchings from a root to a node.
 #: A pair of similarity s meets in a tree with probability s**DEPTH and is missed by all with (1 - s**DEPTH)**TREES:
-#: 2e-7 at 0.85, 2e-4 at 0.8. ``trees_for`` gives the trees for another threshold.
-MINWISE, DEPTH, MISS = 128, 10, 2e-7
+#: ``trees_for`` gives the trees that a threshold needs.
+MINWISE, DEPTH, MISS = 128, 8, 1e-6
 #: A block of a candidate component: at most about so many documents and shingles.
 BLOCK_DOCS, BLOCK_SHINGLES = 64, 1 << 16
 
@@ -158,7 +158,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     Documents are linked when 100 * intersection >= percent * union of their shingle sets; component_id is the
     smallest id reachable over links (itself included), kept says whether it is the row's own id. Candidates come
     from ``trees_for`` independent chosen-path trees, are gathered into components, and every link is confirmed on
-    full sets; a pair at the threshold is missed with probability 2e-7.
+    full sets; a pair at the threshold is missed with probability 1e-6 at most.
 
     Copies (equal sets) are represented by their smallest id throughout, so a group of copies of any size costs one
     row a tree. Null or blank texts have an empty set, link with nothing and are kept. Rows with a null id link with
