@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +53,13 @@ def weighted_score(scores: list[tuple[Column, float]]) -> Column:
     return F.floor(F.try_divide(num, den) + 0.5)
 
 
+def one_row(numbers: dict[str, DataFrame]) -> DataFrame:
+    """Frames of one number each as the columns of one row: a union and one aggregation, no join."""
+    rows = [df.toDF("n").select(F.lit(k).alias("k"), F.col("n").cast("bigint").alias("n")) for k, df in numbers.items()]
+    both = reduce(DataFrame.unionByName, rows)
+    return both.agg(*[F.max(F.when(F.col("k") == k, F.col("n"))).alias(k) for k in numbers])
+
+
 def cron_next(expression: str, after: dt.datetime, days: int = 28) -> dt.datetime | None:
     """The next minute (UTC) that a five-field schedule names within ``days``; None if there is none.
 

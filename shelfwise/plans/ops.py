@@ -169,10 +169,8 @@ def checksum(t):
 
 @query("RET-01_retention", f"SELECT (SELECT count(*) FROM offers WHERE valid_to < DATE '{TODAY}' - 180) AS offers_pruned, (SELECT count(*) FROM identities WHERE last_seen < DATE '{TODAY}' - 365) AS identities_pruned, (SELECT count(*) FROM brochures WHERE valid_to < DATE '{TODAY}' - 28) AS prunable")
 def retention(t):
-    a = t.offers.agg(F.count_if(F.col("valid_to") < F.date_sub(now(), 180)).alias("offers_pruned"))
-    b = t.identities.agg(F.count_if(F.col("last_seen") < F.date_sub(now(), 365)).alias("identities_pruned"))
-    c = t.brochures.agg(F.count_if(F.col("valid_to") < F.date_sub(now(), 28)).alias("prunable"))
-    return a.join(F.broadcast(b), F.lit(True)).join(F.broadcast(c), F.lit(True))  # one row each
+    older = lambda df, c, days: df.agg(F.count_if(F.col(c) < F.date_sub(now(), days)))
+    return H.one_row({"offers_pruned": older(t.offers, "valid_to", 180), "identities_pruned": older(t.identities, "last_seen", 365), "prunable": older(t.brochures, "valid_to", 28)})
 
 
 @query("JSN-01_json_decode", "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN -1 ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events")

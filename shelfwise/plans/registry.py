@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.catalog import query
 from shelfwise.operators import registry as R
+from shelfwise.operators.health import one_row
 from shelfwise.operators.history import first_by
 from shelfwise.sources.tables import TODAY, day
 
@@ -117,6 +118,8 @@ def feed(t):
 def incumbent(t):
     keys = ["store", "region", "search_text"]
     s = t.sightings.where("match_band = 'auto'").select("offer_id", "product_id", F.col("detected_at").alias("resolved")).join(t.offers.select(F.col("id").alias("offer_id"), *keys), "offer_id")
+    # the two latest of a group are enough: the second where the first is the offer itself
+    s = R.first_n(s, keys, 2, F.desc("resolved"), "offer_id")
     j = t.offers.where("flag = 'N'").select("id", *keys).join(s, keys).where("id <> offer_id")
     return first_by(j, ["id"], F.desc("resolved"), "offer_id").select("id", "product_id")
 
@@ -142,11 +145,8 @@ def last_weeks(t):
 
 @query("AGG-24_scalar_counts", "SELECT (SELECT count(*) FROM products WHERE status <> 'merged') AS products, (SELECT count(*) FROM sightings) AS sightings, (SELECT count(*) FROM identities) AS identities, (SELECT count(*) FROM points) AS points")
 def scalar_counts(t):
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    out = one(t.products.where("status <> 'merged'"), "products")
-    for df, name in ((t.sightings, "sightings"), (t.identities, "identities"), (t.points, "points")):
-        out = out.join(F.broadcast(one(df, name)), F.lit(True))  # one row each
-    return out
+    counted = {"products": t.products.where("status <> 'merged'"), "sightings": t.sightings, "identities": t.identities, "points": t.points}
+    return one_row({k: df.agg(F.count("*")) for k, df in counted.items()})
 
 
 @query("AGG-22_verdict_rates", "SELECT verdict, n, floor(n * 10000::DOUBLE / sum(n) OVER () + 0.5) / 100 AS rate FROM (SELECT coalesce(mint_verdict, 'unresolved') AS verdict, count(*) AS n FROM enrichments GROUP BY 1)")
