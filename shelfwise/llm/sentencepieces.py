@@ -14,7 +14,7 @@ from .common import Remembered, crc32, map_texts
 
 SPACE = "▁"
 #: Distinct stretches of text, and pairs of pieces, that a worker remembers in each of two generations (results do not change).
-CACHE_STRETCHES, CACHE_PAIRS = 300_000, 400_000
+CACHE_STRETCHES, CACHE_PAIRS = 600_000, 400_000
 #: Longer stretches aren't remembered, and are encoded as a stream.
 LONG = 64
 
