@@ -23,6 +23,18 @@ def crossings(evaluations: DataFrame, key: str, order: list[str], price: str, ta
     return seen.withColumn("_before", before).where(F.col("hit") & ~F.coalesce("_before", F.lit(False))).drop("_before")
 
 
+def best_in_range(watches: DataFrame, offers: DataFrame) -> DataFrame:
+    """The cheapest offer of each watch's name whose size is within a quarter of the wanted one, and how many there are.
+
+    Offers are first reduced to the best and the count of each name and size: a watch meets the sizes of its name, not
+    its offers.
+    """
+    sizes = offers.groupBy("name", "size").agg(F.min(F.struct("price_cents", "id", "store")).alias("b"), F.count("*").alias("n"))
+    near = F.abs(F.col("size") - F.col("wanted")) * 4 <= F.greatest(F.col("size").cast("bigint"), F.col("wanted"))
+    j = watches.join(sizes, "name").where(near)
+    return j.groupBy("watch").agg(F.min("b").alias("b"), F.sum("n").alias("candidates")).select("watch", "b.*", "candidates")
+
+
 def best_offer(candidates: DataFrame, key: str) -> DataFrame:
     """The cheapest candidate of each watch, of equals the smallest id: a minimum that combines before the shuffle."""
     return candidates.groupBy(key).agg(F.min(F.struct("price_cents", "id", "store")).alias("b"), F.count("*").alias("candidates")).select(key, "b.*", "candidates")

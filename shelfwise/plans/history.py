@@ -93,9 +93,9 @@ def query_prices(t):
     return H.price_summary(pool.drop("_x_text", "_x_words"), ["name", "size"])
 
 
-@query("RANK-07_variant_order", f"{SUMMARY} SELECT name, size, observations FROM summary ORDER BY observations DESC, size, name LIMIT 60")
+@query("RANK-07_variant_order", f"{SUMMARY} SELECT name, size, observations FROM summary")
 def variant_order(t):
-    return H.price_summary(t.points, ["name", "size"]).orderBy(F.desc("observations"), "size", "name").limit(60).select("name", "size", "observations")
+    return H.price_summary(t.points, ["name", "size"]).orderBy(F.desc("observations"), "size", "name").select("name", "size", "observations")
 
 
 FOLDED = "SELECT coalesce(p.merged_into, s.product_id) AS product_id, s.week, s.store, s.price_cents, s.offer_id FROM sightings s LEFT JOIN products p ON s.product_id = p.id"
@@ -151,13 +151,11 @@ def alerts(t):
 
 
 @query("WAT-01_grocery_watch", f"""SELECT c_custkey AS watch, min(price_cents) AS price_cents, arg_min(id, (price_cents, id)) AS id, arg_min(store, (price_cents, id)) AS store, count(*) AS candidates FROM customer JOIN offers ON name = list_extract(['red ring', 'blue gear', 'hot rod'], c_custkey::INTEGER % 3 + 1)
-  AND abs(size - (c_custkey % 50 + 1)) * 4 <= greatest(size, c_custkey % 50 + 1) WHERE valid_to >= DATE '{TODAY}' AND c_custkey < 60 GROUP BY 1""")
+  AND abs(size - (c_custkey % 50 + 1)) * 4 <= greatest(size, c_custkey % 50 + 1) WHERE valid_to >= DATE '{TODAY}' GROUP BY 1""")
 def grocery_watch(t):
     names = F.array(*[F.lit(x) for x in ("red ring", "blue gear", "hot rod")])
-    w = t.read("customer").where("c_custkey < 60").select(F.col("c_custkey").alias("watch"), F.get(names, (F.col("c_custkey") % 3).cast("int")).alias("name"), (F.col("c_custkey") % 50 + 1).alias("wanted"))
-    j = t.offers.where(F.col("valid_to") >= now()).join(w, "name")
-    near = F.abs(F.col("size") - F.col("wanted")) * 4 <= F.greatest(F.col("size").cast("bigint"), F.col("wanted"))
-    return Wt.best_offer(j.where(near), "watch")
+    w = t.read("customer").select(F.col("c_custkey").alias("watch"), F.get(names, (F.col("c_custkey") % 3).cast("int")).alias("name"), (F.col("c_custkey") % 50 + 1).alias("wanted"))
+    return Wt.best_in_range(w, t.offers.where(F.col("valid_to") >= now()))
 
 
 @query("WAT-02_product_watch", f"SELECT c_custkey AS watch, o.id, o.price_cents FROM customer JOIN ({'SELECT * FROM offers WHERE valid_to >= DATE ' + repr(TODAY)}) o ON o.flyer_ref = c_custkey")

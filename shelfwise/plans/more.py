@@ -25,13 +25,13 @@ def body(t, shape):
     return t.read("part").select(F.to_json(shape).alias("body"))
 
 
-@query("SRC-01_strategy_runner", "SELECT p_partkey::VARCHAR AS id, p_name AS name FROM part WHERE p_partkey < 3")
+@query("SRC-01_strategy_runner", "SELECT r_regionkey::VARCHAR AS id, r_name AS name FROM region")
 def strategies(t):
     def broken(q):
         raise OSError("down")
 
     p = C.Provider("demo", "Demo", (("api", broken), ("page", lambda q: []), ("static", lambda q: [(q.split("|")[0], q.split("|")[1], None, None, None, None, None, None, None, None)])))
-    searches = [f"{r.p_partkey}|{r.p_name}" for r in t.read("part").where("p_partkey < 3").collect()]
+    searches = [f"{r.r_regionkey}|{r.r_name}" for r in t.read("region").collect()]
     return C.live_search(t.spark, p, searches).select("id", "name")
 
 
@@ -201,12 +201,12 @@ def penalty(t):
     return T.with_words(df, "n", "x").select("p_partkey", T.compound_penalty(T.Query.of("ring"), F.col("x_words")).alias("factor"))
 
 
-@query("TXT-08_offer_relevance", "SELECT id, CASE WHEN list_contains(string_split(name, ' '), 'red') THEN 200.0 ELSE 50.0 + CASE WHEN lower(brand) = 'brand#7' THEN 0 ELSE 0 END END::DOUBLE AS score, FALSE AS name_match FROM offers WHERE list_contains(string_split(name, ' '), 'red') AND lower(brand) = 'brand#7'")
+@query("TXT-08_offer_relevance", "SELECT id, CASE WHEN list_contains(string_split(name, ' '), 'red') THEN 200.0 ELSE 0.0 END::DOUBLE AS score, FALSE AS name_match FROM offers")
 def offer_relevance(t):
-    df = T.with_words(T.with_words(t.offers.where("brand = 'Brand#7'"), "name", "x"), "search_text", "y")
+    df = T.with_words(T.with_words(t.offers, "name", "x"), "search_text", "y")
     q = T.Query.of("red brand")
     score, match = T.offer_relevance(q, F.col("x_text"), F.col("x_words"), F.col("y_text"), F.col("y_words"))
-    return df.select("id", score.alias("score"), match.alias("name_match")).where("score > 0")
+    return df.select("id", score.alias("score"), match.alias("name_match"))
 
 
 @query("TXT-09_token_presence", "SELECT p_partkey, CASE WHEN p_name LIKE '% ring' THEN CASE WHEN p_size % 2 = 0 THEN 'secondary' ELSE 'primary' END END AS presence FROM part")
@@ -263,10 +263,10 @@ def produce(t):
     return df.select("name", identity.is_processed(F.col("x_words")).alias("processed"), identity.produce_presence(F.col("x_words"), words).alias("presence"))
 
 
-@query("CLS-05_detect_brand", "SELECT p_partkey, CASE WHEN p_name LIKE '% ring' THEN CASE WHEN p_type = 'PROMO' THEN 'ringer' END WHEN p_name LIKE 'hot %' THEN 'hotline' WHEN p_name LIKE 'small %' THEN 'smalley' END AS brand FROM part WHERE NOT (p_name LIKE 'hot ring' OR p_name LIKE 'small ring')")
+@query("CLS-05_detect_brand", "SELECT p_partkey, CASE WHEN p_name LIKE 'hot %' THEN 'hotline' WHEN p_name LIKE 'small %' THEN 'smalley' WHEN p_name LIKE '% ring' AND p_type = 'PROMO' THEN 'ringer' END AS brand FROM part")
 def brand(t):
     table = t.spark.createDataFrame([("ring", "ringer", ["PROMO"]), ("hot", "hotline", None), ("smal", "smalley", None)], "word string, slug string, departments array<string>")
-    df = T.with_words(t.read("part").where("p_name not in ('hot ring', 'small ring')"), "p_name", "x")
+    df = T.with_words(t.read("part"), "p_name", "x")
     return identity.detect_brand(df, "x_words", table, "p_partkey", "p_type").select("p_partkey", F.col("brand_found").alias("brand"))
 
 
@@ -332,10 +332,10 @@ def sweep(t):
     return swept(t)
 
 
-@query("RANK-08_sweep_order", f"{SWEEP} SELECT t FROM swept ORDER BY (attach >= 30 AND wrong <= 35) DESC, attach DESC, wrong, t LIMIT 3")
+@query("RANK-08_sweep_order", f"{SWEEP} SELECT t FROM swept ORDER BY (attach >= 30 AND wrong <= 35) DESC, attach DESC, wrong, t")
 def sweep_order(t):
     good = (F.col("attach") >= 30) & (F.col("wrong") <= 35)
-    return swept(t).orderBy(good.desc(), F.desc("attach"), "wrong", "t").limit(3).select("t")
+    return swept(t).orderBy(good.desc(), F.desc("attach"), "wrong", "t").select("t")
 
 
 @query("HEA-02_subsystems", "SELECT action AS subsystem, CASE WHEN avg(ok::INTEGER) >= 0.9 THEN 'PASS' ELSE 'FAIL' END AS status FROM runs GROUP BY action")

@@ -49,9 +49,9 @@ def status_counts(t):
     return rows(t).groupBy("status").agg(F.count("*").alias("n"), F.sum("flyers").alias("flyers"))
 
 
-@query("RANK-06_status_order", f", {ROWS} SELECT store, status FROM store_rows ORDER BY list_position(['FAIL', 'NO_FLYER', 'STALE', 'LOW_COVERAGE', 'OK'], status), store LIMIT 50")
+@query("RANK-06_status_order", f", {ROWS} SELECT store, status FROM store_rows ORDER BY list_position(['FAIL', 'NO_FLYER', 'STALE', 'LOW_COVERAGE', 'OK'], status), store")
 def status_order(t):
-    return rows(t).orderBy(H.status_rank(F.col("status")), "store").limit(50).select("store", "status")
+    return rows(t).orderBy(H.status_rank(F.col("status")), "store").select("store", "status")
 
 
 @query("HEA-04_repair_targets", f", {ROWS} SELECT store FROM store_rows WHERE status IN ('FAIL', 'NO_FLYER')")

@@ -15,16 +15,16 @@ from shelfwise.sources.tables import TODAY, day
 def now():
     return day(TODAY)
 
-RARE = "rare AS (SELECT token FROM product_tokens GROUP BY token HAVING count(*) <= 60)"
+RARE = "rare AS (SELECT token FROM product_tokens GROUP BY token HAVING count(*) <= 250)"
 
 
 def reads(t):
-    """Products read again with another size: a part of each name and brand."""
-    g = t.read("part").where("p_partkey % 7 = 3").groupBy("p_name", "p_brand").agg(F.min("p_size").alias("size"))
+    """Every product read again, with its largest size, and with no brand where that size is a multiple of five."""
+    g = t.read("part").groupBy("p_name", "p_brand").agg(F.max("p_size").alias("size"))
     return g.select(F.concat_ws("|", F.lit("rd"), "p_name", "p_brand").alias("read_id"), F.concat(F.split("p_name", " "), F.array(F.lower("p_brand"))).alias("tokens"), "size", F.when(F.col("size") % 5 != 0, F.col("p_brand")).alias("brand"), F.least(F.lit(1.0), F.col("size") / 25).alias("corroboration"))
 
 
-READS = "reads AS (SELECT concat_ws('|', 'rd', p_name, p_brand) AS read_id, list_concat(string_split(p_name, ' '), [lower(p_brand)]) AS tokens, size, CASE WHEN size % 5 <> 0 THEN p_brand END AS brand, least(1.0::DOUBLE, size / 25) AS corroboration FROM (SELECT p_name, p_brand, min(p_size) AS size FROM part WHERE p_partkey % 7 = 3 GROUP BY ALL))"
+READS = "reads AS (SELECT concat_ws('|', 'rd', p_name, p_brand) AS read_id, list_concat(string_split(p_name, ' '), [lower(p_brand)]) AS tokens, size, CASE WHEN size % 5 <> 0 THEN p_brand END AS brand, least(1.0::DOUBLE, size / 25) AS corroboration FROM (SELECT p_name, p_brand, max(p_size) AS size FROM part GROUP BY ALL))"
 PAIRS = "pairs AS (SELECT DISTINCT r.read_id, k.product_id FROM (SELECT read_id, unnest(tokens) AS token FROM reads) r JOIN product_tokens k ON r.token = k.token JOIN rare ON rare.token = k.token)"
 SCORES = """scores AS (SELECT q.read_id, q.product_id, (0.55 * len(list_intersect(list_distinct(r.tokens), p.tokens))::DOUBLE / len(r.tokens) + 0.2 + CASE WHEN r.brand = p.brand_slug THEN 0.1 ELSE 0.0 END)
     / (0.55::DOUBLE + 0.2 + CASE WHEN r.brand = p.brand_slug THEN 0.1 ELSE 0.0 END) * least(1.0, r.corroboration / 0.6) AS score
@@ -34,7 +34,7 @@ BASE = f", {RARE}, {READS}, {PAIRS}, {SCORES}"
 
 
 def rare(t):
-    return R.token_frequency(R.token_index(t.products)).where("freq <= 60")
+    return R.token_frequency(R.token_index(t.products)).where("freq <= 250")
 
 
 def scored(t):
@@ -51,7 +51,7 @@ def token_index(t):
     return R.token_index(t.products)
 
 
-@query("AGG-10_token_frequency", "SELECT token, count(*) AS freq FROM product_tokens GROUP BY token HAVING count(*) <= 60")
+@query("AGG-10_token_frequency", "SELECT token, count(*) AS freq FROM product_tokens GROUP BY token HAVING count(*) <= 250")
 def frequency(t):
     return rare(t)
 

@@ -141,7 +141,7 @@ def search_order(t):
 
 
 POOL = f"""pool AS (SELECT s_suppkey % 20 AS q, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_extendedprice AS id, CASE WHEN p_size > 25 THEN 5 WHEN p_size > 10 THEN 4 ELSE 2 END AS stage, CASE WHEN p_type IN ('PROMO', 'LARGE', 'SMALL') THEN 'a' WHEN p_type = 'ECONOMY' THEN 'b' END AS family, CASE WHEN p_brand = 'Brand#1' THEN 'x' WHEN p_brand = 'Brand#2' THEN 'y' END AS type
-  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber = 1)"""
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"""
 
 
 @query("LAD-01_gate_ladder", f""", {POOL}, s AS (SELECT *, CASE WHEN stage < max(stage) OVER (PARTITION BY q) THEN 'stage' END AS e1 FROM pool),
@@ -150,7 +150,7 @@ POOL = f"""pool AS (SELECT s_suppkey % 20 AS q, l_orderkey || '-' || l_linenumbe
   h AS (SELECT *, CASE WHEN e1 IS NOT NULL THEN e1 WHEN coalesce(family <> target, FALSE) AND count(*) FILTER (e1 IS NULL AND NOT coalesce(family <> target, FALSE)) OVER (PARTITION BY q) > 0 THEN 'family' END AS e2 FROM g)
   SELECT q, id, target AS target_family, CASE WHEN e2 IS NOT NULL THEN e2 WHEN coalesce(type <> 'x', FALSE) AND count(*) FILTER (e2 IS NULL AND NOT coalesce(type <> 'x', FALSE)) OVER (PARTITION BY q) > 0 THEN 'type' END AS excluded FROM h""")
 def gate_ladder(t):
-    li, p, s = t.read("lineitem").where("l_linenumber = 1"), t.read("part"), t.read("supplier")
+    li, p, s = t.read("lineitem"), t.read("part"), t.read("supplier")
     j = li.join(p, li.l_partkey == p.p_partkey).join(s, li.l_suppkey == s.s_suppkey)
     pool = j.select(
         (F.col("s_suppkey") % 20).alias("q"),
