@@ -107,5 +107,8 @@ def pack(df: DataFrame, vocab: str, capacity: int = 2048, end_id: int = 1, id_co
         return pdf.drop(columns=["_row", "_group"])
 
     schema = f"`{id_col}` bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    packed = dealt.select(id_col, "start", "length", "ids_crc32", "doc_tokens", "_row", "_group").groupBy("_group").applyInPandas(one, schema)
+    # groups are costly and their rows few: spread them over tasks instead of by bytes
+    tasks = min(groups, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.select(id_col, "start", "length", "ids_crc32", "doc_tokens", "_row", "_group").repartition(tasks, "_group")
+    packed = dealt.groupBy("_group").applyInPandas(one, schema)
     return full.unionByName(packed)
