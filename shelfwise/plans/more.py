@@ -370,8 +370,3 @@ def enrichment(t):
 def fan_out(t):
     done = C.settled({"good": lambda: t.read("region").count(), "bad": lambda: 1 // 0})
     return t.spark.createDataFrame([(k, ok) for k, (ok, _) in done.items()], "store string, ok boolean")
-
-
-@query("STREAM-01_weekly_replay", "SELECT identity, week, price_cents FROM points")
-def replay(t):
-    return weekly_points(t.offers).select("identity", "week", "price_cents")

@@ -3,10 +3,12 @@ crossing detector and a heartbeat. Windows over event time are extensions of the
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
@@ -68,6 +70,33 @@ def sessions(events: DataFrame, key: str, ts: str, gap: str = "30 minutes", dela
     return events.withWatermark(ts, delay).groupBy(key, F.session_window(F.col(ts), gap).alias("w")).agg(F.count("*").alias("events")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that a cluster's machines share, or one of this machine where the session names none, as in tests."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="streams-")
+
+
+def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's files as a stream."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
+
+
+def completed(stream: DataFrame) -> DataFrame:
+    """Runs what a stream holds now into files, exactly once under its checkpoint, and reads them."""
+    spark = stream.sparkSession
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    # states of several columns need this store
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(provider, before) if before is not None else spark.conf.unset(provider)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def ingest(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str):
     """Runs the batches that are available through ``merge`` (batch, epoch), exactly once each under its checkpoint.
 
