@@ -26,7 +26,7 @@ def frozen():
 
 
 def current(t: Tables):
-    return t.offers.where(B.is_current(now()))
+    return t.current_offers
 
 
 CURRENT = f"SELECT * FROM offers WHERE valid_to >= DATE '{TODAY}'"
@@ -304,18 +304,18 @@ for _sort, _order in {"discount": f"{PCT_SQL} DESC, price_cents, id", "price": "
 
 @query("LIM-01_paging", f"SELECT id, store, name, price_cents FROM ({DEDUPED}) ORDER BY {PCT_SQL} DESC, price_cents, id LIMIT 48 OFFSET 96")
 def paging(t):
-    return B.listing(t.offers, now(), offset=96).select(*COLS)
+    return B.listing(t.current_offers, now(), offset=96).select(*COLS)
 
 
 @query("BRW-02_listing", f"SELECT id, store, name, price_cents FROM (SELECT * FROM ({DEDUPED}) WHERE region = 'EUROPE' AND NOT {FROZEN_SQL}) ORDER BY {PCT_SQL} DESC, price_cents, id LIMIT 48")
 def listing(t):
-    return B.listing(t.offers, now(), where=(F.col("region") == "EUROPE") & ~frozen()).select(*COLS)
+    return B.listing(t.current_offers, now(), where=(F.col("region") == "EUROPE") & ~frozen()).select(*COLS)
 
 
 @query("RANK-11_rails", f""", base AS ({DEDUPED}), s AS ({SIGNALS}) (SELECT 'drops' AS rail, id, store, name, price_cents, old_cents FROM s WHERE old_cents > price_cents ORDER BY drop DESC, price_cents, id LIMIT 12)
   UNION ALL (SELECT 'lowest-ever', id, store, name, price_cents, old_cents FROM s WHERE lowest_ever ORDER BY drop DESC, price_cents, id LIMIT 12)""")
 def rails(t):
-    return B.rails(t.offers, t.identities, now())
+    return B.rails(t.current_offers, t.identities, now())
 
 
 @query("BRW-01_summary", f"""SELECT count(*) AS total, count(DISTINCT store) AS stores, count(DISTINCT brand) AS brands, count(*) FILTER (old_cents > price_cents) AS drops, count(*) FILTER ({FROZEN_SQL}) AS frozen FROM ({CURRENT})""")

@@ -155,13 +155,13 @@ def alerts(t):
 def grocery_watch(t):
     names = F.array(*[F.lit(x) for x in ("red ring", "blue gear", "hot rod")])
     w = t.read("customer").select(F.col("c_custkey").alias("watch"), F.get(names, (F.col("c_custkey") % 3).cast("int")).alias("name"), (F.col("c_custkey") % 50 + 1).alias("wanted"))
-    return Wt.best_in_range(w, t.offers.where(F.col("valid_to") >= now()))
+    return Wt.best_in_range(w, t.current_offers)
 
 
 @query("WAT-02_product_watch", f"SELECT c_custkey AS watch, o.id, o.price_cents FROM customer JOIN ({'SELECT * FROM offers WHERE valid_to >= DATE ' + repr(TODAY)}) o ON o.flyer_ref = c_custkey")
 def product_watch(t):
     w = t.read("customer").select(F.col("c_custkey").alias("watch"))
-    o = t.offers.where(F.col("valid_to") >= now())
+    o = t.current_offers
     return o.join(w, o.flyer_ref == w.watch).select("watch", "id", "price_cents")
 
 

@@ -129,7 +129,7 @@ def incumbent(t):
 def siblings(t):
     seeds = t.sightings.where("match_band = 'auto' and line = 1").select("product_id").distinct()
     s = t.sightings.where("match_band in ('auto', 'created') and line <> 1").join(seeds, "product_id", "left_semi").select(F.col("offer_id").alias("id"))
-    return t.offers.where(F.col("valid_to") >= now()).select("id").join(s, "id", "left_semi").distinct()
+    return t.current_offers.select("id").join(s, "id", "left_semi").distinct()
 
 
 @query("AGG-07_registry_stats", "SELECT count(*) AS total, count(*) FILTER (status = 'active') AS active, count(*) FILTER (status = 'merged') AS merged, count(*) FILTER (status = 'dormant') AS dormant, count(*) FILTER (review_flag IS NOT NULL) AS flagged FROM products")

@@ -120,23 +120,23 @@ BANDED = f"""SELECT *, (CASE WHEN list_contains(string_split(search_text, ' '),
 
 @query("FLT-06_token_prefilter", f"SELECT id FROM ({BANDED})")
 def prefilter(t):
-    return Se.retrieve(t.offers.where(F.col("valid_to") >= now()), T.Query.of("hot r"), "search_text", 1 << 30).select("id")
+    return Se.retrieve(t.current_offers, T.Query.of("hot r"), "search_text", 1 << 30).select("id")
 
 
 @query("RANK-02_banded_window", f"SELECT id, band FROM ({BANDED}) ORDER BY band DESC, price_cents, id LIMIT 300")
 def banded(t):
-    return Se.retrieve(t.offers.where(F.col("valid_to") >= now()), T.Query.of("hot r"), "search_text").select("id", "band")
+    return Se.retrieve(t.current_offers, T.Query.of("hot r"), "search_text").select("id", "band")
 
 
 @query("SEA-01_search", f"SELECT id, 5 AS stage, price_cents FROM offers WHERE valid_to >= DATE '{TODAY}' AND name = 'hot rod' ORDER BY price_cents, id LIMIT 40")
 def search(t):
-    df = Se.search(t.offers.where(F.col("valid_to") >= now()), T.Query.of("hot rod"), "name", "search_text", "brand", 40)
+    df = Se.search(t.current_offers, T.Query.of("hot rod"), "name", "search_text", "brand", 40)
     return df.select("id", "stage", "price_cents")
 
 
 @query("RANK-03_search_order", f"SELECT id, CASE WHEN name LIKE 'ring%' OR name = 'new ring' THEN 5 ELSE 4 END AS stage, price_cents FROM (SELECT * FROM offers WHERE valid_to >= DATE '{TODAY}' AND list_contains(string_split(name, ' '), 'ring') ORDER BY price_cents, id LIMIT 120) ORDER BY 2 DESC, price_cents, id LIMIT 40")
 def search_order(t):
-    df = Se.search(t.offers.where(F.col("valid_to") >= now()), T.Query.of("ring"), "name", "search_text", "brand", 40)
+    df = Se.search(t.current_offers, T.Query.of("ring"), "name", "search_text", "brand", 40)
     return df.select("id", "stage", "price_cents")
 
 

@@ -46,7 +46,18 @@ class Tables:
 
     @cached_property
     def offers(self) -> DataFrame:
-        li, part = self.read("lineitem"), self.read("part")
+        return self.offers_of(self.read("lineitem"))
+
+    @cached_property
+    def current_offers(self) -> DataFrame:
+        """Offers valid today or later. Validity ends with the week of the shipping date, so a bound on that date says
+        the same, and it reaches the scan."""
+        monday = F.date_trunc("week", day(TODAY))
+        kind = self.read("lineitem").schema["l_shipdate"].dataType
+        return self.offers_of(self.read("lineitem").where(F.col("l_shipdate") >= monday.cast(kind)))
+
+    def offers_of(self, li: DataFrame) -> DataFrame:
+        part = self.read("part")
         old = li.l_extendedprice / li.l_quantity
         j = li.join(part, li.l_partkey == part.p_partkey).join(self.stores, li.l_suppkey == F.col("store_id"))
         week = F.date_trunc("week", "l_shipdate").cast("date")
