@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handed to a Python function at a time; one longer text makes a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Rows of a side that may be broadcast after they were counted (ids and a few numbers each).
 BROADCAST_ROWS = 500_000
 

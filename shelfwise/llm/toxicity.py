@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,7 +18,7 @@ BUCKETS, WIDTH, GRAMS, WINDOW = 1 << 17, 12, (3, 4, 5), 32
 #: Texts that a subword must occur in to be learned.
 MIN_TEXTS = 5
 #: Words whose values a worker remembers in each of two generations (results do not change).
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 
 def subwords(word: str) -> list[int]:
@@ -81,29 +82,34 @@ def fit(texts: list[str], y: list[int], steps: int = 120, warm: int = 40, rate:
         return ToxicityModel(np.zeros(BUCKETS, np.float32), 20.0 if y and y[0] == 1 else -20.0)
     rng = np.random.default_rng(seed)
     vocab: dict[str, int] = {}
-    docs = [np.array([vocab.setdefault(w, len(vocab)) for w in t.lower().split()] or [vocab.setdefault("", len(vocab))], np.int32) for t in texts]
-    grams = [subwords(w) for w in vocab]
-    sizes = np.array([len(g) for g in grams])
-    heads = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    flat = np.fromiter((b for g in grams for b in g), np.int32, int(sizes.sum()))
-    del grams
-    lens = np.array([len(d) for d in docs])
-    tokens = np.concatenate(docs)
+    # flat arrays throughout: lists of numbers would take several times the memory
+    ids, lens, grams, sizes = array("i"), array("i"), array("i"), array("i")
+    for t in texts:
+        own = t.lower().split() or [""]
+        lens.append(len(own))
+        for w in own:
+            if w not in vocab:
+                vocab[w] = len(vocab)
+                g = subwords(w)
+                grams.extend(g)
+                sizes.append(len(g))
+            ids.append(vocab[w])
+    del vocab
+    tokens, lens, flat, sizes = (np.frombuffer(a, np.int32) for a in (ids, lens, grams, sizes))
+    heads = np.cumsum(sizes) - sizes
     at = np.concatenate(([0], np.cumsum(lens)))
     # in how many texts each bucket occurs: the words of each text once, then their buckets once
     freq = np.zeros(BUCKETS, np.int32)
-    for d in docs:
-        u = np.unique(d)
-        freq[np.unique(flat[np.repeat(heads[u], sizes[u]) + np.arange(sizes[u].sum()) - np.repeat(np.cumsum(sizes[u]) - sizes[u], sizes[u])])] += 1
+    for a, b in zip(at, at[1:]):
+        u = np.unique(tokens[a:b])
+        n = sizes[u]
+        freq[np.unique(flat[np.repeat(heads[u] - np.cumsum(n) + n, n) + np.arange(n.sum())])] += 1
     # a bucket too rare shares one slot that always adds nothing
-    used, flat = np.unique(np.where(freq[flat] >= MIN_TEXTS, flat, -1), return_inverse=True)
-    rare = int(used[0] < 0)
-    # every window starts at a token; starts too near the end of their text are left out
+    used = np.concatenate(([-1], np.flatnonzero(freq >= MIN_TEXTS)))
+    slot = np.zeros(BUCKETS, np.int32)
+    slot[used[1:]] = np.arange(1, len(used))
+    flat = slot[flat]
     width = np.minimum(lens, WINDOW)
-    doc_of = np.repeat(np.arange(len(docs)), lens)
-    inside = np.arange(len(tokens)) - at[doc_of]
-    starts = np.flatnonzero(inside <= (lens - width)[doc_of])
-    first = np.searchsorted(starts, at[:-1])
     target = np.asarray(y, np.float64)
     weight = np.where(target == 1, 0.5 / target.sum(), 0.5 / (1 - target).sum())
     # two classes: the softmax depends on the difference of their weight vectors alone
@@ -121,34 +127,33 @@ def fit(texts: list[str], y: list[int], steps: int = 120, warm: int = 40, rate:
 
     for step in range(1, steps + 1):
         add = vec @ out
-        if rare:
-            add[0] = 0
+        add[0] = 0
         word = np.add.reduceat(add[flat], heads) / sizes
-        c = np.concatenate(([0.0], np.cumsum(word[tokens], dtype=np.float64)))
-        mean = (c[starts + width[doc_of[starts]]] - c[starts]) / width[doc_of[starts]]
-        if step <= warm:
-            begin, span = at[:-1], lens
-            top = (c[at[1:]] - c[at[:-1]]) / lens
-        else:
-            top = np.maximum.reduceat(mean, first)
-            best = np.flatnonzero(mean >= np.repeat(top, np.diff(np.append(first, len(starts)))))
-            best = best[np.unique(doc_of[starts[best]], return_index=True)[1]]
-            begin, span = starts[best], width
+        per_word = np.zeros(len(sizes))
+        top = np.empty(len(lens))
+        begin = np.empty(len(lens), np.int64)
+        # text by text: no array as long as all windows of the sample
+        for d, (a, b) in enumerate(zip(at, at[1:])):
+            means = word[tokens[a:b]].mean(keepdims=True) if step <= warm else window_means(word[tokens[a:b]])
+            best = int(means.argmax())
+            top[d], begin[d] = means[best], a + best
+        span = lens if step <= warm else width
         p = 1 / (1 + np.exp(-np.clip(top + bias, -50, 50)))
         err = (p - target) * weight
         # back through the windows to words, then to subwords
-        spans = np.repeat(begin, span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
-        per_word = np.bincount(tokens[spans], np.repeat(err / span, span), minlength=len(sizes)) / sizes
-        per_gram = np.bincount(flat, np.repeat(per_word, sizes), minlength=len(used)).astype(np.float32)
-        if rare:
-            per_gram[0] = 0
+        for s in range(0, len(lens), 1024):
+            n, b, e = span[s : s + 1024], begin[s : s + 1024], (err / span)[s : s + 1024]
+            places = np.repeat(b - np.cumsum(n) + n, n) + np.arange(n.sum())
+            per_word += np.bincount(tokens[places], np.repeat(e, n), minlength=len(sizes))
+        per_gram = np.bincount(flat, np.repeat(per_word / sizes, sizes), minlength=len(used)).astype(np.float32)
+        per_gram[0] = 0
         g_out = vec.T @ per_gram + decay * out
         vec = adam("vec", vec, per_gram[:, None] * out + decay * vec, step).astype(np.float32)
         out = adam("out", out, g_out, step).astype(np.float32)
         bias = float(adam("bias", np.array([bias]), np.array([err.sum()]), step)[0])
     value = np.zeros(BUCKETS, np.float32)
     # buckets not trained on add nothing
-    value[used[rare:]] = (vec @ out)[rare:]
+    value[used[1:]] = (vec @ out)[1:]
     return ToxicityModel(value, bias)
 
 
