@@ -118,6 +118,13 @@ def test_packing(docs, odd, empty, library):
     assert packing.pack(empty, JSON).count() == 0
 
 
+def test_cuts_cover_every_id():
+    for n in (1, 681, 682, 683, 2047, 2048, 2049, 10_000):
+        at = packing.cuts(n, 2048)
+        ends = [*at[1:], n]
+        assert at[0] == 0 and all(0 < b - a <= 2048 for a, b in zip(at, ends)) and sum(b - a == 2048 for a, b in zip(at, ends)) == n // 2048
+
+
 def test_differencing_is_near_equal():
     rng = random.Random(3)
     lengths = [rng.randrange(1, 2048) for _ in range(200)]
