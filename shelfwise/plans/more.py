@@ -11,7 +11,6 @@ from shelfwise.functions import families, identity, names, sizes
 from shelfwise.functions import text as T
 from shelfwise.operators import health as H
 from shelfwise.operators import sinks as S
-from shelfwise.operators.history import weekly_points
 from shelfwise.sources import connectors as C
 from shelfwise.sources.tables import TODAY, day
 
