@@ -137,33 +137,46 @@ def sized_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def fitted(df: DataFrame, rows: int, per_task: int = 50_000) -> DataFrame:
+    """``df`` in as many partitions as its counted rows need (eight at least), never more than it has: small tables
+    aren't spread over hundreds of tasks, large ones stay as they are."""
+    return df.coalesce(max(8, -(-rows // per_task)))
+
+
+def unsettled_nodes(e: DataFrame) -> tuple[int, int]:
+    """Rows of (u, v), and nodes that hang on several others or both hang and are hung on; none in a forest of stars."""
+    ends = e.select(F.col("u").alias("n"), F.lit(1).alias("hangs"), F.lit(0).alias("held"))
+    ends = ends.unionByName(e.select(F.col("v").alias("n"), F.lit(0).alias("hangs"), F.lit(1).alias("held")))
+    g = ends.groupBy("n").agg(F.sum("hangs").alias("hangs"), F.max("held").alias("held"))
+    r = g.agg(F.coalesce(F.sum("hangs"), F.lit(0)), F.count_if((F.col("hangs") > 1) | ((F.col("hangs") > 0) & (F.col("held") > 0)))).first()
+    return r[0], r[1]
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``edges``; component is the smallest node reachable.
 
     Alternating large-star and small-star rounds over (node, smaller neighbour) rows. A round's intermediate tables
     are cut by reliable checkpoints: both sides of every join are then plain shuffles, which adaptive execution can
-    split where one node holds a third of all rows, and minima are combined before they are shuffled. Only one row
-    of sums a round (whether anything moved) comes to the driver. Null ids and self loops are ignored; no edges: no rows.
+    split where one node holds a third of all rows, and minima are combined before they are shuffled. Only two counts
+    a round come to the driver; rounds end once every node hangs on one root. Null ids and self loops are ignored; no edges: no rows.
     """
     e = edges.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v"))
     e = e.where("u is not null and v is not null and u <> v")
     e = cut_lineage(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
     while True:
-        state = e.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
+        rows, unsettled = unsettled_nodes(e)
+        if not unsettled:
             break
-        before = state
         # large star: a node's larger neighbours move to the smallest node of its neighbourhood, as does the node
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        low = cut_lineage(fitted(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), rows))
         # (u, v) of e has v below u: seen from v, u is a larger neighbour
         moved = e.select(F.col("v").alias("w"), F.col("u").alias("n")).join(low.withColumnRenamed("u", "w"), "w").select(F.col("n").alias("u"), F.col("m").alias("v"))
-        big = cut_lineage(moved.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).distinct())
+        big = cut_lineage(fitted(moved.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).distinct(), 2 * rows))
         # small star: a node's smaller neighbours move to the smallest of them, as does the node
-        least = cut_lineage(big.groupBy("u").agg(F.min("v").alias("m")))
+        least = cut_lineage(fitted(big.groupBy("u").agg(F.min("v").alias("m")), rows))
         small = big.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut_lineage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        e = cut_lineage(fitted(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), 2 * rows))
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
