@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -18,28 +19,33 @@ GROUP_PIECES = 512
 
 
 def difference(lengths: list[int], k: int) -> list[list[int]]:
-    """Indices of ``lengths`` in k near-equal subsets: Karmarkar-Karp, largest differencing first.
+    """Indices of ``lengths`` in at most k near-equal subsets: Karmarkar-Karp, largest differencing first.
 
-    A partial partition is k subsets sorted by sum; the two with the widest spread are merged with
-    opposing order (largest sum with smallest) until one is left.
+    A partial partition is its occupied subsets, largest sum first, the others being empty; sums are relative to the
+    smallest of all k. The two partitions with the widest spread are merged with opposing order (largest sum with
+    smallest) until one is left.
     """
-    heap = []
-    for i, n in enumerate(lengths):
-        # sums are kept relative to the smallest subset
-        heap.append((-n, i, [n] + [0] * (k - 1), [[i]] + [[] for _ in range(k - 1)]))
+    heap = [(-n, i, [(n, [i])]) for i, n in enumerate(lengths)]
     heapq.heapify(heap)
-    fresh = len(lengths)
+    fresh, size = len(lengths), itemgetter(0)
     while len(heap) > 1:
-        _, _, s1, g1 = heapq.heappop(heap)
-        _, _, s2, g2 = heapq.heappop(heap)
-        sums = [a + b for a, b in zip(s1, reversed(s2))]
-        groups = [a + b for a, b in zip(g1, reversed(g2))]
-        order = sorted(range(k), key=sums.__getitem__, reverse=True)
-        low = sums[order[-1]]
-        sums, groups = [sums[j] - low for j in order], [groups[j] for j in order]
+        _, _, a = heapq.heappop(heap)
+        _, _, b = heapq.heappop(heap)
+        meet = len(a) + len(b) - k
+        if meet > 0:
+            # the smallest of one meet the smallest of the other, the rest meet empty subsets
+            x, y = len(a) - meet, len(b) - meet
+            both = [(m + n, g + h) for (m, g), (n, h) in zip(a[x:], reversed(b[y:]))]
+            merged = a[:x] + both + b[:y]
+        else:
+            merged = a + b
+        merged.sort(key=size, reverse=True)
+        low = merged[-1][0] if len(merged) == k else 0
+        if low:
+            merged = [(n - low, g) for n, g in merged]
         fresh += 1
-        heapq.heappush(heap, (-sums[0], fresh, sums, groups))
-    return heap[0][3] if heap else [[] for _ in range(k)]
+        heapq.heappush(heap, (-merged[0][0], fresh, merged))
+    return [g for _, g in heap[0][2]] if heap else []
 
 
 def windows(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -48,7 +54,7 @@ def windows(lengths: list[int], capacity: int) -> list[list[int]]:
         return []
     k = max(1, math.ceil(sum(lengths) / capacity))
     while True:
-        found = [g for g in difference(lengths, k) if g]
+        found = difference(lengths, k)
         if all(sum(lengths[i] for i in g) <= capacity for g in found):
             return found
         k += 1
