@@ -1,4 +1,4 @@
-"""Licence scans in DataFrame expressions alone: passages against licence templates by Dice over word bigrams."""
+"""Licence scans in DataFrame expressions alone: passages and word windows against licence templates by Dice over word bigrams."""
 
 from __future__ import annotations
 
@@ -27,6 +27,17 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved. No part of this work may be reproduced without permission."),
 )
+#: Standard licence bodies, paragraph by paragraph. Like the notices, they are also looked for within lines and across line ends.
+BODIES = (
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("Apache-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("MPL-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+)
 #: Words that start some word of more than a third of each template's bigrams (a test checks this); see ``MATCH``.
 CUES = ("licen", "cc", "copyright", "permission", "softw", "rights", "charge", "public", "law", "use", "source", "granted", "free", "work", "released", "under", "attribution", "mozilla")
 #: Dice from which a passage is a template. At 0.8 a passage shares two thirds of the template's bigrams at least, so it
@@ -79,15 +90,67 @@ def matches(text: str, match: float = MATCH) -> Column:
     return F.expr(f"case when {text} rlike {cue} then {found} else cast(array() as array<struct<dice:double,license:string,passage:int,template:int>>) end")
 
 
+def least_shared(size: int, match: float = MATCH) -> int:
+    """Least bigrams that any passage must share with a template of ``size`` bigrams to reach the match."""
+    return next(n for n in range(1, size + 1) if 2 * n >= match * (n + size))
+
+
+def anchors(notice: str, match: float = MATCH) -> list[str]:
+    """Bigrams of which every match of the notice holds one: more than it may miss, those of the longest words."""
+    own = bigrams_of(notice)
+    return sorted(own, key=lambda g: (-len(g), g))[: len(own) - least_shared(len(own), match) + 1]
+
+
+def anchored(grams: list[str]) -> str:
+    return quoted("(?i)(?<![A-Za-z0-9])(?:" + "|".join(g.replace(" ", "[^A-Za-z0-9]+") for g in sorted(set(grams))) + ")(?![A-Za-z0-9])")
+
+
+def uncovered(text: str, found: str) -> str:
+    """SQL of the words of ``text`` in order, across line ends; each passage of ``found`` stands as one word '|'."""
+    matched = f"transform(filter({found}, m -> m.passage > 0), m -> split({text}, '\\n', -1)[m.passage - 1])"
+    line = "split(trim(lower(regexp_replace(l, '[^A-Za-z0-9]+', ' '))), ' ')"
+    lines = f"flatten(transform(split(x, '\\n', -1), l -> case when array_contains({matched}, l) then array('|') else {line} end))"
+    paragraphs = f"transform(split({text}, '\\\\n[ \\\\t\\\\r]*\\\\n', -1), (x, k) -> case when exists({found}, m -> m.passage = -1 - k) then array('|') else {lines} end)"
+    return f"filter(flatten({paragraphs}), w -> w <> '')"
+
+
+def windows(text: str, grams: str, n: int, name: str, notice: str, match: float = MATCH) -> str:
+    """SQL of the matches of one template among the windows of the bigrams ``grams`` of ``text``, stride 1.
+
+    Cutting a foreign bigram off an end never lowers Dice, so only windows from one of the template's bigrams to another
+    are compared, of at most as many bigrams as ``bounds`` allows. Of overlapping windows the best is one match.
+    """
+    own = bigrams_of(notice)
+    need, most = least_shared(len(own), match), bounds(len(own), match)[1]
+    listed = "array(" + ", ".join(map(quoted, own)) + ")"
+    hits = f"filter(transform({grams}, (g, p) -> named_struct('p', p, 'd', array_position({listed}, g))), h -> h.d > 0)"
+    dice = f"2.0D * size(array_distinct(transform(slice(hs, i + 1, {need} + j), x -> x.d))) / (size(array_distinct(slice({grams}, h.p + 1, e.p - h.p + 1))) + {len(own)})"
+    ends = f"transform(slice(hs, i + {need}, {most - need + 1}), (e, j) -> named_struct('s', case when e.p - h.p < {most} then -({dice}) else 0D end, 'a', h.p, 'b', e.p))"
+    made = f"flatten(transform(array({hits}), hs -> filter(transform(hs, (h, i) -> array_min({ends})), w -> -w.s >= cast({match} as double))))"
+    best = f"aggregate(array_sort({made}), cast(array() as array<struct<s:double,a:int,b:int>>), (k, w) -> case when exists(k, y -> y.a <= w.b and w.a <= y.b) then k else concat(k, array(w)) end)"
+    one = f"transform({best}, w -> named_struct('dice', -w.s, 'license', {quoted(name)}, 'passage', 0, 'template', {n}))"
+    return f"case when {text} rlike {anchored(anchors(notice, match))} then {one} else cast(array() as array<struct<dice:double,license:string,passage:int,template:int>>) end"
+
+
 def scan_licenses(df: DataFrame, text_col: str = "text", match: float = MATCH) -> DataFrame:
-    """``df`` with ``license_matches``: dice, license, passage (line number, or -n for the n-th paragraph) and template.
+    """``df`` with ``license_matches``: dice, license, passage (line number, -n for the n-th paragraph, 0 for a window of
+    words in the rest of the text) and template (numbers go on from ``TEMPLATES`` to ``BODIES``).
 
+    Passages that match as a whole are left out of the windows, so that a notice counts once for a template.
     Null and empty texts, and texts of single words, match nothing. Rows come back one for one with all their columns
     (one named ``license_matches`` is replaced); nothing is shuffled.
     """
     own = [c for c in df.columns if c != "license_matches"]
     out = df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_own"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
-    return out.withColumn("license_matches", matches("_t", match)).select("_own.*", "license_matches")
+    both = TEMPLATES + BODIES
+    some = anchored([a for _, t in both for a in anchors(t, match)])
+    out = out.withColumn("_m", matches("_t", match))
+    # texts without an anchor of any template hold no window that matches
+    out = out.withColumn("_w", F.expr(f"case when _t rlike {some} then {uncovered('_t', '_m')} else cast(array() as array<string>) end"))
+    out = out.withColumn("_g", F.expr("transform(slice(_w, 2, size(_w)), (b, j) -> concat(_w[j], ' ', b))"))
+    inner = ", ".join(windows("_t", "_g", n, name, t, match) for n, (name, t) in enumerate(both))
+    out = out.withColumn("license_matches", F.expr(f"case when size(_g) > 0 then concat(_m, {inner}) else _m end"))
+    return out.select("_own.*", "license_matches")
 
 
 def license_summary(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -113,3 +113,46 @@ def test_cues_prune_without_loss():
         cued = [g for g in grams if any(w.startswith(licenses.CUES) for w in g.split())]
         least = min(-(-licenses.MATCH * (n + len(grams)) // 2) for n in range(licenses.bounds(len(grams))[0], licenses.bounds(len(grams))[1] + 1))
         assert len(grams) - len(cued) < least, t
+
+
+def test_notices_within_lines_and_standard_bodies(spark):
+    inner = [
+        ("The archive was restored in spring. Released under the MIT License. Copies are kept in the hall.", "MIT", 1),
+        ("Foo bar baz. Licensed under the Apache License, Version 2.0. See notes for details of use.", "Apache-2.0", 1),
+        ("Some words before. Licensed under\nCC BY-NC 4.0. And after\n\nReleased under the MIT License.", "CC-BY-NC-4.0,MIT", 2),
+        ("One. Released under the MIT License. Two, three and four. Released under the MIT License. Five.", "MIT", 2),
+        ("The license of the work under public law was released for use, free of charge, with all rights.", "", 0),
+    ]
+    wrapped = [("/* Copyright 2021 A. Person\n * " + t.replace(", ", ",\n * ") + "\n\n more of it */", name) for name, t in licenses.BODIES]
+    df = spark.createDataFrame(list(enumerate([x for x, *_ in inner] + [x for x, _ in wrapped])), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.license_summary(df).collect()}
+    assert [(got[i].licenses, got[i].n_matches) for i in range(len(inner))] == [(names, n) for _, names, n in inner]
+    for i, (_, name) in enumerate(wrapped):
+        assert name in got[len(inner) + i].licenses.split(",") and got[len(inner) + i].best_dice == 1.0
+
+
+def test_windows_against_all_windows(spark):
+    rng = random.Random(12)
+    both, rows = licenses.TEMPLATES + licenses.BODIES, []
+    for _, t in both:
+        words = t.split()
+        for drop in (0, 1, len(words) // 8, len(words) // 4):
+            own = list(words)
+            for _ in range(drop):
+                own[rng.randrange(len(own))] = rng.choice(["other", "the", "license"])
+            rows.append("some words " + " ".join(own) + " and several more words to close the line with, of no licence at all")
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    for r in got:
+        if any(m.passage for m in r.license_matches):
+            continue
+        w = licenses.words_of(r.text)
+        for n, (_, t) in enumerate(both):
+            b = set(licenses.bigrams_of(t))
+            most, best = licenses.bounds(len(b))[1], 0.0
+            for i in range(len(w)):
+                g = set()
+                for j in range(i + 1, min(len(w), i + most + 1)):
+                    g.add(f"{w[j - 1]} {w[j]}")
+                    best = max(best, 2 * len(g & b) / (len(g) + len(b)))
+            found = max((m.dice for m in r.license_matches if m.template == n), default=0.0)
+            assert round(found, 9) == (round(best, 9) if best >= licenses.MATCH else 0.0), (r.text, t)
