@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -36,6 +37,15 @@ ENCODINGS = (
 Z_LIMIT = 3.3
 #: Ordinary words and identifiers change between lower case, upper case and digits at most so often a character.
 SWITCH = 0.1
+#: Letters a to z in a thousand letters of English, German, French and Spanish words, 3 at least.
+LETTERS = (
+    (82, 15, 28, 43, 127, 22, 20, 61, 70, 3, 8, 40, 24, 67, 75, 19, 3, 60, 63, 91, 28, 10, 24, 3, 20, 3),
+    (65, 19, 27, 51, 164, 17, 30, 46, 66, 3, 14, 34, 25, 98, 26, 7, 3, 70, 73, 62, 42, 8, 19, 3, 3, 11),
+    (76, 9, 33, 37, 147, 11, 9, 7, 75, 6, 3, 55, 30, 71, 58, 25, 14, 67, 79, 72, 63, 18, 3, 4, 3, 3),
+    (115, 22, 40, 50, 122, 7, 18, 7, 62, 5, 3, 50, 32, 67, 87, 25, 9, 69, 80, 46, 29, 11, 3, 3, 10, 5),
+)
+#: Sizes of the encodings with all letters of one case: a token of theirs need not change class.
+ONE_CASE = (26, 32, 36)
 #: False discoveries allowed among all tokens called random.
 FDR = 0.01
 #: Matches whose lengths are summed together when positions are found (keeps that linear in the matches).
@@ -70,18 +80,25 @@ def battery(df: DataFrame, tokens: str) -> DataFrame:
 
     Tests under the inferred encoding's alphabet of k symbols: chi-squared uniformity (exact mean and variance, as
     expected counts are small), runs above and below the middle symbol, and lag-1 serial correlation. Evidence is the
-    Chernoff bound -ln P(as many changes of character class | ordinary text), which grows with the length.
+    Chernoff bound -ln P(as many changes of character class | ordinary text), which grows with the length. Under an
+    encoding of one case it is, where that is more, the log-likelihood ratio of even letters against the likeliest of
+    the languages of ``LETTERS``, less ln 2 as either bound may be the one that errs.
     """
     infer = "case " + " ".join(f"when x rlike {quoted(p)} then {quoted(a)}" for p, a in ENCODINGS) + " else '' end"
     df = df.withColumn("_e", F.expr(f"transform({tokens}, x -> named_struct('n', length(x), 'a', {infer}, 'c', split(x, '')))"))
     kind = "case when c between '0' and '9' then 0 when c between 'A' and 'Z' then 1 else 2 end"
+    # a language's log ratio is summed over the letters of the token
+    ratios = ("array(" + ", ".join(f"{math.log(1000 / 26 / n)!r}D" for n in one) + ")" for one in LETTERS)
+    sums = ", ".join(f"aggregate(filter(e.c, c -> c rlike '[A-Za-z]'), 0D, (s, c) -> s + {r}[ascii(lower(c)) - 97])" for r in ratios)
+    likelihood = f"case when length(e.a) in {ONE_CASE} then least({sums}) - ln(2D) else 0D end"
     df = df.withColumn("_v", F.expr(f"""transform(_e, e -> named_struct('n', cast(e.n as double), 'k', cast(length(e.a) as double),
         'v', transform(e.c, c -> cast(instr(e.a, c) - 1 as double)),
         's', transform(filter(e.c, c -> c rlike '[A-Za-z0-9]'), c -> {kind}),
+        'l', {likelihood},
         'q', aggregate(transform(array_distinct(e.c), d -> power(size(filter(e.c, c -> c = d)), 2)), 0D, (s, x) -> s + x)))"""))
     # sums over symbols and over neighbours
     pairs = "transform(slice(x.v, 2, size(x.v)), (b, i) -> {0})"
-    df = df.withColumn("_w", F.expr(f"""transform(_v, x -> named_struct('n', x.n, 'k', x.k, 'q', x.q,
+    df = df.withColumn("_w", F.expr(f"""transform(_v, x -> named_struct('n', x.n, 'k', x.k, 'q', x.q, 'l', x.l,
         'm', cast(size(x.s) as double),
         'h', cast(size(filter(x.v, b -> b >= x.k / 2)) as double),
         'r', 1 + aggregate({pairs.format("case when (b >= x.k / 2) <> (x.v[i] >= x.k / 2) then 1D else 0D end")}, 0D, (s, y) -> s + y),
@@ -93,11 +110,11 @@ def battery(df: DataFrame, tokens: str) -> DataFrame:
     chi = "case when w.k > 1 then ((w.k * w.q / w.n - w.n) - (w.k - 1)) / sqrt(2 * (w.k - 1) * (1 - 1 / w.n)) else 99D end"
     runs = f"case when {two} > w.n then (w.r - 1 - {two} / w.n) / sqrt({two} * ({two} - w.n) / (w.n * w.n * (w.n - 1))) else 99D end"
     serial = "case when w.n * w.s2 > w.s1 * w.s1 then ((w.n * w.sp - w.s1 * w.s1) / (w.n * w.s2 - w.s1 * w.s1) + 1 / (w.n - 1)) * (w.n - 1) * sqrt(w.n - 2) / w.n else 99D end"
-    df = df.withColumn("_z", F.expr(f"transform(_w, w -> named_struct('n', w.n, 'chi', {chi}, 'runs', {runs}, 'serial', {serial}, 'j', greatest(w.m - 1, 1D), 'f', w.t / greatest(w.m - 1, 1D)))"))
+    df = df.withColumn("_z", F.expr(f"transform(_w, w -> named_struct('n', w.n, 'chi', {chi}, 'runs', {runs}, 'serial', {serial}, 'l', w.l, 'j', greatest(w.m - 1, 1D), 'f', w.t / greatest(w.m - 1, 1D)))"))
     kl = f"z.f * ln(z.f / {SWITCH}) + case when z.f < 1 then (1 - z.f) * ln((1 - z.f) / {1 - SWITCH}) else 0D end"
     df = df.withColumn("stats", F.expr(f"""transform(_z, z -> named_struct('n', cast(z.n as int), 'chi', z.chi, 'runs', z.runs, 'serial', z.serial,
         'random', z.chi <= {Z_LIMIT} and abs(z.runs) <= {Z_LIMIT} and abs(z.serial) <= {Z_LIMIT},
-        'evidence', case when z.f > {SWITCH} then z.j * ({kl}) else 0D end))"""))
+        'evidence', greatest(z.l, case when z.f > {SWITCH} then z.j * ({kl}) else 0D end)))"""))
     return df.drop("_e", "_v", "_w", "_z")
 
 
@@ -114,8 +131,6 @@ def discovery_limit(df: DataFrame, text_col: str = "text", fdr: float = FDR) ->
     m = sum(r["count"] for r in bins)
     if not m:
         return float("inf"), 1.0
-    import math
-
     mean = sum(r["n"] * r["count"] for r in bins) / m
     # a token that fails the battery stays in the family with p = 1
     ranked = sorted(((r["b"] / 4 if r["ok"] else 0.0) + math.log(r["n"] / mean), r["count"]) for r in bins)[::-1]

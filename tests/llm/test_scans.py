@@ -43,6 +43,19 @@ def test_random_tokens_are_added_and_words_are_not(spark):
     assert all(not [s for s in got[100 + i] if s.kind == 3] for i in range(len(plain)))
 
 
+def test_random_tokens_of_one_case_are_added(spark):
+    rng = random.Random(6)
+    # 24 letters alone often hold too little evidence
+    kinds = ((string.ascii_lowercase, 64, 26), (string.ascii_uppercase, 40, 26), (string.ascii_uppercase + "234567", 32, 26), (string.ascii_lowercase, 24, 15))
+    made = ["".join(rng.choice(a) for _ in range(n)) for a, n, _ in kinds for _ in range(30)]
+    plain = ["internationalcommunication", "themeetingwasmovedtothefollowingmonday", "ALLPRICESAREVALIDUNTILFURTHERNOTICE", "rechtsschutzversicherungsgesellschaften", "lespersonnesquihabitentdanslavillevoisine", "desarrollodelasactividadescomerciales", "ORDERNUMBER2FORTHENORTHERNSTORE", "erberbeeinheitkeiter", "12345678901234567890123"]
+    rows = list(enumerate(f"see {t} there" for t in made + plain))
+    got = {r.doc_id: [s for s in r.spans if s.kind == 3] for r in secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k in range(len(kinds)):
+        assert sum(bool(got[k * 30 + i]) for i in range(30)) >= kinds[k][2], kinds[k]
+    assert not any(got[len(made) + i] for i in range(len(plain)))
+
+
 def test_battery_statistics(spark):
     import math
 
