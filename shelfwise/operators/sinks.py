@@ -80,6 +80,15 @@ def greedy_budget(rows: list[tuple], budget: int) -> list[tuple]:
     return out
 
 
+def budgeted(df: DataFrame, key: str, order: list[Column], cost: str, budget: int) -> DataFrame:
+    """The rows of each ``key`` that ``greedy_budget`` takes of the key's whole list in ascending ``order``."""
+    own = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    listed = F.array_sort(F.collect_list(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], own.alias("row"))))
+    g = df.groupBy(F.col(key).alias("_key")).agg(listed.alias("_l"))
+    fits = f"aggregate(_l, named_struct('left', cast({budget} as bigint), 'at', cast(array() as array<int>), 'i', 0), (s, x) -> case when x.row.`{cost}` <= s.left then named_struct('left', s.left - x.row.`{cost}`, 'at', concat(s.at, array(s.i)), 'i', s.i + 1) else named_struct('left', s.left, 'at', s.at, 'i', s.i + 1) end, s -> transform(s.at, i -> _l[i].row))"
+    return g.select(F.explode(F.expr(fits)).alias("_r")).select("_r.*")
+
+
 def overwrite(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
     """Writes a new version of a table beside the old one and returns its path: readers never see half a table."""
     out = f"{path}/v-{uuid.uuid4().hex}"

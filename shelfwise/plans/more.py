@@ -11,6 +11,7 @@ from shelfwise.functions import families, identity, names, sizes
 from shelfwise.functions import text as T
 from shelfwise.operators import health as H
 from shelfwise.operators import sinks as S
+from shelfwise.operators.history import first_by
 from shelfwise.sources import connectors as C
 from shelfwise.sources.tables import TODAY, day
 
@@ -96,8 +97,11 @@ def flyers(t):
 
 @query("SRC-12_flyer_budget", None)
 def flyer_budget(t):
-    top = t.brochures.where(F.col("valid_to") >= now()).orderBy(F.desc("pages"), F.desc("id")).limit(200).select("id", "pages").collect()
-    return t.spark.createDataFrame(S.greedy_budget([tuple(r) for r in top], 36), "id bigint, pages int")
+    # ranked as RANK-05: one flyer a campaign, then valid now, pages, last day and id; flyers without pages aren't collected
+    own = t.brochures.where((F.col("valid_to") >= now()) & (F.col("pages") > 0)).withColumn("campaign", F.lower("title"))
+    one = first_by(own, ["store", "campaign", "valid_from", "valid_to"], F.desc("pages"), F.desc("id")).select("store", "id", "pages", "valid_from", "valid_to")
+    order = [(F.col("valid_from") > now()).cast("int"), -F.col("pages"), -F.unix_date("valid_to"), -F.col("id")]
+    return S.budgeted(one, "store", order, "pages", 36).select("id", "pages")
 
 
 @query("SRC-13_official_link", f"SELECT c_custkey AS store, 'link' AS source_type FROM customer ANTI JOIN (SELECT store FROM brochures WHERE valid_to >= DATE '{TODAY}') b ON c_custkey = b.store")

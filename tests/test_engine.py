@@ -61,3 +61,19 @@ def test_scan_is_pruned(spark, sf_dir):
     plan = catalog.QUERIES["AGG-05_store_counts"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     read = " ".join(re.findall(r"ReadSchema: (\S+)", plan))
     assert "l_suppkey" in read and not re.search("l_quantity|l_extendedprice|p_name|s_acctbal", read)
+
+
+def test_flyer_budget_is_each_stores_own(spark, sf_dir):
+    from shelfwise.operators import sinks
+    from shelfwise.sources.tables import TODAY, Tables
+
+    groups, want = {}, []
+    for r in Tables(spark, sf_dir).brochures.where(f"valid_to >= date '{TODAY}' and pages > 0").collect():
+        one = groups.setdefault(r.store, {}).setdefault((r.title.lower(), r.valid_from, r.valid_to), r)
+        if (r.pages, r.id) > (one.pages, one.id):
+            groups[r.store][r.title.lower(), r.valid_from, r.valid_to] = r
+    for own in groups.values():
+        ranked = sorted(own.values(), key=lambda r: (r.valid_from.isoformat() <= TODAY, r.pages, r.valid_to, r.id), reverse=True)
+        want += sinks.greedy_budget([(r.id, r.pages) for r in ranked], 36)
+    got = [tuple(r) for r in catalog.QUERIES["SRC-12_flyer_budget"](spark, sf_dir).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 200
