@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut_lineage, forest, map_texts, sized_broadcast
+from .common import connected_components, cut_lineage, forest, map_texts, sized_broadcast, written_table
 
 #: Minwise tokens a document has, independent trees, and branchings from a root to a node.
 #: A pair of similarity s meets in a tree with probability s**DEPTH and is missed by all with (1 - s**DEPTH)**TREES:
@@ -202,14 +202,18 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
 def deduplicated(df: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, with all columns, that represent their group of near-duplicates: one row of each group.
 
-    Rows with a null id and rows without words are groups by themselves; of rows that repeat an id one stays.
+    Rows with a null id and rows without words are groups by themselves; of rows that repeat an id and a text one
+    stays, and different texts of one id are judged each by itself.
     """
-    found = cut_lineage(near_duplicates(df, shingle, percent, id_col, text_col).select(id_col, "kept"))
-    gone = found.where(~F.col("kept")).select(id_col).distinct()
-    again = cut_lineage(found.where(F.col("kept") & F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col))
-    out = df.join(sized_broadcast(gone, gone.count()), id_col, "left_anti")
-    many = again.count()
-    if many:
-        again = sized_broadcast(again, many)
-        out = out.join(again, id_col, "left_anti").unionByName(out.join(again, id_col, "left_semi").dropDuplicates([id_col]))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+    own, key = df.columns, id_col
+    if not df.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
+        # rows get numbers of their own, in the order of ids; written, so that they stay the same
+        key = "_row"
+        while key in own:
+            key += "_"
+        some = df.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).orderBy(id_col).withColumn(key, F.monotonically_increasing_id())
+        df = written_table(some.unionByName(df.where(F.col(id_col).isNull()).withColumn(key, F.lit(None).cast("bigint"))), "rows")
+    found = cut_lineage(near_duplicates(df, shingle, percent, key, text_col).select(key, "kept"))
+    gone = found.where(~F.col("kept")).select(key).distinct()
+    out = df.join(sized_broadcast(gone, gone.count()), key, "left_anti")
+    return out.select(*[F.col(f"`{c}`") for c in own])

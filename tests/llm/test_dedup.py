@@ -102,6 +102,13 @@ def test_odd_documents(odd, empty):
     assert ids.count(6) == 1 and 7 not in ids and 8 not in ids and ids.count(None) == 2
 
 
+def test_texts_of_a_repeated_id_are_judged_each(spark):
+    texts = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcde"}
+    rows = [(1, texts["a"]), (2, texts["a"]), (2, texts["b"]), (3, texts["c"]), (3, texts["d"]), (4, texts["e"]), (4, texts["e"] + " more"), (5, ""), (5, "")]
+    left = minhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(t[:2] for _, t in map(tuple, left)) == ["", "a0", "b0", "c0", "d0", "e0"]
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100 + rng.randrange(40), 100 + rng.randrange(40)) for _ in range(30)] + [(500, 500 + i) for i in range(1, 80)] + [(7, 7), (None, 3), (900, None)]
