@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -11,16 +13,25 @@ from pyspark.sql import functions as F
 from .common import connected_components, cut_lineage, forest, map_texts, sized_broadcast, written_table
 
 #: Minwise tokens a document has, independent trees, and branchings from a root to a node.
-#: A pair of similarity s meets in a tree with probability s**DEPTH and is missed by all with (1 - s**DEPTH)**TREES:
-#: ``trees_for`` gives the trees that a threshold needs.
+#: A pair of similarity s agrees in Binomial(MINWISE, s) of the tokens; where it agrees in a share q, a tree misses it with
+#: probability 1 - q**DEPTH. ``trees_for`` gives the trees that a threshold needs, as all trees branch on the same tokens.
 MINWISE, DEPTH, MISS = 128, 8, 1e-6
 #: A block of a candidate component: at most about so many documents and shingles.
 BLOCK_DOCS, BLOCK_SHINGLES = 64, 1 << 16
 
 
+def missed(similarity: float, trees: int, depth: int = DEPTH) -> float:
+    """Probability that all trees miss a pair of that similarity."""
+    q = [k / MINWISE for k in range(MINWISE + 1)]
+    return sum(comb(MINWISE, k) * similarity**k * (1 - similarity) ** (MINWISE - k) * (1 - q[k] ** depth) ** trees for k in range(MINWISE + 1))
+
+
 def trees_for(similarity: float, depth: int = DEPTH, miss: float = MISS) -> int:
     """Trees needed to miss a pair at the threshold with probability ``miss`` at most."""
-    return int(np.ceil(np.log(miss) / np.log1p(-(similarity**depth))))
+    trees = 1
+    while missed(similarity, trees, depth) > miss:
+        trees += 1
+    return trees
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -157,7 +168,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
 
     Documents are linked when 100 * intersection >= percent * union of their shingle sets; component_id is the
     smallest id reachable over links (itself included), kept says whether it is the row's own id. Candidates come
-    from ``trees_for`` independent chosen-path trees, are gathered into components, and every link is confirmed on
+    from ``trees_for`` chosen-path trees, are gathered into components, and every link is confirmed on
     full sets; a pair at the threshold is missed with probability 1e-6 at most.
 
     Copies (equal sets) are represented by their smallest id throughout, so a group of copies of any size costs one

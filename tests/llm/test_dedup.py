@@ -87,6 +87,15 @@ def test_recall_of_the_trees():
     assert met >= 198
 
 
+def test_trees_miss_as_seldom_as_stated():
+    from math import comb
+
+    for s in (0.85, 0.8):
+        trees = minhash.trees_for(s)
+        p = sum(comb(128, k) * s**k * (1 - s) ** (128 - k) * (1 - (k / 128) ** 8) ** trees for k in range(129))
+        assert p <= minhash.MISS
+
+
 def test_odd_documents(odd, empty):
     rows = minhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
