@@ -120,22 +120,32 @@ def token_counts(df: DataFrame, vocab: str, id_col: str = "doc_id", text_col: st
 def encoder(path: str):
     """text -> numpy ids, as the tokenizers library gives them without added begin or end tokens.
 
-    Byte-level files whose ids follow the order of their merges go through the faster ranked encoder,
-    which gives the same ids; any other file goes through the library itself.
+    Byte-level files whose ids follow the order of their merges go through the faster ranked encoder, which gives the
+    same ids; whatever text it fails on (its pattern matcher gives up on very long runs of white space), and any other
+    file, goes through the library itself.
     """
     import numpy as np
+    from tokenizers import Tokenizer
 
     c = counter(path)
+    library = Tokenizer.from_file(path)
+
+    def by_library(text: str):
+        return np.asarray(library.encode(text, add_special_tokens=False).ids, np.uint32)
+
     ids = sorted(c.vocab.items(), key=lambda kv: kv[1])
     ordered = [i for _, (_, i) in sorted(c.rank.items(), key=lambda kv: kv[1][0])]
-    if ordered == sorted(ordered) and len(ids) == 256 + len(c.rank):
-        import tiktoken
+    if ordered != sorted(ordered) or len(ids) != 256 + len(c.rank):
+        return by_library
+    import tiktoken
 
-        special = c.specials
-        enc = tiktoken.Encoding("byte_level", pat_str=c.pattern.pattern, mergeable_ranks=dict(ids), special_tokens=special)
-        allowed = set(special)
-        return lambda text: enc.encode_to_numpy(text, allowed_special=allowed)
-    from tokenizers import Tokenizer
+    ranked = tiktoken.Encoding("byte_level", pat_str=c.pattern.pattern, mergeable_ranks=dict(ids), special_tokens=c.specials)
+    allowed = set(c.specials)
+
+    def encode(text: str):
+        try:
+            return ranked.encode_to_numpy(text, allowed_special=allowed)
+        except Exception:  # any failure of the shortcut; the library decides
+            return by_library(text)
 
-    lib = Tokenizer.from_file(path)
-    return lambda text: np.asarray(lib.encode(text, add_special_tokens=False).ids, np.uint32)
+    return encode
