@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 #: Rows of a side that may be broadcast after they were counted (ids and a few numbers each).
 BROADCAST_ROWS = 500_000
+#: Links that one task may join into components (about 100 MB); more of them go through rounds of shuffles.
+TASK_LINKS = 300_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,10 +77,14 @@ def filter_texts(df: DataFrame, text: str, fn: Callable[[list[str]], list[bool]]
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines of a cluster share; one is made only where a session names none, as in tests."""
+    """The folder that all machines of a cluster share. A session of one machine that names none, as in tests, gets one;
+    on a cluster that is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -89,6 +95,14 @@ def written_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def drop_written(df: DataFrame) -> None:
+    """Deletes the files of a ``written_table`` that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Remembered(dict):
     """A dict of computed values in two generations: at ``most`` entries the young one becomes the old one.
 
@@ -155,7 +169,7 @@ def unsettled_nodes(e: DataFrame) -> tuple[int, int]:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``edges``; component is the smallest node reachable.
 
-    Alternating large-star and small-star rounds over (node, smaller neighbour) rows. A round's intermediate tables
+    Up to ``TASK_LINKS`` counted links are joined in one task. Beyond: alternating large-star and small-star rounds over (node, smaller neighbour) rows. A round's intermediate tables
     are cut by reliable checkpoints: both sides of every join are then plain shuffles, which adaptive execution can
     split where one node holds a third of all rows, and minima are combined before they are shuffled. Only two counts
     a round come to the driver; rounds end once every node hangs on one root. Null ids and self loops are ignored; no edges: no rows.
@@ -163,6 +177,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     e = edges.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v"))
     e = e.where("u is not null and v is not null and u <> v")
     e = cut_lineage(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if e.count() <= TASK_LINKS:
+        return e.coalesce(1).mapInArrow(joined, "node bigint, component bigint")
     while True:
         rows, unsettled = unsettled_nodes(e)
         if not unsettled:
@@ -197,3 +213,14 @@ def forest(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
         if x != y:
             up[max(x, y)] = min(x, y)
     return [(x, root(x)) for x in up if root(x) != x]
+
+
+def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all nodes of the links in ``batches``."""
+    links = [(u, v) for b in batches for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    rows = dict(forest(links))
+    rows.update({root: root for root in set(rows.values())})
+    every = list(rows.items())
+    for at in range(0, len(every), 10_000):
+        some = every[at : at + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in some], pa.int64()), pa.array([c for _, c in some], pa.int64())], names=["node", "component"])

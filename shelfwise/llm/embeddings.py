@@ -5,39 +5,58 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import connected_components, cut_lineage, forest, sized_broadcast
 
-#: Vectors wanted per cell, most cells, vectors that the centroids are fitted on, rows of a block.
-CELL, MAX_CELLS, FIT_ROWS, BLOCK = 1024, 256, 16_384, 768
+#: Home vectors wanted in a cell, most cells that a cell is split into, levels of splits, rows of a block.
+CELL, MAX_CELLS, LEVELS, BLOCK = 2048, 64, 8, 16_384
+#: Vectors of a cell that its centroids are fitted on (expected, chosen by hash), and rows that a task places at a time.
+FIT_ROWS, SALT_ROWS = 8192, 65_536
+#: Bytes of double components that a block, and the vectors of a fit, may take.
+MOST_BYTES = 64 << 20
+PLACE = ["label", "dim", "cell"]
 
 
-def unit_rows(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
-    """id, label, dim, unit (float64 bytes) and digest of the vector; digest is null for rows that link with nothing."""
-    own = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("bigint").alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
+def rows_for(dim: int, most: int) -> int:
+    """At most ``most`` rows whose components as doubles fit in ``MOST_BYTES``."""
+    return max(16, min(most, MOST_BYTES // (8 * max(dim, 1))))
+
+
+def marked_rows(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> tuple[DataFrame, str]:
+    """id, label, dim, vec (the components as stored) and digest, which is null for rows that link with nothing; and numpy's name of a component."""
+    single = isinstance(df.schema[vec_col].dataType.elementType, T.FloatType)
+    kind, spark_kind = ("<f4", "float") if single else ("<f8", "double")
+    own = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("bigint").alias("label"), F.col(vec_col).cast(f"array<{spark_kind}>").alias("v"))
 
     def run(batches):
         for b in batches:
-            units, digests, dims = [], [], []
+            raw, digests, dims = [], [], []
             for label, v in zip(b.column("label").to_pylist(), b.column("v")):
-                x = v.values.to_numpy(zero_copy_only=False) if v.is_valid and label is not None else np.zeros(0)
+                x = v.values.to_numpy(zero_copy_only=False).astype(kind) if v.is_valid and label is not None else np.zeros(0, kind)
                 top = np.abs(x).max() if len(x) else 0.0
                 ok = np.isfinite(top) and top > 0
-                if ok:
-                    # the largest component first: no overflow in the norm
-                    y = x / top
-                    y = y / math.sqrt(float(y @ y))
-                units.append(y.tobytes() if ok else None)
-                digests.append(xxhash.xxh3_128_digest(np.ascontiguousarray(x + 0.0).tobytes()) if ok else None)
+                # adding zero makes a negative zero a zero
+                data = (x + x.dtype.type(0)).tobytes() if ok else None
+                raw.append(data)
+                digests.append(xxhash.xxh3_128_digest(data) if ok else None)
                 dims.append(len(x))
-            cols = [b.column("id"), b.column("label"), pa.array(dims, pa.int32()), pa.array(units, pa.binary()), pa.array(digests, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "label", "dim", "unit", "digest"])
+            cols = [b.column("id"), b.column("label"), pa.array(dims, pa.int32()), pa.array(raw, pa.binary()), pa.array(digests, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "label", "dim", "vec", "digest"])
+
+    return own.mapInArrow(run, "id bigint, label bigint, dim int, vec binary, digest binary"), kind
+
 
-    return own.mapInArrow(run, "id bigint, label bigint, dim int, unit binary, digest binary")
+def units(vecs: list[bytes], kind: str, dim: int) -> np.ndarray:
+    """Unit rows in double precision; the largest component is divided out first, so that no norm overflows."""
+    x = np.frombuffer(b"".join(vecs), kind).reshape(-1, dim).astype(np.float64)
+    x /= np.abs(x).max(axis=1)[:, None]
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -47,8 +66,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> n
     for _ in range(rounds):
         cos = x @ c.T
         cell = cos.argmax(axis=1)
-        total = np.zeros_like(c)
-        np.add.at(total, cell, x)
+        total = (cell[None, :] == np.arange(k)[:, None]).astype(np.float64) @ x
         norm = np.linalg.norm(total, axis=1)
         far = np.argsort(cos.max(axis=1))
         for i, j in enumerate(np.flatnonzero(norm == 0)):
@@ -67,99 +85,189 @@ def reach(cos: np.ndarray, gaps: np.ndarray, chord: float) -> np.ndarray:
     return cos[np.arange(len(cos)), home][:, None] - cos <= chord * gaps[home] + 1e-9
 
 
+def gaps_of(c: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0)) + 1e-7
+
+
+def fitted_cells(x: np.ndarray, n: int, chord: float, cell: int, block: int) -> np.ndarray | None:
+    """Centroids that split a cell of ``n`` home vectors, of which ``x`` are a sample; None where no split pays.
+
+    Wanted are n / ``cell`` cells; there are fewer where the vectors have so little structure that guests would be more
+    copies of a row than comparing the unsplit cell block by block takes (two at least).
+    """
+    k = min(MAX_CELLS, math.ceil(n / cell), len(x) // 2)
+    while k >= 2:
+        c = spherical_kmeans(x, k)
+        cos = x @ c.T
+        home = cos.argmax(axis=1)
+        guests = (reach(cos, gaps_of(c), chord) & (np.arange(k)[None, :] < home[:, None])).sum(axis=1).mean()
+        if 1 + guests <= max(2.0, n / block) and np.bincount(home, minlength=k).max() < 0.9 * len(x):
+            return c
+        k //= 2
+    return None
+
+
+def split_cells(placed: DataFrame, wide: DataFrame, kind: str, chord: float, level: int) -> DataFrame | None:
+    """``placed`` after one level of splits of the cells ``wide`` (place, homes); None where none of them is worth it.
+
+    Centroids are fitted on executors, cell by cell, on a sample of bounded expected size. They travel to the rows of
+    their cell by a shuffle, a cell being salted by its size; nothing is broadcast that grows with the cells.
+    """
+    cell, block, most = CELL, BLOCK, FIT_ROWS
+    cells = sized_broadcast(wide, wide.count())
+    fit = F.greatest(F.lit(16), F.least(F.lit(most), F.floor(F.lit(MOST_BYTES) / (8 * F.col("dim")))))
+    chosen = F.pmod(F.xxhash64("rep", F.lit(100 + level)), F.lit(1 << 30)) < fit / F.col("homes") * (1 << 30)
+    sample = placed.where("home").join(cells, PLACE).where(chosen).select(*PLACE, "homes", "rep", "vec")
+
+    def fit_cell(pdf: pd.DataFrame) -> pd.DataFrame:
+        dim, n = int(pdf["dim"].iloc[0]), int(pdf["homes"].iloc[0])
+        x = units(pdf.sort_values("rep")["vec"].tolist(), kind, dim)
+        c = fitted_cells(x, n, chord, cell, rows_for(dim, block))
+        out = pdf.iloc[: 0 if c is None else 1][[*PLACE, "homes"]].copy()
+        out["vec"] = [] if c is None else [c.tobytes()]
+        return out
+
+    centres = cut_lineage(sample.groupBy(*PLACE).applyInPandas(fit_cell, "label bigint, dim int, cell bigint, homes bigint, vec binary"))
+    many = centres.count()
+    if not many:
+        return None
+    salted = sized_broadcast(centres.select(*PLACE, F.ceil(F.col("homes") / SALT_ROWS).cast("int").alias("salts")), many)
+    rows = placed.join(salted, PLACE).select(*PLACE, F.pmod(F.xxhash64("rep", F.lit(7)), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("row"), "rep", "n", "vec", "home")
+    heads = centres.select(*PLACE, F.explode(F.sequence(F.lit(0), F.ceil(F.col("homes") / SALT_ROWS).cast("int") - 1)).alias("salt"), F.lit(0).alias("row"), F.lit(0).cast("bigint").alias("rep"), F.lit(0).cast("bigint").alias("n"), "vec", F.lit(True).alias("home"))
+    group = [*PLACE, "salt"]
+    both = heads.unionByName(rows).repartition(*group).sortWithinPartitions(*group, "row")
+
+    def assign(batches):
+        c = gaps = None
+        for b in batches:
+            first = b.column("row").to_numpy(zero_copy_only=False) == 0
+            edges = sorted({0, b.num_rows, *np.flatnonzero(first).tolist(), *(np.flatnonzero(first) + 1).tolist()})
+            for s, e in zip(edges, edges[1:]):
+                part = b.slice(s, e - s)
+                dim = part.column("dim")[0].as_py()
+                if first[s]:
+                    c = np.frombuffer(part.column("vec")[0].as_py()).reshape(-1, dim)
+                    gaps = gaps_of(c)
+                    continue
+                for at in range(0, part.num_rows, 4096):
+                    some = part.slice(at, 4096)
+                    cos = units(some.column("vec").to_pylist(), kind, dim) @ c.T
+                    near = cos.argmax(axis=1)
+                    lives = some.column("home").to_numpy(zero_copy_only=False)
+                    # a pair of two homes meets in the lower of their cells
+                    into = reach(cos, gaps, chord) & (~lives[:, None] | (np.arange(len(c))[None, :] <= near[:, None]))
+                    row, to = np.nonzero(into)
+                    t = pa.array(row, pa.int64())
+                    old = some.column("cell").to_numpy(zero_copy_only=False)[row]
+                    cols = [some.column(x).take(t) for x in ("label", "dim", "rep", "n", "vec")]
+                    yield pa.RecordBatch.from_arrays(cols + [pa.array(old * (MAX_CELLS + 1) + 1 + to, pa.int64()), pa.array(lives[row] & (to == near[row]), pa.bool_())], names=["label", "dim", "rep", "n", "vec", "cell", "home"])
+
+    cols = ["label", "dim", "rep", "n", "vec", "cell", "home"]
+    moved = both.mapInArrow(assign, "label bigint, dim int, rep bigint, n bigint, vec binary, cell bigint, home boolean")
+    rest = placed.join(salted, PLACE, "left_anti").select(*cols)
+    return cut_lineage(rest.unionByName(moved))
+
+
+def tiles(x: np.ndarray, y: np.ndarray, threshold: float, same: bool):
+    """(row offset, column offset, links) of blocked products of unit rows; of one set with itself only row < column."""
+    for i in range(0, len(x), 512):
+        for j in range(i if same else 0, len(y), 8192):
+            near = x[i : i + 512] @ y[j : j + 8192].T >= threshold
+            if same:
+                near &= np.arange(i, i + near.shape[0])[:, None] < np.arange(j, j + near.shape[1])[None, :]
+            if near.any():
+                yield i, j, near
+
+
+def block_links(x: np.ndarray, rep: np.ndarray, n: np.ndarray, home: np.ndarray, side: np.ndarray, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Links that each row has with the others (copies counted), and a spanning forest, for one pair of blocks.
+
+    Rows of two sides are compared across, those of one among themselves; two guests never are.
+    """
+    count = np.zeros(len(rep), np.int64)
+    links: list[tuple[int, int]] = []
+    first = side == side[0]
+    here = [np.flatnonzero(first & home), np.flatnonzero(first & ~home)]
+    there = here if first.all() else [np.flatnonzero(~first & home), np.flatnonzero(~first & ~home)]
+    meet = [(here[0], there[0]), (here[0], there[1])]
+    if there is not here:
+        meet.append((here[1], there[0]))
+    for a, b in meet:
+        for i, j, near in tiles(x[a], x[b], threshold, a is b):
+            p, q = a[i : i + near.shape[0]], b[j : j + near.shape[1]]
+            count[p] += near @ n[q]
+            count[q] += n[p] @ near
+            links += forest([(int(rep[p[r]]), int(rep[q[s]])) for r, s in spanning(near)])
+    return count, forest(links)
+
+
 def near_duplicates(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """id, n_links, component_id and kept (the group's representative) for every row of ``df``.
 
     Vectors are linked when their labels are equal and not null and their cosine in double precision reaches the
-    threshold. Centroids of spherical k-means are fitted on at most ``FIT_ROWS`` vectors (those with the smallest
-    hashes); they only cut the space into cells: every vector goes to its home cell and as a guest to each cell that
-    can be home to a vector linked with it, so all links are found. Home vectors are compared with home vectors and
-    guests in blocks of at most ``BLOCK`` rows, each pair of blocks a task's group; a group returns counts and a
-    spanning forest of its links, not all pairs.
+    threshold. Spherical k-means, fitted label by label and vector length by vector length on bounded samples
+    (``FIT_ROWS``), cuts the space into cells, and cells that are still wide into further cells. Every vector is at home
+    in one cell and a guest in each lower one that can be home to a vector linked with it, so all links are found, each
+    once. Homes are compared with homes and guests of their cell in blocks of at most ``BLOCK`` rows, each pair of
+    blocks a task's group; a group returns counts and a spanning forest of its links, not all pairs. A row is copied at
+    most about max(2, rows of its cell / ``BLOCK``) times a level, whatever the vectors are like.
 
     Copies (equal vectors of a label) are one class with a count. Null, empty or zero vectors, vectors that hold null
     or non-finite components, and rows with a null label or id link with nothing: n_links 0, own component, kept.
     Vectors of different lengths aren't linked. Repeated rows count as other vectors. An empty table gives an empty
     result; other columns are dropped.
     """
-    rows = cut_lineage(unit_rows(df, id_col, vec_col, label_col))
+    made, kind = marked_rows(df, id_col, vec_col, label_col)
+    rows = cut_lineage(made)
     valid = rows.where("digest is not null and id is not null")
     key = ["label", "dim", "digest"]
-    classes = valid.groupBy(*key).agg(F.min(F.struct("id", "unit")).alias("m"), F.count("*").alias("n"))
-    classes = cut_lineage(classes.select(*key, F.col("m.id").alias("rep"), F.col("m.unit").alias("unit"), "n"))
-    shape = classes.groupBy("label", "dim").count().groupBy("dim").agg(F.max("count").alias("most"), F.sum("count").alias("n")).collect()
+    classes = valid.groupBy(*key).agg(F.min(F.struct("id", "vec")).alias("m"), F.count("*").alias("n"))
+    classes = cut_lineage(classes.select(*key, F.col("m.id").alias("rep"), F.col("m.vec").alias("vec"), "n"))
     chord = math.sqrt(2 - 2 * threshold) + 1e-9
-    cells: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    # one number a vector length is known here; only the commonest length is cut into cells
-    main = max(shape, key=lambda r: r["n"], default=None)
-    if main is not None and main["most"] > CELL:
-        k = min(MAX_CELLS, math.ceil(main["most"] / CELL))
-        some = classes.where(F.col("dim") == main["dim"]).orderBy(F.xxhash64("rep"), "rep").limit(FIT_ROWS).select("unit").collect()
-        x = np.stack([np.frombuffer(r["unit"]) for r in some])
-        c = spherical_kmeans(x, min(k, len(x)))
-        cells[main["dim"]] = (c, np.linalg.norm(c[:, None, :] - c[None, :, :], axis=2))
-    sent = df.sparkSession.sparkContext.broadcast(cells)
-
-    def assign(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            dims, units = b.column("dim").to_pylist(), b.column("unit").to_pylist()
-            take, cell, home = [], [], []
-            cut = [i for i, d in enumerate(dims) if d in sent.value]
-            for s in range(0, len(cut), 4096):
-                part = cut[s : s + 4096]
-                c, gaps = sent.value[dims[part[0]]]
-                cos = np.stack([np.frombuffer(units[i]) for i in part]) @ c.T
-                at, to = np.nonzero(reach(cos, gaps, chord))
-                take += [part[i] for i in at]
-                cell += to.tolist()
-                home += (to == cos.argmax(axis=1)[at]).tolist()
-            rest = [i for i, d in enumerate(dims) if d not in sent.value]
-            take, cell, home = take + rest, cell + [0] * len(rest), home + [True] * len(rest)
-            t = pa.array(take, pa.int64())
-            cols = [b.column(x).take(t) for x in ("label", "dim", "rep", "n", "unit")]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(cell, pa.int32()), pa.array(home, pa.bool_())], names=["label", "dim", "rep", "n", "unit", "cell", "home"])
-
-    placed = classes.select("label", "dim", "rep", "n", "unit").mapInArrow(assign, "label bigint, dim int, rep bigint, n bigint, unit binary, cell int, home boolean")
-    placed = cut_lineage(placed)
-    place = ["label", "dim", "cell"]
-    sizes = placed.groupBy(*place).agg(F.ceil(F.sum(F.col("home").cast("int")) / BLOCK).cast("int").alias("nh"), F.ceil(F.count("*") / BLOCK).cast("int").alias("no"))
-    large = cut_lineage(sizes.where("no > 1"))
-    dealt = placed.join(sized_broadcast(large, large.count()), place, "left").withColumns({"nh": F.greatest(F.coalesce("nh", F.lit(1)), F.lit(1)), "no": F.coalesce("no", F.lit(1))})
-    at_home, among = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("nh")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(2)), F.col("no")).cast("int")
-    cols = [*place, "rep", "n", "unit"]
-    homes = dealt.where("home").select(*cols, at_home.alias("h"), F.explode(F.sequence(F.lit(0), F.col("no") - 1)).alias("o"), F.lit(True).alias("home"))
-    others = dealt.select(*cols, F.explode(F.sequence(F.lit(0), F.col("nh") - 1)).alias("h"), among.alias("o"), F.lit(False).alias("home"))
-    group = [*place, "h", "o"]
-    dealt = homes.unionByName(others).repartition(*group).sortWithinPartitions(*group)
+    placed = classes.select("label", "dim", "rep", "n", "vec", F.lit(0).cast("bigint").alias("cell"), F.lit(True).alias("home"))
+    for level in range(LEVELS):
+        homes = placed.groupBy(*PLACE).agg(F.sum(F.col("home").cast("bigint")).alias("homes"))
+        wide = cut_lineage(homes.where(F.col("homes") > CELL * (4 if level else 1)))
+        deeper = None if wide.isEmpty() else split_cells(placed, wide, kind, chord, level)
+        if deeper is None:
+            break
+        placed = deeper
+    block = F.greatest(F.lit(16), F.least(F.lit(BLOCK), F.floor(F.lit(MOST_BYTES) / (8 * F.col("dim")))))
+    sizes = placed.groupBy(*PLACE).agg(F.ceil(F.count("*") / F.first(block)).cast("int").alias("blocks"))
+    large = cut_lineage(sizes.where("blocks > 1"))
+    dealt = placed.join(sized_broadcast(large, large.count()), PLACE, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(*PLACE, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "vec", "home")
+    group = [*PLACE, "i", "j"]
+    dealt = dealt.repartition(*group).sortWithinPartitions(*group)
 
     def compare(batches):
-        now, home, other = None, [], []
+        now, parts = None, []
 
         def flush():
-            a, b, n = [], [], []
-            if home and other:
-                ids = np.array([r for r, _, _ in other])
-                many = np.array([m for _, m, _ in other])
-                y = np.stack([np.frombuffer(u) for _, _, u in other])
-                own = np.array([r for r, _, _ in home])
-                near = (np.stack([np.frombuffer(u) for _, _, u in home]) @ y.T >= threshold) & (own[:, None] != ids[None, :])
-                count = near @ many
-                a, b, n = own[count > 0].tolist(), [None] * int((count > 0).sum()), count[count > 0].tolist()
-                tree = forest([(int(own[i]), int(ids[j])) for i, j in spanning(near)])
-                a, b, n = a + [x for x, _ in tree], b + [z for _, z in tree], n + [0] * len(tree)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"])
-
-        for batch in batches:
-            cols = batch.to_pydict()
-            for k in zip(*(cols[c] for c in (*group, "rep", "n", "unit", "home"))):
-                if k[:5] != now:
-                    if home:
+            x, rep, n, home, side = (np.concatenate(p) for p in zip(*parts))
+            count, tree = block_links(x, rep, n, home, side, threshold)
+            some = count > 0
+            a = rep[some].tolist() + [u for u, _ in tree]
+            b = [None] * int(some.sum()) + [v for _, v in tree]
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(count[some].tolist() + [0] * len(tree), pa.int64())], names=["a", "b", "n"])
+
+        for b in batches:
+            keys = np.stack([b.column(g).to_numpy(zero_copy_only=False).astype(np.int64) for g in group], axis=1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
+            for s, e in zip(edges, edges[1:]):
+                if s == e:
+                    continue
+                if tuple(keys[s]) != now:
+                    if parts and sum(len(p[1]) for p in parts) > 1:
                         yield flush()
-                    now, home, other = k[:5], [], []
-                (home if k[8] else other).append(k[5:8])
-        yield flush()
+                    now, parts = tuple(keys[s]), []
+                part = b.slice(s, e - s)
+                cols = [part.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "n", "home", "block")]
+                parts.append((units(part.column("vec").to_pylist(), kind, int(now[1])), *cols))
+        if parts:
+            yield flush()
 
     found = cut_lineage(dealt.mapInArrow(compare, "a bigint, b bigint, n bigint"))
     counts = cut_lineage(found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked")))

@@ -162,6 +162,21 @@ def test_embeddings(spark, monkeypatch):
     assert sum(n for n, _, _ in want.values()) > 100
 
 
+def test_embeddings_split_level_by_level(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "CELL", 12)
+    monkeypatch.setattr(embeddings, "BLOCK", 20)
+    monkeypatch.setattr(embeddings, "FIT_ROWS", 60)
+    # well separated groups: cells are split further, down to blocks; two vector lengths are each cut
+    rows = []
+    for dim, first in ((16, 0), (5, 5000)):
+        rng = np.random.default_rng(dim)
+        base = rng.normal(size=(40, dim))
+        rows += [(first + i, [float(np.float32(v)) for v in base[i % 40] + rng.normal(size=dim) * rng.choice([0, 0.03, 0.1])], 1) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df).collect()}
+    assert got == brute_vectors(rows, 0.98)
+
+
 def test_cells_lose_no_pair():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 8))
