@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from .common import connected_components, cut_lineage, forest, sized_broadcast
 
 #: Home vectors wanted in a cell, most cells that a cell is split into, levels of splits, rows of a block.
-CELL, MAX_CELLS, LEVELS, BLOCK = 2048, 64, 8, 16_384
+CELL, MAX_CELLS, LEVELS, BLOCK = 2048, 64, 8, 32_768
 #: Vectors of a cell that its centroids are fitted on (expected, chosen by hash), and rows that a task places at a time.
 FIT_ROWS, SALT_ROWS = 8192, 65_536
 #: Bytes of double components that a block, and the vectors of a fit, may take.
@@ -23,11 +23,6 @@ MOST_BYTES = 64 << 20
 PLACE = ["label", "dim", "cell"]
 
 
-def rows_for(dim: int, most: int) -> int:
-    """At most ``most`` rows whose components as doubles fit in ``MOST_BYTES``."""
-    return max(16, min(most, MOST_BYTES // (8 * max(dim, 1))))
-
-
 def marked_rows(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> tuple[DataFrame, str]:
     """id, label, dim, vec (the components as stored) and digest, which is null for rows that link with nothing; and numpy's name of a component."""
     single = isinstance(df.schema[vec_col].dataType.elementType, T.FloatType)
@@ -85,44 +80,51 @@ def reach(cos: np.ndarray, gaps: np.ndarray, chord: float) -> np.ndarray:
     return cos[np.arange(len(cos)), home][:, None] - cos <= chord * gaps[home] + 1e-9
 
 
+def met(home: np.ndarray, cells: int) -> np.ndarray:
+    """For homes of rows: in which of the cells a pair of two homes meets, their own or, turn about, the lower or the higher of the two."""
+    to = np.arange(cells)[None, :]
+    own = home[:, None]
+    return (to == own) | ((to < own) == ((to + own) % 2 == 0))
+
+
 def gaps_of(c: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0)) + 1e-7
 
 
-def fitted_cells(x: np.ndarray, n: int, chord: float, cell: int, block: int) -> np.ndarray | None:
+def fitted_cells(x: np.ndarray, n: int, chord: float, cell: int, most: float) -> np.ndarray | None:
     """Centroids that split a cell of ``n`` home vectors, of which ``x`` are a sample; None where no split pays.
 
-    Wanted are n / ``cell`` cells; there are fewer where the vectors have so little structure that guests would be more
-    copies of a row than comparing the unsplit cell block by block takes (two at least).
+    Wanted are n / ``cell`` cells; there are fewer where the vectors have so little structure that a row would have over
+    ``most`` copies, itself included.
     """
     k = min(MAX_CELLS, math.ceil(n / cell), len(x) // 2)
     while k >= 2:
         c = spherical_kmeans(x, k)
         cos = x @ c.T
         home = cos.argmax(axis=1)
-        guests = (reach(cos, gaps_of(c), chord) & (np.arange(k)[None, :] < home[:, None])).sum(axis=1).mean()
-        if 1 + guests <= max(2.0, n / block) and np.bincount(home, minlength=k).max() < 0.9 * len(x):
+        copies = (reach(cos, gaps_of(c), chord) & met(home, k)).sum(axis=1).mean()
+        if copies <= most and np.bincount(home, minlength=k).max() < 0.9 * len(x):
             return c
         k //= 2
     return None
 
 
 def split_cells(placed: DataFrame, wide: DataFrame, kind: str, chord: float, level: int) -> DataFrame | None:
-    """``placed`` after one level of splits of the cells ``wide`` (place, homes); None where none of them is worth it.
+    """``placed`` after one level of splits of the cells ``wide`` (place, homes, most); None where none of them is worth it.
 
     Centroids are fitted on executors, cell by cell, on a sample of bounded expected size. They travel to the rows of
     their cell by a shuffle, a cell being salted by its size; nothing is broadcast that grows with the cells.
     """
-    cell, block, most = CELL, BLOCK, FIT_ROWS
+    cell, most = CELL, FIT_ROWS
     cells = sized_broadcast(wide, wide.count())
     fit = F.greatest(F.lit(16), F.least(F.lit(most), F.floor(F.lit(MOST_BYTES) / (8 * F.col("dim")))))
     chosen = F.pmod(F.xxhash64("rep", F.lit(100 + level)), F.lit(1 << 30)) < fit / F.col("homes") * (1 << 30)
-    sample = placed.where("home").join(cells, PLACE).where(chosen).select(*PLACE, "homes", "rep", "vec")
+    sample = placed.where("home").join(cells, PLACE).where(chosen).select(*PLACE, "homes", "most", "rep", "vec")
 
     def fit_cell(pdf: pd.DataFrame) -> pd.DataFrame:
         dim, n = int(pdf["dim"].iloc[0]), int(pdf["homes"].iloc[0])
         x = units(pdf.sort_values("rep")["vec"].tolist(), kind, dim)
-        c = fitted_cells(x, n, chord, cell, rows_for(dim, block))
+        c = fitted_cells(x, n, chord, cell, float(pdf["most"].iloc[0]))
         out = pdf.iloc[: 0 if c is None else 1][[*PLACE, "homes"]].copy()
         out["vec"] = [] if c is None else [c.tobytes()]
         return out
@@ -154,8 +156,7 @@ def split_cells(placed: DataFrame, wide: DataFrame, kind: str, chord: float, lev
                     cos = units(some.column("vec").to_pylist(), kind, dim) @ c.T
                     near = cos.argmax(axis=1)
                     lives = some.column("home").to_numpy(zero_copy_only=False)
-                    # a pair of two homes meets in the lower of their cells
-                    into = reach(cos, gaps, chord) & (~lives[:, None] | (np.arange(len(c))[None, :] <= near[:, None]))
+                    into = reach(cos, gaps, chord) & (~lives[:, None] | met(near, len(c)))
                     row, to = np.nonzero(into)
                     t = pa.array(row, pa.int64())
                     old = some.column("cell").to_numpy(zero_copy_only=False)[row]
@@ -207,10 +208,10 @@ def near_duplicates(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_i
     Vectors are linked when their labels are equal and not null and their cosine in double precision reaches the
     threshold. Spherical k-means, fitted label by label and vector length by vector length on bounded samples
     (``FIT_ROWS``), cuts the space into cells, and cells that are still wide into further cells. Every vector is at home
-    in one cell and a guest in each lower one that can be home to a vector linked with it, so all links are found, each
-    once. Homes are compared with homes and guests of their cell in blocks of at most ``BLOCK`` rows, each pair of
+    in one cell and a guest in those of the others (of each two cells, one takes guests from the other) that can be home
+    to a vector linked with it, so all links are found, each once. Homes are compared with homes and guests of their cell in blocks of at most ``BLOCK`` rows, each pair of
     blocks a task's group; a group returns counts and a spanning forest of its links, not all pairs. A row is copied at
-    most about max(2, rows of its cell / ``BLOCK``) times a level, whatever the vectors are like.
+    most about max(2, rows of its label / ``BLOCK``) times, whatever the vectors are like.
 
     Copies (equal vectors of a label) are one class with a count. Null, empty or zero vectors, vectors that hold null
     or non-finite components, and rows with a null label or id link with nothing: n_links 0, own component, kept.
@@ -225,14 +226,17 @@ def near_duplicates(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_i
     classes = cut_lineage(classes.select(*key, F.col("m.id").alias("rep"), F.col("m.vec").alias("vec"), "n"))
     chord = math.sqrt(2 - 2 * threshold) + 1e-9
     placed = classes.select("label", "dim", "rep", "n", "vec", F.lit(0).cast("bigint").alias("cell"), F.lit(True).alias("home"))
+    block = F.greatest(F.lit(16), F.least(F.lit(BLOCK), F.floor(F.lit(MOST_BYTES) / (8 * F.col("dim")))))
     for level in range(LEVELS):
-        homes = placed.groupBy(*PLACE).agg(F.sum(F.col("home").cast("bigint")).alias("homes"))
-        wide = cut_lineage(homes.where(F.col("homes") > CELL * (4 if level else 1)))
+        homes = placed.groupBy(*PLACE).agg(F.sum(F.col("home").cast("bigint")).alias("homes"), F.count("*").alias("all"))
+        # copies that comparing an unsplit cell block by block takes; a further level costs a shuffle more
+        unsplit = F.col("all") / block
+        homes = homes.withColumn("most", unsplit - 1 if level else F.greatest(F.lit(2.0), unsplit))
+        wide = cut_lineage(homes.where((F.col("homes") > CELL) & (F.col("most") > 1)).select(*PLACE, "homes", "most"))
         deeper = None if wide.isEmpty() else split_cells(placed, wide, kind, chord, level)
         if deeper is None:
             break
         placed = deeper
-    block = F.greatest(F.lit(16), F.least(F.lit(BLOCK), F.floor(F.lit(MOST_BYTES) / (8 * F.col("dim")))))
     sizes = placed.groupBy(*PLACE).agg(F.ceil(F.count("*") / F.first(block)).cast("int").alias("blocks"))
     large = cut_lineage(sizes.where("blocks > 1"))
     dealt = placed.join(sized_broadcast(large, large.count()), PLACE, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
