@@ -7,6 +7,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 #: Rows of a side that may be broadcast after they were counted (ids and a few numbers each).
 BROADCAST_ROWS = 500_000
-#: Links that one task may join into components (about 100 MB); more of them go through rounds of shuffles.
-TASK_LINKS = 300_000
+#: Links that one task may join into components (some 16 bytes each, in arrays); more of them go through rounds of shuffles.
+TASK_LINKS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -216,11 +217,17 @@ def forest(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, component) of all nodes of the links in ``batches``."""
-    links = [(u, v) for b in batches for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-    rows = dict(forest(links))
-    rows.update({root: root for root in set(rows.values())})
-    every = list(rows.items())
-    for at in range(0, len(every), 10_000):
-        some = every[at : at + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in some], pa.int64()), pa.array([c for _, c in some], pa.int64())], names=["node", "component"])
+    """(node, component) of all nodes of the links in ``batches``: the larger root of a link hangs on the smaller, until none differ."""
+    links = [np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]) for b in batches if b.num_rows]
+    if not links:
+        return
+    nodes, at = np.unique(np.concatenate(links, axis=1), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    up = np.arange(len(nodes))
+    while (up[a] != up[b]).any():
+        low, high = np.minimum(up[a], up[b]), np.maximum(up[a], up[b])
+        np.minimum.at(up, high, low)
+        while (up[up] != up).any():
+            up = up[up]
+    for s in range(0, len(nodes), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[s : s + 10_000]), pa.array(nodes[up[s : s + 10_000]])], names=["node", "component"])

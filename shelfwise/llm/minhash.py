@@ -8,20 +8,28 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut_lineage, forest, map_texts, sized_broadcast, written_table
-
-#: Minwise tokens a document has, independent trees, and branchings from a root to a node.
-#: A pair of similarity s agrees in Binomial(MINWISE, s) of the tokens; where it agrees in a share q, a tree misses it with
-#: probability 1 - q**DEPTH. ``trees_for`` gives the trees that a threshold needs, as all trees branch on the same tokens.
-MINWISE, DEPTH, MISS = 128, 8, 1e-6
-#: A block of a candidate component: at most about so many documents and shingles.
+from .common import connected_components, cut_lineage, drop_written, forest, map_texts, sized_broadcast, written_table
+
+#: Minwise tokens a document has, and the probability of missing a pair at the threshold.
+#: A pair of similarity s agrees in Binomial(MINWISE, s) of the tokens; where it agrees in a share q, a tree keeps it
+#: together for d branchings with probability q**d. ``trees_for`` gives the trees that a threshold needs, summed over
+#: the shares, as all trees branch by the same tokens.
+MINWISE, MISS = 128, 1e-6
+#: Branchings after which small nodes are compared, and after which nodes of any size are.
+EARLY, DEPTH = 4, 8
+#: A small node: at most so many documents and shingles.
+SMALL_DOCS, SMALL_SHINGLES = 32, 1 << 17
+#: A block of a larger node: at most about so many documents and shingles.
 BLOCK_DOCS, BLOCK_SHINGLES = 64, 1 << 16
+#: Deep trees whose nodes are first compared with one block each, so that groups of near copies are known early.
+STAR_TREES = 3
 
 
 def missed(similarity: float, trees: int, depth: int = DEPTH) -> float:
-    """Probability that all trees miss a pair of that similarity."""
+    """Probability that a pair of that similarity stays together for ``depth`` branchings in none of the trees."""
     q = [k / MINWISE for k in range(MINWISE + 1)]
     return sum(comb(MINWISE, k) * similarity**k * (1 - similarity) ** (MINWISE - k) * (1 - q[k] ** depth) ** trees for k in range(MINWISE + 1))
 
@@ -70,12 +78,12 @@ def multipliers(n: int = MINWISE) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
 
-def node_keys(tokens: np.ndarray, trees: int, depth: int) -> np.ndarray:
+def node_keys(tokens: np.ndarray, trees: int, depth: int, first: int = 1) -> np.ndarray:
     """For each document (row of ``tokens``) its node in every tree, ``depth`` branchings below the root.
 
     A node's path chooses the coordinate that the node branches by, and a document follows its minwise token there.
     """
-    path = np.broadcast_to(mix(np.arange(1, trees + 1, dtype=np.uint64)), (len(tokens), trees)).copy()
+    path = np.broadcast_to(mix(np.arange(first, first + trees, dtype=np.uint64)), (len(tokens), trees)).copy()
     for _ in range(depth):
         chosen = ((path >> np.uint64(40)) % np.uint64(tokens.shape[1])).astype(np.int64)
         path = mix(path + np.take_along_axis(tokens, chosen, axis=1))
@@ -90,11 +98,15 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * inter >= percent * (len(a) + len(b) - inter)
 
 
-def links_within(ids: list[int], sets: list[np.ndarray], side: list[int], percent: int) -> list[tuple[int, int]]:
-    """Links between members of two sides, or among all where there is one side, confirmed on full sets."""
+def links_within(ids: list[int], sets: list[np.ndarray], side: list[int], percent: int, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links between members of two sides, or among all where there is one side, confirmed on full sets.
+
+    Members of one component of ``known`` aren't compared.
+    """
     m, one = len(ids), len(set(side)) == 1
+    known = known or ids
     if m <= 6:
-        return [(ids[i], ids[j]) for i in range(m) for j in range(i) if (one or side[i] != side[j]) and linked(sets[i], sets[j], percent)]
+        return [(ids[i], ids[j]) for i in range(m) for j in range(i) if (one or side[i] != side[j]) and known[i] != known[j] and linked(sets[i], sets[j], percent)]
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(m), sizes)
     _, col, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -109,103 +121,200 @@ def links_within(ids: list[int], sets: list[np.ndarray], side: list[int], percen
         dense[owner[part], col[part] - s] = 1
         inter += dense @ dense.T
     inter = np.rint(inter).astype(np.int64)
-    ok = 100 * inter >= percent * (sizes[:, None] + sizes[None, :] - inter)
+    known = np.array(known)
+    ok = (known[:, None] != known[None, :]) & (100 * inter >= percent * (sizes[:, None] + sizes[None, :] - inter))
     if not one:
         s = np.array(side)
         ok &= s[:, None] != s[None, :]
     return [(ids[i], ids[j]) for i, j in zip(*np.nonzero(np.tril(ok, -1)))]
 
 
-def candidates(sigs: DataFrame) -> DataFrame:
-    """(node, component): documents that share a node of some tree, as components; copies are represented once."""
-    keyed = sigs.select("id", F.explode("keys").alias("key"))
-    nodes = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+def members_of(keyed: DataFrame) -> DataFrame:
+    """The rows (id, tree, key, w) of ``keyed`` whose node holds others too."""
     # a plain table: adaptive execution can then split a node that a third of all documents share
-    nodes = cut_lineage(nodes.select("key", "lo"))
-    edges = keyed.join(nodes, "key").where("id > lo").select(F.col("id").alias("a"), F.col("lo").alias("b"))
-    return connected_components(edges.distinct())
+    nodes = cut_lineage(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    return cut_lineage(keyed.join(sized_broadcast(nodes, nodes.count()), "key").select("id", "tree", "key", "w"))
+
+
+def with_known(rows: DataFrame, known: DataFrame | None) -> DataFrame:
+    """``rows`` with the component (comp) that is known of each id, else the id itself."""
+    if known is None:
+        return rows.withColumn("comp", F.col("id"))
+    return rows.join(known.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
 
 
-def confirmed(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among the members of each candidate component, compared exhaustively on full sets.
+def open_nodes(rows: DataFrame) -> DataFrame:
+    """The rows of nodes whose members aren't all known to be one component."""
+    several = cut_lineage(rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key"))
+    return rows.join(sized_broadcast(several, several.count()), "key", "left_semi")
 
-    A large component is dealt into blocks of bounded size and each pair of blocks is a group of its own, so that no
-    task holds more than two blocks; a group returns a spanning forest of its links, not all pairs.
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, id, w, comp), with nodes that overlap put together where this makes fewer copies of documents.
+
+    Nodes that share documents, in whatever trees, form families. A family of N documents is one node if its
+    N * blocks(N) copies aren't more than the copies of all its nodes; else each node stays by itself. So a pair of
+    near copies that meets in many trees is compared once, while a long chain of loosely alike documents never costs
+    more copies than its nodes do. Either way all pairs within a node are compared.
     """
-    size = F.length("set") / 8
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum(size) / BLOCK_SHINGLES))
-    many = cut_lineage(sets.groupBy("component").agg(blocks.cast("int").alias("blocks")).where("blocks > 1"))
-    dealt = sets.join(sized_broadcast(many, many.count()), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "set")
-    dealt = dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    rows = cut_lineage(rows.select("key", "id", "w", "comp"))
+    low = rows.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("n"))
+    low = cut_lineage(low)
+    edges = rows.join(low.select("key", "low"), "key").where("id > low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
+    families = cut_lineage(connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("family")))
+    blocks = lambda n: F.ceil(n / F.lit(float(BLOCK_DOCS)))
+    of_node = low.join(families.select(F.col("id").alias("low"), "family"), "low").groupBy("family").agg(F.sum(F.col("n") * blocks(F.col("n"))).alias("apart"))
+    whole = families.groupBy("family").agg(F.count("*").alias("n")).join(of_node, "family").where(F.col("n") * blocks(F.col("n")) <= F.col("apart"))
+    whole = cut_lineage(whole.select("family", F.lit(True).alias("whole")))
+    named = rows.join(families, "id", "left").join(sized_broadcast(whole, whole.count()), "family", "left")
+    key = F.when(F.col("whole"), F.xxhash64("family", F.lit("family"))).otherwise(F.col("key"))
+    return cut_lineage(named.select(key.alias("key"), "id", "w", "comp").distinct())
+
+
+def dealt(rows: DataFrame, star: bool = False) -> DataFrame:
+    """(key, i, j, block, id, comp): every node's documents by blocks, each pair of blocks that is to be compared a group.
+
+    Components that fill several blocks have blocks of their own, which aren't compared with each other; the other
+    documents of the node share blocks. With ``star`` blocks are only compared within and with the first block.
+    """
+    blocks = lambda c, w: F.ceil(F.greatest(c / F.lit(float(BLOCK_DOCS)), w / F.lit(float(BLOCK_SHINGLES)))).cast("int")
+    per = rows.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("w").alias("w")).withColumn("own", blocks(F.col("c"), F.col("w")))
+    big = F.col("own") > 1
+    node = per.groupBy("key").agg(F.sum(F.when(~big, F.col("c"))).alias("c"), F.sum(F.when(~big, F.col("w"))).alias("w"), F.coalesce(F.sum(F.when(big, F.col("own"))), F.lit(0)).alias("bigs"))
+    node = node.select("key", F.coalesce(blocks(F.col("c"), F.col("w")), F.lit(0)).alias("shared"), "bigs")
+    node = cut_lineage(node.where("shared + bigs > 1"))
+    many = node.count()
+    after = F.sum("own").over(W.partitionBy("key").orderBy("comp")) - F.col("own")
+    bigs = cut_lineage(per.where(big).select("key", "comp", "own", after.alias("after")))
+    out = rows.join(sized_broadcast(node, many), "key", "left").join(sized_broadcast(bigs, bigs.count()), ["key", "comp"], "left")
+    out = out.withColumns({"shared": F.coalesce("shared", F.lit(1)), "bigs": F.coalesce("bigs", F.lit(0))})
+    spread = F.xxhash64("id", F.lit(5))
+    out = out.withColumn("first", F.when(F.col("own").isNotNull(), F.col("shared") + F.col("after")))
+    out = out.withColumn("block", F.coalesce(F.col("first") + F.pmod(spread, F.col("own")), F.pmod(spread, F.col("shared"))).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("shared") + F.col("bigs") - 1).cast("int"))))
+    out = out.where("first is null or other < first or other >= first + own")
+    if star:
+        out = out.where("other = block or other = 0 or block = 0")
+    return out.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp")
+
+
+def compared(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the documents of each group of ``dealt``, confirmed on full sets; of a group a spanning forest."""
+    group = ["key", "i", "j"]
+    full = rows.join(sets.select("id", "set"), "id").select(*group, "block", "id", "comp", "set")
+    full = full.repartition(*group).sortWithinPartitions(*group)
 
     def run(batches):
-        key, ids, sets_, side = None, [], [], []
+        key, ids, sets_, side, comps = None, [], [], [], []
 
         def flush():
-            got = forest(links_within(ids, sets_, side, percent)) if len(ids) > 1 else []
+            got = forest(links_within(ids, sets_, side, percent, comps)) if len(ids) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], names=["a", "b"])
 
         for batch in batches:
             cols = batch.to_pydict()
-            for c, i, j, b, n, s in zip(*(cols[k] for k in ("component", "i", "j", "block", "node", "set"))):
-                if (c, i, j) != key:
+            for k, i, j, b, n, c, s in zip(*(cols[x] for x in (*group, "block", "id", "comp", "set"))):
+                if (k, i, j) != key:
                     if len(ids) > 1:
                         yield flush()
-                    key, ids, sets_, side = (c, i, j), [], [], []
+                    key, ids, sets_, side, comps = (k, i, j), [], [], [], []
                 ids.append(n)
                 sets_.append(np.frombuffer(s, np.uint64))
                 side.append(b)
+                comps.append(c)
         yield flush()
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return cut_lineage(full.mapInArrow(run, "a bigint, b bigint"))
+
+
+def small_and_dense(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of nodes after ``EARLY`` branchings: the rows of small ones, and the ids (with w) that are in a larger one.
+
+    Nodes of the same documents, in whatever trees, come once.
+    """
+    nodes = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("w").alias("w"), *[F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (1, 2)])
+    nodes = cut_lineage(nodes.withColumn("small", (F.col("n") <= SMALL_DOCS) & (F.col("w") <= SMALL_SHINGLES)))
+    once = cut_lineage(nodes.where("small").groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key"))
+    large = cut_lineage(nodes.where("not small").select("key"))
+    small = members.join(sized_broadcast(once, once.count()), "key", "left_semi").select("key", "id", "w")
+    dense = members.join(sized_broadcast(large, large.count()), "key", "left_semi").select("id", "w").distinct()
+    return small, cut_lineage(dense)
 
 
 def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id and kept for every row of ``df``.
 
     Documents are linked when 100 * intersection >= percent * union of their shingle sets; component_id is the
-    smallest id reachable over links (itself included), kept says whether it is the row's own id. Candidates come
-    from ``trees_for`` chosen-path trees, are gathered into components, and every link is confirmed on
-    full sets; a pair at the threshold is missed with probability 1e-6 at most.
+    smallest id reachable over links (itself included), kept says whether it is the row's own id.
+
+    Chosen-path trees branch documents by selected minwise tokens. After ``EARLY`` branchings small nodes are compared
+    exhaustively; documents of larger nodes are dense, and go through further trees of their own, of ``DEPTH``
+    branchings, whose nodes are compared whatever their size, in blocks. Trees of either depth are as many as make the
+    chance that a pair at the threshold never stays together ``MISS`` / 2: a pair that only meets in larger nodes is a
+    pair of dense documents. Every link is confirmed on full sets, and documents already known to be one component
+    aren't compared again.
 
     Copies (equal sets) are represented by their smallest id throughout, so a group of copies of any size costs one
     row a tree. Null or blank texts have an empty set, link with nothing and are kept. Rows with a null id link with
     nothing: component_id null, kept true. Rows that repeat an id are one node and each comes back. An empty table
     gives an empty result; other columns are dropped.
     """
-    trees = trees_for(percent / 100)
+    early, deep = (trees_for(percent / 100, d, MISS / 2) for d in (EARLY, DEPTH))
 
-    def sign(texts: list[str]) -> dict:
+    def keys_of(sets: list[np.ndarray], trees: int, depth: int, first: int) -> list:
         mult = multipliers()
-        sets = [shingle_set(t, shingle) for t in texts]
+        keys: list = [None] * len(sets)
         full = [i for i, s in enumerate(sets) if len(s)]
-        keys: list = [None] * len(texts)
         for at in range(0, len(full), 1024):
             some = full[at : at + 1024]
-            found = node_keys(np.stack([minwise(sets[i], mult) for i in some]), trees, DEPTH).view(np.int64)
+            found = node_keys(np.stack([minwise(sets[i], mult) for i in some]), trees, depth, first).view(np.int64)
             for i, k in zip(some, found):
                 keys[i] = k
+        return keys
+
+    def sign(texts: list[str]) -> dict:
+        sets = [shingle_set(t, shingle) for t in texts]
         digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-        return {"n_shingles": [len(s) for s in sets], "digest": digest, "keys": keys}
+        return {"n_shingles": [len(s) for s in sets], "digest": digest, "keys": keys_of(sets, early, EARLY, 1)}
 
     signed = map_texts(df, {id_col: "bigint"}, text_col, sign, {"n_shingles": "bigint", "digest": "binary", "keys": "array<bigint>"})
     sigs = cut_lineage(signed.withColumnRenamed(id_col, "id"))
     groups = sigs.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     copies = cut_lineage(groups.where("n > 1").select("digest", "first"))
     named = sigs.join(copies, "digest", "left").withColumn("rep", F.coalesce("first", "id"))
-    found = candidates(named.where("id = rep and digest is not null").select("id", "keys"))
-    # full sets only of candidates, made anew from their texts
-    found = cut_lineage(found)
-    texts = df.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).alias("body"))
-    texts = texts.join(sized_broadcast(found, found.count()), "node")
-    made = map_texts(texts, {"node": "bigint", "component": "bigint"}, "body", lambda ts: {"set": [shingle_set(t, shingle).tobytes() for t in ts]}, {"set": "binary"})
-    sets = cut_lineage(made.where(F.length("set") > 0))
-    linked_to = cut_lineage(connected_components(confirmed(sets, percent)).select(F.col("node").alias("rep"), "component"))
+    reps = named.where("id = rep and digest is not null")
+    members = members_of(reps.select("id", F.col("n_shingles").alias("w"), F.posexplode("keys").alias("tree", "key")))
+    small, dense = small_and_dense(members)
+
+    # full sets only of documents that share a node, made anew from their texts
+    shared = cut_lineage(members.select("id").distinct())
+    texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("body"))
+    texts = texts.join(sized_broadcast(shared, shared.count()), "id", "left_semi")
+    made = map_texts(texts, {"id": "bigint"}, "body", lambda ts: {"set": [shingle_set(t, shingle).tobytes() for t in ts]}, {"set": "binary"})
+    sets = written_table(made.where(F.length("set") > 0), "sets")
+
+    links = compared(dealt(gathered(with_known(small, None))), sets, percent)
+    known = cut_lineage(connected_components(links))
+    if not dense.isEmpty():
+
+        def branch(batches):
+            for b in batches:
+                keys = keys_of([np.frombuffer(s, np.uint64) for s in b.column("set").to_pylist()], deep, DEPTH, early + 1)
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("w"), pa.array(keys, pa.list_(pa.int64()))], names=["id", "w", "keys"])
+
+        some = sets.join(sized_broadcast(dense, dense.count()), "id").select("id", "w", "set")
+        keyed = some.mapInArrow(branch, "id bigint, w bigint, keys array<bigint>").select("id", "w", F.posexplode("keys").alias("tree", "key"))
+        members = members_of(cut_lineage(keyed))
+        for star in (True, False):
+            rows = members.where(F.col("tree") < STAR_TREES) if star else members
+            rows = open_nodes(with_known(rows, known))
+            rows = rows.select("key", "id", "w", "comp") if star else gathered(rows)
+            links = cut_lineage(links.unionByName(compared(dealt(cut_lineage(rows), star), sets, percent)))
+            known = cut_lineage(connected_components(links))
+    linked_to = known.select(F.col("node").alias("rep"), "component")
     slim = sigs.drop("keys").join(copies, "digest", "left").withColumn("rep", F.coalesce("first", "id"))
     out = cut_lineage(slim.select("id", "n_shingles", "rep")).join(linked_to, "rep", "left")
+    drop_written(sets)
     label = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep"))
     return out.select(F.col("id").alias(id_col), "n_shingles", label.alias("component_id"), F.coalesce(label == F.col("id"), F.lit(True)).alias("kept"))
 

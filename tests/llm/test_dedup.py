@@ -96,6 +96,52 @@ def test_trees_miss_as_seldom_as_stated():
         assert p <= minhash.MISS
 
 
+def chain(n, words=60, step=3):
+    """Documents each of which shares all but ``step`` words with the next."""
+    return [(i, " ".join(f"w{j}" for j in range(i * step, i * step + words))) for i in range(n)]
+
+
+def test_copies_of_a_long_chain_are_bounded(spark):
+    rows = chain(1200, step=5)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 3, 85).collect()}
+    assert got == {i: c for i, (_, c, _) in brute(rows, 3, 85).items()}
+    # all in one family: 1200 documents in 19 blocks would be 19 copies of each; the nodes of 27 trees are fewer
+    trees = 27
+    mult = minhash.multipliers()
+    keys = minhash.node_keys(np.stack([minhash.minwise(minhash.shingle_set(t, 3), mult) for _, t in rows]), trees, minhash.EARLY).view(np.int64)
+    members = minhash.members_of(spark.createDataFrame([(i, t, int(k), 58) for i, ks in enumerate(keys) for t, k in enumerate(ks)], "id long, tree int, key long, w long"))
+    small, dense = minhash.small_and_dense(members)
+    assert dense.count() == 0
+    copies = minhash.dealt(minhash.gathered(minhash.with_known(small, None))).count()
+    assert copies <= min(small.count(), 19 * len(rows))
+
+
+def test_dense_documents_go_through_deeper_trees(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL_DOCS", 3)
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 5)
+    rng = random.Random(3)
+    # loosely alike documents (a common half) beside groups of near copies
+    half = [rng.choice("abcdefgh") + str(rng.randrange(400)) for _ in range(60)]
+    rows = [" ".join(half + [f"u{i}-{j}" for j in range(12)]) for i in range(60)] + [t for _, t in copies(rng, 20, 3)] + [t for _, t in chain(40)]
+    rows = list(enumerate(rows))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(rows, 3, 80)
+
+
+def test_misses_at_the_threshold_are_as_stated():
+    # few trees, so that misses can be counted: the share must be that of the binomial sum
+    rng, trees, depth, met, n = np.random.default_rng(11), 6, 4, 0, 1500
+    mult = minhash.multipliers()
+    for _ in range(n):
+        both = minhash.mix(rng.integers(0, 2**63, 200, dtype=np.uint64))
+        a, b = both[:185], both[15:]  # similarity 170 / 200 = 0.85
+        keys = minhash.node_keys(np.stack([minhash.minwise(s, mult) for s in (a, b)]), trees, depth)
+        met += bool((keys[0] == keys[1]).any())
+    p = minhash.missed(0.85, trees, depth)
+    assert abs((n - met) / n - p) < 4 * (p * (1 - p) / n) ** 0.5
+
+
 def test_odd_documents(odd, empty):
     rows = minhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
