@@ -2,7 +2,11 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns the documents that it keeps with
 all their columns; the last returns packed pieces. ``run`` applies them one after another and writes each result to the
-cluster's shared folder, so that a lost executor costs one stage at most.
+cluster's shared folder, so that a lost executor costs one stage at most; what a stage has read is deleted.
+
+Null texts count as empty: quality and toxicity score them like texts without words, near-duplicates and secrets leave
+them as they are, packing gives them the end token alone. Repeated rows of an id and a text become one in the third
+stage; empty tables give empty tables; other columns of any name are kept up to the last stage.
 
 Trained models, minwise trees and multiway differencing can't be stated in SQL, so ``ORACLE_SQL`` is None;
 tests/llm holds the stages against brute-force versions.
@@ -14,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm import minhash, packing, quality, secrets, toxicity
-from shelfwise.llm.common import filter_texts, table, written_table
+from shelfwise.llm.common import drop_written, filter_texts, table, written_table
 from shelfwise.llm.queries import BYTE_BPE
 
 ORACLE_SQL = None
@@ -58,7 +62,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written_table(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop_written(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
