@@ -22,10 +22,12 @@ MINWISE, MISS = 128, 1e-6
 EARLY, DEPTH = 4, 8
 #: A small node: at most so many documents and shingles.
 SMALL_DOCS, SMALL_SHINGLES = 32, 1 << 17
+#: A larger node is narrow where besides its largest known component there are at most so many blocks.
+NARROW_BLOCKS = 4
 #: A block of a larger node: at most about so many documents and shingles.
 BLOCK_DOCS, BLOCK_SHINGLES = 64, 1 << 16
-#: Deep trees whose nodes are first compared with one block each, so that groups of near copies are known early.
-STAR_TREES = 3
+#: Trees whose larger nodes are first compared with one block each, so that groups of near copies are known early.
+STAR_TREES = 6
 
 
 def missed(similarity: float, trees: int, depth: int = DEPTH) -> float:
@@ -171,30 +173,43 @@ def gathered(rows: DataFrame) -> DataFrame:
     return cut_lineage(named.select(key.alias("key"), "id", "w", "comp").distinct())
 
 
+def blocks_of(docs, shingles):
+    return F.ceil(F.greatest(docs / F.lit(float(BLOCK_DOCS)), shingles / F.lit(float(BLOCK_SHINGLES)))).cast("int")
+
+
+def parts_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks of the known components in each node (key, comp, own), and of each node (key): those that all components
+    of one block share, those of larger components, and the most of one of these."""
+    per = rows.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("w").alias("w")).withColumn("own", blocks_of(F.col("c"), F.col("w")))
+    big = F.col("own") > 1
+    own = F.when(big, F.col("own"))
+    node = per.groupBy("key").agg(F.sum(F.when(~big, F.col("c"))).alias("c"), F.sum(F.when(~big, F.col("w"))).alias("w"), F.coalesce(F.sum(own), F.lit(0)).alias("bigs"), F.coalesce(F.max(own), F.lit(0)).alias("most"))
+    return per.where(big), node.select("key", F.coalesce(blocks_of(F.col("c"), F.col("w")), F.lit(0)).alias("shared"), "bigs", "most")
+
+
 def dealt(rows: DataFrame, star: bool = False) -> DataFrame:
     """(key, i, j, block, id, comp): every node's documents by blocks, each pair of blocks that is to be compared a group.
 
     Components that fill several blocks have blocks of their own, which aren't compared with each other; the other
     documents of the node share blocks. With ``star`` blocks are only compared within and with the first block.
     """
-    blocks = lambda c, w: F.ceil(F.greatest(c / F.lit(float(BLOCK_DOCS)), w / F.lit(float(BLOCK_SHINGLES)))).cast("int")
-    per = rows.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("w").alias("w")).withColumn("own", blocks(F.col("c"), F.col("w")))
-    big = F.col("own") > 1
-    node = per.groupBy("key").agg(F.sum(F.when(~big, F.col("c"))).alias("c"), F.sum(F.when(~big, F.col("w"))).alias("w"), F.coalesce(F.sum(F.when(big, F.col("own"))), F.lit(0)).alias("bigs"))
-    node = node.select("key", F.coalesce(blocks(F.col("c"), F.col("w")), F.lit(0)).alias("shared"), "bigs")
-    node = cut_lineage(node.where("shared + bigs > 1"))
+    per, node = parts_of(rows)
+    node = cut_lineage(node.where("shared + bigs > 1").drop("most"))
     many = node.count()
     after = F.sum("own").over(W.partitionBy("key").orderBy("comp")) - F.col("own")
-    bigs = cut_lineage(per.where(big).select("key", "comp", "own", after.alias("after")))
+    bigs = cut_lineage(per.select("key", "comp", "own", after.alias("after")))
     out = rows.join(sized_broadcast(node, many), "key", "left").join(sized_broadcast(bigs, bigs.count()), ["key", "comp"], "left")
     out = out.withColumns({"shared": F.coalesce("shared", F.lit(1)), "bigs": F.coalesce("bigs", F.lit(0))})
     spread = F.xxhash64("id", F.lit(5))
     out = out.withColumn("first", F.when(F.col("own").isNotNull(), F.col("shared") + F.col("after")))
     out = out.withColumn("block", F.coalesce(F.col("first") + F.pmod(spread, F.col("own")), F.pmod(spread, F.col("shared"))).cast("int"))
-    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("shared") + F.col("bigs") - 1).cast("int"))))
-    out = out.where("first is null or other < first or other >= first + own")
+    last = (F.col("shared") + F.col("bigs") - 1).cast("int")
     if star:
-        out = out.where("other = block or other = 0 or block = 0")
+        others = F.when((F.col("block") > 0) & F.col("first").isNull(), F.array(F.lit(0), F.col("block"))).when(F.col("block") > 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), last))
+    else:
+        others = F.sequence(F.lit(0), last)
+    apart = F.filter(others, lambda x: F.col("first").isNull() | (x < F.col("first")) | (x >= F.col("first") + F.col("own")))
+    out = out.withColumn("other", F.explode(apart))
     return out.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp")
 
 
@@ -227,18 +242,24 @@ def compared(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut_lineage(full.mapInArrow(run, "a bigint, b bigint"))
 
 
-def small_and_dense(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of nodes after ``EARLY`` branchings: the rows of small ones, and the ids (with w) that are in a larger one.
-
-    Nodes of the same documents, in whatever trees, come once.
-    """
+def small_and_large(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of small nodes after ``EARLY`` branchings, and those of larger ones; of nodes of the same documents, in
+    whatever trees, the small ones come once."""
     nodes = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("w").alias("w"), *[F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (1, 2)])
     nodes = cut_lineage(nodes.withColumn("small", (F.col("n") <= SMALL_DOCS) & (F.col("w") <= SMALL_SHINGLES)))
     once = cut_lineage(nodes.where("small").groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key"))
     large = cut_lineage(nodes.where("not small").select("key"))
     small = members.join(sized_broadcast(once, once.count()), "key", "left_semi").select("key", "id", "w")
-    dense = members.join(sized_broadcast(large, large.count()), "key", "left_semi").select("id", "w").distinct()
-    return small, cut_lineage(dense)
+    return small, cut_lineage(members.join(sized_broadcast(large, large.count()), "key", "left_semi").select("key", "tree", "id", "w"))
+
+
+def narrow_and_dense(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of larger nodes (key, id, w, comp) the rows of narrow ones, and the documents (id, w) of the others."""
+    rows = cut_lineage(rows)
+    wide = cut_lineage(parts_of(rows)[1].where(F.col("shared") + F.col("bigs") - F.col("most") > NARROW_BLOCKS).select("key"))
+    many = wide.count()
+    dense = rows.join(sized_broadcast(wide, many), "key", "left_semi").select("id", "w").distinct()
+    return cut_lineage(rows.join(sized_broadcast(wide, many), "key", "left_anti")), cut_lineage(dense)
 
 
 def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,11 +269,12 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     smallest id reachable over links (itself included), kept says whether it is the row's own id.
 
     Chosen-path trees branch documents by selected minwise tokens. After ``EARLY`` branchings small nodes are compared
-    exhaustively; documents of larger nodes are dense, and go through further trees of their own, of ``DEPTH``
-    branchings, whose nodes are compared whatever their size, in blocks. Trees of either depth are as many as make the
-    chance that a pair at the threshold never stays together ``MISS`` / 2: a pair that only meets in larger nodes is a
-    pair of dense documents. Every link is confirmed on full sets, and documents already known to be one component
-    aren't compared again.
+    exhaustively. Larger ones are compared with a block of theirs first: what then is known to be one component needs no
+    more comparing, and nodes that so became narrow are compared to the end. The documents of the others are dense, and
+    go through further trees of their own, of ``DEPTH`` branchings, whose nodes are compared whatever their size, in
+    blocks. Trees of either depth are as many as make the chance that a pair at the threshold never stays together
+    ``MISS`` / 2, and a pair that only meets in wide nodes is a pair of dense documents. Every link is confirmed on full
+    sets.
 
     Copies (equal sets) are represented by their smallest id throughout, so a group of copies of any size costs one
     row a tree. Null or blank texts have an empty set, link with nothing and are kept. Rows with a null id link with
@@ -284,7 +306,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     named = sigs.join(copies, "digest", "left").withColumn("rep", F.coalesce("first", "id"))
     reps = named.where("id = rep and digest is not null")
     members = members_of(reps.select("id", F.col("n_shingles").alias("w"), F.posexplode("keys").alias("tree", "key")))
-    small, dense = small_and_dense(members)
+    small, large = small_and_large(members)
 
     # full sets only of documents that share a node, made anew from their texts
     shared = cut_lineage(members.select("id").distinct())
@@ -293,24 +315,32 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     made = map_texts(texts, {"id": "bigint"}, "body", lambda ts: {"set": [shingle_set(t, shingle).tobytes() for t in ts]}, {"set": "binary"})
     sets = written_table(made.where(F.length("set") > 0), "sets")
 
+    def more(links: DataFrame, rows: DataFrame, star: bool = False) -> tuple[DataFrame, DataFrame]:
+        links = cut_lineage(links.unionByName(compared(dealt(cut_lineage(rows), star), sets, percent)))
+        return links, cut_lineage(connected_components(links))
+
+    def known_of(rows: DataFrame) -> DataFrame:
+        return open_nodes(with_known(rows, known)).select("key", "id", "w", "comp")
+
     links = compared(dealt(gathered(with_known(small, None))), sets, percent)
     known = cut_lineage(connected_components(links))
-    if not dense.isEmpty():
-
-        def branch(batches):
-            for b in batches:
-                keys = keys_of([np.frombuffer(s, np.uint64) for s in b.column("set").to_pylist()], deep, DEPTH, early + 1)
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("w"), pa.array(keys, pa.list_(pa.int64()))], names=["id", "w", "keys"])
-
-        some = sets.join(sized_broadcast(dense, dense.count()), "id").select("id", "w", "set")
-        keyed = some.mapInArrow(branch, "id bigint, w bigint, keys array<bigint>").select("id", "w", F.posexplode("keys").alias("tree", "key"))
-        members = members_of(cut_lineage(keyed))
-        for star in (True, False):
-            rows = members.where(F.col("tree") < STAR_TREES) if star else members
-            rows = open_nodes(with_known(rows, known))
-            rows = rows.select("key", "id", "w", "comp") if star else gathered(rows)
-            links = cut_lineage(links.unionByName(compared(dealt(cut_lineage(rows), star), sets, percent)))
-            known = cut_lineage(connected_components(links))
+    if not large.isEmpty():
+        links, known = more(links, known_of(large.where(F.col("tree") < STAR_TREES)), star=True)
+        narrow, dense = narrow_and_dense(known_of(large))
+        if not narrow.isEmpty():
+            links, known = more(links, gathered(narrow))
+        if not dense.isEmpty():
+
+            def branch(batches):
+                for b in batches:
+                    keys = keys_of([np.frombuffer(s, np.uint64) for s in b.column("set").to_pylist()], deep, DEPTH, early + 1)
+                    yield pa.RecordBatch.from_arrays([b.column("id"), b.column("w"), pa.array(keys, pa.list_(pa.int64()))], names=["id", "w", "keys"])
+
+            some = sets.join(sized_broadcast(dense, dense.count()), "id").select("id", "w", "set")
+            keyed = cut_lineage(some.mapInArrow(branch, "id bigint, w bigint, keys array<bigint>"))
+            members = members_of(keyed.select("id", "w", F.posexplode("keys").alias("tree", "key")))
+            links, known = more(links, known_of(members.where(F.col("tree") < STAR_TREES)), star=True)
+            links, known = more(links, gathered(known_of(members)))
     linked_to = known.select(F.col("node").alias("rep"), "component")
     slim = sigs.drop("keys").join(copies, "digest", "left").withColumn("rep", F.coalesce("first", "id"))
     out = cut_lineage(slim.select("id", "n_shingles", "rep")).join(linked_to, "rep", "left")

@@ -111,8 +111,8 @@ def test_copies_of_a_long_chain_are_bounded(spark):
     mult = minhash.multipliers()
     keys = minhash.node_keys(np.stack([minhash.minwise(minhash.shingle_set(t, 3), mult) for _, t in rows]), trees, minhash.EARLY).view(np.int64)
     members = minhash.members_of(spark.createDataFrame([(i, t, int(k), 58) for i, ks in enumerate(keys) for t, k in enumerate(ks)], "id long, tree int, key long, w long"))
-    small, dense = minhash.small_and_dense(members)
-    assert dense.count() == 0
+    small, large = minhash.small_and_large(members)
+    assert large.count() == 0
     copies = minhash.dealt(minhash.gathered(minhash.with_known(small, None))).count()
     assert copies <= min(small.count(), 19 * len(rows))
 
@@ -120,6 +120,10 @@ def test_copies_of_a_long_chain_are_bounded(spark):
 def test_dense_documents_go_through_deeper_trees(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL_DOCS", 3)
     monkeypatch.setattr(minhash, "BLOCK_DOCS", 5)
+    monkeypatch.setattr(minhash, "NARROW_BLOCKS", 1)
+    deepened = []
+    narrow_and_dense = minhash.narrow_and_dense
+    monkeypatch.setattr(minhash, "narrow_and_dense", lambda rows: deepened.append(narrow_and_dense(rows)) or deepened[-1])
     rng = random.Random(3)
     # loosely alike documents (a common half) beside groups of near copies
     half = [rng.choice("abcdefgh") + str(rng.randrange(400)) for _ in range(60)]
@@ -127,6 +131,7 @@ def test_dense_documents_go_through_deeper_trees(spark, monkeypatch):
     rows = list(enumerate(rows))
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(rows, 3, 80)
+    assert deepened[0][0].count() > 0 and deepened[0][1].count() > 0
 
 
 def test_misses_at_the_threshold_are_as_stated():
