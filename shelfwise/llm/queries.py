@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,12 +113,15 @@ def secrets_sql() -> str:
         if kind != "random":
             parts.append(f"SELECT r, kind, a, a + length(x) AS b FROM {kind}")
     infer = "CASE " + " ".join(f"WHEN regexp_matches(x, {quote(p)}) THEN {quote(a)}" for p, a in secrets.ENCODINGS) + " ELSE '' END"
+    ratios = ["[" + ", ".join(f"{math.log(1000 / 26 / n)!r}::DOUBLE" for n in one) + "]" for one in secrets.LETTERS]
+    even = ", ".join(f"coalesce(list_sum(list_transform(list_filter(c, lambda z: regexp_matches(z, '[A-Za-z]')), lambda z: ({r})[ascii(lower(z)) - 96])), 0)" for r in ratios)
     cls = "CASE WHEN regexp_matches(c, '[0-9]') THEN 0 WHEN regexp_matches(c, '[A-Z]') THEN 1 ELSE 2 END"
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), {", ".join(ctes)},
 base AS ({" UNION ALL ".join(parts)}),
 e AS (SELECT r, x, a, length(x)::DOUBLE AS n, {infer} AS al, string_split(x, '') AS c FROM random),
 v AS (SELECT *, length(al)::DOUBLE AS k, list_transform(c, lambda z: strpos(al, z) - 1.0::DOUBLE) AS s, list_transform(list_filter(c, lambda z: regexp_matches(z, '[A-Za-z0-9]')), lambda c: {cls}) AS f,
+  CASE WHEN length(al) IN {secrets.ONE_CASE} THEN least({even}) - ln(2::DOUBLE) ELSE 0 END AS ll,
   list_sum(list_transform(list_distinct(c), lambda d: pow(len(list_filter(c, lambda z: z = d)), 2))) AS q FROM e),
 w AS (SELECT *, len(f)::DOUBLE AS m, len(list_filter(s, lambda z: z >= k / 2))::DOUBLE AS h,
   1 + list_sum(list_transform(range(2, len(s) + 1), lambda i: CASE WHEN (s[i] >= k / 2) <> (s[i - 1] >= k / 2) THEN 1.0::DOUBLE ELSE 0 END)) AS runs0,
@@ -125,12 +130,13 @@ w AS (SELECT *, len(f)::DOUBLE AS m, len(list_filter(s, lambda z: z >= k / 2))::
 z AS (SELECT *, CASE WHEN k > 1 THEN ((k * q / n - n) - (k - 1)) / sqrt(2 * (k - 1) * (1 - 1 / n)) ELSE 99 END AS chi,
   CASE WHEN 2 * h * (n - h) > n THEN (runs0 - 1 - 2 * h * (n - h) / n) / sqrt(2 * h * (n - h) * (2 * h * (n - h) - n) / (n * n * (n - 1))) ELSE 99 END AS runs,
   CASE WHEN n * s2 > s1 * s1 THEN ((n * sp - s1 * s1) / (n * s2 - s1 * s1) + 1 / (n - 1)) * (n - 1) * sqrt(n - 2) / n ELSE 99 END AS serial, greatest(m - 1, 1.0::DOUBLE) AS j, coalesce(sw, 0) / greatest(m - 1, 1.0::DOUBLE) AS f2 FROM w),
-y AS (SELECT r, a, n, a + n::BIGINT AS b, chi <= {secrets.Z_LIMIT} AND abs(runs) <= {secrets.Z_LIMIT} AND abs(serial) <= {secrets.Z_LIMIT} AS ok,
-  floor(least(CASE WHEN f2 > {secrets.SWITCH} THEN j * (f2 * ln(f2 / {secrets.SWITCH}::DOUBLE) + CASE WHEN f2 < 1 THEN (1 - f2) * ln((1 - f2) / {1 - secrets.SWITCH}::DOUBLE) ELSE 0 END) ELSE 0 END, 200) * 4) / 4 AS evidence FROM z),
-u AS (SELECT *, CASE WHEN ok THEN evidence ELSE 0 END + ln(least(n, 256) / (SELECT avg(least(n, 256)) FROM y)) AS weighted FROM y),
+y AS (SELECT r, a, n, a + n::BIGINT AS b,
+  floor(least(greatest(0, greatest(ll, CASE WHEN f2 > {secrets.SWITCH} THEN j * (f2 * ln(f2 / {secrets.SWITCH}::DOUBLE) + CASE WHEN f2 < 1 THEN (1 - f2) * ln((1 - f2) / {1 - secrets.SWITCH}::DOUBLE) ELSE 0 END) ELSE 0 END)
+    - greatest(0, pow(greatest(chi, abs(runs), abs(serial)), 2) / 2 - ln({secrets.TESTS}::DOUBLE))), 200) * 4) / 4 AS evidence FROM z),
+u AS (SELECT *, evidence + ln(least(n, 256) / (SELECT avg(least(n, 256)) FROM y)) AS weighted FROM y),
 ranked AS (SELECT weighted, count(*) OVER (ORDER BY weighted DESC) AS found FROM u),
 lim AS (SELECT min(weighted) AS least FROM ranked WHERE weighted >= ln((SELECT count(*) FROM u)::DOUBLE / (found * {secrets.FDR}))),
-more AS (SELECT r, {len(secrets.PATTERNS)} AS kind, a, b FROM u WHERE ok AND weighted >= (SELECT least FROM lim) AND NOT EXISTS (SELECT 1 FROM base WHERE base.r = u.r AND base.a < u.b AND base.b > u.a)),
+more AS (SELECT r, {len(secrets.PATTERNS)} AS kind, a, b FROM u WHERE weighted >= (SELECT least FROM lim) AND NOT EXISTS (SELECT 1 FROM base WHERE base.r = u.r AND base.a < u.b AND base.b > u.a)),
 named AS (SELECT *, (['{"', '".join(secrets.KINDS)}'])[kind + 1] || ':' || a || ':' || b AS s FROM (SELECT * FROM base UNION ALL SELECT * FROM more)),
 joined AS (SELECT r, {", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(secrets.KINDS[:3]))}, string_agg(s, ',' ORDER BY a, kind) FILTER (kind < {len(secrets.PATTERNS)}) AS base, string_agg(s, ',' ORDER BY a, kind) AS spans FROM named GROUP BY r)
 SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in secrets.KINDS[:3])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN joined USING (r)"""

@@ -33,8 +33,8 @@ ENCODINGS = (
     (r"^[0-9A-Za-z+/]+$", UPPER + LOWER + DIGITS + "+/"),
     (r"^[0-9A-Za-z_-]+$", UPPER + LOWER + DIGITS + "-_"),
 )
-#: A test of the battery rejects randomness beyond so many standard deviations (two-sided 0.001).
-Z_LIMIT = 3.3
+#: Tests of the battery: their p-values are combined by Bonferroni's bound.
+TESTS = 3
 #: Ordinary words and identifiers change between lower case, upper case and digits at most so often a character.
 SWITCH = 0.1
 #: Letters a to z in a thousand letters of English, German, French and Spanish words, 3 at least.
@@ -76,13 +76,18 @@ def located(df: DataFrame, text: str, name: str, regex: str, kept: str | None =
 
 
 def battery(df: DataFrame, tokens: str) -> DataFrame:
-    """Adds ``stats``: for each token its length, whether no test rejects randomness, and the evidence against plain text.
+    """Adds ``stats``: for each token its length, the tests' statistics, and its evidence of being random rather than plain text.
 
     Tests under the inferred encoding's alphabet of k symbols: chi-squared uniformity (exact mean and variance, as
-    expected counts are small), runs above and below the middle symbol, and lag-1 serial correlation. Evidence is the
-    Chernoff bound -ln P(as many changes of character class | ordinary text), which grows with the length. Under an
+    expected counts are small), runs above and below the middle symbol, and lag-1 serial correlation. A statistic of z
+    standard deviations (chi-squared: above its mean only) has the p-value exp(-z^2 / 2), an upper bound of the normal
+    tail, and the battery's is min(1, 3 * the least of them).
+
+    Against plain text there is the Chernoff bound -ln P(as many changes of character class | ordinary text), which grows with the length. Under an
     encoding of one case it is, where that is more, the log-likelihood ratio of even letters against the likeliest of
-    the languages of ``LETTERS``, less ln 2 as either bound may be the one that errs.
+    the languages of ``LETTERS``, less ln 2 as either bound may be the one that errs. ``evidence`` is that figure plus
+    the logarithm of the battery's p-value, 0 at least: exp(-evidence) is a p-value that grows as the tests speak
+    against randomness, and it is the one that the false-discovery control ranks.
     """
     infer = "case " + " ".join(f"when x rlike {quoted(p)} then {quoted(a)}" for p, a in ENCODINGS) + " else '' end"
     df = df.withColumn("_e", F.expr(f"transform({tokens}, x -> named_struct('n', length(x), 'a', {infer}, 'c', split(x, '')))"))
@@ -113,8 +118,8 @@ def battery(df: DataFrame, tokens: str) -> DataFrame:
     df = df.withColumn("_z", F.expr(f"transform(_w, w -> named_struct('n', w.n, 'chi', {chi}, 'runs', {runs}, 'serial', {serial}, 'l', w.l, 'j', greatest(w.m - 1, 1D), 'f', w.t / greatest(w.m - 1, 1D)))"))
     kl = f"z.f * ln(z.f / {SWITCH}) + case when z.f < 1 then (1 - z.f) * ln((1 - z.f) / {1 - SWITCH}) else 0D end"
     df = df.withColumn("stats", F.expr(f"""transform(_z, z -> named_struct('n', cast(z.n as int), 'chi', z.chi, 'runs', z.runs, 'serial', z.serial,
-        'random', z.chi <= {Z_LIMIT} and abs(z.runs) <= {Z_LIMIT} and abs(z.serial) <= {Z_LIMIT},
-        'evidence', greatest(z.l, case when z.f > {SWITCH} then z.j * ({kl}) else 0D end)))"""))
+        'evidence', greatest(0D, greatest(z.l, case when z.f > {SWITCH} then z.j * ({kl}) else 0D end)
+            - greatest(0D, power(greatest(z.chi, abs(z.runs), abs(z.serial)), 2) / 2 - ln({TESTS}D)))))"""))
     return df.drop("_e", "_v", "_w", "_z")
 
 
@@ -122,18 +127,20 @@ def discovery_limit(df: DataFrame, text_col: str = "text", fdr: float = FDR) ->
     """(least weighted evidence, mean token length) that keep false discoveries among all tokens of ``df`` below ``fdr``.
 
     Weighted Benjamini-Hochberg over every token of the table: a p-value exp(-evidence) is divided by the token's
-    length over the mean length. P-values are counted in bins of length (up to 256) and evidence (quarters up to
-    200), so that what is sorted and sent to the driver is bounded however many tokens there are. Without tokens: no limit passes.
+    length over the mean length. P-values are counted in bins of length (weights grow up to 256 characters) and
+    evidence (quarters up to 200; the limit is at most ln(tokens / fdr), below 70 for 10^28 tokens, so more evidence
+    than 200 passes alike), so that what is sorted and sent to the driver is bounded however many tokens there are.
+    Without tokens: no limit passes.
     """
     tokens = df.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t")).select(F.expr(f"regexp_extract_all(_t, {quoted(TOKEN)}, 0)").alias("x")).where("size(x) > 0")
     one = battery(tokens, "x").select(F.explode("stats").alias("s"))
-    bins = one.groupBy(F.least(F.col("s.n"), F.lit(256)).alias("n"), F.floor(F.least(F.col("s.evidence"), F.lit(200.0)) * 4).alias("b"), F.col("s.random").alias("ok")).count().collect()
+    bins = one.groupBy(F.least(F.col("s.n"), F.lit(256)).alias("n"), F.floor(F.least(F.col("s.evidence"), F.lit(200.0)) * 4).alias("b")).count().collect()
     m = sum(r["count"] for r in bins)
     if not m:
         return float("inf"), 1.0
     mean = sum(r["n"] * r["count"] for r in bins) / m
-    # a token that fails the battery stays in the family with p = 1
-    ranked = sorted(((r["b"] / 4 if r["ok"] else 0.0) + math.log(r["n"] / mean), r["count"]) for r in bins)[::-1]
+    # a token without evidence stays in the family with p = 1
+    ranked = sorted((r["b"] / 4 + math.log(r["n"] / mean), r["count"]) for r in bins)[::-1]
     found, limit = 0, float("inf")
     for evidence, n in ranked:
         found += n
@@ -142,20 +149,10 @@ def discovery_limit(df: DataFrame, text_col: str = "text", fdr: float = FDR) ->
     return limit, mean
 
 
-def secret_spans(df: DataFrame, text_col: str = "text", limit: tuple[float, float] | None = None) -> DataFrame:
-    """``df`` with ``base`` and ``spans``: arrays of (start, kind, end), by start, then kind; code points, end exclusive.
-
-    Kinds are numbered as in ``KINDS``. Base spans are the matches of ``PATTERNS`` that are long enough. ``spans`` adds
-    tokens that pass the randomness battery and whose weighted evidence reaches the false-discovery ``limit``
-    (``discovery_limit`` over the whole of ``df`` where none is given), unless they overlap a base span.
-
-    Null and empty texts have no spans; rows come back one for one with all their columns (a column of the table
-    named ``base`` or ``spans`` is replaced); nothing is shuffled.
-    """
+def found_spans(df: DataFrame, text_col: str, limit: tuple[float, float] | None) -> DataFrame:
+    """``_own`` (all columns of ``df`` in a struct, so that no helper column clashes with them), ``base`` and ``spans``."""
     least, mean = limit or discovery_limit(df, text_col)
-    own = [c for c in df.columns if c not in ("base", "spans")]
-    # own columns travel in a struct, so that no helper column can clash with them
-    out = df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_own"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
+    out = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_own"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_t"))
     parts: list[Column] = []
     for i, (kind, regex, group, least_chars) in enumerate(PATTERNS):
         out = located(out, "_t", f"_{kind}", regex)
@@ -169,11 +166,26 @@ def secret_spans(df: DataFrame, text_col: str = "text", limit: tuple[float, floa
     out = out.withColumn("base", F.array_sort(reduce(F.concat, parts))).drop(*[f"_{p[0]}_s" for p in PATTERNS])
     out = battery(located(out, "_t", "_x", TOKEN), "_x")
     bound = f"cast('{least!r}' as double)" if least != float("inf") else "cast('Infinity' as double)"
-    passes = f"stats[i].random and floor(least(stats[i].evidence, 200D) * 4) / 4 + ln(least(stats[i].n, 256) / {mean!r}D) >= {bound}"
+    passes = f"floor(least(stats[i].evidence, 200D) * 4) / 4 + ln(least(stats[i].n, 256) / {mean!r}D) >= {bound}"
     apart = "not exists(base, b -> b.start < _x_at[i] + length(x) and b.end > _x_at[i])"
     more = f"filter(transform(_x, (x, i) -> case when {passes} and {apart} then named_struct('start', _x_at[i], 'kind', {len(PATTERNS)}, 'end', _x_at[i] + length(x)) end), s -> s is not null)"
     out = out.withColumn("spans", F.expr(f"array_sort(concat(base, {more}))"))
-    return out.select("_own.*", "base", "spans")
+    return out.select("_own", "base", "spans")
+
+
+def secret_spans(df: DataFrame, text_col: str = "text", limit: tuple[float, float] | None = None) -> DataFrame:
+    """``df`` with ``base`` and ``spans``: arrays of (start, kind, end), by start, then kind; code points, end exclusive.
+
+    Kinds are numbered as in ``KINDS``. Base spans are the matches of ``PATTERNS`` that are long enough. ``spans`` adds
+    tokens whose weighted evidence under the randomness battery reaches the false-discovery ``limit``
+    (``discovery_limit`` over the whole of ``df`` where none is given), unless they overlap a base span.
+
+    Null and empty texts have no spans; repeated rows have equal ones; an empty table gives an empty one. Rows come
+    back one for one with all their columns (a column of the table named ``base`` or ``spans`` is replaced, but its
+    values count where it is the text); nothing is shuffled.
+    """
+    own = [F.col(f"_own.`{c}`") for c in df.columns if c not in ("base", "spans")]
+    return found_spans(df, text_col, limit).select(*own, "base", "spans")
 
 
 def written(spans: str) -> Column:
@@ -185,14 +197,15 @@ def written(spans: str) -> Column:
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", limit: tuple[float, float] | None = None) -> DataFrame:
     """``df`` with every span of ``secret_spans`` in its text replaced by ``mark``; overlapping spans become one mark.
 
-    Texts without spans, null texts among them, stay as they are, and so do all other columns.
+    Texts without spans, null and empty texts among them, stay as they are, and so do all other columns, whatever their
+    names. Repeated rows are masked alike; an empty table gives an empty one.
     """
-    cols = df.columns
-    out = secret_spans(df, text_col, limit)
+    out = found_spans(df, text_col, limit)
+    t = f"_own.`{text_col}`"
     # the end reached by all spans before each one; a span that starts beyond it opens a new gap
     reach = "transform(spans, (s, i) -> coalesce(array_max(transform(slice(spans, 1, i), p -> p.end)), 0L))"
     out = out.withColumn("_r", F.expr(f"case when size(spans) > 0 then {reach} end"))
-    kept = f"filter(transform(spans, (s, i) -> case when i = 0 or s.start > _r[i] then substring(`{text_col}`, cast(_r[i] + 1 as int), cast(s.start - _r[i] as int)) end), x -> x is not null)"
-    tail = f"substring(`{text_col}`, cast(array_max(transform(spans, s -> s.end)) + 1 as int))"
-    text = F.expr(f"case when size(spans) > 0 then array_join(concat({kept}, array({tail})), {quoted(mark)}) else `{text_col}` end")
-    return out.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in cols])
+    kept = f"filter(transform(spans, (s, i) -> case when i = 0 or s.start > _r[i] then substring({t}, cast(_r[i] + 1 as int), cast(s.start - _r[i] as int)) end), x -> x is not null)"
+    tail = f"substring({t}, cast(array_max(transform(spans, s -> s.end)) + 1 as int))"
+    text = F.expr(f"case when size(spans) > 0 then array_join(concat({kept}, array({tail})), {quoted(mark)}) else {t} end")
+    return out.select(*[text.alias(c) if c == text_col else F.col(f"_own.`{c}`") for c in df.columns])

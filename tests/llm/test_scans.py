@@ -80,6 +80,29 @@ def test_redaction(spark):
     assert got == {1: 'a [SECRET]" b', 2: "[SECRET]", 3: "plain", 4: None, 5: "[SECRET] end [SECRET]"}
 
 
+def test_redaction_keeps_columns_of_any_name(spark):
+    rows = [(1, "token = abcdef123456 b", 7, 8, "x"), (2, None, None, 9, None), (2, "", 1, 2, "_t"), (2, "", 1, 2, "_t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, base int, spans int, _t string")
+    got = sorted(map(tuple, secrets.redact(df).collect()), key=repr)
+    assert got == sorted([(1, "[SECRET] b", 7, 8, "x"), *rows[1:]], key=repr)
+    named = secrets.secret_spans(df.withColumnRenamed("doc_id", "my.id"))
+    assert named.columns == ["my.id", "text", "_t", "base", "spans"] and named.count() == 4
+
+
+def test_evidence_falls_with_the_tests_p_values(spark):
+    import math
+
+    token = "x9Kd" * 10  # changes class often, but its symbols are far from even
+    rng = random.Random(8)
+    even = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(40))
+    a, b = (secrets.battery(spark.createDataFrame([([t],)], "x array<string>"), "x").first().stats[0] for t in (token, even))
+    z = max(a.chi, abs(a.runs), abs(a.serial))
+    f = sum(x.islower() != y.islower() or x.isdigit() != y.isdigit() for x, y in zip(token, token[1:])) / 39
+    plain = 39 * (f * math.log(f / 0.1) + ((1 - f) * math.log((1 - f) / 0.9) if f < 1 else 0))
+    assert math.isclose(a.evidence, max(0, plain - max(0, z * z / 2 - math.log(3))), abs_tol=1e-9)
+    assert a.evidence < plain and b.evidence > 15
+
+
 def test_secret_query_columns(spark, sf_dir, docs):
     got = {r.doc_id: r for r in queries.op1_secret_scans(spark, sf_dir).collect()}
     for r in docs.collect():
