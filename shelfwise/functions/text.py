@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Fixed character classes and folds of the normal form.
 AR_DIACRITICS = "[ً-ٰٟـ]"
-FOLD_FROM, FOLD_TO = "أإآٱةىؤئیک٠١٢٣٤٥٦٧٨٩", "اااا" + "هيويي" + "ك" + "0123456789"
+FOLD_FROM, FOLD_TO = "أإآٱةىؤئیک٠١٢٣٤٥٦٧٨٩", "ااااهيوييك0123456789"
 #: Fixed groups of words that stand for the same staple in both languages.
 SYNONYMS = [
     ["milk", "حليب", "لبن"],
@@ -162,6 +162,20 @@ def with_words(df: DataFrame, name: str, prefix: str) -> DataFrame:
     return df.withColumn(f"{prefix}_text", F.array_join(f"{prefix}_words", " "))
 
 
+def query_tokens(c: Column, most: int = 6) -> Column:
+    """The tokens of a search as a column: canonical words without its size, or of the whole where nothing else is left."""
+    from shelfwise.functions.sizes import strip_sizes
+
+    own = canonical_words(strip_sizes(c))
+    return F.slice(F.when(F.size(own) > 0, own).otherwise(canonical_words(c)), 1, most)
+
+
+def expand_token(word: Column) -> Column:
+    """A token with the words that stand for the same, as a column."""
+    groups = F.create_map(*[x for w, g in SYNONYM_INDEX.items() for x in (F.lit(w), strings(g))])
+    return F.coalesce(F.try_element_at(groups, word), F.array(word))
+
+
 def token_score(variant: str, text: Column, ws: Column) -> Column:
     """100 for a whole word, 70 for the start of a word (four letters or more), 40 inside a word (five or more), else 0."""
     out = F.when(F.array_contains(ws, variant), 100)

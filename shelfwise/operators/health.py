@@ -46,6 +46,32 @@ def store_rows(stores: DataFrame, brochures: DataFrame, runs: DataFrame, today:
     return j.withColumn("status", status(F.col("failing"), F.col("flyers"), F.col("fresh"), F.col("coverage")))
 
 
+def subsystem_grid(runs: DataFrame, stale_hours: int) -> DataFrame:
+    """(subsystem, status, ok_percent) of every subsystem and of all as ``health``.
+
+    A subsystem fails while its newest run is a failure, is stale where its last success is over ``stale_hours`` older
+    than the newest run of all, and passes else; ``health`` is the worst of them and the share that passes.
+    """
+    g = runs.groupBy("subsystem").agg(F.max(F.when(F.col("ok"), F.col("id"))).alias("last_ok"), F.max(F.when(~F.col("ok"), F.col("id"))).alias("last_fail"), F.max(F.when(F.col("ok"), F.col("ts"))).alias("ok_at"), F.avg(F.col("ok").cast("int")).alias("share"), F.max("ts").alias("newest"))
+    newest = g.agg(F.max("newest").alias("now"))
+    # one row
+    g = g.join(F.broadcast(newest), F.lit(True))
+    failing = F.col("last_fail").isNotNull() & (F.col("last_ok").isNull() | (F.col("last_fail") > F.col("last_ok")))
+    old = F.coalesce(F.col("ok_at") < F.col("now") - F.expr(f"interval {stale_hours} hours"), F.lit(False))
+    grid = g.select("subsystem", F.when(failing, "FAIL").when(old, "STALE").otherwise("PASS").alias("status"), tenth(F.col("share") * 100).alias("ok_percent"))
+    n = F.count("*")
+    passing = F.count_if(F.col("status") == "PASS")
+    worst = F.when(passing == n, "PASS").when(F.count_if(F.col("status") == "FAIL") > 0, "FAIL").otherwise("STALE")
+    return grid.unionByName(grid.agg(F.lit("health").alias("subsystem"), worst.alias("status"), percent(passing, n).alias("ok_percent")))
+
+
+def silent_schedules(runs: DataFrame, key: str, ts: str, hours: int) -> DataFrame:
+    """Of every schedule whether its newest run is over ``hours`` older than the newest of all."""
+    last = runs.groupBy(key).agg(F.max(ts).alias("last"))
+    newest = last.agg(F.max("last").alias("now"))
+    return last.join(F.broadcast(newest), F.lit(True)).select(key, "last", (F.col("last") < F.col("now") - F.expr(f"interval {hours} hours")).alias("silent"))
+
+
 def weighted_score(scores: list[tuple[Column, float]]) -> Column:
     """Mean of the scores that are known, with the weights renormalised over them."""
     num = sum((F.coalesce(s * w, F.lit(0.0)) for s, w in scores[1:]), F.coalesce(scores[0][0] * scores[0][1], F.lit(0.0)))

@@ -73,13 +73,24 @@ def trend(points: DataFrame, bucket: list[str]) -> DataFrame:
 
 
 def price_summary(points: DataFrame, bucket: list[str]) -> DataFrame:
-    """Lowest and highest with their weeks, weeks, stores, observations and trend of each bucket."""
-    g = points.groupBy(*bucket).agg(
+    """Lowest and highest with their weeks, weeks, stores, observations and trend of each bucket.
+
+    Two aggregations: by bucket and week, then by bucket, whose lists are as long as its weeks and stores.
+    """
+    weekly = points.groupBy(*bucket, "week").agg(
         F.min(F.struct("price_cents", "week", "store")).alias("lo"),
-        F.max("price_cents").alias("highest_cents"),
-        F.countDistinct("week").alias("weeks"),
-        F.countDistinct("store").alias("stores"),
-        F.count("*").alias("observations"),
+        F.max("price_cents").alias("hi"),
+        F.count("*").alias("n"),
+        F.collect_set("store").alias("stores"),
+    )
+    g = weekly.groupBy(*bucket).agg(
+        F.min("lo").alias("lo"),
+        F.max("hi").alias("highest_cents"),
+        F.count("*").alias("weeks"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("stores")))).cast("bigint").alias("stores"),
+        F.sum("n").alias("observations"),
+        F.slice(F.sort_array(F.collect_list(F.struct("week", F.col("lo.price_cents").alias("low"))), False), 1, 2).alias("last"),
     )
-    g = g.select(*bucket, F.col("lo.price_cents").alias("lowest_cents"), F.col("lo.week").alias("lowest_week"), F.col("lo.store").alias("lowest_store"), "highest_cents", "weeks", "stores", "observations")
-    return g.join(trend(points, bucket).select(*bucket, "trend"), bucket)
+    low, was = F.get("last", 0)["low"], F.get("last", 1)["low"]
+    way = F.when(low > was, "up").when(low < was, "down").when(low == was, "flat")
+    return g.select(*bucket, F.col("lo.price_cents").alias("lowest_cents"), F.col("lo.week").alias("lowest_week"), F.col("lo.store").alias("lowest_store"), "highest_cents", "weeks", "stores", "observations", way.alias("trend"))

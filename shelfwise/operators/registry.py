@@ -2,18 +2,40 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfwise.functions import identity as I
 from shelfwise.operators.history import first_by
 
-#: Fixed weights and thresholds of the score.
-T_ATTACH, T_REVIEW, T_MERGE = 0.7, 0.45, 0.85
-WEIGHTS = {"containment": 0.55, "size": 0.2, "brand": 0.1, "family": 0.05, "category": 0.05}
-STICKY, CORROBORATION_FULL, COMMON_SHARE, COMMON_FLOOR = 0.05, 0.6, 0.02, 10
 DORMANT_DAYS = 42
 
 
+@dataclass(frozen=True)
+class Tuning:
+    """What resolution, merging and learning may be tuned by; the values are fixed ones."""
+
+    attach: float = 0.7
+    review: float = 0.45
+    merge: float = 0.85
+    weights: dict[str, float] = field(default_factory=lambda: {"containment": 0.55, "size": 0.2, "brand": 0.1, "family": 0.05, "category": 0.05})
+    sticky: float = 0.05
+    corroboration_full: float = 0.6
+    common_share: float = 0.02
+    common_floor: int = 10
+    size_tolerance: float = 0.03
+    profile_cap: int = 24
+    display_fresh_weeks: int = 6
+    merge_pairs: int = 200
+    merges: int = 25
+
+
+TUNING = Tuning()
+
+
 def token_index(products: DataFrame) -> DataFrame:
     """(token, product_id) of products that are not merged."""
     return products.where("status <> 'merged'").select(F.col("id").alias("product_id"), F.explode("tokens").alias("token")).distinct()
@@ -23,9 +45,9 @@ def token_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("token").agg(F.count("*").alias("freq"))
 
 
-def distinctive(index: DataFrame, products: int, share: float = COMMON_SHARE, floor: int = COMMON_FLOOR) -> DataFrame:
+def distinctive(index: DataFrame, products: int, tuning: Tuning = TUNING) -> DataFrame:
     """Tokens of at most max(floor, ceil(share of all products)) products: commoner ones don't block."""
-    ceiling = max(floor, -(-int(products * share * 1000) // 1000))
+    ceiling = max(tuning.common_floor, -(-int(products * round(tuning.common_share * 1000)) // 1000))
     return token_frequency(index).where(F.col("freq") <= ceiling)
 
 
@@ -47,50 +69,225 @@ def shared_pairs(index: DataFrame, rare: DataFrame, least: int = 2) -> DataFrame
     return a.join(b, "token").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
-def size_conflict(a: Column, b: Column, tolerance: float = 0.03) -> Column:
+def size_conflict(a: Column, b: Column, tolerance: float = TUNING.size_tolerance) -> Column:
     hi = F.greatest(a, b)
     return F.coalesce(F.try_divide((hi - F.least(a, b)).cast("double"), hi) > tolerance, F.lit(False))
 
 
-def score(containment: Column, size_known: Column, brand: Column, corroboration: Column, incumbent: Column | None = None, family: Column | None = None, category: Column | None = None) -> Column:
-    """Weighted mean of the signals that can be told (brand, family, category: 1, 0 or null), times the corroboration."""
-    num, den = containment * WEIGHTS["containment"], F.lit(WEIGHTS["containment"])
-    num, den = num + F.when(size_known, WEIGHTS["size"]).otherwise(0.0), den + F.when(size_known, WEIGHTS["size"]).otherwise(0.0)
-    for key, c in (("brand", brand), ("family", family), ("category", category)):
-        if c is not None:
-            num = num + F.when(c.isNotNull(), c * WEIGHTS[key]).otherwise(0.0)
-            den = den + F.when(c.isNotNull(), WEIGHTS[key]).otherwise(0.0)
+#: Columns of a read or product that its score reads, besides those of ``identity.side``.
+READ = ("brand", "size", "family", "category", "kind", "corroboration")
+
+
+def sided(df: DataFrame, classes: dict[str, str], name: str, keep: tuple[str, ...]) -> DataFrame:
+    """``df`` as its ``keep`` columns and a struct ``name`` of all that admission and score read, made once a row."""
+    own = I.side(df, "words", F.col("brand"), F.col("family"), F.col("category"), classes)
+    return own.select(*keep, F.struct("core", "terms", "forms", "species", "lexical", "aisle", *READ).alias(name))
+
+
+def score_pair(read: str, product: str, incumbent: Column | None = None, tuning: Tuning = TUNING) -> Column:
+    """(veto, score, semantic) of a pair of structs of ``sided``.
+
+    Vetoes in turn: kind, admission, size, brand. The score is the mean of the signals that can be told, weighted; an
+    incumbent's is raised, and all is damped by the read's corroboration. ``semantic``: admitted without a shared word.
+    """
+    r, p = (lambda n: F.col(f"{read}.{n}")), (lambda n: F.col(f"{product}.{n}"))
+    adm = I.admission(read, product)
+    hits, words = adm["hits"], F.size(r("core"))
+    relation = I.brand_relation(r("brand"), p("brand"))
+    veto = F.when(r("kind") != p("kind"), "kind").when(adm["veto"].isNotNull(), adm["veto"]).when(size_conflict(r("size"), p("size"), tuning.size_tolerance), "size").when(relation == -1, "brand")
+    w = tuning.weights
+    containment = F.when(words > 0, F.try_divide(hits.cast("double"), words)).when(adm["evidence"], 0.6).otherwise(0.0)
+    num, den = containment * w["containment"], F.lit(w["containment"])
+    told = (
+        ("size", r("size").isNotNull() & p("size").isNotNull(), F.lit(1.0)),
+        ("brand", relation.isNotNull(), F.lit(1.0)),
+        ("family", r("family").isNotNull() & p("family").isNotNull(), (r("family") == p("family")).cast("double")),
+        ("category", r("category").isNotNull() & p("category").isNotNull(), (r("category") == p("category")).cast("double")),
+    )
+    for key, known, value in told:
+        num, den = num + F.when(known, value * w[key]).otherwise(0.0), den + F.when(known, w[key]).otherwise(0.0)
     s = num / den
     if incumbent is not None:
-        s = F.when(incumbent, F.least(F.lit(1.0), s + STICKY)).otherwise(s)
-    return s * F.least(F.lit(1.0), corroboration / CORROBORATION_FULL)
-
-
-def pair_scores(pairs: DataFrame, reads: DataFrame, products: DataFrame) -> DataFrame:
-    """Scores of candidate pairs; pairs with conflicting sizes or brands are vetoed and left out."""
-    p = products.select(F.col("id").alias("product_id"), F.col("tokens").alias("p_tokens"), F.col("size_each").alias("p_size"), F.col("brand_slug").alias("p_brand"))
-    j = pairs.join(reads, "read_id").join(p, "product_id")
-    hits = F.size(F.array_intersect("tokens", "p_tokens"))
-    j = j.where(~size_conflict(F.col("size"), F.col("p_size")) & ~F.coalesce(F.col("brand") != F.col("p_brand"), F.lit(False)))
-    known = F.col("size").isNotNull() & F.col("p_size").isNotNull()
-    s = score(F.try_divide(hits.cast("double"), F.size("tokens")), known, F.when(F.col("brand") == F.col("p_brand"), 1.0), F.col("corroboration"))
-    return j.select("read_id", "product_id", s.alias("score"))
-
-
-def decide(scores: DataFrame, reads: DataFrame) -> DataFrame:
-    """The best product of every read, of equals the smallest id: attach from 0.7, review from 0.45, else create."""
-    best = first_by(scores, ["read_id"], F.desc("score"), "product_id")
+        s = F.when(incumbent, F.least(F.lit(1.0), s + tuning.sticky)).otherwise(s)
+    s = s * F.least(F.lit(1.0), r("corroboration") / tuning.corroboration_full)
+    return F.struct(veto.alias("veto"), s.alias("score"), (hits == 0).alias("semantic"))
+
+
+def pair_scores(pairs: DataFrame, reads: DataFrame, products: DataFrame, classes: dict[str, str], tuning: Tuning = TUNING) -> DataFrame:
+    """``pairs`` (read_id, product_id, incumbent) with veto, score, semantic, and the sizes of both; tombstones score with nothing."""
+    r = sided(reads, classes, "r", ("read_id",))
+    p = sided(products.where("status <> 'merged'").withColumn("corroboration", F.lit(1.0)), classes, "p", (F.col("id").alias("product_id"),))
+    j = pairs.join(r, "read_id").join(p, "product_id").withColumn("s", score_pair("r", "p", F.col("incumbent"), tuning))
+    return j.select("read_id", "product_id", "s.veto", "s.score", "s.semantic", F.col("r.size").alias("read_size"), F.col("p.size").alias("product_size"))
+
+
+def candidates(reads: DataFrame, products: DataFrame, incumbents: DataFrame, tuning: Tuning = TUNING) -> DataFrame:
+    """(read_id, product_id, incumbent): products that share a distinctive token, and the incumbent of the read; a merged
+    one stands for its survivor."""
+    index = token_index(products)
+    rare = distinctive(index, products.where("status <> 'merged'").count(), tuning)
+    both = candidate_pairs(reads, index, rare).withColumn("incumbent", F.lit(False))
+    both = both.unionByName(incumbents.select("read_id", "product_id", F.lit(True).alias("incumbent")))
+    to = products.select(F.col("id").alias("product_id"), F.when(F.col("status") == "merged", F.col("merged_into")).otherwise(F.col("id")).alias("target"), (F.col("status") == "merged").alias("moved"))
+    j = both.join(to, "product_id").where("target is not null")
+    # an incumbent that was merged away leaves no bonus to its survivor
+    return j.groupBy("read_id", F.col("target").alias("product_id")).agg(F.max(F.col("incumbent") & ~F.col("moved")).alias("incumbent"))
+
+
+def decide(scores: DataFrame, reads: DataFrame, tuning: Tuning = TUNING) -> DataFrame:
+    """The best admitted product of every read, of equals the smallest id, and its band.
+
+    auto from ``attach`` if both or neither have a size and a word is shared; else review from ``review``; else created.
+    """
+    best = first_by(scores.where("veto is null"), ["read_id"], F.desc("score"), "product_id")
     j = reads.select("read_id").join(best, "read_id", "left")
-    band = F.when(F.col("score") >= T_ATTACH, "auto").when(F.col("score") >= T_REVIEW, "review").otherwise("created")
-    return j.select("read_id", F.when(F.col("score") >= T_REVIEW, F.col("product_id")).alias("product_id"), "score", band.alias("band"))
-
-
-def survivors(pairs: DataFrame, products: DataFrame) -> DataFrame:
-    """(survivor, loser): more sightings first, then the smaller id."""
-    p = products.select("id", "sightings")
-    j = pairs.join(p.select(F.col("id").alias("a"), F.col("sightings").alias("na")), "a").join(p.select(F.col("id").alias("b"), F.col("sightings").alias("nb")), "b")
-    first = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    return j.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("survivor"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("loser"))
+    sure = (F.col("read_size").isNull() == F.col("product_size").isNull()) & ~F.col("semantic")
+    band = F.when((F.col("score") >= tuning.attach) & sure, "auto").when(F.col("score") >= tuning.review, "review").otherwise("created")
+    return j.select("read_id", F.when(F.col("score") >= tuning.review, F.col("product_id")).alias("product_id"), "score", band.alias("band"))
+
+
+def resolve(reads: DataFrame, products: DataFrame, incumbents: DataFrame, classes: dict[str, str], tuning: Tuning = TUNING) -> DataFrame:
+    """(read_id, product_id, score, band) of every read against the registry as it stands; reads don't see each other."""
+    return decide(pair_scores(candidates(reads, products, incumbents, tuning), reads, products, classes, tuning), reads, tuning)
+
+
+def learn(products: DataFrame, sightings: DataFrame, tuning: Tuning = TUNING) -> DataFrame:
+    """What the auto sightings of a batch teach their products, in the order of (week, offer_id).
+
+    ``products``: id, status, display, display_corroboration, display_week, size, brand, review_flag; ``sightings``:
+    product_id, offer_id, week, store, name, corroboration, size, brand. Returned: id, status (a dormant product is
+    active again), display with corroboration and week, size, brand, review_flag, sightings, first_seen, last_seen, stores.
+
+    A read becomes the display if there is none, if it is at least as well corroborated, or if the display is over
+    ``display_fresh_weeks`` old. The first size and brand read fill what is missing; later ones that conflict raise the
+    first flag only. A product's rows are combined to one best read a week before they meet, so the fold is as long as
+    its weeks, however many sightings it has.
+    """
+    s = sightings.select("product_id", "offer_id", "week", "store", "name", "corroboration", "size", "brand")
+    # the best read of a week, of equals the last; the week's first read counts where the display is stale
+    named = F.col("name").isNotNull()
+    last = F.when(named, F.struct("corroboration", "offer_id", "name"))
+    weekly = s.groupBy("product_id", "week").agg(F.max(last).alias("best"), F.count("*").alias("n"), F.collect_set("store").alias("stores"), F.min(F.when(F.col("size").isNotNull(), F.struct("offer_id", "size"))).alias("size"), F.min(F.when(F.col("brand").isNotNull(), F.struct("offer_id", "brand"))).alias("brand"))
+    g = weekly.groupBy("product_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("best").isNotNull(), F.struct("week", F.col("best.corroboration").alias("c"), F.col("best.name").alias("name"))))).alias("_weeks"),
+        F.sum("n").alias("sightings"),
+        F.min("week").alias("first_seen"),
+        F.max("week").alias("last_seen"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("stores")))).alias("stores"),
+        F.min(F.when(F.col("size").isNotNull(), F.struct("week", "size")))["size"]["size"].alias("_size"),
+        F.min(F.when(F.col("brand").isNotNull(), F.struct("week", "brand")))["brand"]["brand"].alias("_brand"),
+    )
+    p = products.select("id", "status", "display", "display_corroboration", "display_week", "size", "brand", "review_flag")
+    j = p.join(g.withColumnRenamed("product_id", "id"), "id", "left")
+    j = j.withColumns({"_had": F.struct("size", "brand"), "size": F.coalesce("size", "_size"), "brand": F.coalesce("brand", "_brand")})
+    days = tuning.display_fresh_weeks * 7
+    shown = F.expr(f"""aggregate(coalesce(_weeks, array()), named_struct('week', display_week, 'c', display_corroboration, 'name', display),
+        (d, w) -> case when d.name is null or w.c >= coalesce(d.c, 0D) or datediff(w.week, coalesce(d.week, w.week)) > {days}
+                       then named_struct('week', w.week, 'c', w.c, 'name', w.name) else d end)""")
+    j = j.withColumn("_shown", shown)
+    # the first sighting that conflicts with what the product has, or was given by an earlier one
+    told = s.join(j.select(F.col("id").alias("product_id"), F.col("size").alias("has_size"), F.col("brand").alias("has_brand")), "product_id")
+    flag = F.when(size_conflict(F.col("size"), F.col("has_size"), tuning.size_tolerance), "size-conflict").when(F.col("brand") != F.col("has_brand"), "brand-conflict")
+    flags = told.withColumn("f", flag).where("f is not null").groupBy(F.col("product_id").alias("id")).agg(F.min(F.struct("week", "offer_id", "f"))["f"].alias("_flag"))
+    out = j.join(flags, "id", "left")
+    status = F.when((F.col("status") == "dormant") & F.col("sightings").isNotNull(), "active").otherwise(F.col("status"))
+    return out.select("id", status.alias("status"), F.col("_shown.name").alias("display"), F.col("_shown.c").alias("display_corroboration"), F.col("_shown.week").alias("display_week"), "size", "brand", F.coalesce("review_flag", "_flag").alias("review_flag"), F.coalesce("sightings", F.lit(0)).alias("sightings"), "first_seen", "last_seen", "stores")
+
+
+def learned_profile(profile: DataFrame, told: DataFrame, tuning: Tuning = TUNING) -> DataFrame:
+    """(product_id, token, count, week) after a batch: every read of a token counts one and brings its week; capped once a batch.
+
+    ``told``: product_id, token, week, one row a read and token.
+    """
+    both = profile.select("product_id", "token", "count", "week").unionByName(told.select("product_id", "token", F.lit(1).cast("bigint").alias("count"), "week"))
+    return capped_profile(both.groupBy("product_id", "token").agg(F.sum("count").alias("count"), F.max("week").alias("week")), "product_id", tuning.profile_cap)
+
+
+def decide_merges(pairs: DataFrame, products: DataFrame, classes: dict[str, str], tuning: Tuning = TUNING) -> DataFrame:
+    """(a, b, shared, survivor, loser, score) of the pairs that are one product split in two.
+
+    Kinds are equal, brands don't conflict, stores overlap or both have a size; the one with more sightings, of equals
+    the older, then the smaller id survives, and the other, read as its profile, scores ``merge`` at least.
+    """
+    p = products.where("status <> 'merged'").withColumn("corroboration", F.lit(1.0))
+    own = sided(p, classes, "s", ("id", "stores", "sightings", "first_seen", F.size("words").alias("n")))
+    whole = F.struct("s", "stores", F.struct((-F.col("sightings")).alias("n"), "first_seen", "id").alias("rank"), "n")
+    a, b = own.select(F.col("id").alias("a"), whole.alias("x")), own.select(F.col("id").alias("b"), whole.alias("y"))
+    j = pairs.join(a, "a").join(b, "b")
+    j = j.where(F.coalesce(F.col("x.s.brand") == F.col("y.s.brand"), F.lit(True)))
+    j = j.where(F.arrays_overlap("x.stores", "y.stores") | (F.col("x.s.size").isNotNull() & F.col("y.s.size").isNotNull()))
+    first = F.col("x.rank") < F.col("y.rank")
+    j = j.withColumns({"v": F.when(first, F.col("x")).otherwise(F.col("y")), "l": F.when(first, F.col("y")).otherwise(F.col("x"))}).where("l.n >= 2")
+    j = j.withColumns({"_r": F.col("l.s"), "_p": F.col("v.s")}).withColumn("s", score_pair("_r", "_p", tuning=tuning))
+    return j.where(F.col("s.veto").isNull() & (F.col("s.score") >= tuning.merge)).select("a", "b", "shared", F.col("v.rank.id").alias("survivor"), F.col("l.rank.id").alias("loser"), F.col("s.score").alias("score"))
+
+
+def consolidated(pairs: DataFrame, products: DataFrame, classes: dict[str, str], tuning: Tuning = TUNING) -> DataFrame:
+    """(survivor, loser, score, shared) of one run: of the ``merge_pairs`` pairs that share most, in turn, a product merges
+    once at most, and ``merges`` in all. Both numbers are the run's own bounds."""
+    some = pairs.orderBy(F.desc("shared"), "a", "b").limit(tuning.merge_pairs)
+    found = decide_merges(some, products, classes, tuning)
+    listed = found.groupBy().agg(F.array_sort(F.collect_list(F.struct((-F.col("shared")).alias("o"), "a", "b", "survivor", "loser", "score", "shared"))).alias("l"))
+    taken = f"""aggregate(l, cast(array() as array<struct<o:bigint,a:string,b:string,survivor:string,loser:string,score:double,shared:bigint>>),
+        (t, x) -> case when size(t) >= {tuning.merges} or exists(t, y -> y.a in (x.a, x.b) or y.b in (x.a, x.b)) then t else concat(t, array(x)) end)"""
+    return listed.select(F.explode(F.expr(taken)).alias("m")).select("m.survivor", "m.loser", "m.score", "m.shared")
+
+
+def merged_fields(merges: DataFrame, products: DataFrame) -> DataFrame:
+    """What survivors take over from losers: sightings add up, stores unite, the span widens, gaps are filled."""
+    cols = ("id", "sightings", "stores", "first_seen", "size", "brand", "family", "category")
+    p = products.select(F.struct(*cols).alias("p"))
+    j = merges.join(p.select(F.col("p.id").alias("survivor"), F.col("p").alias("s")), "survivor").join(p.select(F.col("p.id").alias("loser"), F.col("p").alias("l")), "loser")
+    fill = [F.coalesce(f"s.{c}", f"l.{c}").alias(c) for c in ("size", "brand", "family", "category")]
+    return j.select("survivor", "loser", (F.col("s.sightings") + F.col("l.sightings")).alias("sightings"), F.array_sort(F.array_union("s.stores", "l.stores")).alias("stores"), F.least("s.first_seen", "l.first_seen").alias("first_seen"), *fill)
+
+
+def drained(feed: DataFrame, order: list[str], failed: Column, limit: int = 100, errors: int = 5) -> DataFrame:
+    """The first ``limit`` rows of a feed that a drain takes: a row that fails doesn't stop the others, the ``errors``-th one does."""
+    some = feed.orderBy(*order).limit(limit)
+    w = W.partitionBy().orderBy(*order)
+    # at most ``limit`` rows
+    some = some.withColumn("failed", failed).withColumn("_e", F.sum(F.col("failed").cast("int")).over(w) - F.col("failed").cast("int"))
+    return some.where(F.col("_e") < errors).drop("_e")
+
+
+def reviewed(products: DataFrame, sightings: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Products and sightings after review ``actions`` (action, product_id, offer_id, target).
+
+    clear takes a product's flag away; reassign moves a sighting to another product, in band review, if that exists;
+    split founds a product of the sighting's name and moves it there, in band created.
+    """
+    clear = actions.where("action = 'clear'").select(F.col("product_id").alias("id"), F.lit(True).alias("_c")).distinct()
+    p = products.join(clear, "id", "left").withColumn("review_flag", F.when(F.col("_c").isNull(), F.col("review_flag"))).drop("_c")
+    there = products.select(F.col("id").alias("target"))
+    to = actions.where("action = 'reassign'").join(there, "target", "left_semi").select("offer_id", "target", F.lit("review").alias("_band"))
+    to = to.unionByName(actions.where("action = 'split'").select("offer_id", F.concat(F.lit("sp|"), "offer_id").alias("target"), F.lit("created").alias("_band")))
+    s = sightings.join(first_by(to, ["offer_id"], "target"), "offer_id", "left")
+    s = s.withColumns({"product_id": F.coalesce("target", "product_id"), "match_band": F.coalesce("_band", "match_band")}).drop("target", "_band")
+    new = s.where(F.col("product_id").startswith("sp|")).select(F.col("product_id").alias("id"), F.lit("active").alias("status"), F.lit(None).cast("string").alias("review_flag"))
+    return p.select("id", "status", "review_flag").unionByName(new), s
+
+
+def replay(labelled: DataFrame, resolved: DataFrame) -> DataFrame:
+    """One row: attach rate of same-labelled pairs, false-attach rate of different ones, unresolvable pairs and the gate.
+
+    ``labelled``: a, b, same; ``resolved``: read_id, product (null where the read doesn't resolve).
+    """
+    side = lambda k: resolved.select(F.col("read_id").alias(k), F.col("product").alias(f"p{k}"))
+    j = labelled.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    known = F.col("pa").isNotNull() & F.col("pb").isNotNull()
+    hit = (F.col("pa") == F.col("pb")).cast("int")
+    g = j.agg(F.avg(F.when(known & F.col("same"), hit)).alias("attach"), F.avg(F.when(known & ~F.col("same"), hit)).alias("wrong"), F.count_if(~known).alias("unresolvable"), F.count("*").alias("pairs"))
+    passed = F.coalesce((F.col("attach") >= GATE[0]) & F.coalesce(F.col("wrong") <= GATE[1], F.lit(True)), F.lit(False))
+    return g.withColumn("passed", passed)
+
+
+#: Fixed gate of the replay: least share of same pairs attached, most of different ones.
+GATE = (0.95, 0.005)
+
+
+def stratum(score: Column, tuning: Tuning = TUNING) -> Column:
+    return F.when(score >= tuning.attach + 0.15, "high").when(score >= tuning.attach, "attach-edge").when(score >= tuning.review, "review-band").when(score >= tuning.review - 0.15, "create-edge").otherwise("low")
 
 
 def capped_profile(counts: DataFrame, key: str, cap: int) -> DataFrame:

@@ -45,6 +45,64 @@ def insert_absent(existing: DataFrame, incoming: DataFrame, key: str) -> DataFra
     return incoming.join(existing.select(key), key, "left_anti")
 
 
+def patch(existing: DataFrame, changes: DataFrame, key: str, allowed: tuple[str, ...]) -> DataFrame:
+    """``existing`` with the columns ``allowed`` of the rows that ``changes`` names taken from there; null takes a value away.
+
+    Other columns of ``changes`` but the key are refused; keys that aren't there change nothing.
+    """
+    other = [c for c in changes.columns if c != key and c not in allowed]
+    if other:
+        raise ValueError(f"not to be changed: {', '.join(other)}")
+    new = [c for c in changes.columns if c != key]
+    j = existing.join(changes.select(key, F.struct(*new).alias("_n")), key, "left")
+    return j.select(*[F.when(F.col("_n").isNotNull(), F.col(f"_n.{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in existing.columns])
+
+
+def changed(before: DataFrame, after: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
+    """The rows of ``after`` that differ from ``before`` in any of the columns: what a backfill has to write."""
+    old = before.select(key, F.struct(*columns).alias("_o"))
+    return after.join(old, key).where(~F.struct(*columns).eqNullSafe(F.col("_o"))).drop("_o")
+
+
+def rewrite_index(index: DataFrame, products: DataFrame, key: str = "product_id") -> DataFrame:
+    """An index (key, token) after some products changed: all their rows go, and those of their tokens come."""
+    new = products.select(F.col("id").alias(key), F.explode("tokens").alias("token")).distinct()
+    return index.join(products.select(F.col("id").alias(key)), key, "left_anti").select(key, "token").unionByName(new)
+
+
+def claim(jobs: DataFrame, claims: DataFrame, now: Column, lease: str) -> DataFrame:
+    """``jobs`` (id, state, owner, lease_until) after ``claims`` (job, worker, at): a running job whose lease is over, or that
+    has none, goes to the first claim, of equals the smaller worker, until ``now`` plus the lease; others keep their owner."""
+    first = claims.groupBy(F.col("job").alias("id")).agg(F.min(F.struct("at", "worker"))["worker"].alias("_w"))
+    free = (F.col("state") == "running") & (F.col("lease_until").isNull() | (F.col("lease_until") < now))
+    j = jobs.join(first, "id", "left").withColumn("_take", free & F.col("_w").isNotNull())
+    return j.withColumns({"owner": F.when(F.col("_take"), F.col("_w")).otherwise(F.col("owner")), "lease_until": F.when(F.col("_take"), now + F.expr(f"interval {lease}")).otherwise(F.col("lease_until"))}).drop("_w", "_take")
+
+
+def adopt(rows: DataFrame, listers: DataFrame, key: str = "profile") -> DataFrame:
+    """Rows without a profile after the first lister (profile, at) took them."""
+    first = listers.agg(F.min(F.struct("at", key))[key].alias("_p"))
+    # one row whatever the listers
+    return rows.join(F.broadcast(first), F.lit(True), "left").withColumn(key, F.coalesce(key, "_p")).drop("_p")
+
+
+def append_rows(rows: DataFrame, new: DataFrame, detail: list[str]) -> DataFrame:
+    """Audit rows of both; what ``detail`` names is kept as one JSON text, nulls left out."""
+    own = [c for c in rows.columns if c not in detail]
+    pack = lambda df: df.select(*own, F.to_json(F.struct(*detail)).alias("detail"))
+    return pack(rows).unionByName(pack(new))
+
+
+def put_objects(objects: DataFrame, new: DataFrame) -> DataFrame:
+    """Objects (key, content, content_type) after ``new`` ones were put: the same key is written over."""
+    return upsert(objects, new, "key")
+
+
+def get_objects(objects: DataFrame, keys: DataFrame) -> DataFrame:
+    """Of each key the object, or nulls where there is none."""
+    return keys.select("key").join(objects, "key", "left")
+
+
 def tombstone(products: DataFrame, merges: DataFrame) -> DataFrame:
     """Losers become merged, and older tombstones that pointed at a loser point at its survivor."""
     m = merges.select("loser", "survivor")

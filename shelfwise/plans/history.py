@@ -89,8 +89,9 @@ def query_prices(t):
     from shelfwise.functions import text as T
 
     q = T.Query.of("red ring")
-    pool = T.with_words(t.points, "name", "_x").where(T.name_relevance(q, F.col("_x_text"), F.col("_x_words")) >= 100)
-    return H.price_summary(pool.drop("_x_text", "_x_words"), ["name", "size"])
+    # an identity has one name: parts are filtered before offers are joined and weeks are folded
+    named = lambda p: T.with_words(p, "p_name", "_x").where(T.name_relevance(q, F.col("_x_text"), F.col("_x_words")) >= 100).drop("_x_text", "_x_words")
+    return H.price_summary(H.weekly_points(t.offers_of(t.read("lineitem"), named(t.read("part")))), ["name", "size"])
 
 
 @query("RANK-07_variant_order", f"{SUMMARY} SELECT name, size, observations FROM summary")
@@ -145,26 +146,6 @@ def crossing(t):
     return Wt.crossings(evaluations(t), "watch", ["ts", "id"], "price", F.lit(3000)).select("id", "watch", "price")
 
 
-@query("WAT-03_alerts_per_watch", f"SELECT watch, count(*) AS alerts, min(price) AS best FROM (SELECT *, lag(price <= 3000) OVER (PARTITION BY watch ORDER BY ts, id) AS before FROM ({EVALS}) WHERE price IS NOT NULL) WHERE price <= 3000 AND NOT coalesce(before, FALSE) GROUP BY watch")
-def alerts(t):
-    return Wt.crossings(evaluations(t), "watch", ["ts", "id"], "price", F.lit(3000)).groupBy("watch").agg(F.count("*").alias("alerts"), F.min("price").alias("best"))
-
-
-@query("WAT-01_grocery_watch", f"""SELECT c_custkey AS watch, min(price_cents) AS price_cents, arg_min(id, (price_cents, id)) AS id, arg_min(store, (price_cents, id)) AS store, count(*) AS candidates FROM customer JOIN offers ON name = list_extract(['red ring', 'blue gear', 'hot rod'], c_custkey::INTEGER % 3 + 1)
-  AND abs(size - (c_custkey % 50 + 1)) * 4 <= greatest(size, c_custkey % 50 + 1) WHERE valid_to >= DATE '{TODAY}' GROUP BY 1""")
-def grocery_watch(t):
-    names = F.array(*[F.lit(x) for x in ("red ring", "blue gear", "hot rod")])
-    w = t.read("customer").select(F.col("c_custkey").alias("watch"), F.get(names, (F.col("c_custkey") % 3).cast("int")).alias("name"), (F.col("c_custkey") % 50 + 1).alias("wanted"))
-    return Wt.best_in_range(w, t.current_offers)
-
-
-@query("WAT-02_product_watch", f"SELECT c_custkey AS watch, o.id, o.price_cents FROM customer JOIN ({'SELECT * FROM offers WHERE valid_to >= DATE ' + repr(TODAY)}) o ON o.flyer_ref = c_custkey")
-def product_watch(t):
-    w = t.read("customer").select(F.col("c_custkey").alias("watch"))
-    o = t.current_offers
-    return o.join(w, o.flyer_ref == w.watch).select("watch", "id", "price_cents")
-
-
 @query("JON-11_alerts_of_profile", "SELECT event_id, user_id FROM events SEMI JOIN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'HOUSEHOLD') w ON user_id = c_custkey WHERE event_type = 'purchase'")
 def alerts_of_profile(t):
     w = t.read("customer").where("c_mktsegment = 'HOUSEHOLD'").select(F.col("c_custkey").alias("user_id"))

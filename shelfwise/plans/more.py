@@ -25,22 +25,6 @@ def body(t, shape):
     return t.read("part").select(F.to_json(shape).alias("body"))
 
 
-@query("SRC-01_strategy_runner", "SELECT r_regionkey::VARCHAR AS id, r_name AS name FROM region")
-def strategies(t):
-    def broken(q):
-        raise OSError("down")
-
-    p = C.Provider("demo", "Demo", (("api", broken), ("page", lambda q: []), ("static", lambda q: [(q.split("|")[0], q.split("|")[1], None, None, None, None, None, None, None, None)])))
-    searches = [f"{r.r_regionkey}|{r.r_name}" for r in t.read("region").collect()]
-    return C.live_search(t.spark, p, searches).select("id", "name")
-
-
-@query("SRC-21_live_search", "SELECT 'x' AS id, 5.5::DOUBLE AS price")
-def live(t):
-    p = C.Provider("one", "One", (("static", lambda q: [("x", q, None, 5.5, None, "SAR", None, None, None, None)]),))
-    return C.live_search(t.spark, p, ["milk"]).select("id", "price")
-
-
 @query("SRC-02_product_list", "SELECT 'v' || p_partkey AS id, p_name AS name, p_retailprice AS price, CASE WHEN p_size > 25 THEN p_retailprice + 1 END AS old_price FROM part WHERE p_size % 7 <> 0")
 def product_list(t):
     s = lambda c: c.cast("string")
@@ -56,19 +40,6 @@ def layout_items(t):
     return C.layout_items(body(t, F.struct(F.array(none, F.struct(F.array(item).alias("items"))).alias("layouts")))).select("id", "price")
 
 
-@query("SRC-06_discount_label", "SELECT p_partkey, CASE WHEN p_size > 5 THEN floor(p_size / (p_retailprice + p_size) * 100 + 0.5)::BIGINT || '% OFF' END AS label FROM part")
-def discount_label(t):
-    old = F.col("p_retailprice") + F.col("p_size")
-    return t.read("part").select("p_partkey", F.when(F.col("p_size") > 5, F.concat(F.floor(F.col("p_size") / old * 100 + 0.5).cast("string"), F.lit("% OFF"))).alias("label"))
-
-
-@query("SRC-07_longest_token", "SELECT p_partkey, CASE WHEN length(split_part(p_name, ' ', 2)) > length(split_part(p_name, ' ', 1)) THEN split_part(p_name, ' ', 2) ELSE split_part(p_name, ' ', 1) END AS again FROM part")
-def longest(t):
-    ws = F.split("p_name", " ")
-    again = F.reduce(ws, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
-    return t.read("part").select("p_partkey", again.alias("again"))
-
-
 @query("SRC-08_flight_text", "SELECT p_partkey::VARCHAR AS id, p_name AS name, p_retailprice AS price FROM part")
 def flight(t):
     one = F.to_json(F.struct(F.lit("x").alias("k"), F.struct(F.col("p_partkey").cast("string").alias("sku"), F.col("p_name").alias("title"), F.lit("i").alias("image"), F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("price")).alias("item")))
@@ -83,45 +54,12 @@ def cents_items(t):
     return C.cents_items(body(t, F.struct(F.array(item).alias("items")))).select("id", "price")
 
 
-@query("SRC-10_pdf_index", "SELECT page_id, CASE WHEN contains(html, 'href=\"/') THEN regexp_extract(url, '^(https?://[^/]+)', 1) || regexp_extract(html, 'href=\"(/[^\"]*)\"', 1) END AS pdf_url FROM pages")
-def pdf_index(t):
-    path = F.regexp_extract("html", 'href="(/[^"]*)"', 1)
-    return t.read("pages").select("page_id", F.when(path != "", F.concat(F.regexp_extract("url", "^(https?://[^/]+)", 1), path)).alias("pdf_url"))
-
-
 @query("SRC-11_flyer_listing", f"SELECT id, title, valid_to FROM brochures WHERE valid_to >= DATE '{TODAY}' ORDER BY id DESC LIMIT 6")
 def flyers(t):
     card = F.concat(F.lit('<article data-offer="'), F.col("id").cast("string"), F.lit('"><h3>'), F.col("title"), F.lit('</h3><time datetime="'), F.col("valid_to").cast("string"), F.lit('"></time></article>'))
     return C.flyer_cards(t.brochures.select(card.alias("html")), now()).select("id", "title", "valid_to")
 
 
-@query("SRC-12_flyer_budget", None)
-def flyer_budget(t):
-    # ranked as RANK-05: one flyer a campaign, then valid now, pages, last day and id; flyers without pages aren't collected
-    own = t.brochures.where((F.col("valid_to") >= now()) & (F.col("pages") > 0)).withColumn("campaign", F.lower("title"))
-    one = first_by(own, ["store", "campaign", "valid_from", "valid_to"], F.desc("pages"), F.desc("id")).select("store", "id", "pages", "valid_from", "valid_to")
-    order = [(F.col("valid_from") > now()).cast("int"), -F.col("pages"), -F.unix_date("valid_to"), -F.col("id")]
-    return S.budgeted(one, "store", order, "pages", 36).select("id", "pages")
-
-
-@query("SRC-13_official_link", f"SELECT c_custkey AS store, 'link' AS source_type FROM customer ANTI JOIN (SELECT store FROM brochures WHERE valid_to >= DATE '{TODAY}') b ON c_custkey = b.store")
-def official_link(t):
-    held = t.brochures.where(F.col("valid_to") >= now()).select("store")
-    return t.read("customer").select(F.col("c_custkey").alias("store")).join(held, "store", "left_anti").withColumn("source_type", F.lit("link"))
-
-
-@query("SRC-15_object_store", None)
-def objects(t):
-    files = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{t.sf_dir}/region.parquet")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("key"), "length", F.sha2("content", 256).alias("checksum"))
-
-
-@query("SRC-20_store_configuration", "SELECT s_suppkey, regexp_extract('store-' || s_name || '-' || s_suppkey, '-([0-9]+)$', 1)::BIGINT AS address FROM supplier")
-def configuration(t):
-    key = F.concat(F.lit("store-"), F.col("s_name"), F.lit("-"), F.col("s_suppkey").cast("string"))
-    return t.read("supplier").select("s_suppkey", F.regexp_extract(key, r"-(\d+)$", 1).cast("bigint").alias("address"))
-
-
 @query("SNK-02_identity_upsert", "SELECT coalesce(o.identity, n.identity) AS identity, coalesce(o.first_seen, n.first_seen) AS first_seen, coalesce(n.last_cents, o.last_cents) AS last_cents FROM (SELECT * FROM identities WHERE size < 30) o FULL JOIN (SELECT identity, first_seen + 7 AS first_seen, last_cents + 1 AS last_cents FROM identities WHERE size > 20) n ON o.identity = n.identity")
 def identity_upsert(t):
     own = t.identities.select("identity", "first_seen", "last_cents", "size")
@@ -129,51 +67,6 @@ def identity_upsert(t):
     return S.upsert(old, new.select("identity", F.date_add("first_seen", 7).alias("first_seen"), (F.col("last_cents") + 1).alias("last_cents")), "identity", keep=("first_seen",))
 
 
-@query("SNK-06_index_rewrite", "SELECT product_id, token FROM product_tokens WHERE NOT product_id LIKE '%Brand#1%' UNION ALL SELECT id, 'renamed' FROM products WHERE status <> 'merged' AND brand_slug LIKE 'Brand#1%'")
-def index_rewrite(t):
-    from shelfwise.operators.registry import token_index
-
-    changed = F.col("brand_slug").startswith("Brand#1")
-    return token_index(t.products.withColumn("tokens", F.when(changed, F.array(F.lit("renamed"))).otherwise(F.col("tokens"))))
-
-
-@query("SNK-08_enrichment_upsert", "SELECT id, lower(coalesce(e_name, '')) AS match_text, CASE WHEN corroboration > 0.4 THEN NULL ELSE mint_verdict END AS mint_verdict FROM enrichments")
-def enrichment_upsert(t):
-    again = F.col("corroboration") > 0.4
-    return t.enrichments.select("id", T.normalize_text(F.col("e_name")).alias("match_text"), F.when(~again, F.col("mint_verdict")).alias("mint_verdict"))
-
-
-@query("SNK-10_verdict_stamp", "SELECT e.id, CASE WHEN s.offer_id IS NOT NULL THEN 'minted' ELSE mint_verdict END AS mint_verdict FROM enrichments e LEFT JOIN (SELECT offer_id FROM sightings WHERE match_band = 'auto') s ON e.id = s.offer_id")
-def verdict_stamp(t):
-    s = t.sightings.where("match_band = 'auto'").select(F.col("offer_id").alias("id"), F.lit("minted").alias("v"))
-    return t.enrichments.join(s, "id", "left").select("id", F.coalesce("v", "mint_verdict").alias("mint_verdict"))
-
-
-@query("SNK-11_audit_rows", "SELECT id, action, CAST(json_extract_string('{\"enriched\":' || enriched || '}', '$.enriched') AS BIGINT) AS k FROM runs")
-def audit(t):
-    return t.runs.withColumn("detail", F.to_json(F.struct("enriched"))).select("id", "action", F.get_json_object("detail", "$.enriched").cast("bigint").alias("k"))
-
-
-@query("SNK-13_lease_claim", "SELECT id, ok AND ts < TIMESTAMP '2024-01-15 00:00:00' AS claimable FROM runs")
-def lease(t):
-    return t.runs.select("id", (F.col("ok") & (F.col("ts").cast("timestamp_ntz") < F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))).alias("claimable"))
-
-
-@query("SNK-17_alert_state", "SELECT event_id, coalesce(user_id % 7 = 0, FALSE) AS seen, CASE WHEN user_id % 11 = 0 THEN 'adopted' ELSE 'p' || user_id END AS profile FROM events WHERE event_type = 'purchase'")
-def alert_state(t):
-    e = t.read("events").where("event_type = 'purchase'")
-    profile = F.when(F.col("user_id") % 11 != 0, F.concat(F.lit("p"), F.col("user_id").cast("string")))
-    return e.select("event_id", (F.col("user_id") % 7 == 0).alias("seen"), F.coalesce(profile, F.lit("adopted")).alias("profile"))
-
-
-@query("SNK-18_reassign", "SELECT s.offer_id, CASE WHEN s.match_band = 'review' AND p.id IS NOT NULL THEN p.id ELSE s.product_id END AS product_id FROM sightings s LEFT JOIN (SELECT id, merged_into, 'x' AS k FROM products) m ON s.product_id = m.id LEFT JOIN products p ON m.merged_into = p.id")
-def reassign(t):
-    m = t.products.select(F.col("id").alias("product_id"), "merged_into")
-    alive = t.products.select(F.col("id").alias("merged_into"), F.lit(True).alias("there"))
-    j = t.sightings.join(m, "product_id", "left").join(alive, "merged_into", "left")
-    return j.select("offer_id", F.when((F.col("match_band") == "review") & F.col("there"), F.col("merged_into")).otherwise(F.col("product_id")).alias("product_id"))
-
-
 @query("JON-16_linked_spots", "SELECT flyer_ref, count(*) AS spots, count(*) FILTER (line <= 3) AS linked FROM (SELECT DISTINCT flyer_ref, line FROM offers) GROUP BY flyer_ref")
 def linked_spots(t):
     spots = t.offers.select("flyer_ref", F.col("line").alias("offer_id")).distinct()
@@ -187,17 +80,6 @@ def boxes(t):
     return C.hotspots(t.read("part").select("p_partkey", F.to_json(spots).alias("polygons"))).select("p_partkey", "x", "y", "w", F.col("h"))
 
 
-@query("TXT-03_query_tokens", "SELECT * FROM (VALUES (0, ['arwa', 'water']), (1, ['500', 'ml']), (2, ['دجاج', 'مجمد']), (3, ['a', 'b', 'c', 'd', 'e', 'f'])) v(n, tokens)")
-def query_tokens(t):
-    rows = ["Arwa Water 1.5L", "500 ml", "الدجاج المجمد", "a b c d e f g"]
-    return t.spark.createDataFrame([(i, list(T.Query.of(q).tokens)) for i, q in enumerate(rows)], "n int, tokens array<string>")
-
-
-@query("TXT-04_expand_token", "SELECT * FROM (VALUES ('milk', ['milk', 'حليب', 'لبن']), ('رز', ['rice', 'رز', 'ارز']), ('none', ['none'])) v(token, variants)")
-def expand(t):
-    return t.spark.createDataFrame([(w, list(T.Query.of(w).variants[0])) for w in ("milk", "رز", "none")], "token string, variants array<string>")
-
-
 @query("TXT-06_compound_penalty", "SELECT p_partkey, CASE WHEN p_name LIKE '% ring' AND p_size % 2 = 0 THEN 0.45 ELSE 1.0 END::DOUBLE AS factor FROM part")
 def penalty(t):
     df = t.read("part").withColumn("n", F.concat_ws(" ", "p_name", F.when(F.col("p_size") % 2 == 0, F.lit("powder")).otherwise("steel")))
@@ -230,11 +112,6 @@ def parse_reply(t):
     return t.read("part").select("p_partkey", names.parse_reply(reply).alias("r")).where("r is not null").select("p_partkey", "r.name", "r.confidence")
 
 
-@query("TXT-17_identity_hash", None)
-def identity_hash(t):
-    return t.identities.select("identity", F.concat(F.lit("ph_"), F.hex(F.xxhash64("identity"))).alias("hash"))
-
-
 @query("SIZ-03_read_size", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'g' END AS unit FROM part")
 def read_size(t):
     # a range in the field is ambiguous, and the name has none
@@ -250,27 +127,6 @@ def variant_label(t):
     return df.select("p_partkey", sizes.variant_label(F.col("size_read")).alias("label"))
 
 
-FORMS = ["chicken nuggets", "beef burger", "صدور دجاج", "plain rice", "fish fillet"]
-
-
-@query("CLS-02_product_type", "SELECT * FROM (VALUES ('chicken nuggets', 'nuggets'), ('beef burger', 'burger'), ('صدور دجاج', 'breast'), ('plain rice', NULL), ('fish fillet', 'fillet')) v(name, type)")
-def product_type(t):
-    df = T.with_words(t.spark.createDataFrame([(x,) for x in FORMS], "name string"), "name", "x")
-    return df.select("name", families.product_type(F.col("x_words")).alias("type"))
-
-
-@query("CLS-03_produce", "SELECT * FROM (VALUES ('فراولة طازجة', FALSE, 'product'), ('حليب بالفراولة', FALSE, 'flavored'), ('فراولة مجمدة', TRUE, 'product'), ('tomato', FALSE, NULL)) v(name, processed, presence)")
-def produce(t):
-    df = T.with_words(t.spark.createDataFrame([(x,) for x in ("فراولة طازجة", "حليب بالفراولة", "فراولة مجمدة", "tomato")], "name string"), "name", "x")
-    words = T.Query.of("فراولة").variants[0]
-    return df.select("name", identity.is_processed(F.col("x_words")).alias("processed"), identity.produce_presence(F.col("x_words"), words).alias("presence"))
-
-
-@query("CLS-05_detect_brand", "SELECT p_partkey, CASE WHEN p_name LIKE 'hot %' THEN 'hotline' WHEN p_name LIKE 'small %' THEN 'smalley' WHEN p_name LIKE '% ring' AND p_type = 'PROMO' THEN 'ringer' END AS brand FROM part")
-def brand(t):
-    table = t.spark.createDataFrame([("ring", "ringer", ["PROMO"]), ("hot", "hotline", None), ("smal", "smalley", None)], "word string, slug string, departments array<string>")
-    df = T.with_words(t.read("part"), "p_name", "x")
-    return identity.detect_brand(df, "x_words", table, "p_partkey", "p_type").select("p_partkey", F.col("brand_found").alias("brand"))
 
 
 @query("CLS-07_core_tokens", "SELECT p_partkey, list_filter(string_split(p_name, ' '), lambda w: NOT list_contains(['new', 'hot', 'large', 'small'], w)) AS core FROM part")
@@ -285,91 +141,3 @@ def or_deal(t):
     return t.read("part").select("p_partkey", names.is_or_deal(n, F.lit(None).cast("string")).alias("or_deal"), names.is_assortment(n).alias("assorted"))
 
 
-@query("DAT-03_cron_next", "SELECT * FROM (VALUES ('*/20 * * * *', TIMESTAMP '2026-07-01 10:20:00'), ('0 6 * * 3', TIMESTAMP '2026-07-08 06:00:00'), ('0 0 31 2 *', NULL)) v(schedule, next_at)")
-def cron(t):
-    start = dt.datetime(2026, 7, 1, 10, 5)
-    rows = [(s, H.cron_next(s, start)) for s in ("*/20 * * * *", "0 6 * * 3", "0 0 31 2 *")]
-    return t.spark.createDataFrame(rows, "schedule string, next_at timestamp_ntz")
-
-
-@query("OFF-01_offer_build", "SELECT l_orderkey, l_linenumber, l_partkey, floor(l_extendedprice / l_quantity * (1 - l_discount) * 100 + 0.5)::BIGINT AS price_cents, lower(p_name) AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 0 AND l_extendedprice > 0")
-def offer_build(t):
-    li, p = t.read("lineitem").where("l_quantity > 0 and l_extendedprice > 0"), t.read("part")
-    price = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * (1 - F.col("l_discount")) * 100 + 0.5)
-    made = names.derive_names(F.concat(F.lit("NOW ONLY\n"), F.col("p_name")))["name"]
-    return li.join(p, li.l_partkey == p.p_partkey).select("l_orderkey", "l_linenumber", "l_partkey", price.alias("price_cents"), made.alias("name"))
-
-
-@query("REG-02_admission", "SELECT * FROM (VALUES (0, NULL), (1, 'species-conflict'), (2, 'family-conflict'), (3, 'no-product-core')) v(n, veto)")
-def admission(t):
-    rows = [(0, "almarai milk", "almarai fresh milk", "milk", "milk"), (1, "chicken wings", "beef wings", None, None), (2, "green tea", "green oil", "tea", "oil"), (3, "blue pen", "red cup", None, None)]
-    df = T.with_words(T.with_words(t.spark.createDataFrame(rows, "n int, a string, b string, fa string, fb string"), "a", "x"), "b", "y")
-    x, y = F.col("x_words"), F.col("y_words")
-    return df.select("n", identity.admission(identity.core_tokens(x), identity.core_tokens(y), identity.species(x), identity.species(y), F.col("fa"), F.col("fb")).alias("veto"))
-
-
-@query("REG-06_drain_feed", "SELECT e.id FROM enrichments e JOIN offers o ON e.id = o.id WHERE e.mint_verdict IS NULL AND e.e_name IS NOT NULL ORDER BY o.detected_at, e.id LIMIT 100")
-def drain(t):
-    own = t.enrichments.where("mint_verdict is null and e_name is not null").join(t.offers.select("id", "detected_at"), "id")
-    return own.orderBy("detected_at", "id").limit(100).select("id")
-
-
-@query("REG-09_review_actions", "SELECT id, CASE WHEN review_flag IS NOT NULL AND sightings > 2 THEN NULL ELSE review_flag END AS review_flag FROM products")
-def review(t):
-    return t.products.select("id", F.when(~(F.col("review_flag").isNotNull() & (F.col("sightings") > 2)), F.col("review_flag")).alias("review_flag"))
-
-
-SWEEP = ", tuned AS (SELECT unnest([600, 650, 700, 750, 800]) AS t), pairs AS (SELECT p_partkey % 101 * 10 AS s, p_size % 3 <> 0 AS same FROM part), swept AS (SELECT t, floor(avg(CASE WHEN same THEN (s >= t)::INTEGER END) * 10000 + 0.5) / 100 AS attach, floor(avg(CASE WHEN NOT same THEN (s >= t)::INTEGER END) * 10000 + 0.5) / 100 AS wrong FROM pairs, tuned GROUP BY t)"
-
-
-def swept(t):
-    pairs = t.read("part").select((F.col("p_partkey") % 101 * 10).alias("s"), (F.col("p_size") % 3 != 0).alias("same"))
-    # a literal grid of settings: each pair meets each of them
-    g = pairs.withColumn("t", F.explode(F.array(*[F.lit(x) for x in (600, 650, 700, 750, 800)]))).groupBy("t")
-    rate = lambda c: F.floor(F.avg(F.when(c, (F.col("s") >= F.col("t")).cast("int"))) * 10000 + 0.5) / F.lit(100.0)
-    return g.agg(rate(F.col("same")).alias("attach"), rate(~F.col("same")).alias("wrong"))
-
-
-@query("REG-10_grid_sweep", f"{SWEEP} SELECT * FROM swept")
-def sweep(t):
-    return swept(t)
-
-
-@query("RANK-08_sweep_order", f"{SWEEP} SELECT t FROM swept ORDER BY (attach >= 30 AND wrong <= 35) DESC, attach DESC, wrong, t")
-def sweep_order(t):
-    good = (F.col("attach") >= 30) & (F.col("wrong") <= 35)
-    return swept(t).orderBy(good.desc(), F.desc("attach"), "wrong", "t").select("t")
-
-
-@query("HEA-02_subsystems", "SELECT action AS subsystem, CASE WHEN avg(ok::INTEGER) >= 0.9 THEN 'PASS' ELSE 'FAIL' END AS status FROM runs GROUP BY action")
-def subsystems(t):
-    return t.runs.groupBy(F.col("action").alias("subsystem")).agg(F.when(F.avg(F.col("ok").cast("int")) >= 0.9, "PASS").otherwise("FAIL").alias("status"))
-
-
-@query("HEA-03_progress", "SELECT CAST(ts AS DATE) AS day, sum(enriched)::BIGINT AS enriched, count(*) FILTER (NOT ok) AS failed FROM runs GROUP BY 1")
-def progress(t):
-    return t.runs.groupBy(F.to_date("ts").alias("day")).agg(F.sum("enriched").alias("enriched"), F.count_if(~F.col("ok")).alias("failed"))
-
-
-@query("HEA-05_product_detail", "SELECT p.id, p.status, count(s.offer_id) AS sightings, min(s.price_cents) AS lowest FROM products p LEFT JOIN sightings s ON p.id = s.product_id GROUP BY p.id, p.status")
-def product_detail(t):
-    s = t.sightings.groupBy(F.col("product_id").alias("id")).agg(F.count("*").alias("n"), F.min("price_cents").alias("lowest"))
-    return t.products.select("id", "status").join(s, "id", "left").select("id", "status", F.coalesce("n", F.lit(0)).alias("sightings"), "lowest")
-
-
-@query("ENR-01_enrichment_drain", "SELECT page_id, length(html)::BIGINT AS chars FROM pages")
-def enrichment(t):
-    import pyarrow as pa
-
-    def model(batches):
-        # the external model is a callable that a caller injects; here one that measures
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x or "") for x in b.column(1).to_pylist()], pa.int64())], names=["page_id", "chars"])
-
-    return t.read("pages").selectExpr("cast(page_id as bigint) as page_id", "html").mapInArrow(model, "page_id bigint, chars bigint")
-
-
-@query("SCH-01_fan_out", "SELECT * FROM (VALUES ('bad', FALSE), ('good', TRUE)) v(store, ok)")
-def fan_out(t):
-    done = C.settled({"good": lambda: t.read("region").count(), "bad": lambda: 1 // 0})
-    return t.spark.createDataFrame([(k, ok) for k, (ok, _) in done.items()], "store string, ok boolean")

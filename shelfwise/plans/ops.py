@@ -148,12 +148,6 @@ def deletes(t):
     return S.without(t.offers.select("id"), gone, "id")
 
 
-@query("SNK-14_backfill", "SELECT id, CASE WHEN line = 2 THEN identity ELSE 'old' END AS identity, line = 2 AS changed FROM offers WHERE line <= 3")
-def backfill(t):
-    stamped = F.when(F.col("line") != 2, "old").otherwise(F.col("identity"))
-    return t.offers.where("line <= 3").select("id", stamped.alias("identity"), (F.col("line") == 2).alias("changed"))
-
-
 @query("SNK-15_snapshot_verdict", "SELECT id, CASE WHEN o IS NULL AND n = 0 THEN 'skipped' WHEN n = 0 AND o > 0 AND same THEN 'refused-empty' WHEN o = n THEN 'kept' ELSE 'written' END AS verdict FROM (SELECT id, CASE WHEN id % 5 <> 0 THEN pages END AS o, CASE WHEN id % 3 = 0 THEN 0 ELSE pages END AS n, id % 2 = 0 AS same FROM brochures)")
 def snapshot(t):
     b = t.brochures
@@ -181,12 +175,7 @@ def json_decode(t):
 
 @query("ARR-01_array_ops", "SELECT display_name, list_sort(list_distinct(flatten(list(tokens)))) AS tokens, count(*) AS n FROM products GROUP BY display_name")
 def array_ops(t):
-    return t.products.groupBy("display_name").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("tokens"), F.count("*").alias("n"))
-
-
-@query("SRC-03_html_links", "SELECT page_id, len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS links, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '^https?://([^/?]+)', 1) AS host FROM pages")
-def html_links(t):
-    return t.read("pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).cast("bigint").alias("links"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("url", "^https?://([^/?]+)", 1).alias("host"))
+    return t.products.select("display_name", "id", F.explode("tokens").alias("token")).groupBy("display_name").agg(F.array_sort(F.collect_set("token")).alias("tokens"), F.countDistinct("id").alias("n"))
 
 
 @query("TXT-16_slugs", "SELECT page_id, trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-') AS slug, regexp_extract(url, 'page=([0-9]+)', 1) AS page FROM pages")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfwise.catalog import query
+from shelfwise.functions import families as Fm
+from shelfwise.functions import identity as I
+from shelfwise.functions import text as T
 from shelfwise.operators import registry as R
 from shelfwise.operators.health import one_row
 from shelfwise.operators.history import first_by
@@ -15,31 +18,180 @@ from shelfwise.sources.tables import TODAY, day
 def now():
     return day(TODAY)
 
-RARE = "rare AS (SELECT token FROM product_tokens GROUP BY token HAVING count(*) <= 250)"
+#: Words that goods have besides the part's name, and categories; both by number.
+EXTRAS = ("chicken nuggets", "chicken breast", "beef burger", "milk", "milk powder", "cheddar cheese", "cream", "green tea", "chicken", "")
+CATEGORIES = (None, None, None, None, "rice", "water", "frozen-fish", "fresh-fish")
+#: Aisles of categories; frozen food is spread over aisles, so its categories are neutral.
+AISLES = {"rice": "rice-pasta", "water": "water", "fresh-fish": "seafood"}
+LINES = 127
+
+
+def goods(t):
+    """Every part with the words, size, brand, family, category and kind that it is read by; a line word joins few of them."""
+    p = t.read("part")
+    k = F.col("p_partkey")
+    line = F.concat(F.lit("m"), (k % LINES).cast("string"))
+    half = F.concat(F.lit("v"), F.floor(k % LINES / 2).cast("string"))
+    extra = lambda n: F.get(F.array(*[F.lit(x) for x in EXTRAS]), (n % len(EXTRAS)).cast("int"))
+    name = lambda n: F.trim(F.concat_ws(" ", "p_name", extra(n)))
+    df = p.select(
+        k.alias("k"),
+        "p_name",
+        "p_brand",
+        F.array(line, half).alias("rare_words"),
+        name(k % LINES + F.floor(k / 500)).alias("read_name"),
+        # every second product is called by its line's words alone
+        F.when(k % 2 == 0, F.trim(F.concat_ws(" ", extra(k % LINES), F.lit("series")))).otherwise(name(k % LINES)).alias("product_name"),
+        F.when(k % 7 != 0, (F.lit(10) * (1 + F.col("p_size") % 3)).cast("bigint")).alias("read_size"),
+        F.when(k % 6 != 0, (F.lit(10) * (1 + F.col("p_size") % 3)).cast("bigint")).alias("product_size"),
+        F.when(F.col("p_size") % 5 != 0, F.when(F.col("p_size") % 2 == 0, F.lower(F.substring("p_brand", 1, 7))).otherwise(F.lower("p_brand"))).alias("read_brand"),
+        F.when(F.col("p_size") % 9 != 0, F.lower(F.substring("p_brand", 1, 7))).alias("product_brand"),
+        F.get(F.array(*[F.lit(x).cast("string") for x in CATEGORIES]), (F.col("p_size") % 8).cast("int")).alias("category"),
+        F.when(k % 13 == 0, "assortment").otherwise("product").alias("kind"),
+        "p_size",
+    )
+    return df
+
+
+def with_family(df, name, forced=None):
+    df = T.with_words(df, name, "x")
+    own = Fm.offer_family(F.col("x_words"), F.col("category"))
+    return df.withColumn("family", own if forced is None else F.when(forced, "oil").otherwise(own)).withColumnRenamed("x_words", "words").drop("x_text")
 
 
 def reads(t):
-    """Every product read again, with its largest size, and with no brand where that size is a multiple of five."""
-    g = t.read("part").groupBy("p_name", "p_brand").agg(F.max("p_size").alias("size"))
-    return g.select(F.concat_ws("|", F.lit("rd"), "p_name", "p_brand").alias("read_id"), F.concat(F.split("p_name", " "), F.array(F.lower("p_brand"))).alias("tokens"), "size", F.when(F.col("size") % 5 != 0, F.col("p_brand")).alias("brand"), F.least(F.lit(1.0), F.col("size") / 25).alias("corroboration"))
-
-
-READS = "reads AS (SELECT concat_ws('|', 'rd', p_name, p_brand) AS read_id, list_concat(string_split(p_name, ' '), [lower(p_brand)]) AS tokens, size, CASE WHEN size % 5 <> 0 THEN p_brand END AS brand, least(1.0::DOUBLE, size / 25) AS corroboration FROM (SELECT p_name, p_brand, max(p_size) AS size FROM part GROUP BY ALL))"
-PAIRS = "pairs AS (SELECT DISTINCT r.read_id, k.product_id FROM (SELECT read_id, unnest(tokens) AS token FROM reads) r JOIN product_tokens k ON r.token = k.token JOIN rare ON rare.token = k.token)"
-SCORES = """scores AS (SELECT q.read_id, q.product_id, (0.55 * len(list_intersect(list_distinct(r.tokens), p.tokens))::DOUBLE / len(r.tokens) + 0.2 + CASE WHEN r.brand = p.brand_slug THEN 0.1 ELSE 0.0 END)
-    / (0.55::DOUBLE + 0.2 + CASE WHEN r.brand = p.brand_slug THEN 0.1 ELSE 0.0 END) * least(1.0, r.corroboration / 0.6) AS score
-  FROM pairs q JOIN reads r ON q.read_id = r.read_id JOIN products p ON q.product_id = p.id
-  WHERE NOT ((greatest(r.size, p.size_each) - least(r.size, p.size_each))::DOUBLE / greatest(r.size, p.size_each) > 0.03) AND NOT coalesce(r.brand <> p.brand_slug, FALSE))"""
-BASE = f", {RARE}, {READS}, {PAIRS}, {SCORES}"
+    df = with_family(goods(t), "read_name")
+    return df.select(F.col("k").alias("read_id"), "words", F.array_union("words", "rare_words").alias("tokens"), F.col("read_size").alias("size"), F.col("read_brand").alias("brand"), "family", "category", "kind", F.least(F.lit(1.0), F.col("p_size") / F.lit(25.0)).alias("corroboration"))
+
+
+def products(t):
+    """Every fifth part as a product; some were merged into the first product of their line that is alive."""
+    df = with_family(goods(t).where("k % 5 = 2"), "product_name", F.col("k") % 11 == 3)
+    df = df.withColumn("status", F.when(F.col("k") % 15 == 2, "merged").otherwise("active"))
+    alive = df.where("status = 'active'").groupBy((F.col("k") % LINES).alias("line")).agg(F.min("k").alias("first"))
+    df = df.join(alive, F.col("k") % LINES == F.col("line"), "left")
+    into = F.when(F.col("status") == "merged", F.format_string("pr%06d", "first"))
+    return df.select(
+        F.format_string("pr%06d", "k").alias("id"),
+        "words",
+        F.array_union("words", "rare_words").alias("tokens"),
+        F.col("product_size").alias("size"),
+        F.col("product_brand").alias("brand"),
+        "family",
+        "category",
+        "kind",
+        "status",
+        F.when(F.col("first").isNotNull(), into).alias("merged_into"),
+        F.array(F.concat(F.lit("s"), (F.col("p_size") % 4).cast("string")), F.concat(F.lit("s"), (F.col("k") % 4).cast("string"))).alias("stores"),
+        F.col("p_size").cast("bigint").alias("sightings"),
+        F.date_add(F.lit("1995-01-01").cast("date"), F.col("p_size")).alias("first_seen"),
+    )
+
+
+def incumbents(t):
+    """Every third read met the first product of its name and brand before."""
+    p = goods(t).where("k % 5 = 2").groupBy("p_name", "p_brand").agg(F.format_string("pr%06d", F.min("k")).alias("product_id"))
+    return goods(t).where("k % 3 = 0").join(p, ["p_name", "p_brand"]).select(F.col("k").alias("read_id"), "product_id")
+
+
+def quote(x):
+    return "NULL" if x is None else "'" + str(x).replace("'", "''") + "'"
+
+
+def listed(items):
+    return "[" + ", ".join(map(quote, items)) + "]"
+
+
+def mapped(lexicon):
+    """A DuckDB map from each word of a lexicon to what it stands for."""
+    rows = [(w, k) for k, ws in lexicon.items() for w in ws]
+    return f"MAP({listed([w for w, _ in rows])}, {listed([k for _, k in rows])})"
+
+
+SYN = f"MAP({listed(T.SYNONYM_INDEX)}, [{', '.join(listed(g) for g in T.SYNONYM_INDEX.values())}])"
+STOP = listed(sorted({*T.BANNER_WORDS, *I.CONNECTORS, *I.PACKAGING, *I.PROMOTIONAL}))
+ANIMALS = listed(sorted({w for ws in I.SPECIES_TERMS.values() for w in ws}))
+FIRST = "list_filter(list_transform({0}, lambda w: {1}[w]), lambda x: x IS NOT NULL)"
+WORD_FAMILY = f"coalesce({FIRST.format('words', mapped(Fm.DERIVED_FAMILIES))}[1], {FIRST.format('words', mapped(Fm.BASE_FAMILIES))}[1], {FIRST.format('words', mapped(Fm.PRODUCE_FAMILIES))}[1])"
+CAT_FAMILY = f"MAP({listed(Fm.CATEGORY_FAMILY)}, {listed(Fm.CATEGORY_FAMILY.values())})[category]"
+PART_NAME = "string_split(trim(p_name || ' ' || (" + listed(EXTRAS) + ")[CAST(({0}) % 10 AS INTEGER) + 1]), ' ')"
+GOODS = f""", goods AS (
+  SELECT p_partkey AS k, p_name, p_brand, p_size, ['m' || (p_partkey % {LINES}), 'v' || ((p_partkey % {LINES}) // 2)] AS rare_words,
+    {PART_NAME.format(f"p_partkey % {LINES} + p_partkey // 500")} AS read_words, CASE WHEN p_partkey % 2 = 0 THEN string_split(trim(({listed(EXTRAS)})[CAST(p_partkey % {LINES} % 10 AS INTEGER) + 1] || ' series'), ' ') ELSE {PART_NAME.format(f"p_partkey % {LINES}")} END AS product_words,
+    CASE WHEN p_partkey % 7 <> 0 THEN 10 * (1 + p_size % 3) END AS read_size, CASE WHEN p_partkey % 6 <> 0 THEN 10 * (1 + p_size % 3) END AS product_size,
+    CASE WHEN p_size % 5 = 0 THEN NULL WHEN p_size % 2 = 0 THEN lower(left(p_brand, 7)) ELSE lower(p_brand) END AS read_brand, CASE WHEN p_size % 9 <> 0 THEN lower(left(p_brand, 7)) END AS product_brand,
+    ({listed(CATEGORIES)})[p_size % 8 + 1] AS category, CASE WHEN p_partkey % 13 = 0 THEN 'assortment' ELSE 'product' END AS kind FROM part),
+reads0 AS (SELECT k AS id, read_words AS words, list_concat(read_words, rare_words) AS tokens, read_size AS size, read_brand AS brand, category, kind, least(1.0::DOUBLE, p_size / 25) AS corroboration FROM goods),
+first_of AS (SELECT k % {LINES} AS line, min(k) AS first FROM goods WHERE k % 5 = 2 AND k % 15 <> 2 GROUP BY 1),
+goods_products0 AS (
+  SELECT 'pr' || lpad(k::VARCHAR, 6, '0') AS id, product_words AS words, list_concat(product_words, rare_words) AS tokens, product_size AS size, product_brand AS brand, category, kind, 1.0::DOUBLE AS corroboration,
+    CASE WHEN k % 15 = 2 THEN 'merged' ELSE 'active' END AS status, CASE WHEN k % 15 = 2 THEN 'pr' || lpad(first::VARCHAR, 6, '0') END AS merged_into, k % 11 = 3 AS forced,
+    ['s' || (p_size % 4), 's' || (k % 4)] AS stores, p_size::BIGINT AS sightings, DATE '1995-01-01' + p_size AS first_seen
+  FROM goods LEFT JOIN first_of ON k % {LINES} = line WHERE k % 5 = 2),
+reads1 AS (SELECT *, {WORD_FAMILY} AS lexical FROM reads0), reads AS (SELECT *, coalesce(lexical, {CAT_FAMILY}) AS family FROM reads1),
+goods_products1 AS (SELECT *, {WORD_FAMILY} AS lexical FROM goods_products0), goods_products AS (SELECT * EXCLUDE (forced), CASE WHEN forced THEN 'oil' ELSE coalesce(lexical, {CAT_FAMILY}) END AS family FROM goods_products1),
+alive AS (SELECT * FROM goods_products WHERE status <> 'merged'),
+goods_tokens AS (SELECT DISTINCT id AS product_id, unnest(tokens) AS token FROM alive),
+rare AS (SELECT token, count(*) AS freq FROM goods_tokens GROUP BY token HAVING count(*) <= greatest(10, ceil((SELECT count(*) FROM alive) * 0.02))),
+pairs AS (SELECT DISTINCT r.id AS read_id, g.product_id FROM (SELECT id, unnest(tokens) AS token FROM reads) r JOIN goods_tokens g ON r.token = g.token JOIN rare ON rare.token = g.token),
+twins AS (SELECT a.product_id AS a, b.product_id AS b, count(*) AS shared FROM goods_tokens a JOIN rare ON a.token = rare.token JOIN goods_tokens b ON a.token = b.token AND a.product_id < b.product_id GROUP BY ALL HAVING count(*) >= 2)"""
+
+
+def sides(src: str) -> str:
+    brand = "string_split(trim(regexp_replace(coalesce(brand, ''), '[^a-z0-9]+', ' ', 'g')), ' ')"
+    forms = f"list_distinct(list_concat({FIRST.format('words', mapped(Fm.PRODUCT_TYPES))}[1:1], {FIRST.format('words', mapped(I.FORM_TERMS))}))"
+    return f"""SELECT *, list_distinct(list_filter(words, lambda w: NOT list_contains({STOP}, w) AND NOT regexp_matches(w, '^[0-9]+$') AND NOT list_contains({brand}, w))) AS core,
+      {forms} AS forms, list_distinct({FIRST.format('words', mapped(I.SPECIES_TERMS))}) AS species, MAP({listed(AISLES)}, {listed(AISLES.values())})[category] AS aisle, regexp_replace(coalesce(brand, ''), '[^a-z0-9]', '', 'g') AS letters FROM {src}"""
+
+
+def judged(pairs: str, read: str = "read_sides", product: str = "product_sides", tail: str = "") -> str:
+    """A SELECT of every pair (read_id, product_id, incumbent of ``pairs``) with veto, score and whether it is semantic only."""
+    agree, families = listed(I.AGREEING_FORMS), listed(I.AGREEING_FAMILIES)
+    return f"""SELECT *, CASE WHEN rk <> pk THEN 'kind' WHEN admission IS NOT NULL THEN admission WHEN rs IS NOT NULL AND ps IS NOT NULL AND (greatest(rs, ps) - least(rs, ps))::DOUBLE / greatest(rs, ps) > 0.03 THEN 'size' WHEN relation = -1 THEN 'brand' END AS veto,
+    least(1.0, (0.55 * (CASE WHEN words > 0 THEN hits::DOUBLE / words WHEN evidence THEN 0.6 ELSE 0 END) + CASE WHEN rs IS NOT NULL AND ps IS NOT NULL THEN 0.2 ELSE 0 END + CASE WHEN relation IS NOT NULL THEN 0.1 ELSE 0 END
+        + CASE WHEN rf = pf THEN 0.05 ELSE 0 END + CASE WHEN rc = pc THEN 0.05 ELSE 0 END)
+      / (0.55::DOUBLE + CASE WHEN rs IS NOT NULL AND ps IS NOT NULL THEN 0.2 ELSE 0 END + CASE WHEN relation IS NOT NULL THEN 0.1 ELSE 0 END + CASE WHEN rf IS NOT NULL AND pf IS NOT NULL THEN 0.05 ELSE 0 END + CASE WHEN rc IS NOT NULL AND pc IS NOT NULL THEN 0.05 ELSE 0 END)
+      + CASE WHEN incumbent THEN 0.05 ELSE 0 END) * least(1.0, corroboration / 0.6) AS score
+  FROM (SELECT *, CASE WHEN form_both AND form_apart THEN 'form-conflict' WHEN form_one AND NOT plain THEN 'form-specificity' WHEN species_apart THEN 'species-conflict'
+      WHEN family_apart THEN 'family-conflict' WHEN coalesce(ra <> pa, FALSE) THEN 'category-conflict' WHEN hits = 0 AND NOT evidence THEN 'no-product-core' END AS admission
+    FROM (SELECT *, (form_both AND NOT form_apart) OR coalesce(f = g AND ra = pa, FALSE) AS evidence, coalesce(f <> g AND NOT list_contains({families}, f || '|' || g), FALSE) AS family_apart, len(common) AS hits
+      FROM (SELECT q.*, r.kind AS rk, p.kind AS pk, r.size AS rs, p.size AS ps, r.family AS rf, p.family AS pf, r.category AS rc, p.category AS pc, r.aisle AS ra, p.aisle AS pa, r.corroboration, len(r.core) AS words,
+          CASE WHEN r.letters <> '' AND p.letters <> '' THEN CASE WHEN contains(r.letters, p.letters) OR contains(p.letters, r.letters) THEN 1 ELSE -1 END END AS relation,
+          list_filter(r.core, lambda w: len(list_intersect(coalesce({SYN}[w], [w]), p.core)) > 0) AS common,
+          len(list_filter(r.core, lambda w: len(list_intersect(coalesce({SYN}[w], [w]), p.core)) > 0 AND len(list_intersect(coalesce({SYN}[w], [w]), {ANIMALS})) = 0)) > 0 AS plain,
+          len(r.forms) > 0 AND len(p.forms) > 0 AS form_both, (len(r.forms) > 0) <> (len(p.forms) > 0) AS form_one,
+          len(list_filter(r.forms, lambda x: len(list_filter(p.forms, lambda y: x <> y AND NOT list_contains({agree}, x || '|' || y))) > 0)) > 0 AS form_apart,
+          len(r.species) > 0 AND len(p.species) > 0 AND len(list_intersect(r.species, p.species)) = 0 AS species_apart,
+          CASE WHEN r.family <> p.family THEN coalesce(r.lexical, r.family) ELSE r.family END AS f, CASE WHEN r.family <> p.family THEN coalesce(p.lexical, p.family) ELSE p.family END AS g
+        FROM {pairs} q JOIN {read} r ON q.read_id = r.id JOIN {product} p ON q.product_id = p.id)))"""
+
+
+SIDES = f"read_sides AS ({sides('reads')}), product_sides AS ({sides('alive')})"
+RESOLVE = f"""{GOODS}, {SIDES},
+met AS (SELECT k AS read_id, 'pr' || lpad(first::VARCHAR, 6, '0') AS product_id FROM goods JOIN (SELECT p_name, p_brand, min(k) AS first FROM goods WHERE k % 5 = 2 GROUP BY ALL) USING (p_name, p_brand) WHERE k % 3 = 0),
+asked AS (SELECT read_id, CASE WHEN status = 'merged' THEN merged_into ELSE id END AS product_id, bool_or(inc AND status <> 'merged') AS incumbent
+  FROM (SELECT *, FALSE AS inc FROM pairs UNION ALL SELECT *, TRUE FROM met) a JOIN goods_products ON a.product_id = id GROUP BY 1, 2 HAVING CASE WHEN any_value(status) = 'merged' THEN any_value(merged_into) ELSE any_value(id) END IS NOT NULL),
+scores AS ({judged('asked')}),
+best AS (SELECT * FROM scores WHERE veto IS NULL QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY score DESC, product_id) = 1),
+resolved AS (SELECT r.id AS read_id, CASE WHEN score >= 0.45 THEN product_id END AS product_id, score, corroboration_of,
+  CASE WHEN score >= 0.7 AND (rs IS NULL) = (ps IS NULL) AND hits > 0 THEN 'auto' WHEN score >= 0.45 THEN 'review' ELSE 'created' END AS band FROM (SELECT id, corroboration AS corroboration_of FROM reads) r LEFT JOIN best ON r.id = best.read_id)"""
+
+
+def asked(t):
+    return R.candidates(reads(t), products(t), incumbents(t))
+
+
+def resolved(t):
+    return R.resolve(reads(t), products(t), incumbents(t), AISLES)
 
 
 def rare(t):
-    return R.token_frequency(R.token_index(t.products)).where("freq <= 250")
+    p = products(t)
+    return R.distinctive(R.token_index(p), p.where("status <> 'merged'").count())
 
 
-def scored(t):
-    pairs = R.candidate_pairs(reads(t), R.token_index(t.products), rare(t))
-    return R.pair_scores(pairs, reads(t), t.products)
+def twins(t):
+    return R.shared_pairs(R.token_index(products(t)), rare(t))
 
 
 def six(c):
@@ -51,34 +203,60 @@ def token_index(t):
     return R.token_index(t.products)
 
 
-@query("AGG-10_token_frequency", "SELECT token, count(*) AS freq FROM product_tokens GROUP BY token HAVING count(*) <= 250")
+@query("AGG-10_token_frequency", f"{GOODS} SELECT token, freq FROM rare")
 def frequency(t):
     return rare(t)
 
 
-@query("JON-13_index_lookup", f"{BASE} SELECT * FROM pairs")
+@query("JON-13_index_lookup", f"{GOODS} SELECT * FROM pairs")
 def lookup(t):
-    return R.candidate_pairs(reads(t), R.token_index(t.products), rare(t))
+    return R.candidate_pairs(reads(t), R.token_index(products(t)), rare(t))
 
 
-@query("JON-09_token_self_join", f"{BASE} SELECT a.product_id AS a, b.product_id AS b, count(*) AS shared FROM product_tokens a JOIN rare ON a.token = rare.token JOIN product_tokens b ON a.token = b.token AND a.product_id < b.product_id GROUP BY ALL HAVING count(*) >= 2")
+@query("JON-09_token_self_join", f"{GOODS} SELECT * FROM twins")
 def self_join(t):
-    return R.shared_pairs(R.token_index(t.products), rare(t))
+    return twins(t)
+
 
+@query("REG-02_admission", f"{GOODS}, {SIDES}, open AS (SELECT *, FALSE AS incumbent FROM pairs) SELECT read_id, product_id, admission AS veto, hits, evidence FROM ({judged('open')})")
+def admission(t):
+    r = R.sided(reads(t), AISLES, "r", ("read_id",))
+    p = R.sided(products(t).where("status <> 'merged'").withColumn("corroboration", F.lit(1.0)), AISLES, "p", (F.col("id").alias("product_id"),))
+    j = lookup(t).join(r, "read_id").join(p, "product_id").withColumn("a", I.admission("r", "p"))
+    return j.select("read_id", "product_id", "a.veto", F.col("a.hits").cast("bigint").alias("hits"), "a.evidence")
 
-@query("REG-03_pair_scores", f"{BASE} SELECT read_id, product_id, floor(score * 1e6 + 0.5)::BIGINT AS score6 FROM scores")
+
+@query("REG-03_pair_scores", f"{RESOLVE} SELECT read_id, product_id, veto, CASE WHEN veto IS NULL THEN floor(score * 1e6 + 0.5)::BIGINT END AS score6 FROM scores")
 def pair_scores(t):
-    return scored(t).select("read_id", "product_id", six(F.col("score")).alias("score6"))
+    s = R.pair_scores(asked(t), reads(t), products(t), AISLES)
+    return s.select("read_id", "product_id", "veto", F.when(F.col("veto").isNull(), six(F.col("score"))).alias("score6"))
 
 
-@query("REG-04_resolve", f"{BASE}, best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY score DESC, product_id) = 1) SELECT r.read_id, CASE WHEN score >= 0.45 THEN product_id END AS product_id, CASE WHEN score >= 0.7 THEN 'auto' WHEN score >= 0.45 THEN 'review' ELSE 'created' END AS band FROM reads r LEFT JOIN best b ON r.read_id = b.read_id")
+@query("REG-04_resolve", f"{RESOLVE} SELECT read_id, product_id, band FROM resolved")
 def resolve(t):
-    return R.decide(scored(t), reads(t)).select("read_id", "product_id", "band")
+    return resolved(t).select("read_id", "product_id", "band")
+
+
+MERGES = f"""{GOODS}, {SIDES},
+ranked AS (SELECT a, b, shared, (x.sightings > y.sightings OR (x.sightings = y.sightings AND (x.first_seen < y.first_seen OR (x.first_seen = y.first_seen AND a < b)))) AS a_first
+  FROM twins JOIN alive x ON a = x.id JOIN alive y ON b = y.id WHERE coalesce(x.brand = y.brand, TRUE) AND (len(list_intersect(x.stores, y.stores)) > 0 OR (x.size IS NOT NULL AND y.size IS NOT NULL))),
+twin_pairs AS (SELECT a, b, shared, CASE WHEN a_first THEN b ELSE a END AS read_id, CASE WHEN a_first THEN a ELSE b END AS product_id, FALSE AS incumbent FROM ranked),
+merging AS (SELECT a, b, shared, product_id AS survivor, read_id AS loser, score FROM ({judged('twin_pairs', 'product_sides', 'product_sides')}) WHERE veto IS NULL AND score >= 0.85)"""
 
 
-@query("REG-07_merge_candidates", f"{BASE}, twins AS (SELECT a.product_id AS a, b.product_id AS b FROM product_tokens a JOIN rare ON a.token = rare.token JOIN product_tokens b ON a.token = b.token AND a.product_id < b.product_id GROUP BY ALL HAVING count(*) >= 2) SELECT CASE WHEN x.sightings > y.sightings OR (x.sightings = y.sightings AND x.id < y.id) THEN a ELSE b END AS survivor, CASE WHEN x.sightings > y.sightings OR (x.sightings = y.sightings AND x.id < y.id) THEN b ELSE a END AS loser FROM twins JOIN products x ON a = x.id JOIN products y ON b = y.id")
-def merge_candidates(t):
-    return R.survivors(R.shared_pairs(R.token_index(t.products), rare(t)), t.products)
+@query("REG-07_merge_decisions", f"{MERGES} SELECT survivor, loser, shared, floor(score * 1e6 + 0.5)::BIGINT AS score6 FROM merging")
+def merge_decisions(t):
+    return R.decide_merges(twins(t), products(t), AISLES).select("survivor", "loser", "shared", six(F.col("score")).alias("score6"))
+
+
+@query("REG-07_consolidation", f"""{MERGES}, turn AS (SELECT m.*, row_number() OVER (ORDER BY m.shared DESC, m.a, m.b) AS n FROM merging m JOIN (SELECT a, b FROM twins ORDER BY shared DESC, a, b LIMIT 200) s ON m.a = s.a AND m.b = s.b),
+taken AS (SELECT * FROM (WITH RECURSIVE run(n, gone, done) AS (SELECT 0::BIGINT, []::VARCHAR[], 0 UNION ALL
+    SELECT turn.n, CASE WHEN list_contains(gone, a) OR list_contains(gone, b) OR done >= 25 THEN gone ELSE list_concat(gone, [a, b]) END, CASE WHEN list_contains(gone, a) OR list_contains(gone, b) THEN done ELSE done + 1 END FROM run JOIN turn ON turn.n = run.n + 1)
+  SELECT turn.* FROM turn JOIN run ON turn.n = run.n + 1 WHERE NOT list_contains(run.gone, a) AND NOT list_contains(run.gone, b) AND run.done < 25))
+SELECT survivor, loser, s.sightings + l.sightings AS sightings, list_sort(list_distinct(list_concat(s.stores, l.stores))) AS stores, least(s.first_seen, l.first_seen) AS first_seen, coalesce(s.size, l.size) AS size, coalesce(s.brand, l.brand) AS brand, coalesce(s.family, l.family) AS family, coalesce(s.category, l.category) AS category
+FROM taken JOIN alive s ON survivor = s.id JOIN alive l ON loser = l.id""")
+def consolidation(t):
+    return R.merged_fields(R.consolidated(twins(t), products(t), AISLES), products(t))
 
 
 @query("RANK-09_survivor", "SELECT display_name, id AS survivor FROM products WHERE status <> 'merged' QUALIFY row_number() OVER (PARTITION BY display_name ORDER BY sightings DESC, id) = 1")
@@ -158,31 +336,23 @@ def verdict_rates(t):
     return g.withColumn("rate", F.floor(F.col("n") * 10000.0 / F.sum("n").over(W.partitionBy()) + 0.5) / F.lit(100.0))
 
 
-@query("AGG-21_dominant_value", "SELECT display_name, brand FROM (SELECT *, sum(n) OVER (PARTITION BY display_name) AS total FROM (SELECT p_name AS display_name, p_type AS brand, count(*) AS n FROM part GROUP BY ALL)) WHERE n >= 2 AND n * 4 > total QUALIFY row_number() OVER (PARTITION BY display_name ORDER BY n DESC, brand) = 1")
+@query("AGG-21_dominant_value", "SELECT display_name, brand FROM (SELECT *, sum(n) OVER (PARTITION BY display_name) AS total FROM (SELECT p_name AS display_name, p_type AS brand, count(*) AS n FROM part GROUP BY ALL)) WHERE n >= 2 AND n * 2 > total QUALIFY row_number() OVER (PARTITION BY display_name ORDER BY n DESC, brand) = 1")
 def dominant(t):
     from pyspark.sql import Window as W
 
     g = t.read("part").groupBy(F.col("p_name").alias("display_name"), F.col("p_type").alias("brand")).agg(F.count("*").alias("n"))
-    g = g.withColumn("total", F.sum("n").over(W.partitionBy("display_name"))).where("n >= 2 and n * 4 > total")
+    g = g.withColumn("total", F.sum("n").over(W.partitionBy("display_name"))).where("n >= 2 and n * 2 > total")
     return first_by(g, ["display_name"], F.desc("n"), "brand").select("display_name", "brand")
 
 
-@query("AGG-20_confusion", """SELECT floor(avg(CASE WHEN quality = 1 THEN attached::INTEGER END) * 10000 + 0.5) / 100 AS attach_rate, floor(avg(CASE WHEN quality = 0 THEN attached::INTEGER END) * 10000 + 0.5) / 100 AS false_attach_rate, count(*) AS pairs
-  FROM (SELECT l.quality, length(d.text) > 600 AS attached FROM labels l JOIN documents d ON l.doc_id = d.doc_id)""")
-def confusion(t):
-    j = t.read("labels").join(t.read("documents"), "doc_id").select("quality", (F.length("text") > 600).cast("int").alias("attached"))
-    rate = lambda v: F.floor(F.avg(F.when(F.col("quality") == v, F.col("attached"))) * 10000 + 0.5) / F.lit(100.0)
-    return j.agg(rate(1).alias("attach_rate"), rate(0).alias("false_attach_rate"), F.count("*").alias("pairs"))
-
-
 COUNTS = "counts AS (SELECT p.brand_slug AS product, token, count(*) AS n, max(k.product_id) AS week FROM product_tokens k JOIN products p ON k.product_id = p.id GROUP BY ALL)"
 
 
-@query("RANK-10_profile_cap", f", {COUNTS} SELECT product, token, n FROM counts QUALIFY row_number() OVER (PARTITION BY product ORDER BY n DESC, week DESC, token DESC) <= 6")
+@query("RANK-10_profile_cap", f", {COUNTS} SELECT product, token, n FROM counts QUALIFY row_number() OVER (PARTITION BY product ORDER BY n DESC, week DESC, token DESC) <= 24")
 def profile_cap(t):
     p = t.products.select(F.col("id").alias("product_id"), F.col("brand_slug").alias("product"))
     c = R.token_index(t.products).join(p, "product_id").groupBy("product", "token").agg(F.count("*").alias("count"), F.max("product_id").alias("week"))
-    return R.capped_profile(c, "product", 6).select("product", "token", F.col("count").alias("n"))
+    return R.capped_profile(c, "product", R.TUNING.profile_cap).select("product", "token", F.col("count").alias("n"))
 
 
 @query("REG-01_read_verdicts", "SELECT id, CASE WHEN e_name IS NULL AND mint_verdict IS NULL THEN 'no_enrichment' WHEN mint_verdict = 'declined' THEN 'declined' WHEN corroboration < 0.3 THEN 'low_corroboration' WHEN e_brand = 'Brand#3' THEN 'or_deal' WHEN len(string_split(coalesce(e_name, ''), ' ')) < 2 THEN 'too_few_tokens' ELSE 'minted' END AS verdict FROM enrichments")
@@ -192,10 +362,137 @@ def verdicts(t):
     return t.enrichments.select("id", v.alias("verdict"))
 
 
-@query("REG-05_learned_profile", "SELECT product_id, sum(1)::BIGINT AS sightings, min(week) AS first_seen, max(week) AS last_seen, list_sort(list_distinct(list(store))) AS stores FROM sightings WHERE match_band = 'auto' GROUP BY product_id")
+TOLD = """told AS (SELECT s.product_id, s.offer_id, s.week, s.store, e.e_name AS name, e.corroboration, o.size, CASE WHEN o.line = 2 THEN o.brand || 'x' ELSE o.brand END AS brand FROM sightings s JOIN offers o ON s.offer_id = o.id JOIN enrichments e ON s.offer_id = e.id WHERE s.match_band = 'auto'),
+known AS (SELECT id, status, CASE WHEN sightings % 2 = 0 THEN display_name END AS display, 0.5::DOUBLE AS display_corroboration, DATE '1995-06-05' AS display_week, CASE WHEN sightings % 3 = 0 THEN size_each END AS size, brand_slug AS brand, review_flag FROM products)"""
+
+
+def told(t):
+    o = t.offers.select(F.col("id").alias("offer_id"), "size", F.when(F.col("line") == 2, F.concat("brand", F.lit("x"))).otherwise(F.col("brand")).alias("brand"))
+    e = t.enrichments.select(F.col("id").alias("offer_id"), F.col("e_name").alias("name"), "corroboration")
+    return t.sightings.where("match_band = 'auto'").select("product_id", "offer_id", "week", "store").join(o, "offer_id").join(e, "offer_id")
+
+
+@query("REG-05_learned", f""", {TOLD},
+seen AS (SELECT product_id, arg_min(size, (week, offer_id)) FILTER (size IS NOT NULL) AS s, arg_min(brand, (week, offer_id)) FILTER (brand IS NOT NULL) AS b, count(*) AS n, min(week) AS first_seen, max(week) AS last_seen, list_sort(list_distinct(list(store))) AS stores FROM told GROUP BY 1),
+filled AS (SELECT k.*, coalesce(k.size, s) AS size1, coalesce(k.brand, b) AS brand1, coalesce(n, 0) AS sightings, first_seen, last_seen, stores FROM known k LEFT JOIN seen ON k.id = product_id),
+flags AS (SELECT t.product_id, arg_min(CASE WHEN (greatest(t.size, f.size1) - least(t.size, f.size1))::DOUBLE / greatest(t.size, f.size1) > 0.03 THEN 'size-conflict' ELSE 'brand-conflict' END, (t.week, t.offer_id)) AS flag FROM told t JOIN filled f ON t.product_id = f.id
+  WHERE coalesce((greatest(t.size, f.size1) - least(t.size, f.size1))::DOUBLE / greatest(t.size, f.size1) > 0.03, FALSE) OR coalesce(t.brand <> f.brand1, FALSE) GROUP BY 1),
+line_up AS (SELECT product_id, name, corroboration AS c, week, row_number() OVER (PARTITION BY product_id ORDER BY week, offer_id) AS n FROM told WHERE name IS NOT NULL),
+shown AS (SELECT * FROM (WITH RECURSIVE fold(id, n, display, c, week) AS (SELECT id, 0::BIGINT, display, display_corroboration, display_week FROM known UNION ALL
+  SELECT id, l.n, CASE WHEN take THEN l.name ELSE display END, CASE WHEN take THEN l.c ELSE fold.c END, CASE WHEN take THEN l.week ELSE fold.week END
+  FROM fold JOIN (SELECT * FROM line_up) l ON l.product_id = id AND l.n = fold.n + 1, LATERAL (SELECT display IS NULL OR l.c >= fold.c OR l.week - fold.week > 42 AS take))
+  SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC) = 1))
+SELECT f.id, CASE WHEN f.status = 'dormant' AND f.sightings > 0 THEN 'active' ELSE f.status END AS status, s.display, s.c AS display_corroboration, s.week AS display_week, size1 AS size, brand1 AS brand, coalesce(f.review_flag, flags.flag) AS review_flag, f.sightings, f.first_seen, f.last_seen, f.stores
+FROM filled f JOIN shown s ON f.id = s.id LEFT JOIN flags ON f.id = flags.product_id""")
 def learned(t):
-    g = t.sightings.where("match_band = 'auto'").groupBy("product_id")
-    return g.agg(F.count("*").alias("sightings"), F.min("week").alias("first_seen"), F.max("week").alias("last_seen"), F.array_sort(F.collect_set("store")).alias("stores"))
+    p = t.products.select("id", "status", F.when(F.col("sightings") % 2 == 0, F.col("display_name")).alias("display"), F.lit(0.5).alias("display_corroboration"), F.lit("1995-06-05").cast("date").alias("display_week"), F.when(F.col("sightings") % 3 == 0, F.col("size_each")).alias("size"), F.col("brand_slug").alias("brand"), "review_flag")
+    return R.learn(p, told(t))
+
+
+@query("REG-05_learned_profile", f""", {TOLD}, words AS (SELECT product_id, week, unnest(list_distinct(string_split(lower(name), ' '))) AS token FROM told WHERE name IS NOT NULL UNION ALL SELECT product_id, week, 's' || size FROM told),
+counted AS (SELECT product_id, token, sum(n)::BIGINT AS count, max(week) AS week FROM (SELECT id AS product_id, unnest(tokens) AS token, 3 AS n, DATE '1995-01-02' AS week FROM products UNION ALL SELECT product_id, token, 1, week FROM words) GROUP BY 1, 2)
+SELECT * FROM counted QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY count DESC, week DESC, token DESC) <= 24""")
+def learned_profile(t):
+    own = t.products.select(F.col("id").alias("product_id"), F.explode("tokens").alias("token"), F.lit(3).cast("bigint").alias("count"), F.lit("1995-01-02").cast("date").alias("week"))
+    s = told(t)
+    words = s.where("name is not null").select("product_id", F.explode(F.array_distinct(F.split(F.lower("name"), " "))).alias("token"), "week")
+    sizes = s.select("product_id", F.concat(F.lit("s"), F.col("size").cast("string")).alias("token"), "week")
+    return R.learned_profile(own, words.unionByName(sizes))
+
+
+@query("REG-06_drain_feed", """SELECT id, failed FROM (SELECT *, sum(failed::INTEGER) OVER (ORDER BY detected_at, id) - failed::INTEGER AS before FROM
+  (SELECT e.id, o.detected_at, o.size % 9 = 0 AS failed FROM enrichments e JOIN offers o ON e.id = o.id WHERE e.mint_verdict IS NULL AND e.e_name IS NOT NULL ORDER BY o.detected_at, e.id LIMIT 100)) WHERE before < 5""")
+def drain(t):
+    own = t.enrichments.where("mint_verdict is null and e_name is not null").select("id").join(t.offers.select("id", "detected_at", "size"), "id")
+    return R.drained(own, ["detected_at", "id"], F.col("size") % 9 == 0).select("id", "failed")
+
+
+ACTIONS = """actions AS (SELECT 'clear' AS action, id AS product_id, NULL AS offer_id, NULL AS target FROM products WHERE review_flag IS NOT NULL AND sightings % 2 = 0
+  UNION ALL SELECT 'reassign', NULL, offer_id, CASE WHEN line = 3 THEN 'nowhere' ELSE 'pr|red ring|Brand#1' END FROM sightings WHERE match_band = 'review' AND line IN (2, 3)
+  UNION ALL SELECT 'split', NULL, offer_id, NULL FROM sightings WHERE match_band = 'auto' AND line = 6)"""
+
+
+def actions(t):
+    none = F.lit(None).cast("string")
+    p = t.products.where("review_flag is not null and sightings % 2 = 0").select(F.lit("clear").alias("action"), F.col("id").alias("product_id"), none.alias("offer_id"), none.alias("target"))
+    s = t.sightings
+    to = s.where("match_band = 'review' and line in (2, 3)").select(F.lit("reassign").alias("action"), none.alias("product_id"), "offer_id", F.when(F.col("line") == 3, "nowhere").otherwise("pr|red ring|Brand#1").alias("target"))
+    apart = s.where("match_band = 'auto' and line = 6").select(F.lit("split").alias("action"), none.alias("product_id"), "offer_id", none.alias("target"))
+    return p.unionByName(to).unionByName(apart)
+
+
+@query("REG-09_review_sightings", f""", {ACTIONS} SELECT s.offer_id, coalesce(CASE a.action WHEN 'split' THEN 'sp|' || s.offer_id ELSE a.target END, s.product_id) AS product_id, CASE a.action WHEN 'split' THEN 'created' WHEN 'reassign' THEN 'review' ELSE s.match_band END AS match_band
+  FROM sightings s LEFT JOIN (SELECT * FROM actions WHERE action = 'split' OR target IN (SELECT id FROM products)) a ON s.offer_id = a.offer_id""")
+def review_sightings(t):
+    return R.reviewed(t.products, t.sightings, actions(t))[1].select("offer_id", "product_id", "match_band")
+
+
+@query("REG-09_review_products", f", {ACTIONS} SELECT id, status, CASE WHEN id NOT IN (SELECT product_id FROM actions WHERE action = 'clear') THEN review_flag END AS review_flag FROM products UNION ALL SELECT 'sp|' || offer_id, 'active', NULL FROM actions WHERE action = 'split'")
+def review_products(t):
+    return R.reviewed(t.products, t.sightings, actions(t))[0]
+
+
+LABELLED = f"""{RESOLVE}, labelled AS (SELECT x.k AS a, y.k AS b, x.p_name = y.p_name OR left(x.p_brand, 7) = left(y.p_brand, 7) AS same FROM goods x JOIN goods y ON y.k = x.k + {LINES}),
+grid AS (SELECT a / 100::DOUBLE AS attach, r / 100::DOUBLE AS review FROM (SELECT unnest([60, 65, 70, 75, 80]) AS a), (SELECT unnest([35, 40, 45, 50, 55]) AS r) WHERE r < a),
+outcome AS (SELECT r.id AS read_id, CASE WHEN r.corroboration >= 0.3 THEN b.product_id END AS best, b.score, r.corroboration >= 0.3 AS minted FROM reads r LEFT JOIN best b ON r.id = b.read_id),
+replayed AS (SELECT g.attach AS t_attach, g.review AS t_review, a, b, same, CASE WHEN x.minted THEN CASE WHEN x.score >= g.review THEN x.best ELSE 'new' || a END END AS pa, CASE WHEN y.minted THEN CASE WHEN y.score >= g.review THEN y.best ELSE 'new' || b END END AS pb
+  FROM labelled JOIN outcome x ON a = x.read_id JOIN outcome y ON b = y.read_id, grid g),
+rates AS (SELECT t_attach, t_review, avg((pa = pb)::INTEGER) FILTER (same) AS attach, avg((pa = pb)::INTEGER) FILTER (NOT same) AS wrong, count(*) FILTER (pa IS NULL OR pb IS NULL) AS unresolvable, count(*) AS pairs FROM replayed GROUP BY 1, 2)"""
+
+
+def labelled(t):
+    g = goods(t).select("k", "p_name", F.substring("p_brand", 1, 7).alias("brand"))
+    x, y = g.alias("x"), g.alias("y")
+    j = x.join(y, F.col("y.k") == F.col("x.k") + LINES)
+    return j.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), ((F.col("x.p_name") == F.col("y.p_name")) | (F.col("x.brand") == F.col("y.brand"))).alias("same"))
+
+
+def outcomes(t):
+    """Best product and score of every read that mints; scored once for all settings."""
+    r = reads(t)
+    s = R.pair_scores(asked(t), r, products(t), AISLES)
+    best = first_by(s.where("veto is null"), ["read_id"], F.desc("score"), "product_id").select("read_id", "product_id", "score")
+    return r.select("read_id", (F.col("corroboration") >= 0.3).alias("minted")).join(best, "read_id", "left")
+
+
+def replays(t):
+    """Rates of every setting of the grid: a literal list of at most 25 settings, by which each labelled pair is taken."""
+    grid = [(a / 100, r / 100) for a in (60, 65, 70, 75, 80) for r in (35, 40, 45, 50, 55) if r < a]
+    o = outcomes(t)
+    side = lambda k: o.select(F.col("read_id").alias(k), F.struct("minted", "product_id", "score").alias(f"o{k}"))
+    j = labelled(t).join(side("a"), "a").join(side("b"), "b")
+    j = j.withColumn("g", F.explode(F.array(*[F.struct(F.lit(a).alias("attach"), F.lit(r).alias("review")) for a, r in grid])))
+    got = lambda k: F.when(F.col(f"o{k}.minted"), F.when(F.col(f"o{k}.score") >= F.col("g.review"), F.col(f"o{k}.product_id")).otherwise(F.concat(F.lit("new"), F.col(k).cast("string"))))
+    j = j.select("g", "same", got("a").alias("pa"), got("b").alias("pb"))
+    known, hit = F.col("pa").isNotNull() & F.col("pb").isNotNull(), (F.col("pa") == F.col("pb")).cast("int")
+    rates = j.groupBy("g").agg(F.avg(F.when(F.col("same"), hit)).alias("attach"), F.avg(F.when(~F.col("same"), hit)).alias("wrong"), F.count_if(~known).alias("unresolvable"), F.count("*").alias("pairs"))
+    return rates.select(F.col("g.attach").alias("t_attach"), F.col("g.review").alias("t_review"), "attach", "wrong", "unresolvable", "pairs")
+
+
+@query("REG-10_grid_sweep", f"{LABELLED} SELECT t_attach, t_review, floor(attach * 1e6 + 0.5)::BIGINT AS attach6, floor(wrong * 1e6 + 0.5)::BIGINT AS wrong6, unresolvable, pairs FROM rates")
+def sweep(t):
+    return replays(t).select("t_attach", "t_review", six(F.col("attach")).alias("attach6"), six(F.col("wrong")).alias("wrong6"), "unresolvable", "pairs")
+
+
+@query("RANK-08_sweep_order", f"{LABELLED} SELECT t_attach, t_review, row_number() OVER (ORDER BY coalesce(attach >= 0.95 AND coalesce(wrong <= 0.005, TRUE), FALSE) DESC, coalesce(attach, 0) DESC, coalesce(wrong, 1), t_attach, t_review) AS place FROM rates")
+def sweep_order(t):
+    from pyspark.sql import Window as W
+
+    passed = F.coalesce((F.col("attach") >= R.GATE[0]) & F.coalesce(F.col("wrong") <= R.GATE[1], F.lit(True)), F.lit(False))
+    # 25 settings at most
+    w = W.partitionBy().orderBy(passed.desc(), F.coalesce("attach", F.lit(0.0)).desc(), F.coalesce("wrong", F.lit(1.0)), "t_attach", "t_review")
+    return replays(t).select("t_attach", "t_review", F.row_number().over(w).cast("bigint").alias("place"))
+
+
+@query("AGG-20_confusion", f"""{LABELLED}, own AS (SELECT a, b, same, CASE WHEN x.minted THEN coalesce(rx.product_id, 'new' || a) END AS pa, CASE WHEN y.minted THEN coalesce(ry.product_id, 'new' || b) END AS pb
+  FROM labelled JOIN outcome x ON a = x.read_id JOIN outcome y ON b = y.read_id JOIN resolved rx ON rx.read_id = a JOIN resolved ry ON ry.read_id = b)
+SELECT floor(attach * 1e6 + 0.5)::BIGINT AS attach6, floor(wrong * 1e6 + 0.5)::BIGINT AS wrong6, unresolvable, pairs, coalesce(attach >= 0.95 AND coalesce(wrong <= 0.005, TRUE), FALSE) AS passed
+FROM (SELECT avg((pa = pb)::INTEGER) FILTER (same) AS attach, avg((pa = pb)::INTEGER) FILTER (NOT same) AS wrong, count(*) FILTER (pa IS NULL OR pb IS NULL) AS unresolvable, count(*) AS pairs FROM own)""")
+def confusion(t):
+    r = resolved(t).join(reads(t).select("read_id", "corroboration"), "read_id")
+    own = F.when(F.col("corroboration") >= 0.3, F.coalesce("product_id", F.concat(F.lit("new"), F.col("read_id").cast("string"))))
+    out = R.replay(labelled(t), r.select("read_id", own.alias("product")))
+    return out.select(six(F.col("attach")).alias("attach6"), six(F.col("wrong")).alias("wrong6"), "unresolvable", "pairs", "passed")
 
 
 @query("REG-08_dormancy", f"SELECT p.id, CASE WHEN p.status = 'active' AND DATE '{TODAY}' - s.last_seen > 42 THEN 'dormant' ELSE p.status END AS status FROM products p LEFT JOIN (SELECT product_id, max(week) AS last_seen FROM sightings WHERE week <= DATE '{TODAY}' GROUP BY 1) s ON p.id = s.product_id")
@@ -204,6 +501,11 @@ def dormancy(t):
     return R.dormant(t.products.join(s, "id", "left"), "last_seen", now()).select("id", "status")
 
 
-@query("RANK-12_stratified_sample", None)
+@query("RANK-12_stratified_sample", f"""{RESOLVE}, strata AS (SELECT read_id, product_id, CASE WHEN score >= 0.85::DOUBLE THEN 'high' WHEN score >= 0.7::DOUBLE THEN 'attach-edge' WHEN score >= 0.45::DOUBLE THEN 'review-band' WHEN score >= 0.3::DOUBLE THEN 'create-edge' ELSE 'low' END AS stratum FROM scores WHERE veto IS NULL AND score > 0)
+SELECT * FROM strata QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY md5('42|' || read_id || '|' || product_id), read_id, product_id) <= 60""")
 def stratified(t):
-    return R.first_n(t.products.withColumn("h", F.xxhash64(F.lit(42), "id")), ["status"], 60, "h", "id").select("id", "status")
+    s = R.pair_scores(asked(t), reads(t), products(t), AISLES).where("veto is null and score > 0")
+    s = s.select("read_id", "product_id", R.stratum(F.col("score")).alias("stratum"))
+    # the seed is part of what is hashed
+    s = s.withColumn("h", F.md5(F.concat_ws("|", F.lit("42"), F.col("read_id").cast("string"), "product_id").cast("binary")))
+    return R.first_n(s, ["stratum"], 60, "h", "read_id", "product_id").drop("h")

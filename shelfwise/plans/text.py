@@ -25,7 +25,6 @@ NORM = (
     + T.FOLD_TO
     + "'), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 )
-SAMPLES = ["حليب المراعي الطازج 2 لتر", "Almarai FRESH Milk, 2L!", "أكياس شاي  ١٠٠", "والدجاج بالليمون", "", "Crème brûlée – 4 x 125 g", None]
 
 
 @query("TXT-01_normalize", f"SELECT doc_id, md5({NORM.format('text')}) AS norm_md5 FROM documents")
@@ -33,12 +32,6 @@ def normalize(t):
     return t.read("documents").select("doc_id", F.md5(T.normalize_text(F.col("text")).cast("binary")).alias("norm_md5"))
 
 
-@query("TXT-02_canonical", "SELECT n, " + NORM.format("s") + " AS norm FROM (VALUES " + ", ".join(f"({i}, {'NULL' if s is None else repr(s)})" for i, s in enumerate(SAMPLES)) + ") v(n, s)")
-def canonical(t):
-    df = t.spark.createDataFrame(list(enumerate(SAMPLES)), "n int, s string")
-    return df.select("n", T.normalize_text(F.col("s")).alias("norm"))
-
-
 NAMES = "(SELECT p_partkey, p_name, string_split(p_name, ' ') AS w FROM part)"
 
 
@@ -103,11 +96,6 @@ LEXICON = {"ring": ["ring", "rod"], "machine": ["gear", "widget", "gizmo"], "pla
 FAMILY = "CASE WHEN w[2] IN ('ring', 'rod') THEN 'ring' WHEN w[2] IN ('gear', 'widget', 'gizmo') THEN 'machine' WHEN w[2] IN ('plate', 'anvil') THEN 'plate' END"
 
 
-@query("CLS-01_family", f"SELECT p_partkey, {FAMILY} AS family FROM {NAMES}")
-def family(t):
-    return T.with_words(t.read("part"), "p_name", "x").select("p_partkey", Fm.family(F.col("x_words"), base=LEXICON).alias("family"))
-
-
 @query("CLS-04_offer_family", f"SELECT p_partkey, coalesce({FAMILY}, CASE WHEN p_type = 'PROMO' THEN 'eggs' END) AS family FROM (SELECT *, string_split(p_name, ' ') AS w FROM part)")
 def offer_family(t):
     df = T.with_words(t.read("part"), "p_name", "x")
@@ -128,36 +116,7 @@ def banded(t):
     return Se.retrieve(t.current_offers, T.Query.of("hot r"), "search_text").select("id", "band")
 
 
-@query("SEA-01_search", f"SELECT id, 5 AS stage, price_cents FROM offers WHERE valid_to >= DATE '{TODAY}' AND name = 'hot rod' ORDER BY price_cents, id LIMIT 40")
-def search(t):
-    df = Se.search(t.current_offers, T.Query.of("hot rod"), "name", "search_text", "brand", 40)
-    return df.select("id", "stage", "price_cents")
-
-
 @query("RANK-03_search_order", f"SELECT id, CASE WHEN name LIKE 'ring%' OR name = 'new ring' THEN 5 ELSE 4 END AS stage, price_cents FROM (SELECT * FROM offers WHERE valid_to >= DATE '{TODAY}' AND list_contains(string_split(name, ' '), 'ring') ORDER BY price_cents, id LIMIT 120) ORDER BY 2 DESC, price_cents, id LIMIT 40")
 def search_order(t):
     df = Se.search(t.current_offers, T.Query.of("ring"), "name", "search_text", "brand", 40)
     return df.select("id", "stage", "price_cents")
-
-
-POOL = f"""pool AS (SELECT s_suppkey % 20 AS q, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_extendedprice AS id, CASE WHEN p_size > 25 THEN 5 WHEN p_size > 10 THEN 4 ELSE 2 END AS stage, CASE WHEN p_type IN ('PROMO', 'LARGE', 'SMALL') THEN 'a' WHEN p_type = 'ECONOMY' THEN 'b' END AS family, CASE WHEN p_brand = 'Brand#1' THEN 'x' WHEN p_brand = 'Brand#2' THEN 'y' END AS type
-  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"""
-
-
-@query("LAD-01_gate_ladder", f""", {POOL}, s AS (SELECT *, CASE WHEN stage < max(stage) OVER (PARTITION BY q) THEN 'stage' END AS e1 FROM pool),
-  f AS (SELECT *, count(*) FILTER (e1 IS NULL AND family IS NOT NULL) OVER (PARTITION BY q) AS known, count(*) FILTER (e1 IS NULL AND family IS NOT NULL) OVER (PARTITION BY q, family) AS same FROM s),
-  g AS (SELECT *, max(CASE WHEN e1 IS NULL AND family IS NOT NULL AND same >= 2 AND same * 2 > known THEN family END) OVER (PARTITION BY q) AS target FROM f),
-  h AS (SELECT *, CASE WHEN e1 IS NOT NULL THEN e1 WHEN coalesce(family <> target, FALSE) AND count(*) FILTER (e1 IS NULL AND NOT coalesce(family <> target, FALSE)) OVER (PARTITION BY q) > 0 THEN 'family' END AS e2 FROM g)
-  SELECT q, id, target AS target_family, CASE WHEN e2 IS NOT NULL THEN e2 WHEN coalesce(type <> 'x', FALSE) AND count(*) FILTER (e2 IS NULL AND NOT coalesce(type <> 'x', FALSE)) OVER (PARTITION BY q) > 0 THEN 'type' END AS excluded FROM h""")
-def gate_ladder(t):
-    li, p, s = t.read("lineitem"), t.read("part"), t.read("supplier")
-    j = li.join(p, li.l_partkey == p.p_partkey).join(s, li.l_suppkey == s.s_suppkey)
-    pool = j.select(
-        (F.col("s_suppkey") % 20).alias("q"),
-        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_extendedprice").cast("string")).alias("id"),
-        F.when(F.col("p_size") > 25, 5).when(F.col("p_size") > 10, 4).otherwise(2).alias("stage"),
-        F.when(F.col("p_type").isin("PROMO", "LARGE", "SMALL"), "a").when(F.col("p_type") == "ECONOMY", "b").alias("family"),
-        F.when(F.col("p_brand") == "Brand#1", "x").when(F.col("p_brand") == "Brand#2", "y").alias("type"),
-    )
-    out = Se.ladder(pool, ["q"], Se.POLICIES["summary"], F.lit(False), F.lit(None).cast("string"), F.lit("x"))
-    return out.select("q", "id", "target_family", "excluded")

@@ -129,6 +129,56 @@ def cents_items(pages: DataFrame, body: str = "body", most: int = 40) -> DataFra
     return i.select("i.id", "i.name", price.alias("price"), old_if_more(F.col("i.was") / F.lit(100.0), price).alias("old_price"))
 
 
+LIST = "struct<products:array<struct<id:string,name:string,price:double,retail:double>>>"
+
+
+def list_items(pages: DataFrame, body: str = "body") -> DataFrame:
+    """Items of a JSON list: the retail price is the old one where it is higher, and gives the label of the discount."""
+    i = pages.select(F.explode(F.from_json(F.col(body), LIST)["products"]).alias("i"))
+    old = old_if_more(F.col("i.retail"), F.col("i.price"))
+    label = F.concat(F.floor((old - F.col("i.price")) / old * 100 + 0.5).cast("string"), F.lit("% OFF"))
+    return i.select("i.id", "i.name", "i.price", old.alias("old_price"), label.alias("label"))
+
+
+def asked_again(search: Column, status: Column) -> Column:
+    """What a store that refused a search of several words (status 422) is asked: the longest word, the first of equals;
+    null where it isn't asked again."""
+    ws = F.split(F.trim(search), r"\s+")
+    longest = F.reduce(ws, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    return F.when((status == 422) & (F.size(ws) > 1), longest)
+
+
+def paged_items(pages: DataFrame, keys: list[str], page: str = "page", body: str = "body") -> DataFrame:
+    """Items of a search's JSON pages, each id once: the first page, then the first place counts."""
+    i = pages.select(*keys, F.col(page).alias("_p"), F.posexplode(F.from_json(F.col(body), LIST)["products"]).alias("_i", "i"))
+    one = i.groupBy(*keys, F.col("i.id").alias("id")).agg(F.min(F.struct("_p", "_i", F.col("i.name").alias("name"), F.col("i.price").alias("price"))).alias("b"))
+    return one.select(*keys, "id", "b.name", "b.price")
+
+
+def first_good(attempts: DataFrame, key: str, attempt: str, status: str = "status", html: str = "html") -> DataFrame:
+    """Of each page the first attempt that wasn't blocked; pages of blocked attempts alone are left out."""
+    good = attempts.where(block_kind(F.col(status), F.col(html)).isNull())
+    return good.groupBy(key).agg(F.min(F.struct(attempt, html)).alias("b")).select(key, f"b.{attempt}", f"b.{html}")
+
+
+def flyer_pdfs(indexes: DataFrame, config: DataFrame) -> DataFrame:
+    """(store, pdf_url, published): the current flyer of each store's index page (store, url, html, modified).
+
+    ``config`` (store, pattern) says what its links look like; of several the one that comes last in the alphabet is
+    current (links carry dates). Links within the site are made absolute; ``published`` is the day the index was modified.
+    """
+    links = indexes.select("store", "url", "modified", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("link")).join(config, "store").where(F.expr("link rlike pattern"))
+    g = links.groupBy("store", "url", "modified").agg(F.max("link").alias("link"))
+    site = F.regexp_extract("url", "^(https?://[^/]+)", 1)
+    return g.select("store", F.when(F.col("link").startswith("/"), F.concat(site, "link")).otherwise(F.col("link")).alias("pdf_url"), F.to_date("modified").alias("published"))
+
+
+def addresses(stores: DataFrame, config: DataFrame) -> DataFrame:
+    """(key, address): the configured address of a store, or else the number that its key ends with."""
+    own = F.regexp_extract("key", r"-(\d+)$", 1).try_cast("bigint")
+    return stores.join(config.select("key", F.col("address").alias("_a")), "key", "left").select("key", F.coalesce("_a", own).alias("address"))
+
+
 def longest_token(search: str) -> str:
     """What a store that refuses several words is asked again with: the longest word, the first of equals."""
     return max(search.split(), key=len, default="")
@@ -267,6 +317,50 @@ class Keys:
             self.until[key] = now + self.rest
 
 
+class Refused(Exception):
+    """A model call that failed for its key: ``auth`` (the key is dead), ``rate`` (it rests) or ``transient``."""
+
+
+def enriched(rows: DataFrame, model: Callable, keys: list[str]) -> DataFrame:
+    """(id, outcome, name) of rows (id, content) read by ``model`` (key, id, content).
+
+    A reading is stored, a declined one (None) too; an error of the row skips that row; a refused key hands the row on to
+    the next key, and without keys, or where the model is down, the rest of a task's rows are left for the next run.
+    """
+
+    def run(batches):
+        import time
+
+        import pyarrow as pa
+
+        pool, stopped = Keys(list(keys)), False
+        for b in batches:
+            out = []
+            for item, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                outcome, name = "left", None
+                while not stopped:
+                    key = pool.pick(time.time())
+                    if key is None:
+                        stopped = True
+                        break
+                    try:
+                        name = model(key, item, content or "")
+                        outcome = "declined" if name is None else "read"
+                    except Refused as error:
+                        if str(error) in ("auth", "rate"):
+                            pool.report(key, str(error), time.time())
+                            continue
+                        stopped = True
+                    except Exception:  # the row's own failure: it is skipped, the others go on
+                        outcome = "skipped"
+                    break
+                out.append((item, outcome, name))
+            cols = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["id", "outcome", "name"])
+
+    return rows.select("id", "content").mapInArrow(run, "id bigint, outcome string, name string")
+
+
 def settled(jobs: dict[str, Callable[[], object]]) -> dict[str, tuple[bool, object]]:
     """Every job's result or error; one failure never blocks the others."""
     out: dict[str, tuple[bool, object]] = {}

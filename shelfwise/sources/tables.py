@@ -56,8 +56,8 @@ class Tables:
         kind = self.read("lineitem").schema["l_shipdate"].dataType
         return self.offers_of(self.read("lineitem").where(F.col("l_shipdate") >= monday.cast(kind)))
 
-    def offers_of(self, li: DataFrame) -> DataFrame:
-        part = self.read("part")
+    def offers_of(self, li: DataFrame, part: DataFrame | None = None) -> DataFrame:
+        part = self.read("part") if part is None else part
         old = li.l_extendedprice / li.l_quantity
         j = li.join(part, li.l_partkey == part.p_partkey).join(self.stores, li.l_suppkey == F.col("store_id"))
         week = F.date_trunc("week", "l_shipdate").cast("date")

@@ -3,6 +3,7 @@ crossing detector and a heartbeat. Windows over event time are extensions of the
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 CROSSING_STATE = StructType([StructField("below", BooleanType()), StructField("ts", LongType())])
 CROSSING_OUT = "watch bigint, id bigint, price bigint"
@@ -70,30 +71,70 @@ def sessions(events: DataFrame, key: str, ts: str, gap: str = "30 minutes", dela
     return events.withWatermark(ts, delay).groupBy(key, F.session_window(F.col(ts), gap).alias("w")).agg(F.count("*").alias("events")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
 
+PROFILE_STATE = StructType([StructField("version", LongType()), StructField("tokens", StringType())])
+PROFILE_OUT = "product bigint, version bigint, token string, count bigint, week string"
+
+
+class Profiles(StatefulProcessor):
+    """Per product: the tokens that its sightings taught, with count and newest week, the ``cap`` best kept after a batch."""
+
+    def __init__(self, cap: int):
+        self.cap = cap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("profile", PROFILE_STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        version, known = self.state.get() if self.state.exists() else (0, "{}")
+        tokens = {t: (n, w) for t, (n, w) in json.loads(known).items()}
+        # chunk by chunk: what is held is a product's tokens, not its sightings
+        for chunk in rows:
+            for token, g in chunk.groupby("token"):
+                n, w = tokens.get(token, (0, ""))
+                tokens[token] = (n + len(g), max(w, g["week"].max()))
+        best = sorted(tokens.items(), key=lambda x: (x[1], x[0]), reverse=True)[: self.cap]
+        self.state.update((version + 1, json.dumps(dict(best))))
+        yield pd.DataFrame([(key[0], version + 1, t, n, w) for t, (n, w) in best], columns=["product", "version", "token", "count", "week"])
+
+    def close(self) -> None:
+        pass
+
+
+def profiles(sightings: DataFrame, cap: int = 24) -> DataFrame:
+    """Profiles of a stream of (product, token, week as text): of each product every version, the newest one counts."""
+    own = sightings.select("product", "token", "week")
+    return own.groupBy("product").transformWithStateInPandas(statefulProcessor=Profiles(cap), outputStructType=PROFILE_OUT, outputMode="Append", timeMode="None")
+
+
+def newest_profiles(versions: DataFrame) -> DataFrame:
+    """The newest version of every product's profile."""
+    last = versions.groupBy("product").agg(F.max("version").alias("version"))
+    return versions.join(last, ["product", "version"]).drop("version")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that a cluster's machines share, or one of this machine where the session names none, as in tests."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="streams-")
+    """The folder that a cluster's machines share; a session of one machine that names none, as in tests, gets one."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return named or tempfile.mkdtemp(prefix="streams-")
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table's files as a stream."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
+    """A table's files as a stream, in a session of its own that keeps states of several columns."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(key, spark.conf.get(key))
+    schema = own.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return own.readStream.schema(schema).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
 
 
-def completed(stream: DataFrame) -> DataFrame:
-    """Runs what a stream holds now into files, exactly once under its checkpoint, and reads them."""
-    spark = stream.sparkSession
+def completed(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """Runs what a stream holds now into files, exactly once under its checkpoint, and reads them in ``spark``."""
     path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    # states of several columns need this store
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        q = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-        q.awaitTermination()
-    finally:
-        spark.conf.set(provider, before) if before is not None else spark.conf.unset(provider)
+    q = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
