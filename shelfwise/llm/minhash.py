@@ -242,15 +242,26 @@ def compared(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut_lineage(full.mapInArrow(run, "a bigint, b bigint"))
 
 
-def small_and_large(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of small nodes after ``EARLY`` branchings, and those of larger ones; of nodes of the same documents, in
-    whatever trees, the small ones come once."""
+def is_small(docs, shingles):
+    return (docs <= SMALL_DOCS) & (shingles <= SMALL_SHINGLES)
+
+
+def small_nodes(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of small nodes after ``EARLY`` branchings, of nodes of the same documents, in whatever trees, once; and
+    the keys of the larger ones."""
     nodes = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("w").alias("w"), *[F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (1, 2)])
-    nodes = cut_lineage(nodes.withColumn("small", (F.col("n") <= SMALL_DOCS) & (F.col("w") <= SMALL_SHINGLES)))
+    nodes = cut_lineage(nodes.withColumn("small", is_small(F.col("n"), F.col("w"))))
     once = cut_lineage(nodes.where("small").groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key"))
-    large = cut_lineage(nodes.where("not small").select("key"))
     small = members.join(sized_broadcast(once, once.count()), "key", "left_semi").select("key", "id", "w")
-    return small, cut_lineage(members.join(sized_broadcast(large, large.count()), "key", "left_semi").select("key", "tree", "id", "w"))
+    return small, cut_lineage(nodes.where("not small").select("key"))
+
+
+def open_large(members: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows (key, id, w, comp) of larger nodes whose members aren't all known to be one component."""
+    rows = cut_lineage(with_known(members.select("key", "id", "w"), known))
+    nodes = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.min("comp").alias("a"), F.max("comp").alias("b"))
+    keys = cut_lineage(nodes.where((F.col("a") < F.col("b")) & ~is_small(F.col("n"), F.col("w"))).select("key"))
+    return rows.join(sized_broadcast(keys, keys.count()), "key", "left_semi")
 
 
 def narrow_and_dense(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -306,7 +317,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     named = sigs.join(copies, "digest", "left").withColumn("rep", F.coalesce("first", "id"))
     reps = named.where("id = rep and digest is not null")
     members = members_of(reps.select("id", F.col("n_shingles").alias("w"), F.posexplode("keys").alias("tree", "key")))
-    small, large = small_and_large(members)
+    small, large = small_nodes(members)
 
     # full sets only of documents that share a node, made anew from their texts
     shared = cut_lineage(members.select("id").distinct())
@@ -325,8 +336,9 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     links = compared(dealt(gathered(with_known(small, None))), sets, percent)
     known = cut_lineage(connected_components(links))
     if not large.isEmpty():
-        links, known = more(links, known_of(large.where(F.col("tree") < STAR_TREES)), star=True)
-        narrow, dense = narrow_and_dense(known_of(large))
+        first = members.where(F.col("tree") < STAR_TREES).join(sized_broadcast(large, large.count()), "key", "left_semi")
+        links, known = more(links, known_of(first), star=True)
+        narrow, dense = narrow_and_dense(open_large(members, known))
         if not narrow.isEmpty():
             links, known = more(links, gathered(narrow))
         if not dense.isEmpty():

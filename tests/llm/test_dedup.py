@@ -111,7 +111,7 @@ def test_copies_of_a_long_chain_are_bounded(spark):
     mult = minhash.multipliers()
     keys = minhash.node_keys(np.stack([minhash.minwise(minhash.shingle_set(t, 3), mult) for _, t in rows]), trees, minhash.EARLY).view(np.int64)
     members = minhash.members_of(spark.createDataFrame([(i, t, int(k), 58) for i, ks in enumerate(keys) for t, k in enumerate(ks)], "id long, tree int, key long, w long"))
-    small, large = minhash.small_and_large(members)
+    small, large = minhash.small_nodes(members)
     assert large.count() == 0
     copies = minhash.dealt(minhash.gathered(minhash.with_known(small, None))).count()
     assert copies <= min(small.count(), 19 * len(rows))
