@@ -15,7 +15,7 @@ from .common import Remembered, crc32, map_texts
 SPACE = "▁"
 #: Distinct stretches of text, and pairs of pieces, that a worker remembers in each of two generations (results do not change).
 CACHE_STRETCHES, CACHE_PAIRS = 600_000, 400_000
-#: Longer stretches aren't remembered, and are encoded as a stream.
+#: Longer stretches aren't remembered.
 LONG = 64
 
 
@@ -54,7 +54,7 @@ class Pieces:
                 self.surface.append(p.piece.replace(SPACE, " ").encode() if p.type == 1 else b"")
         self.longest = max(map(len, self.ids))
         self.pairs = Remembered(CACHE_PAIRS, lambda ab: self.merged(ab[0] + ab[1]) == [*ab])
-        self.known = Remembered(CACHE_STRETCHES, lambda s: self.packed(self.path(s)))
+        self.known = Remembered(CACHE_STRETCHES, lambda s: self.packed(self.stream(s)))
         # a piece that its own merging doesn't give can't be in an encoding
         self.usable = {p for p in self.ids if len(p) == 1 or self.merged(p) == [p]}
         self.stretches = self.closed()
@@ -85,27 +85,12 @@ class Pieces:
             i = -best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    def path(self, text: str) -> list[str]:
-        """Pieces of a short stretch: the Viterbi pass of ``stream`` with the whole stretch as its window."""
-        n, usable, longest, pairs = len(text), self.usable, self.longest, self.pairs
-        last, start = [""] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(i - longest if i > longest else 0, i):
-                piece = text[j:i]
-                if (piece in usable or i - j == 1) and (not j or pairs[last[j], piece]):
-                    last[i], start[i] = piece, j
-                    break
-        out = []
-        while n:
-            out.append(last[n])
-            n = start[n]
-        return out[::-1]
-
     def stream(self, chars: Iterable[str]) -> Iterator[str]:
         """Pieces of a stream of characters, each as soon as all surviving paths share it.
 
         Kept are the surviving edges (start, piece) of the positions since the last commit. Any edge to come starts at
-        one of the last ``longest`` positions; where the paths back from these meet, all before is committed.
+        one of the last ``longest`` positions; where the paths back from these meet, all before is committed. A stream that
+        ends sooner than a window is committed at its end, where one path is left.
         """
         window = ""  # characters since the last commit
         edges: list[tuple[int, str] | None] = [None]  # by position in the window; None: no path ends here
@@ -163,6 +148,7 @@ class Pieces:
         return np.array(ids, "<u4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
+        """Ids of a text: stretches between which all paths meet, each by the streaming pass; short ones are remembered."""
         if not text:
             return np.zeros(0, "<u4")
         parts = self.stretches.findall(self.prefix + text.replace(" ", SPACE))
@@ -172,8 +158,13 @@ class Pieces:
         return np.frombuffer(b"".join(known[p] if len(p) <= LONG else self.packed(self.stream(p)) for p in parts), "<u4")
 
     def decode(self, ids) -> str:
-        """Text of ids: surfaces joined, bytes put together, the space that encoding put first taken away."""
-        raw = b"".join(map(self.surface.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
+        """Text of ids: surfaces joined, bytes put together, the space that encoding put first taken away.
+
+        An id outside the model raises a ValueError."""
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
+        if len(ids) and not (0 <= min(ids) and max(ids) < len(self.surface)):
+            raise ValueError(f"ids must be 0 to {len(self.surface) - 1}")
+        raw = b"".join(map(self.surface.__getitem__, ids))
         if self.prefix and raw[:1] == b" ":
             raw = raw[1:]
         return raw.decode("utf-8", "replace")
