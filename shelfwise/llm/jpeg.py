@@ -469,21 +469,45 @@ def decode_media(df: DataFrame, media_col: str = "media", keep: dict[str, str] |
     return decoded(df, media_col, keep or {}, lambda media, _: one(media), {"height": "int", "width": "int", "tensor": "binary"})
 
 
-def stored_digests(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Of stored texts: digests of the payload read back from the file, of the file, and a feature of its RGB tensor."""
+def read_back(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Of stored texts (id, n_bytes, payload_bytes, media): digests of the payload read back and of the file, and the
+    file's RGB tensor as a column (height, width, tensor). Rows come back one for one; an empty table gives none."""
 
     def one(media: bytes, n: int) -> dict:
         image = Progressive(media)
         payload = read_payload(image, n)
         rgb = image.rgb()
-        sums = rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64).tolist()
-        feature = f"{rgb.shape[0]}x{rgb.shape[1]}:" + ":".join(map(str, sums)) + f":{crc32(rgb.tobytes()):08x}"
-        return {"payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": crc32(payload[-UNIT:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature}
+        return {"payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": crc32(payload[-UNIT:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "height": rgb.shape[0], "width": rgb.shape[1], "tensor": rgb.tobytes()}
 
-    types = {"payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string"}
+    types = {"payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "height": "int", "width": "int", "tensor": "binary"}
     return decoded(df, "media", {id_col: "bigint", "n_bytes": "bigint", "payload_bytes": "bigint"}, one, types, "payload_bytes")
 
 
+def tensor_features(df: DataFrame, keep: dict[str, str]) -> DataFrame:
+    """The columns ``keep`` (name -> type) and ``feature`` of a tensor column: height, width, sums of the channels, checksum.
+
+    A null tensor has no feature; rows come back one for one, repeated rows alike; an empty table gives none.
+    """
+
+    def one(tensor: bytes | None, width: int) -> dict:
+        if tensor is None:
+            return {"feature": None}
+        rgb = np.frombuffer(tensor, np.uint8).reshape(-1, 3)
+        sums = rgb.sum(axis=0, dtype=np.int64).tolist()
+        return {"feature": f"{len(rgb) // width}x{width}:" + ":".join(map(str, sums)) + f":{crc32(tensor):08x}"}
+
+    return decoded(df, "tensor", keep, one, {"feature": "string"}, "width")
+
+
+def stored_digests(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Of stored texts: digests of the payload read back from the file, of the file, and a feature of its RGB tensor column.
+
+    Rows come back one for one, repeated and null ids included; an empty table gives none.
+    """
+    keep = {id_col: "bigint", "n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string"}
+    return tensor_features(read_back(df, id_col), keep)
+
+
 def decoded(df: DataFrame, media_col: str, keep: dict[str, str], fn, out: dict[str, str], arg: str | None = None) -> DataFrame:
     from .common import ARROW
 

@@ -208,3 +208,14 @@ def test_decode_media(spark):
     df = spark.createDataFrame([(1, bytearray(media), "x"), (2, None, "y"), (3, bytearray(b""), None), (4, bytearray(b"\xff\xd8broken"), "z")], "k int, media binary, tensor string")
     got = {r.k: r for r in jpeg.decode_media(df, keep={"k": "int"}).collect()}
     assert got[1].height * got[1].width * 3 == len(got[1].tensor) and got[2].tensor is got[3].tensor is got[4].tensor is None
+
+
+def test_tensor_column(spark):
+    df = spark.createDataFrame([(1, "some text " * 40), (2, None), (2, "é")], "doc_id long, text string")
+    stored = jpeg.store_texts(df)
+    back = jpeg.read_back(stored).collect()
+    media = [bytes(r.media) for r in stored.collect()]
+    want = sorted(jpeg.Progressive(m).rgb().tobytes() for m in media)
+    assert sorted(bytes(r.tensor) for r in back) == want and all(len(r.tensor) == 3 * r.height * r.width for r in back)
+    none = spark.createDataFrame([(1, None, None)], "k int, tensor binary, width int")
+    assert jpeg.tensor_features(none, {"k": "int"}).first().feature is None
