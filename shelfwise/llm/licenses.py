@@ -72,7 +72,8 @@ def matches(text: str, match: float = MATCH) -> Column:
 
     Passages are the lines of a text and its paragraphs of several lines.
     """
-    cue = quoted("(?i)\\b(" + "|".join(CUES) + ")")
+    # the cues are proved for matches from MATCH on; for a lower one every passage is compared
+    cue = quoted("(?i)\\b(" + "|".join(CUES) + ")") if match >= MATCH else quoted("")
     lines = f"transform(split({text}, '\\n', -1), (x, i) -> named_struct('x', x, 'i', i + 1))"
     paragraphs = f"transform(split({text}, '\\\\n[ \\\\t\\\\r]*\\\\n', -1), (x, i) -> named_struct('x', x, 'i', -1 - i))"
     passages = f"filter(concat(filter({lines}, p -> p.x rlike {cue}), filter({paragraphs}, p -> instr(p.x, '\\n') > 0 and p.x rlike {cue})), p -> true)"

@@ -151,6 +151,14 @@ def test_cues_prune_without_loss():
         assert len(grams) - len(cued) < least, t
 
 
+def test_a_lower_match_loses_no_passage(spark):
+    rows = ["Foo bar the archive, Version 2.0, was here", "to the extent of it all, waived here", "nothing"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for r in licenses.scan_licenses(df, match=0.2).collect():
+        want = sorted((round(dice(r.text, t), 9), n) for n, (_, t) in enumerate(licenses.TEMPLATES) if dice(r.text, t) >= 0.2)
+        assert sorted((round(m.dice, 9), m.template) for m in r.license_matches if m.passage == 1) == want
+
+
 def test_notices_within_lines_and_standard_bodies(spark):
     inner = [
         ("The archive was restored in spring. Released under the MIT License. Copies are kept in the hall.", "MIT", 1),
