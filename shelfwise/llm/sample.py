@@ -11,16 +11,27 @@ from .common import crc_mod
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_mod: int, held_rem: int, max_rows: int, max_chars: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
     """Texts and labels (0 or 1) of at most ``max_rows`` labelled rows outside the held-out remainder.
 
-    The rows are those with the smallest hashes of their ids, so the choice does not depend on partitioning.
-    Texts of over ``max_chars`` characters are not trained on (they are scored all the same). Of repeated ids the
-    largest label counts; equal texts are trained on once. Rows with a null id, label or text are left out.
-    Only this bounded sample comes to the driver.
+    The rows are those with the smallest hashes of their ids, so the choice does not depend on partitioning, and as many
+    of them as hold ``max_chars`` characters in all (the first one whatever its length); every text is whole. Of repeated
+    ids the largest label counts; equal texts are trained on once. Rows with a null id, label or text are left out.
+    Only lengths and hashes of at most ``max_rows`` rows, then the bounded sample, come to the driver.
     """
     own = labels.select(F.col(id_col).cast("bigint").alias("_id"), F.col(label).cast("int").alias("_y"))
     own = own.where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & (crc_mod(F.col("_id"), held_mod) != held_rem))
     chosen = own.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_t")).where(F.col("_t").isNotNull() & (F.length("_t") <= max_chars))
-    rows = texts.join(F.broadcast(chosen), "_id").collect()
+    texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_t")).where(F.col("_t").isNotNull())
+    texts = texts.select("_id", "_t", F.xxhash64("_t").alias("_k")).join(F.broadcast(chosen), "_id")
+    sizes = texts.select("_id", "_k", F.length("_t").alias("_n")).orderBy(F.xxhash64("_id"), "_id", "_k").limit(max_rows).collect()
+    keys, held = [], 0
+    for r in sizes:
+        held += r["_n"]
+        if held > max_chars and keys:
+            break
+        keys.append((r["_id"], r["_k"]))
+    if not keys:
+        return [], []
+    some = docs.sparkSession.createDataFrame(sorted(set(keys)), "_id bigint, _k bigint")
+    rows = texts.join(F.broadcast(some), ["_id", "_k"]).dropDuplicates(["_id", "_k"]).select("_id", "_y", "_t").collect()
     seen: dict[str, tuple[int, int]] = {}
     for r in sorted(rows, key=lambda r: (r["_id"], r["_t"])):
         seen.setdefault(r["_t"], (r["_id"], r["_y"]))

@@ -157,7 +157,7 @@ def fit(texts: list[str], y: list[int], steps: int = 120, warm: int = 40, rate:
     return ToxicityModel(value, bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_chars: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_chars: int = 32_000_000, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """A model fitted on at most ``max_rows`` labelled rows whose crc32(id as text) mod 5 is not 0."""
     return fit(*labelled_sample(docs, labels, "toxic", 5, 0, max_rows, max_chars, id_col, text_col))
 

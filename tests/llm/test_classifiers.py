@@ -1,8 +1,10 @@
 """Quality and toxicity: held-out accuracy, misspellings, degenerate training sets and odd tables."""
 
+import math
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfwise.llm import quality, queries, toxicity
 
@@ -66,3 +68,51 @@ def test_equal_texts_get_equal_scores(odd, docs, labels):
             if r.doc_id is not None:
                 scores.setdefault(texts[r.doc_id] or "", set()).add(r.score)
         assert all(len(s) == 1 for s in scores.values())
+
+
+def plain_toxicity(m, text):
+    """The score word by word and window by window, from the fitted array alone."""
+    logits = []
+    words = text.lower().split()
+    value = []
+    for w in words:
+        grams = [f"<{w}>"] + [f"<{w}>"[i : i + n] for n in (3, 4, 5) for i in range(len(w) + 3 - n)]
+        value.append(sum(float(m.value[zlib.crc32(g.encode()) % len(m.value)]) for g in grams) / len(grams))
+    for i in range(max(1, len(value) - 31)):
+        window = value[i : i + 32]
+        logits.append(sum(window) / len(window) if window else 0.0)
+    return 1 / (1 + math.exp(-(max(logits) + m.bias)))
+
+
+def plain_quality(m, text):
+    """The score feature by feature, from the fitted arrays alone."""
+    raw = 0.0
+    for x, mean, std, w in zip(quality.features(text).tolist(), m.mean.tolist(), m.std.tolist(), m.weight.tolist()):
+        raw += min(8.0, max(-8.0, (x - mean) / std)) * w
+    return 1 / (1 + math.exp(-(raw - m.threshold) / m.scale))
+
+
+def test_scores_against_a_plain_scorer(spark, labelled):
+    d, _ = labelled
+    docs, labels = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("documents", "labels"))
+    texts = {r.doc_id: r.text or "" for r in docs.limit(150).collect()}
+    q, t = quality.train(docs, labels), toxicity.train(docs, labels)
+    some = docs.where(F.col("doc_id").isin(list(texts)))
+    for r in toxicity.score_toxicity(some, t).collect():
+        assert math.isclose(r.score, plain_toxicity(t, texts[r.doc_id]), rel_tol=1e-4, abs_tol=1e-6)
+    for r in quality.score_quality(some, q).collect():
+        assert math.isclose(r.score, plain_quality(q, texts[r.doc_id]), rel_tol=1e-6, abs_tol=1e-9)
+
+
+def test_sample_is_bounded(spark):
+    from shelfwise.llm.sample import labelled_sample
+
+    # one id many times over, long texts, ties
+    rows = [(1, "same text")] * 50 + [(1, f"other {i}") for i in range(50)] + [(i, "x" * 1000 + str(i)) for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 60)], "doc_id long, quality int, toxic int")
+    texts, y = labelled_sample(docs, labels, "quality", 3, 1, 1000, 10_000)
+    assert len(texts) == len(y) == len(set(texts)) and sum(map(len, texts)) <= 10_000
+    assert len(labelled_sample(docs, labels, "quality", 3, 1, 7, 10_000)[0]) <= 7
+    whole, _ = labelled_sample(docs, labels, "quality", 3, 1, 1000, 1)
+    assert len(whole) == 1
