@@ -318,11 +318,6 @@ def rails(t):
     return B.rails(t.current_offers, t.identities, now())
 
 
-@query("BRW-01_summary", f"""SELECT count(*) AS total, count(DISTINCT store) AS stores, count(DISTINCT brand) AS brands, count(*) FILTER (old_cents > price_cents) AS drops, count(*) FILTER ({FROZEN_SQL}) AS frozen FROM ({CURRENT})""")
-def summary(t):
-    return current(t).agg(F.count("*").alias("total"), F.countDistinct("store").alias("stores"), F.countDistinct("brand").alias("brands"), F.count_if(B.has_drop()).alias("drops"), F.count_if(frozen()).alias("frozen"))
-
-
 @query("MTH-01_drop_percent", f"SELECT id, floor({PCT_SQL} * 100 + 0.5)::BIGINT AS pct, floor({PCT_SQL} * 10000 + 0.5) / 100 AS pct2, least(1.0, greatest(0.0, {PCT_SQL} * 4)) AS clamped FROM offers")
 def drop_percent(t):
     p = F.when(B.has_drop(), (F.col("old_cents") - F.col("price_cents")) / F.col("old_cents")).otherwise(0.0)

@@ -84,6 +84,63 @@ def live_search(spark: SparkSession, provider: Provider, searches: Iterable[str]
     return spark.read.format(source.name()).option("searches", json.dumps(list(searches))).load()
 
 
+def signed(method: str, host: str, path: str, headers: dict[str, str], body: str, access: str, secret: str, region: str, service: str, at: str) -> dict[str, str]:
+    """``headers`` with the date ``at`` (YYYYMMDDTHHMMSSZ) and an Authorization by the public AWS4-HMAC-SHA256 scheme."""
+    import hashlib
+    import hmac
+
+    sent = {"host": host, "x-amz-date": at} | {k.lower(): v.strip() for k, v in headers.items()}
+    names = ";".join(sorted(sent))
+    listed = "".join(f"{k}:{sent[k]}\n" for k in sorted(sent))
+    request = "\n".join((method, path, "", listed, names, hashlib.sha256(body.encode()).hexdigest()))
+    scope = (at[:8], region, service, "aws4_request")
+    key = f"AWS4{secret}".encode()
+    for part in scope:
+        key = hmac.digest(key, part.encode(), "sha256")
+    text = "\n".join(("AWS4-HMAC-SHA256", at, "/".join(scope), hashlib.sha256(request.encode()).hexdigest()))
+    mark = hmac.digest(key, text.encode(), "sha256").hex()
+    return sent | {"authorization": f"AWS4-HMAC-SHA256 Credential={access}/{'/'.join(scope)}, SignedHeaders={names}, Signature={mark}"}
+
+
+def signed_search(fetch: Callable[[str, str, dict, str], str], host: str, access: str, secret: str, region: str, service: str, clock: Callable[[], str]) -> Callable[[str], list]:
+    """A provider's strategy that asks a signed search API; ``fetch`` (method, address, headers, body) does the request."""
+
+    def run(search: str) -> list:
+        body = json.dumps({"Keywords": search, "ItemCount": 10})
+        head = signed("POST", host, "/paapi5/searchitems", {"content-type": "application/json; charset=utf-8"}, body, access, secret, region, service, clock())
+        return answer_items(fetch("POST", f"https://{host}/paapi5/searchitems", head, body))
+
+    return run
+
+
+def answer_items(answer: str) -> list:
+    """Rows of a search API's answer: title, first listing's price, and its basis of saving where that is higher."""
+    rows = []
+    for item in (json.loads(answer).get("SearchResult") or {}).get("Items") or []:
+        listing = next(iter((item.get("Offers") or {}).get("Listings") or []), {})
+        price, basis = (float((listing.get(k) or {}).get("Amount") or 0) for k in ("Price", "SavingBasis"))
+        info = item.get("ItemInfo") or {}
+        title = ((info.get("Title") or {}).get("DisplayValue") or "").strip()
+        brand = ((info.get("ByLineInfo") or {}).get("Brand") or {}).get("DisplayValue")
+        rows.append((item["ASIN"], title, None, price or None, basis if basis > price > 0 else None, (listing.get("Price") or {}).get("Currency") or "SAR", item.get("DetailPageURL"), None, brand, None))
+    return rows
+
+
+def offers_source(pages: DataFrame, categories: DataFrame, full: int = 500, most: int = 1500) -> DataFrame:
+    """Rows of a paged offers source (store, page, body) of one shape: store, id, category, price.
+
+    A store's pages count up to the first that isn't full, and ``most`` rows in all (the source's own bound); of repeated
+    ids the first place counts; ``categories`` (code, slug) names the categories, unknown ones are null.
+    """
+    p = pages.select("store", "page", F.from_json("body", "struct<rows:array<struct<id:string,category:int,price:double>>>")["rows"].alias("rows"))
+    short = p.where(F.size("rows") < full).groupBy("store").agg(F.min("page").alias("_last"))
+    p = p.join(short, "store", "left").where(F.col("_last").isNull() | (F.col("page") <= F.col("_last")))
+    r = p.select("store", "page", F.posexplode("rows").alias("at", "r")).where((F.col("page") - 1) * full + F.col("at") < most)
+    one = r.groupBy("store", F.col("r.id").alias("id")).agg(F.min(F.struct("page", "at", F.col("r.category").alias("code"), F.col("r.price").alias("price"))).alias("b"))
+    named = one.select("store", "id", "b.code", "b.price").join(categories.select("code", "slug"), "code", "left")
+    return named.select("store", "id", F.col("slug").alias("category"), "price")
+
+
 def money(c: Column) -> Column:
     """A price from a number or text; null if it isn't one above 0."""
     v = F.regexp_replace(c.cast("string"), "[^0-9.]", "").try_cast("double")
