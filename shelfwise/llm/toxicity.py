@@ -17,6 +17,8 @@ from .sample import labelled_sample
 BUCKETS, WIDTH, GRAMS, WINDOW = 1 << 17, 12, (3, 4, 5), 32
 #: Texts that a subword must occur in to be learned.
 MIN_TEXTS = 5
+#: Words of the training texts that are taken at a time.
+RUN_WORDS = 200_000
 #: Words whose values a worker remembers in each of two generations (results do not change).
 CACHE_WORDS = 200_000
 
@@ -40,6 +42,21 @@ def window_means(values: np.ndarray, width: int = WINDOW) -> np.ndarray:
     return (c[width:] - c[:-width]) / width
 
 
+def best_windows(values: np.ndarray, lens: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts that lie one after another: the highest mean of ``span`` values in a row, and where it starts (the first of equals)."""
+    c = np.concatenate(([0.0], np.cumsum(values)))
+    start = np.cumsum(lens) - lens
+    if (span == lens).all():
+        return (c[start + lens] - c[start]) / lens, start
+    # a window that would leave its text doesn't count
+    place = np.arange(len(values))
+    end = place + np.repeat(span, lens)
+    means = np.where(end <= np.repeat(start + lens, lens), c[np.minimum(end, len(values))] - c[:-1], -np.inf) / np.repeat(span, lens)
+    top = np.maximum.reduceat(means, start)
+    first = np.where(means == np.repeat(top, lens), place, len(values))
+    return top, np.minimum.reduceat(first, start)
+
+
 @dataclass
 class ToxicityModel:
     """In a linear softmax over averaged vectors each subword adds a fixed amount to the logit; ``value`` holds it.
@@ -110,6 +127,9 @@ def fit(texts: list[str], y: list[int], steps: int = 120, warm: int = 40, rate:
     slot[used[1:]] = np.arange(1, len(used))
     flat = slot[flat]
     width = np.minimum(lens, WINDOW)
+    turn = at[:-1] // RUN_WORDS
+    heads_of = np.concatenate((np.flatnonzero(np.diff(turn, prepend=-1)), [len(lens)]))
+    runs = list(zip(heads_of.tolist(), heads_of[1:].tolist()))
     target = np.asarray(y, np.float64)
     weight = np.where(target == 1, 0.5 / target.sum(), 0.5 / (1 - target).sum())
     # two classes: the softmax depends on the difference of their weight vectors alone
@@ -130,14 +150,13 @@ def fit(texts: list[str], y: list[int], steps: int = 120, warm: int = 40, rate:
         add[0] = 0
         word = np.add.reduceat(add[flat], heads) / sizes
         per_word = np.zeros(len(sizes))
+        span = lens if step <= warm else width
         top = np.empty(len(lens))
         begin = np.empty(len(lens), np.int64)
-        # text by text: no array as long as all windows of the sample
-        for d, (a, b) in enumerate(zip(at, at[1:])):
-            means = word[tokens[a:b]].mean(keepdims=True) if step <= warm else window_means(word[tokens[a:b]])
-            best = int(means.argmax())
-            top[d], begin[d] = means[best], a + best
-        span = lens if step <= warm else width
+        # a bounded run of texts at a time: no array as long as all windows of the sample
+        for d, e in runs:
+            top[d:e], best = best_windows(word[tokens[at[d] : at[e]]], lens[d:e], span[d:e])
+            begin[d:e] = at[d] + best
         p = 1 / (1 + np.exp(-np.clip(top + bias, -50, 50)))
         err = (p - target) * weight
         # back through the windows to words, then to subwords

@@ -116,3 +116,17 @@ def test_sample_is_bounded(spark):
     assert len(labelled_sample(docs, labels, "quality", 3, 1, 7, 10_000)[0]) <= 7
     whole, _ = labelled_sample(docs, labels, "quality", 3, 1, 1000, 1)
     assert len(whole) == 1
+
+
+def test_best_windows_are_those_of_each_text():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    lens = np.array([1, 5, 31, 32, 33, 200, 32, 7])
+    values = rng.normal(size=lens.sum()).round(2)
+    top, at = toxicity.best_windows(values, lens, np.minimum(lens, toxicity.WINDOW))
+    for i, (s, n) in enumerate(zip(np.cumsum(lens) - lens, lens)):
+        means = toxicity.window_means(values[s : s + n])
+        assert math.isclose(top[i], means.max(), abs_tol=1e-9) and math.isclose(means[at[i] - s], means.max(), abs_tol=1e-9)
+    whole, start = toxicity.best_windows(values, lens, lens)
+    assert np.allclose(whole, [values[s : s + n].mean() for s, n in zip(start, lens)])
