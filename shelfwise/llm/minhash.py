@@ -253,7 +253,7 @@ def small_nodes(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = cut_lineage(nodes.withColumn("small", is_small(F.col("n"), F.col("w"))))
     once = cut_lineage(nodes.where("small").groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key"))
     small = members.join(sized_broadcast(once, once.count()), "key", "left_semi").select("key", "id", "w")
-    return small, cut_lineage(nodes.where("not small").select("key"))
+    return small, nodes.where("not small").select("key")
 
 
 def open_large(members: DataFrame, known: DataFrame) -> DataFrame:
@@ -267,10 +267,10 @@ def open_large(members: DataFrame, known: DataFrame) -> DataFrame:
 def narrow_and_dense(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of larger nodes (key, id, w, comp) the rows of narrow ones, and the documents (id, w) of the others."""
     rows = cut_lineage(rows)
-    wide = cut_lineage(parts_of(rows)[1].where(F.col("shared") + F.col("bigs") - F.col("most") > NARROW_BLOCKS).select("key"))
-    many = wide.count()
-    dense = rows.join(sized_broadcast(wide, many), "key", "left_semi").select("id", "w").distinct()
-    return cut_lineage(rows.join(sized_broadcast(wide, many), "key", "left_anti")), cut_lineage(dense)
+    wide = parts_of(rows)[1].where(F.col("shared") + F.col("bigs") - F.col("most") > NARROW_BLOCKS).select("key", F.lit(True).alias("wide"))
+    wide = cut_lineage(wide)
+    marked = cut_lineage(rows.join(sized_broadcast(wide, wide.count()), "key", "left"))
+    return marked.where("wide is null").drop("wide"), cut_lineage(marked.where("wide").select("id", "w").distinct())
 
 
 def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -336,8 +336,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     links = compared(dealt(gathered(with_known(small, None))), sets, percent)
     known = cut_lineage(connected_components(links))
     if not large.isEmpty():
-        first = members.where(F.col("tree") < STAR_TREES).join(sized_broadcast(large, large.count()), "key", "left_semi")
-        links, known = more(links, known_of(first), star=True)
+        links, known = more(links, open_large(members.where(F.col("tree") < STAR_TREES), known), star=True)
         narrow, dense = narrow_and_dense(open_large(members, known))
         if not narrow.isEmpty():
             links, known = more(links, gathered(narrow))

@@ -228,6 +228,18 @@ def test_embeddings_split_level_by_level(spark, monkeypatch):
     assert got == brute_vectors(rows, 0.98)
 
 
+def test_wide_vectors_and_lengths_side_by_side(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "CELL", 30)
+    rng = np.random.default_rng(12)
+    rows = []
+    for dim, first in ((64, 0), (300, 1000)):
+        base = rng.normal(size=(60, dim))
+        rows += [(first + i, [float(np.float32(v)) for v in base[i % 60] + rng.normal(size=dim) * rng.choice([0, 0.05, 0.2])], int(i % 3 == 0)) for i in range(240)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df).collect()}
+    assert got == brute_vectors(rows, 0.98)
+
+
 def test_cells_lose_no_pair():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 8))

@@ -118,6 +118,17 @@ def test_scans_of_odd_tables(odd, empty):
     assert licenses.scan_licenses(odd).count() == odd.count() and licenses.license_summary(empty).count() == 0
 
 
+def test_licences_of_the_odd_table(spark, odd, odd_texts):
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_matches, r.best_dice, r.licenses) for r in licenses.license_summary(odd).collect())
+    # none of the odd texts holds a notice; every row comes back, repeated and null ids too
+    assert got == sorted((i is None, i or 0, 0, 0.0, "") for i, _ in odd_texts)
+    one = "Released under the MIT License."
+    rows = [(1, one, "x", 7), (1, one, "x", 7), (None, one, None, None), (2, " ".join(f"w{i}" for i in range(200_000)) + "\n" + one, "y", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, license_matches string, _m int")
+    assert sorted((r.doc_id or 0, r.n_matches, r.licenses) for r in licenses.license_summary(df).collect()) == [(0, 1, "MIT"), (1, 1, "MIT"), (1, 1, "MIT"), (2, 1, "MIT")]
+    assert licenses.scan_licenses(df).columns == ["doc_id", "text", "_m", "license_matches"]
+
+
 def test_scans_run_in_the_jvm(odd):
     for df in (secrets.secret_spans(odd, limit=(5.0, 30.0)), licenses.license_summary(odd), secrets.redact(odd, limit=(5.0, 30.0))):
         plan = df._jdf.queryExecution().executedPlan().toString()
