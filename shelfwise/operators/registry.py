@@ -84,6 +84,21 @@ def sided(df: DataFrame, classes: dict[str, str], name: str, keep: tuple[str, ..
     return own.select(*keep, F.struct("core", "terms", "forms", "species", "lexical", "aisle", *READ).alias(name))
 
 
+def score(containment: Column, size_known: Column, brand: Column, corroboration: Column, incumbent: Column | None = None, family: Column | None = None, category: Column | None = None, tuning: Tuning = TUNING) -> Column:
+    """Mean of the signals that can be told (brand, family, category: 1, 0 or null), weighted; an incumbent's is raised, and
+    all is damped by the corroboration."""
+    w = tuning.weights
+    num, den = containment * w["containment"], F.lit(w["containment"])
+    for key, c in (("size", F.when(size_known, 1.0)), ("brand", brand), ("family", family), ("category", category)):
+        if c is not None:
+            num = num + F.when(c.isNotNull(), c * w[key]).otherwise(0.0)
+            den = den + F.when(c.isNotNull(), w[key]).otherwise(0.0)
+    s = num / den
+    if incumbent is not None:
+        s = F.when(incumbent, F.least(F.lit(1.0), s + tuning.sticky)).otherwise(s)
+    return s * F.least(F.lit(1.0), corroboration / tuning.corroboration_full)
+
+
 def score_pair(read: str, product: str, incumbent: Column | None = None, tuning: Tuning = TUNING) -> Column:
     """(veto, score, semantic) of a pair of structs of ``sided``.
 
@@ -95,21 +110,10 @@ def score_pair(read: str, product: str, incumbent: Column | None = None, tuning:
     hits, words = adm["hits"], F.size(r("core"))
     relation = I.brand_relation(r("brand"), p("brand"))
     veto = F.when(r("kind") != p("kind"), "kind").when(adm["veto"].isNotNull(), adm["veto"]).when(size_conflict(r("size"), p("size"), tuning.size_tolerance), "size").when(relation == -1, "brand")
-    w = tuning.weights
     containment = F.when(words > 0, F.try_divide(hits.cast("double"), words)).when(adm["evidence"], 0.6).otherwise(0.0)
-    num, den = containment * w["containment"], F.lit(w["containment"])
-    told = (
-        ("size", r("size").isNotNull() & p("size").isNotNull(), F.lit(1.0)),
-        ("brand", relation.isNotNull(), F.lit(1.0)),
-        ("family", r("family").isNotNull() & p("family").isNotNull(), (r("family") == p("family")).cast("double")),
-        ("category", r("category").isNotNull() & p("category").isNotNull(), (r("category") == p("category")).cast("double")),
-    )
-    for key, known, value in told:
-        num, den = num + F.when(known, value * w[key]).otherwise(0.0), den + F.when(known, w[key]).otherwise(0.0)
-    s = num / den
-    if incumbent is not None:
-        s = F.when(incumbent, F.least(F.lit(1.0), s + tuning.sticky)).otherwise(s)
-    s = s * F.least(F.lit(1.0), r("corroboration") / tuning.corroboration_full)
+    alike = lambda n: (r(n) == p(n)).cast("double")
+    sized = r("size").isNotNull() & p("size").isNotNull()
+    s = score(containment, sized, F.when(relation.isNotNull(), 1.0), r("corroboration"), incumbent, alike("family"), alike("category"), tuning)
     return F.struct(veto.alias("veto"), s.alias("score"), (hits == 0).alias("semantic"))
 
 

@@ -109,8 +109,3 @@ def registry_best(watches: DataFrame, products: DataFrame, sightings: DataFrame,
 def notification(label: Column, cents: Column, target: Column) -> Column:
     money = lambda c: F.concat(F.lit("SAR "), F.floor(c / 100).cast("string"), F.lit("."), F.lpad((c % 100).cast("string"), 2, "0"))
     return F.concat(F.lit("Watch "), label, F.lit(": now "), money(cents), F.lit(" (target "), money(target), F.lit(")"))
-
-
-def best_offer(candidates: DataFrame, key: str) -> DataFrame:
-    """The cheapest candidate of each watch, of equals the smallest id: a minimum that combines before the shuffle."""
-    return candidates.groupBy(key).agg(F.min(F.struct("price_cents", "id", "store")).alias("b"), F.count("*").alias("candidates")).select(key, "b.*", "candidates")

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from shelfwise.catalog import query
-from shelfwise.functions import families, identity, names, sizes
+from shelfwise.functions import identity, names, sizes
 from shelfwise.functions import text as T
-from shelfwise.operators import health as H
 from shelfwise.operators import sinks as S
-from shelfwise.operators.history import first_by
 from shelfwise.sources import connectors as C
 from shelfwise.sources.tables import TODAY, day
 

@@ -237,7 +237,7 @@ def addresses(stores: DataFrame, config: DataFrame) -> DataFrame:
 
 
 def longest_token(search: str) -> str:
-    """What a store that refuses several words is asked again with: the longest word, the first of equals."""
+    """``asked_again`` of a literal: the longest word, the first of equals."""
     return max(search.split(), key=len, default="")
 
 
