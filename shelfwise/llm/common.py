@@ -152,6 +152,18 @@ def sized_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def few_tasks(df: DataFrame) -> DataFrame:
+    """A checkpointed ``df`` read by a sixteenth of its partitions as tasks, eight at least: for counts and broadcasts."""
+    return df.coalesce(max(8, df.rdd.getNumPartitions() // 16))
+
+
+def join_side(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed, counted, and marked for broadcast where its rows are few; else the join shuffles."""
+    df = cut_lineage(df)
+    few = few_tasks(df)
+    return F.broadcast(few) if few.count() <= BROADCAST_ROWS else df
+
+
 def fitted(df: DataFrame, rows: int, per_task: int = 50_000) -> DataFrame:
     """``df`` in as many partitions as its counted rows need (eight at least), never more than it has: small tables
     aren't spread over hundreds of tasks, large ones stay as they are."""
@@ -178,7 +190,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     e = edges.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v"))
     e = e.where("u is not null and v is not null and u <> v")
     e = cut_lineage(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    if e.count() <= TASK_LINKS:
+    if few_tasks(e).count() <= TASK_LINKS:
         return e.coalesce(1).mapInArrow(joined, "node bigint, component bigint")
     while True:
         rows, unsettled = unsettled_nodes(e)

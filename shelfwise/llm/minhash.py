@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut_lineage, drop_written, forest, map_texts, sized_broadcast, written_table
+from .common import connected_components, cut_lineage, drop_written, forest, join_side, map_texts, written_table
 
 #: Minwise tokens a document has, and the probability of missing a pair at the threshold.
 #: A pair of similarity s agrees in Binomial(MINWISE, s) of the tokens; where it agrees in a share q, a tree keeps it
@@ -134,8 +134,8 @@ def links_within(ids: list[int], sets: list[np.ndarray], side: list[int], percen
 def members_of(keyed: DataFrame) -> DataFrame:
     """The rows (id, tree, key, w) of ``keyed`` whose node holds others too."""
     # a plain table: adaptive execution can then split a node that a third of all documents share
-    nodes = cut_lineage(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    return cut_lineage(keyed.join(sized_broadcast(nodes, nodes.count()), "key").select("id", "tree", "key", "w"))
+    nodes = join_side(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    return cut_lineage(keyed.join(nodes, "key").select("id", "tree", "key", "w"))
 
 
 def with_known(rows: DataFrame, known: DataFrame | None) -> DataFrame:
@@ -147,8 +147,8 @@ def with_known(rows: DataFrame, known: DataFrame | None) -> DataFrame:
 
 def open_nodes(rows: DataFrame) -> DataFrame:
     """The rows of nodes whose members aren't all known to be one component."""
-    several = cut_lineage(rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key"))
-    return rows.join(sized_broadcast(several, several.count()), "key", "left_semi")
+    several = rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key")
+    return rows.join(join_side(several), "key", "left_semi").select("key", "id", "w", "comp")
 
 
 def gathered(rows: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def gathered(rows: DataFrame) -> DataFrame:
     near copies that meets in many trees is compared once, while a long chain of loosely alike documents never costs
     more copies than its nodes do. Either way all pairs within a node are compared.
     """
-    rows = cut_lineage(rows.select("key", "id", "w", "comp"))
+    rows = cut_lineage(rows)
     low = rows.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("n"))
     low = cut_lineage(low)
     edges = rows.join(low.select("key", "low"), "key").where("id > low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
@@ -167,8 +167,7 @@ def gathered(rows: DataFrame) -> DataFrame:
     blocks = lambda n: F.ceil(n / F.lit(float(BLOCK_DOCS)))
     of_node = low.join(families.select(F.col("id").alias("low"), "family"), "low").groupBy("family").agg(F.sum(F.col("n") * blocks(F.col("n"))).alias("apart"))
     whole = families.groupBy("family").agg(F.count("*").alias("n")).join(of_node, "family").where(F.col("n") * blocks(F.col("n")) <= F.col("apart"))
-    whole = cut_lineage(whole.select("family", F.lit(True).alias("whole")))
-    named = rows.join(families, "id", "left").join(sized_broadcast(whole, whole.count()), "family", "left")
+    named = rows.join(families, "id", "left").join(join_side(whole.select("family", F.lit(True).alias("whole"))), "family", "left")
     key = F.when(F.col("whole"), F.xxhash64("family", F.lit("family"))).otherwise(F.col("key"))
     return cut_lineage(named.select(key.alias("key"), "id", "w", "comp").distinct())
 
@@ -195,10 +194,12 @@ def dealt(rows: DataFrame, star: bool = False) -> DataFrame:
     """
     per, node = parts_of(rows)
     node = cut_lineage(node.where("shared + bigs > 1").drop("most"))
-    many = node.count()
+    if node.isEmpty():
+        # every node is one block
+        one = F.lit(0)
+        return rows.select("key", one.alias("i"), one.alias("j"), one.alias("block"), "id", "comp")
     after = F.sum("own").over(W.partitionBy("key").orderBy("comp")) - F.col("own")
-    bigs = cut_lineage(per.select("key", "comp", "own", after.alias("after")))
-    out = rows.join(sized_broadcast(node, many), "key", "left").join(sized_broadcast(bigs, bigs.count()), ["key", "comp"], "left")
+    out = rows.join(join_side(node), "key", "left").join(join_side(per.select("key", "comp", "own", after.alias("after"))), ["key", "comp"], "left")
     out = out.withColumns({"shared": F.coalesce("shared", F.lit(1)), "bigs": F.coalesce("bigs", F.lit(0))})
     spread = F.xxhash64("id", F.lit(5))
     out = out.withColumn("first", F.when(F.col("own").isNotNull(), F.col("shared") + F.col("after")))
@@ -246,31 +247,31 @@ def is_small(docs, shingles):
     return (docs <= SMALL_DOCS) & (shingles <= SMALL_SHINGLES)
 
 
-def small_nodes(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of small nodes after ``EARLY`` branchings, of nodes of the same documents, in whatever trees, once; and
-    the keys of the larger ones."""
-    nodes = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("w").alias("w"), *[F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (1, 2)])
-    nodes = cut_lineage(nodes.withColumn("small", is_small(F.col("n"), F.col("w"))))
-    once = cut_lineage(nodes.where("small").groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key"))
-    small = members.join(sized_broadcast(once, once.count()), "key", "left_semi").select("key", "id", "w")
-    return small, nodes.where("not small").select("key")
-
+def early_nodes(members: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Of nodes after ``EARLY`` branchings: the rows (key, id, w, comp) that are to be compared, and the dense documents (id, w).
 
-def open_large(members: DataFrame, known: DataFrame) -> DataFrame:
-    """The rows (key, id, w, comp) of larger nodes whose members aren't all known to be one component."""
+    Nodes whose members are all known to be one component are done. The others are compared if they are small (of nodes
+    of the same documents, in whatever trees, one) or narrow; the documents of wide ones are dense.
+    """
     rows = cut_lineage(with_known(members.select("key", "id", "w"), known))
-    nodes = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.min("comp").alias("a"), F.max("comp").alias("b"))
-    keys = cut_lineage(nodes.where((F.col("a") < F.col("b")) & ~is_small(F.col("n"), F.col("w"))).select("key"))
-    return rows.join(sized_broadcast(keys, keys.count()), "key", "left_semi")
-
-
-def narrow_and_dense(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of larger nodes (key, id, w, comp) the rows of narrow ones, and the documents (id, w) of the others."""
-    rows = cut_lineage(rows)
-    wide = parts_of(rows)[1].where(F.col("shared") + F.col("bigs") - F.col("most") > NARROW_BLOCKS).select("key", F.lit(True).alias("wide"))
-    wide = cut_lineage(wide)
-    marked = cut_lineage(rows.join(sized_broadcast(wide, wide.count()), "key", "left"))
-    return marked.where("wide is null").drop("wide"), cut_lineage(marked.where("wide").select("id", "w").distinct())
+    nodes = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.min("comp").alias("a"), F.max("comp").alias("b"), *[F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (1, 2)])
+    nodes = cut_lineage(nodes.where("a < b").withColumn("small", is_small(F.col("n"), F.col("w"))))
+    once = nodes.where("small").groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("small"))
+    keys = join_side(once.unionByName(nodes.where("not small").select("key", "small")))
+    asked = cut_lineage(rows.join(keys, "key").select("key", "id", "w", "comp", "small"))
+    small, large = asked.where("small").drop("small"), asked.where("not small").drop("small")
+    wide = cut_lineage(parts_of(large)[1].where(F.col("shared") + F.col("bigs") - F.col("most") > NARROW_BLOCKS).select("key"))
+    if wide.isEmpty():
+        return asked.drop("small"), large.limit(0).select("id", "w")
+    marked = cut_lineage(large.join(join_side(wide.withColumn("wide", F.lit(True))), "key", "left").select("key", "id", "w", "comp", "wide"))
+    return small.unionByName(marked.where("wide is null").drop("wide")), cut_lineage(marked.where("wide").select("id", "w").distinct())
+
+
+def larger_nodes(members: DataFrame) -> DataFrame:
+    """The rows (key, id, w, comp) of larger nodes of the first trees, no component being known."""
+    some = members.where(F.col("tree") < STAR_TREES)
+    nodes = some.groupBy("key").agg(F.count("*").alias("n"), F.sum("w").alias("w")).where(~is_small(F.col("n"), F.col("w")))
+    return with_known(some.select("key", "id", "w"), None).join(join_side(nodes.select("key")), "key", "left_semi")
 
 
 def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,41 +318,38 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     named = sigs.join(copies, "digest", "left").withColumn("rep", F.coalesce("first", "id"))
     reps = named.where("id = rep and digest is not null")
     members = members_of(reps.select("id", F.col("n_shingles").alias("w"), F.posexplode("keys").alias("tree", "key")))
-    small, large = small_nodes(members)
-
     # full sets only of documents that share a node, made anew from their texts
-    shared = cut_lineage(members.select("id").distinct())
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("body"))
-    texts = texts.join(sized_broadcast(shared, shared.count()), "id", "left_semi")
+    texts = texts.join(join_side(members.select("id").distinct()), "id", "left_semi")
     made = map_texts(texts, {"id": "bigint"}, "body", lambda ts: {"set": [shingle_set(t, shingle).tobytes() for t in ts]}, {"set": "binary"})
     sets = written_table(made.where(F.length("set") > 0), "sets")
 
-    def more(links: DataFrame, rows: DataFrame, star: bool = False) -> tuple[DataFrame, DataFrame]:
-        links = cut_lineage(links.unionByName(compared(dealt(cut_lineage(rows), star), sets, percent)))
-        return links, cut_lineage(connected_components(links))
-
-    def known_of(rows: DataFrame) -> DataFrame:
-        return open_nodes(with_known(rows, known)).select("key", "id", "w", "comp")
+    def linked_by(rows: DataFrame, star: bool = False) -> DataFrame:
+        return compared(dealt(cut_lineage(rows), star), sets, percent)
 
-    links = compared(dealt(gathered(with_known(small, None))), sets, percent)
-    known = cut_lineage(connected_components(links))
+    links, known = None, None
+    large = cut_lineage(larger_nodes(members))
     if not large.isEmpty():
-        links, known = more(links, open_large(members.where(F.col("tree") < STAR_TREES), known), star=True)
-        narrow, dense = narrow_and_dense(open_large(members, known))
-        if not narrow.isEmpty():
-            links, known = more(links, gathered(narrow))
-        if not dense.isEmpty():
-
-            def branch(batches):
-                for b in batches:
-                    keys = keys_of([np.frombuffer(s, np.uint64) for s in b.column("set").to_pylist()], deep, DEPTH, early + 1)
-                    yield pa.RecordBatch.from_arrays([b.column("id"), b.column("w"), pa.array(keys, pa.list_(pa.int64()))], names=["id", "w", "keys"])
-
-            some = sets.join(sized_broadcast(dense, dense.count()), "id").select("id", "w", "set")
-            keyed = cut_lineage(some.mapInArrow(branch, "id bigint, w bigint, keys array<bigint>"))
-            members = members_of(keyed.select("id", "w", F.posexplode("keys").alias("tree", "key")))
-            links, known = more(links, known_of(members.where(F.col("tree") < STAR_TREES)), star=True)
-            links, known = more(links, gathered(known_of(members)))
+        links = compared(dealt(large, star=True), sets, percent)
+        known = cut_lineage(connected_components(links))
+    asked, dense = early_nodes(members, known)
+    found = compared(dealt(gathered(asked)), sets, percent)
+    links = found if links is None else links.unionByName(found)
+    known = cut_lineage(connected_components(links))
+    if not dense.isEmpty():
+
+        def branch(batches):
+            for b in batches:
+                keys = keys_of([np.frombuffer(s, np.uint64) for s in b.column("set").to_pylist()], deep, DEPTH, early + 1)
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("w"), pa.array(keys, pa.list_(pa.int64()))], names=["id", "w", "keys"])
+
+        some = sets.join(join_side(dense), "id").select("id", "w", "set")
+        keyed = cut_lineage(some.mapInArrow(branch, "id bigint, w bigint, keys array<bigint>"))
+        members = members_of(keyed.select("id", "w", F.posexplode("keys").alias("tree", "key")))
+        links = links.unionByName(linked_by(open_nodes(with_known(members.where(F.col("tree") < STAR_TREES), known)), star=True))
+        known = cut_lineage(connected_components(links))
+        links = links.unionByName(compared(dealt(gathered(open_nodes(with_known(members, known)))), sets, percent))
+        known = cut_lineage(connected_components(links))
     linked_to = known.select(F.col("node").alias("rep"), "component")
     slim = sigs.drop("keys").join(copies, "digest", "left").withColumn("rep", F.coalesce("first", "id"))
     out = cut_lineage(slim.select("id", "n_shingles", "rep")).join(linked_to, "rep", "left")
@@ -375,6 +373,5 @@ def deduplicated(df: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
         some = df.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).orderBy(id_col).withColumn(key, F.monotonically_increasing_id())
         df = written_table(some.unionByName(df.where(F.col(id_col).isNull()).withColumn(key, F.lit(None).cast("bigint"))), "rows")
     found = cut_lineage(near_duplicates(df, shingle, percent, key, text_col).select(key, "kept"))
-    gone = found.where(~F.col("kept")).select(key).distinct()
-    out = df.join(sized_broadcast(gone, gone.count()), key, "left_anti")
+    out = df.join(join_side(found.where(~F.col("kept")).select(key).distinct()), key, "left_anti")
     return out.select(*[F.col(f"`{c}`") for c in own])

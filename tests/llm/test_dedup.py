@@ -111,10 +111,10 @@ def test_copies_of_a_long_chain_are_bounded(spark):
     mult = minhash.multipliers()
     keys = minhash.node_keys(np.stack([minhash.minwise(minhash.shingle_set(t, 3), mult) for _, t in rows]), trees, minhash.EARLY).view(np.int64)
     members = minhash.members_of(spark.createDataFrame([(i, t, int(k), 58) for i, ks in enumerate(keys) for t, k in enumerate(ks)], "id long, tree int, key long, w long"))
-    small, large = minhash.small_nodes(members)
-    assert large.count() == 0
-    copies = minhash.dealt(minhash.gathered(minhash.with_known(small, None))).count()
-    assert copies <= min(small.count(), 19 * len(rows))
+    asked, dense = minhash.early_nodes(members, None)
+    assert dense.count() == 0
+    copies = minhash.dealt(minhash.gathered(asked)).count()
+    assert copies <= min(asked.count(), 19 * len(rows))
 
 
 def test_dense_documents_go_through_deeper_trees(spark, monkeypatch):
@@ -122,8 +122,8 @@ def test_dense_documents_go_through_deeper_trees(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_DOCS", 5)
     monkeypatch.setattr(minhash, "NARROW_BLOCKS", 1)
     deepened = []
-    narrow_and_dense = minhash.narrow_and_dense
-    monkeypatch.setattr(minhash, "narrow_and_dense", lambda rows: deepened.append(narrow_and_dense(rows)) or deepened[-1])
+    early_nodes = minhash.early_nodes
+    monkeypatch.setattr(minhash, "early_nodes", lambda *a: deepened.append(early_nodes(*a)) or deepened[-1])
     rng = random.Random(3)
     # loosely alike documents (a common half) beside groups of near copies
     half = [rng.choice("abcdefgh") + str(rng.randrange(400)) for _ in range(60)]
