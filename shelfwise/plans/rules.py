@@ -125,20 +125,35 @@ RANKED = f"""SELECT *, row_number() OVER (PARTITION BY store ORDER BY (valid_fro
   FROM (SELECT * FROM brochures WHERE valid_to >= DATE '{TODAY}' AND pages > 0 QUALIFY row_number() OVER (PARTITION BY store, lower(title), valid_from, valid_to ORDER BY pages DESC, id DESC) = 1)"""
 
 
-@query("SRC-12_flyer_budget", f""", ranked AS ({RANKED}), held AS (SELECT id, pages - (id % 3 = 0)::INTEGER AS pages FROM brochures WHERE id % 4 <> 0),
-wanted AS (SELECT r.*, row_number() OVER (PARTITION BY store ORDER BY n) AS m FROM (SELECT r.* FROM ranked r LEFT JOIN held h ON r.id = h.id WHERE h.id IS NULL OR h.pages <> r.pages) r)
+def budget_sql(wanted: str) -> str:
+    return f""", ranked AS ({RANKED}), held AS (SELECT id, pages - (id % 3 = 0)::INTEGER AS pages FROM brochures WHERE id % 4 <> 0),
+wanted AS (SELECT r.*, row_number() OVER (PARTITION BY store ORDER BY n) AS m FROM ({wanted}) r)
 SELECT * FROM (WITH RECURSIVE run(store, m, budget, id, pages) AS (SELECT store, 1::BIGINT, 36 - CASE WHEN pages <= 36 THEN pages ELSE 0 END, CASE WHEN pages <= 36 THEN id END, pages FROM wanted WHERE m = 1
   UNION ALL SELECT w.store, w.m, budget - CASE WHEN w.pages <= budget THEN w.pages ELSE 0 END, CASE WHEN w.pages <= budget THEN w.id END, w.pages FROM run JOIN wanted w ON w.store = run.store AND w.m = run.m + 1)
-  SELECT id, pages FROM run WHERE id IS NOT NULL)""")
-def flyer_budget(t):
-    # ranked as RANK-05: one flyer a campaign, then valid now, pages, last day and id; flyers without pages aren't collected
+  SELECT id, pages FROM run WHERE id IS NOT NULL)"""
+
+
+def campaigns(t):
+    """Ranked as RANK-05: one flyer a campaign, then valid now, pages, last day and id; flyers without pages aren't collected."""
     own = t.brochures.where((F.col("valid_to") >= now()) & (F.col("pages") > 0)).withColumn("campaign", F.lower("title"))
-    one = first_by(own, ["store", "campaign", "valid_from", "valid_to"], F.desc("pages"), F.desc("id")).select("store", "id", "pages", "valid_from", "valid_to")
+    return first_by(own, ["store", "campaign", "valid_from", "valid_to"], F.desc("pages"), F.desc("id")).select("store", "id", "pages", "valid_from", "valid_to")
+
+
+def collected(flyers):
+    order = [(F.col("valid_from") > now()).cast("int"), -F.col("pages"), -F.unix_date("valid_to"), -F.col("id")]
+    return S.budgeted(flyers, "store", order, "pages", 36).select("id", "pages")
+
+
+@query("SRC-12_flyer_budget", budget_sql("SELECT * FROM ranked"))
+def flyer_budget(t):
+    return collected(campaigns(t))
+
+
+@query("SRC-12_held_flyers", budget_sql("SELECT r.* FROM ranked r LEFT JOIN held h ON r.id = h.id WHERE h.id IS NULL OR h.pages <> r.pages"))
+def held_flyers(t):
     # held flyers are taken again only where their pages have changed
     held = t.brochures.where("id % 4 <> 0").select("id", (F.col("pages") - (F.col("id") % 3 == 0).cast("int")).alias("_held"))
-    one = one.join(held, "id", "left").where("_held is null or _held <> pages").drop("_held")
-    order = [(F.col("valid_from") > now()).cast("int"), -F.col("pages"), -F.unix_date("valid_to"), -F.col("id")]
-    return S.budgeted(one, "store", order, "pages", 36).select("id", "pages")
+    return collected(campaigns(t).join(held, "id", "left").where("_held is null or _held <> pages").drop("_held"))
 
 
 @query("SRC-13_official_link", f"SELECT store, 'flyer' AS source_type, id, NULL AS link FROM brochures WHERE valid_to >= DATE '{TODAY}' UNION ALL SELECT c_custkey, 'link', NULL, 'https://stores.example/' || c_custkey FROM customer ANTI JOIN (SELECT store FROM brochures WHERE valid_to >= DATE '{TODAY}') b ON c_custkey = b.store")
