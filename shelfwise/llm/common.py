@@ -157,11 +157,11 @@ def few_tasks(df: DataFrame) -> DataFrame:
     return df.coalesce(max(8, df.rdd.getNumPartitions() // 16))
 
 
-def join_side(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed, counted, and marked for broadcast where its rows are few; else the join shuffles."""
+def join_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` checkpointed, counted, and marked for broadcast where its rows are ``most`` at most; else the join shuffles."""
     df = cut_lineage(df)
     few = few_tasks(df)
-    return F.broadcast(few) if few.count() <= BROADCAST_ROWS else df
+    return F.broadcast(few) if few.count() <= most else df
 
 
 def fitted(df: DataFrame, rows: int, per_task: int = 50_000) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut_lineage, drop_written, forest, join_side, map_texts, written_table
+from .common import BROADCAST_ROWS, connected_components, cut_lineage, drop_written, forest, join_side, map_texts, written_table
 
 #: Minwise tokens a document has, and the probability of missing a pair at the threshold.
 #: A pair of similarity s agrees in Binomial(MINWISE, s) of the tokens; where it agrees in a share q, a tree keeps it
@@ -217,7 +217,8 @@ def dealt(rows: DataFrame, star: bool = False) -> DataFrame:
 def compared(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) among the documents of each group of ``dealt``, confirmed on full sets; of a group a spanning forest."""
     group = ["key", "i", "j"]
-    full = rows.join(sets.select("id", "set"), "id").select(*group, "block", "id", "comp", "set")
+    # few rows go to the sets, so that these are only shuffled where they are compared
+    full = sets.select("id", "set").join(join_side(rows, BROADCAST_ROWS // 4), "id").select(*group, "block", "id", "comp", "set")
     full = full.repartition(*group).sortWithinPartitions(*group)
 
     def run(batches):

@@ -121,6 +121,8 @@ def test_dense_documents_go_through_deeper_trees(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL_DOCS", 3)
     monkeypatch.setattr(minhash, "BLOCK_DOCS", 5)
     monkeypatch.setattr(minhash, "NARROW_BLOCKS", 1)
+    # sets go to the rows by a shuffle
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", 0)
     deepened = []
     early_nodes = minhash.early_nodes
     monkeypatch.setattr(minhash, "early_nodes", lambda *a: deepened.append(early_nodes(*a)) or deepened[-1])
