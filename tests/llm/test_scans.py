@@ -56,6 +56,20 @@ def test_random_tokens_of_one_case_are_added(spark):
     assert not any(got[len(made) + i] for i in range(len(plain)))
 
 
+def test_random_tokens_as_the_sql_finds_them(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(14)
+    kinds = (string.ascii_letters + string.digits, string.ascii_lowercase, string.ascii_uppercase + "234567", string.hexdigits[:16], string.digits, "ab", "thequickbrownfox")
+    rows = [(i, f"see {''.join(rng.choice(kinds[i % len(kinds)]) for _ in range(rng.randrange(20, 90)))} there, token = abc{i}def") for i in range(210)] + [(210, None), (211, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = {r[0]: r[1] for r in con.sql(f"select doc_id, spans from ({queries.oracle_sql()['op1_secret_scans']})").fetchall()}
+    got = {r.doc_id: r.spans for r in queries.op1_secret_scans(spark, str(tmp_path)).collect()}
+    assert got == want and sum("random" in x for x in got.values()) > 50
+
+
 def test_battery_statistics(spark):
     import math
 
