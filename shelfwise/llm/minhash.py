@@ -154,20 +154,21 @@ def open_nodes(rows: DataFrame) -> DataFrame:
 def gathered(rows: DataFrame) -> DataFrame:
     """``rows`` (key, id, w, comp), with nodes that overlap put together where this makes fewer copies of documents.
 
-    Nodes that share documents, in whatever trees, form families. A family of N documents is one node if its
-    N * blocks(N) copies aren't more than the copies of all its nodes; else each node stays by itself. So a pair of
-    near copies that meets in many trees is compared once, while a long chain of loosely alike documents never costs
-    more copies than its nodes do. Either way all pairs within a node are compared.
+    Nodes that share documents, or components known already, in whatever trees, form families. A family of N documents
+    is one node if its N * blocks(N) copies aren't more than the copies of all its nodes; else each node stays by itself.
+    So a pair of near copies that meets in many trees is compared once, while a long chain of loosely alike documents
+    never costs more copies than its nodes do. Either way all pairs within a node are compared.
     """
     rows = cut_lineage(rows)
-    low = rows.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("n"))
-    low = cut_lineage(low)
-    edges = rows.join(low.select("key", "low"), "key").where("id > low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
-    families = cut_lineage(connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("family")))
+    low = cut_lineage(rows.groupBy("key").agg(F.min("comp").alias("low"), F.count("*").alias("n")))
+    # a component is one row a node, however many documents it has there
+    edges = rows.select("key", "comp").distinct().join(low.select("key", "low"), "key").where("comp > low").select(F.col("comp").alias("a"), F.col("low").alias("b")).distinct()
+    families = cut_lineage(connected_components(edges).select(F.col("node").alias("comp"), F.col("component").alias("family")))
     blocks = lambda n: F.ceil(n / F.lit(float(BLOCK_DOCS)))
-    of_node = low.join(families.select(F.col("id").alias("low"), "family"), "low").groupBy("family").agg(F.sum(F.col("n") * blocks(F.col("n"))).alias("apart"))
-    whole = families.groupBy("family").agg(F.count("*").alias("n")).join(of_node, "family").where(F.col("n") * blocks(F.col("n")) <= F.col("apart"))
-    named = rows.join(families, "id", "left").join(join_side(whole.select("family", F.lit(True).alias("whole"))), "family", "left")
+    of_node = low.join(families.select(F.col("comp").alias("low"), "family"), "low").groupBy("family").agg(F.sum(F.col("n") * blocks(F.col("n"))).alias("apart"))
+    docs = rows.select("id", "comp").distinct().join(families, "comp").groupBy("family").agg(F.count("*").alias("n"))
+    whole = docs.join(of_node, "family").where(F.col("n") * blocks(F.col("n")) <= F.col("apart"))
+    named = rows.join(families, "comp", "left").join(join_side(whole.select("family", F.lit(True).alias("whole"))), "family", "left")
     key = F.when(F.col("whole"), F.xxhash64("family", F.lit("family"))).otherwise(F.col("key"))
     return cut_lineage(named.select(key.alias("key"), "id", "w", "comp").distinct())
 
