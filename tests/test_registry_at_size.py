@@ -30,12 +30,6 @@ def full_lines(tmp_path_factory):
     return part_table(tmp_path_factory.mktemp("lines"), "select range as k from range(0, 17000) where range % 10 = 2 and range % 127 % 10 = 9")
 
 
-@pytest.fixture(scope="module")
-def single_numbers(tmp_path_factory):
-    """Products with numbers of seven digits that differ in the first six."""
-    return part_table(tmp_path_factory.mktemp("single"), "select range as k from range(1000000, 1017000) where range % 10 = 2")
-
-
 def same(spark, folder, name):
     con = duckdb.connect()
     con.sql(f"create view part as select * from '{folder}/part.parquet'")
@@ -55,3 +49,18 @@ def test_merges_of_products_of_one_word(spark, full_lines):
 
 def test_token_frequency_of_long_numbers(spark, long_numbers):
     same(spark, long_numbers, "AGG-10_token_frequency")
+
+
+def test_shared_tokens_of_long_numbers(spark, long_numbers):
+    same(spark, long_numbers, "JON-09_token_self_join")
+
+
+def test_equal_sets_of_tokens_meet_once(spark):
+    from shelfwise.operators import registry as R
+
+    rare = spark.createDataFrame([("m1",), ("v1",)], "token string")
+    reads = spark.createDataFrame([(i, t) for i in range(50) for t in ("m1", "v1", "red")], "read_id bigint, token string")
+    index = spark.createDataFrame([(f"p{i}", t) for i in range(40) for t in ("m1", "v1")], "product_id string, token string")
+    r, p = R.token_sets(reads, rare, "read_id"), R.token_sets(index, rare, "product_id")
+    assert [tuple(x) for x in R.sets_meeting(r, p).collect()] == [('["m1","v1"]', '["m1","v1"]', 2)]
+    assert R.shared_pairs(index, rare).count() == 40 * 39 // 2
