@@ -47,6 +47,10 @@ def test_merges_of_products_of_one_word(spark, full_lines):
     same(spark, full_lines, "REG-07_merge_decisions")
 
 
+def test_merges_of_products_that_share_an_id(spark, long_numbers):
+    same(spark, long_numbers, "REG-07_merge_decisions")
+
+
 def test_token_frequency_of_long_numbers(spark, long_numbers):
     same(spark, long_numbers, "AGG-10_token_frequency")
 
