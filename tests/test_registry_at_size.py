@@ -68,3 +68,11 @@ def test_equal_sets_of_tokens_meet_once(spark):
     r, p = R.token_sets(reads, rare, "read_id"), R.token_sets(index, rare, "product_id")
     assert [tuple(x) for x in R.sets_meeting(r, p).collect()] == [('["m1","v1"]', '["m1","v1"]', 2)]
     assert R.shared_pairs(index, rare).count() == 40 * 39 // 2
+
+
+def test_brands_found_are_not_sent_by_the_driver(spark):
+    """As many as rows, they would not fit there."""
+    df = catalog.QUERIES["CLS-05_detect_brand"](spark, "/root/testdata/sf0.001")
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftOuter, BuildRight" not in plan and "Inner, BuildLeft" not in plan
