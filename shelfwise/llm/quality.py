@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, map_texts
-from .sample import labelled_sample
+from .sample import fitted_model
 
 #: Classes of bytes between which transitions are counted.
 CLASSES = ("space", "line end", "lower", "upper", "digit", "stop or comma", "other sign", "beyond ASCII")
@@ -121,7 +121,7 @@ def fit(texts: list[str], y: list[int], pairs: int = 60_000, steps: int = 400, p
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_chars: int = 32_000_000, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
     """A model fitted on at most ``max_rows`` labelled rows whose crc32(id as text) mod 3 is not 1."""
-    return fit(*labelled_sample(docs, labels, "quality", 3, 1, max_rows, max_chars, id_col, text_col))
+    return fitted_model(fit, docs, labels, "quality", 3, 1, max_rows, max_chars, id_col, text_col)
 
 
 def score_quality(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, str] | None = None) -> DataFrame:

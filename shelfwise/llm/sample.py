@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_mod: int, held_rem: int, max_rows: int, max_chars: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
-    """Texts and labels (0 or 1) of at most ``max_rows`` labelled rows outside the held-out remainder.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, held_mod: int, held_rem: int, max_rows: int, max_chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
+    """(_id, _y, _t): ids, labels (0 or 1) and texts of at most ``max_rows`` labelled rows outside the held-out remainder.
 
     The rows are those with the smallest hashes of their ids, so the choice does not depend on partitioning, and as many
     of them as hold ``max_chars`` characters in all (the first one whatever its length); every text is whole. Of repeated
-    ids the largest label counts; equal texts are trained on once. Rows with a null id, label or text are left out.
-    Only lengths and hashes of at most ``max_rows`` rows, then the bounded sample, come to the driver.
+    ids the largest label counts. Rows with a null id, label or text are left out; None where no row is left. Only
+    lengths and hashes of at most ``max_rows`` rows come to the driver.
     """
     own = labels.select(F.col(id_col).cast("bigint").alias("_id"), F.col(label).cast("int").alias("_y"))
     own = own.where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & (crc_mod(F.col("_id"), held_mod) != held_rem))
@@ -29,10 +34,34 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_mod: in
             break
         keys.append((r["_id"], r["_k"]))
     if not keys:
-        return [], []
+        return None
     some = docs.sparkSession.createDataFrame(sorted(set(keys)), "_id bigint, _k bigint")
-    rows = texts.join(F.broadcast(some), ["_id", "_k"]).dropDuplicates(["_id", "_k"]).select("_id", "_y", "_t").collect()
-    seen: dict[str, tuple[int, int]] = {}
-    for r in sorted(rows, key=lambda r: (r["_id"], r["_t"])):
-        seen.setdefault(r["_t"], (r["_id"], r["_y"]))
-    return list(seen), [y for _, y in seen.values()]
+    return texts.join(F.broadcast(some), ["_id", "_k"]).dropDuplicates(["_id", "_k"]).select("_id", "_y", "_t")
+
+
+def once(rows: list[tuple[int, int, str]]) -> tuple[list[str], list[int]]:
+    """Texts and labels of rows (id, label, text), in their order; of equal texts the smallest id's label counts."""
+    seen: dict[str, int] = {}
+    for _, y, t in sorted(rows, key=lambda r: (r[0], r[2])):
+        seen.setdefault(t, y)
+    return list(seen), list(seen.values())
+
+
+def labelled_sample(*args, **kwargs) -> tuple[list[str], list[int]]:
+    """The bounded ``labelled_rows``, at the driver; equal texts come once."""
+    rows = labelled_rows(*args, **kwargs)
+    return once([tuple(r) for r in rows.collect()] if rows is not None else [])
+
+
+def fitted_model(fit: Callable[[list[str], list[int]], Any], *args, **kwargs) -> Any:
+    """What ``fit`` makes of the texts and labels of ``labelled_sample``: in one task, so that neither the texts nor the
+    arrays of the fit take memory of the driver, which gets the model alone."""
+    rows = labelled_rows(*args, **kwargs)
+    if rows is None:
+        return fit([], [])
+
+    def run(batches):
+        own = [r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)))]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(*once(own)))], pa.binary())], names=["model"])
+
+    return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").collect()[0]["model"])

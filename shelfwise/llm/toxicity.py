@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Remembered, crc_mod, map_texts
-from .sample import labelled_sample
+from .sample import fitted_model
 
 #: Fixed sizes of the model: buckets of subwords, width of their vectors, n-gram lengths, words averaged at a time.
 BUCKETS, WIDTH, GRAMS, WINDOW = 1 << 17, 12, (3, 4, 5), 32
@@ -178,7 +178,7 @@ def fit(texts: list[str], y: list[int], steps: int = 120, warm: int = 40, rate:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_chars: int = 32_000_000, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """A model fitted on at most ``max_rows`` labelled rows whose crc32(id as text) mod 5 is not 0."""
-    return fit(*labelled_sample(docs, labels, "toxic", 5, 0, max_rows, max_chars, id_col, text_col))
+    return fitted_model(fit, docs, labels, "toxic", 5, 0, max_rows, max_chars, id_col, text_col)
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, str] | None = None) -> DataFrame:

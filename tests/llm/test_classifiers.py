@@ -130,3 +130,15 @@ def test_best_windows_are_those_of_each_text():
         assert math.isclose(top[i], means.max(), abs_tol=1e-9) and math.isclose(means[at[i] - s], means.max(), abs_tol=1e-9)
     whole, start = toxicity.best_windows(values, lens, lens)
     assert np.allclose(whole, [values[s : s + n].mean() for s, n in zip(start, lens)])
+
+
+@pytest.mark.parametrize("model", [quality, toxicity])
+def test_models_are_fitted_away_from_the_driver(spark, monkeypatch, model):
+    """Texts and arrays of a fit would take memory of the driver, which holds the whole session."""
+    import os
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality", "cast(doc_id % 2 as int) as toxic")
+    monkeypatch.setattr(model, "fit", lambda texts, y: (os.getpid(), len(texts)))
+    pid, n = model.train(docs, labels)
+    assert pid != os.getpid() and 0 < n < 40
