@@ -166,11 +166,13 @@ def gathered(rows: DataFrame) -> DataFrame:
     families = cut_lineage(connected_components(edges).select(F.col("node").alias("comp"), F.col("component").alias("family")))
     blocks = lambda n: F.ceil(n / F.lit(float(BLOCK_DOCS)))
     of_node = low.join(families.select(F.col("comp").alias("low"), "family"), "low").groupBy("family").agg(F.sum(F.col("n") * blocks(F.col("n"))).alias("apart"))
-    docs = rows.select("id", "comp").distinct().join(families, "comp").groupBy("family").agg(F.count("*").alias("n"))
-    whole = docs.join(of_node, "family").where(F.col("n") * blocks(F.col("n")) <= F.col("apart"))
-    named = rows.join(families, "comp", "left").join(join_side(whole.select("family", F.lit(True).alias("whole"))), "family", "left")
-    key = F.when(F.col("whole"), F.xxhash64("family", F.lit("family"))).otherwise(F.col("key"))
-    return cut_lineage(named.select(key.alias("key"), "id", "w", "comp").distinct())
+    docs = cut_lineage(rows.select("id", "w", "comp").distinct().join(families, "comp"))
+    n_docs = docs.groupBy("family").agg(F.count("*").alias("n"))
+    whole = join_side(n_docs.join(of_node, "family").where(F.col("n") * blocks(F.col("n")) <= F.col("apart")).select("family"))
+    # a node belongs to one family, that of its smallest component: rows of nodes are joined by nodes, documents of a family once
+    inside = join_side(low.join(families.select(F.col("comp").alias("low"), "family"), "low").join(whole, "family", "left_semi").select("key"))
+    together = docs.join(whole, "family", "left_semi").select(F.xxhash64("family", F.lit("family")).alias("key"), "id", "w", "comp")
+    return cut_lineage(rows.join(inside, "key", "left_anti").select("key", "id", "w", "comp").distinct().unionByName(together))
 
 
 def blocks_of(docs, shingles):

@@ -117,6 +117,34 @@ def test_copies_of_a_long_chain_are_bounded(spark):
     assert copies <= min(asked.count(), 19 * len(rows))
 
 
+def joined_rows(spark, run):
+    """The most rows that a join made while ``run`` ran."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    most, done = 0, store.executionsList()
+    for i in range(before, done.size()):
+        own = done.apply(i).executionId()
+        made, nodes = store.executionMetrics(own), store.planGraph(own).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            metrics = node.metrics()
+            for m in (metrics.apply(k) for k in range(metrics.size())):
+                if "Join" in node.name() and m.name() == "number of output rows" and made.contains(m.accumulatorId()):
+                    most = max(most, int(made.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_families_are_decided_by_node_not_by_row(spark):
+    """A group of near copies that meets in every tree: 60 documents of two known components in 40 nodes."""
+    rows = spark.createDataFrame([(k, i, 9, i % 2) for k in range(40) for i in range(60)], "key long, id long, w long, comp long")
+    out = []
+    assert 0 < joined_rows(spark, lambda: out.append(minhash.gathered(rows))) <= 120
+    got = [tuple(r) for r in out[0].collect()]
+    assert len({r[0] for r in got}) == 1
+    assert sorted(r[1:] for r in got) == [(i, 9, i % 2) for i in range(60)]
+
+
 def test_dense_documents_go_through_deeper_trees(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL_DOCS", 3)
     monkeypatch.setattr(minhash, "BLOCK_DOCS", 5)
