@@ -76,3 +76,14 @@ def test_brands_found_are_not_sent_by_the_driver(spark):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "LeftOuter, BuildRight" not in plan and "Inner, BuildLeft" not in plan
+
+
+@pytest.mark.parametrize("name", ["REG-10_grid_sweep"])
+def test_scores_of_long_numbers(spark, long_numbers, name):
+    same(spark, long_numbers, name)
+
+
+def test_scored_pairs_are_not_rows(spark, long_numbers):
+    """On 1,200,000 parts they would be billions."""
+    plan = catalog.QUERIES["REG-10_grid_sweep"](spark, long_numbers)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
