@@ -78,7 +78,7 @@ def test_brands_found_are_not_sent_by_the_driver(spark):
     assert "SortMergeJoin" in plan and "LeftOuter, BuildRight" not in plan and "Inner, BuildLeft" not in plan
 
 
-@pytest.mark.parametrize("name", ["REG-04_resolve", "REG-10_grid_sweep", "AGG-20_confusion"])
+@pytest.mark.parametrize("name", ["REG-04_resolve", "RANK-12_stratified_sample", "REG-10_grid_sweep", "AGG-20_confusion"])
 def test_scores_of_long_numbers(spark, long_numbers, name):
     same(spark, long_numbers, name)
 
