@@ -131,24 +131,29 @@ def links_within(ids: list[int], sets: list[np.ndarray], side: list[int], percen
     return [(ids[i], ids[j]) for i, j in zip(*np.nonzero(np.tril(ok, -1)))]
 
 
-def members_of(keyed: DataFrame) -> DataFrame:
-    """The rows (id, tree, key, w) of ``keyed`` whose node holds others too."""
-    # a plain table: adaptive execution can then split a node that a third of all documents share
-    nodes = join_side(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    return cut_lineage(keyed.join(nodes, "key").select("id", "tree", "key", "w"))
+def with_known(docs: DataFrame, known: DataFrame | None) -> DataFrame:
+    """``docs`` with the component (comp) that is known of each id, else the id itself. Rows of ``docs`` are documents,
+    not yet their nodes: the join then costs one row a document, however many trees it goes through."""
+    if known is None:
+        return docs.withColumn("comp", F.col("id"))
+    return docs.join(known.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
 
 
-def with_known(rows: DataFrame, known: DataFrame | None) -> DataFrame:
-    """``rows`` with the component (comp) that is known of each id, else the id itself."""
-    if known is None:
-        return rows.withColumn("comp", F.col("id"))
-    return rows.join(known.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+def in_trees(docs: DataFrame, trees: int | None = None) -> DataFrame:
+    """A row (tree, key) for the node of each document in each tree, or in the first ``trees``, with the other columns."""
+    keys = F.col("keys") if trees is None else F.slice("keys", 1, trees)
+    return docs.select(*[c for c in docs.columns if c != "keys"], F.posexplode(keys).alias("tree", "key"))
+
 
+def members_of(keyed: DataFrame) -> DataFrame:
+    """The rows (id, tree, key, w, comp) of ``keyed`` whose node holds others too, not all known to be one component.
 
-def open_nodes(rows: DataFrame) -> DataFrame:
-    """The rows of nodes whose members aren't all known to be one component."""
-    several = rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key")
-    return rows.join(join_side(several), "key", "left_semi").select("key", "id", "w", "comp")
+    Without a column comp no component is known. Nodes that are done are left before their rows are joined with anything.
+    """
+    keyed = keyed if "comp" in keyed.columns else with_known(keyed, None)
+    # a plain table: adaptive execution can then split a node that a third of all documents share
+    nodes = join_side(keyed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key"))
+    return cut_lineage(keyed.join(nodes, "key").select("id", "tree", "key", "w", "comp"))
 
 
 def gathered(rows: DataFrame) -> DataFrame:
@@ -251,13 +256,14 @@ def is_small(docs, shingles):
     return (docs <= SMALL_DOCS) & (shingles <= SMALL_SHINGLES)
 
 
-def early_nodes(members: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+def early_nodes(members: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Of nodes after ``EARLY`` branchings: the rows (key, id, w, comp) that are to be compared, and the dense documents (id, w).
 
-    Nodes whose members are all known to be one component are done. The others are compared if they are small (of nodes
-    of the same documents, in whatever trees, one) or narrow; the documents of wide ones are dense.
+    Nodes whose members are all known to be one component, by comp or since then by ``known``, are done. The others are
+    compared if they are small (of nodes of the same documents, in whatever trees, one) or narrow; the documents of wide
+    ones are dense.
     """
-    rows = cut_lineage(with_known(members.select("key", "id", "w"), known))
+    rows = members.select("key", "id", "w", "comp") if known is None else cut_lineage(with_known(members.select("key", "id", "w"), known))
     nodes = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.min("comp").alias("a"), F.max("comp").alias("b"), *[F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (1, 2)])
     nodes = cut_lineage(nodes.where("a < b").withColumn("small", is_small(F.col("n"), F.col("w"))))
     once = nodes.where("small").groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("small"))
@@ -271,11 +277,11 @@ def early_nodes(members: DataFrame, known: DataFrame | None) -> tuple[DataFrame,
     return small.unionByName(marked.where("wide is null").drop("wide")), cut_lineage(marked.where("wide").select("id", "w").distinct())
 
 
-def larger_nodes(members: DataFrame) -> DataFrame:
+def larger_nodes(docs: DataFrame) -> DataFrame:
     """The rows (key, id, w, comp) of larger nodes of the first trees, no component being known."""
-    some = members.where(F.col("tree") < STAR_TREES)
-    nodes = some.groupBy("key").agg(F.count("*").alias("n"), F.sum("w").alias("w")).where(~is_small(F.col("n"), F.col("w")))
-    return with_known(some.select("key", "id", "w"), None).join(join_side(nodes.select("key")), "key", "left_semi")
+    some = in_trees(with_known(docs, None), STAR_TREES).select("key", "id", "w", "comp")
+    nodes = some.groupBy("key").agg(F.count("*").alias("n"), F.sum("w").alias("w")).where((F.col("n") > 1) & ~is_small(F.col("n"), F.col("w")))
+    return some.join(join_side(nodes.select("key")), "key", "left_semi")
 
 
 def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,7 +296,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     go through further trees of their own, of ``DEPTH`` branchings, whose nodes are compared whatever their size, in
     blocks. Trees of either depth are as many as make the chance that a pair at the threshold never stays together
     ``MISS`` / 2, and a pair that only meets in wide nodes is a pair of dense documents. Every link is confirmed on full
-    sets.
+    sets. What is known of components is joined with documents, before these become rows of every tree.
 
     Copies (equal sets) are represented by their smallest id throughout, so a group of copies of any size costs one
     row a tree. Null or blank texts have an empty set, link with nothing and are kept. Rows with a null id link with
@@ -320,23 +326,25 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     groups = sigs.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     copies = cut_lineage(groups.where("n > 1").select("digest", "first"))
     named = sigs.join(copies, "digest", "left").withColumn("rep", F.coalesce("first", "id"))
-    reps = named.where("id = rep and digest is not null")
-    members = members_of(reps.select("id", F.col("n_shingles").alias("w"), F.posexplode("keys").alias("tree", "key")))
-    # full sets only of documents that share a node, made anew from their texts
-    texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("body"))
-    texts = texts.join(join_side(members.select("id").distinct()), "id", "left_semi")
-    made = map_texts(texts, {"id": "bigint"}, "body", lambda ts: {"set": [shingle_set(t, shingle).tobytes() for t in ts]}, {"set": "binary"})
-    sets = written_table(made.where(F.length("set") > 0), "sets")
-
-    def linked_by(rows: DataFrame, star: bool = False) -> DataFrame:
-        return compared(dealt(cut_lineage(rows), star), sets, percent)
-
-    links, known = None, None
-    large = cut_lineage(larger_nodes(members))
+    reps = named.where("id = rep and digest is not null").select("id", F.col("n_shingles").alias("w"), "keys")
+
+    def full_sets(ids: DataFrame) -> DataFrame:
+        # only of documents that are to be compared, made anew from their texts
+        texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("body"))
+        texts = texts.join(join_side(ids), "id", "left_semi")
+        made = map_texts(texts, {"id": "bigint"}, "body", lambda ts: {"set": [shingle_set(t, shingle).tobytes() for t in ts]}, {"set": "binary"})
+        return written_table(made.where(F.length("set") > 0), "sets")
+
+    sets, links, known = None, None, None
+    large = cut_lineage(larger_nodes(reps))
     if not large.isEmpty():
+        in_large = cut_lineage(large.select("id").distinct())
+        sets = full_sets(in_large)
         links = compared(dealt(large, star=True), sets, percent)
         known = cut_lineage(connected_components(links))
-    asked, dense = early_nodes(members, known)
+    asked, dense = early_nodes(members_of(in_trees(with_known(reps, known))))
+    ids = asked.select("id").unionByName(dense.select("id")).distinct()
+    sets = full_sets(ids) if sets is None else sets.unionByName(full_sets(ids.join(in_large, "id", "left_anti")))
     found = compared(dealt(gathered(asked)), sets, percent)
     links = found if links is None else links.unionByName(found)
     known = cut_lineage(connected_components(links))
@@ -349,10 +357,9 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
 
         some = sets.join(join_side(dense), "id").select("id", "w", "set")
         keyed = cut_lineage(some.mapInArrow(branch, "id bigint, w bigint, keys array<bigint>"))
-        members = members_of(keyed.select("id", "w", F.posexplode("keys").alias("tree", "key")))
-        links = links.unionByName(linked_by(open_nodes(with_known(members.where(F.col("tree") < STAR_TREES), known)), star=True))
+        links = links.unionByName(compared(dealt(members_of(in_trees(with_known(keyed, known), STAR_TREES)), star=True), sets, percent))
         known = cut_lineage(connected_components(links))
-        links = links.unionByName(compared(dealt(gathered(open_nodes(with_known(members, known)))), sets, percent))
+        links = links.unionByName(compared(dealt(gathered(members_of(in_trees(with_known(keyed, known))))), sets, percent))
         known = cut_lineage(connected_components(links))
     linked_to = known.select(F.col("node").alias("rep"), "component")
     slim = sigs.drop("keys").join(copies, "digest", "left").withColumn("rep", F.coalesce("first", "id"))

@@ -1,6 +1,7 @@
 """Near-duplicates of texts and vectors, and components, against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -117,8 +118,8 @@ def test_copies_of_a_long_chain_are_bounded(spark):
     assert copies <= min(asked.count(), 19 * len(rows))
 
 
-def joined_rows(spark, run):
-    """The most rows that a join made while ``run`` ran."""
+def joined_rows(spark, run, like=""):
+    """The most rows that a join, or one described like that, made while ``run`` ran."""
     store = spark._jsparkSession.sharedState().statusStore()
     before = store.executionsCount()
     run()
@@ -130,7 +131,7 @@ def joined_rows(spark, run):
         for node in (nodes.apply(k) for k in range(nodes.size())):
             metrics = node.metrics()
             for m in (metrics.apply(k) for k in range(metrics.size())):
-                if "Join" in node.name() and m.name() == "number of output rows" and made.contains(m.accumulatorId()):
+                if "Join" in node.name() and re.search(like, node.desc()) and m.name() == "number of output rows" and made.contains(m.accumulatorId()):
                     most = max(most, int(made.apply(m.accumulatorId()).replace(",", "")))
     return most
 
@@ -164,6 +165,19 @@ def test_dense_documents_go_through_deeper_trees(spark, monkeypatch):
     assert deepened[0][0].count() > 0 and deepened[0][1].count() > 0
 
 
+def test_known_components_are_joined_by_document(spark, monkeypatch):
+    """Loosely alike documents meet in hundreds of trees: what is known of them is joined before they become rows of each."""
+    monkeypatch.setattr(minhash, "SMALL_DOCS", 3)
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 5)
+    monkeypatch.setattr(minhash, "NARROW_BLOCKS", 1)
+    rng = random.Random(3)
+    half = [rng.choice("abcdefgh") + str(rng.randrange(400)) for _ in range(60)]
+    rows = list(enumerate([" ".join(half + [f"u{i}-{j}" for j in range(12)]) for i in range(60)] + [t for _, t in copies(rng, 20, 2)]))
+    df, got = spark.createDataFrame(rows, "doc_id long, text string"), []
+    assert 0 < joined_rows(spark, lambda: got.extend(minhash.near_duplicates(df, 3, 80).collect()), r"\[id#\d+L?\], \[id#\d+L?\], LeftOuter") <= len(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(rows, 3, 80)
+
+
 def test_misses_at_the_threshold_are_as_stated():
     # few trees, so that misses can be counted: the share must be that of the binomial sum
     rng, trees, depth, met, n = np.random.default_rng(11), 6, 4, 0, 1500
