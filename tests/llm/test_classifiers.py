@@ -142,3 +142,64 @@ def test_models_are_fitted_away_from_the_driver(spark, monkeypatch, model):
     monkeypatch.setattr(model, "fit", lambda texts, y: (os.getpid(), len(texts)))
     pid, n = model.train(docs, labels)
     assert pid != os.getpid() and 0 < n < 40
+
+
+def eligible(rows):
+    """Texts and labels outside the held-out third; of equal texts the smallest id's label."""
+    seen = {}
+    for i, t, y in sorted(rows):
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            seen.setdefault(t, y)
+    return list(seen), list(seen.values())
+
+
+@pytest.mark.parametrize("bad", [(0, 3, 6), (0,)])
+def test_quality_learns_from_every_labelled_row(spark, bad):
+    """More rows than a task fits: moments, threshold and scale are those of all, a label rarer than blocks included."""
+    import numpy as np
+
+    rare = len(bad) == 1
+    rows = [(i, f"$$ ## word{i} !! $$" if (i % 10 in bad if not rare else i % 100 == 0) else f"plain words in number {i} make a sentence, and another.", 0) for i in range(900)]
+    rows = [(i, t, int(t[0] == "p")) for i, t, _ in rows] + [(2000 + i, "the same text again", i % 2) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    m = quality.train(docs, labels, max_rows=64)
+    texts, y = eligible(rows)
+    x = np.stack([quality.features(t) for t in texts])
+    assert np.allclose(m.mean, x.mean(0), atol=1e-5) and np.allclose(m.std, x.std(0) + 1e-3, atol=1e-4)
+    s = m.raw(x)
+    assert math.isclose(m.threshold, np.quantile(s, 1 - np.mean(y)), abs_tol=1e-3) and math.isclose(m.scale, s.std() / 4, rel_tol=1e-3)
+    sure = [(p, v) for p, v, t in zip(m.scores(texts) >= 0.5, y, texts) if t[0] != "t"]
+    assert sum(p == v for p, v in sure) / len(sure) > 0.98
+
+
+def test_rows_of_a_few_labels_that_have_texts_are_all_used(spark):
+    """Ids without a text don't take the place of those with one."""
+    import numpy as np
+
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 7 + 1)) for i in range(40)], "doc_id long, text string")
+    labels = spark.range(4000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    texts, _ = eligible([(i, f"text {i} " * (i % 7 + 1), i % 2) for i in range(40)])
+    m = quality.train(docs, labels, max_rows=200)
+    assert np.allclose(m.mean, np.stack([quality.features(t) for t in texts]).mean(0))
+
+
+def test_every_row_is_in_a_pair(monkeypatch):
+    import numpy as np
+
+    drawn = []
+    count = np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, *a, **k: drawn.append(set(x.tolist())) or count(x, *a, **k))
+    quality.pair_weights(np.zeros((500, 2)), np.arange(500) % 5 // 4, pairs=410, steps=1)
+    assert drawn[0] | drawn[1] == set(range(500))
+
+
+def test_quantile_of_all_scores(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(quality, "FEW_SCORES", 5)
+    rng = np.random.default_rng(2)
+    for s in (rng.normal(size=400), np.repeat(rng.normal(size=9), 40), np.zeros(30), np.exp(rng.normal(size=300) * 9)):
+        df = spark.createDataFrame([(float(v),) for v in s], "s double").cache()
+        for q in (0.0, 0.13, 0.5, 1.0):
+            assert math.isclose(quality.quantile(df, q), np.quantile(s, q), rel_tol=1e-12, abs_tol=1e-12)
