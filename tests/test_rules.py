@@ -87,6 +87,15 @@ def test_merges_once_a_run(spark):
     assert merged.sightings == 9 + {x[0]: x[11] for x in products}[merged.loser]
 
 
+def test_all_pairs_of_a_run_are_merged(spark):
+    """However many there are: 250 pairs of twins, and each pair's products come once."""
+    products = [product(f"{i:03}{k}", f"x{i} y{i} word", 10, sightings=n) for i in range(250) for k, n in (("a", 5), ("b", 9), ("c", 7))]
+    p = spark.createDataFrame(products, PRODUCT)
+    pairs = spark.createDataFrame([(f"{i:03}{x}", f"{i:03}{y}", n) for i in range(250) for x, y, n in (("a", "b", 2), ("a", "c", 2), ("b", "c", 3))], "a string, b string, shared bigint")
+    got = sorted((x.survivor, x.loser, x.shared) for x in R.consolidated(pairs, p, {}).collect())
+    assert got == [(f"{i:03}b", f"{i:03}c", 3) for i in range(250)]
+
+
 def test_learning_adopts_fills_and_flags(spark):
     day = lambda n: dt.date(2026, 1, 5) + dt.timedelta(weeks=n)
     products = [("p", "dormant", "Old", 0.9, day(0), None, None, None), ("q", "active", None, None, None, 10, "b", None), ("r", "dormant", None, None, None, None, None, "kept")]
