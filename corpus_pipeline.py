@@ -33,7 +33,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't flag; without labels it flags none."""
     sent = spark.sparkContext.broadcast(toxicity.train(docs, table(spark, sf_dir, "labels")))
-    return filter_texts(docs, "text", lambda texts: [sent.value.score(t) < 0.5 for t in texts])
+    return filter_texts(docs, "text", lambda texts: (sent.value.scores(texts) < 0.5).tolist())
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

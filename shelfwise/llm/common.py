@@ -119,11 +119,14 @@ class Remembered(dict):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[key] = value
-        return value
 
 
 ARROW = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -19,6 +20,8 @@ BUCKETS, WIDTH, GRAMS, WINDOW = 1 << 17, 12, (3, 4, 5), 32
 MIN_TEXTS = 5
 #: Words of the training texts that are taken at a time.
 RUN_WORDS = 200_000
+#: Characters of new words whose values are made together (some 80 bytes each); a longer word is taken alone.
+NEW_CHARS = 1 << 17
 #: Words whose values a worker remembers in each of two generations (results do not change).
 CACHE_WORDS = 200_000
 
@@ -33,6 +36,51 @@ def subwords(word: str) -> list[int]:
     return out
 
 
+def crc_table() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = (t >> np.uint32(1)) ^ np.where(t & np.uint32(1), np.uint32(0xEDB88320), np.uint32(0))
+    return t
+
+
+CRC_TABLE = crc_table()
+
+
+def word_values(words: list[str], value: np.ndarray) -> np.ndarray:
+    """The mean of ``value`` over the ``subwords`` of each word, made of all words at once.
+
+    The checksum of an n-gram continues that of the shorter one at the same character, so each character is taken in once
+    a length. Sums are of double precision and of one word's numbers alone, whatever words come with it.
+    """
+    marked = [f"<{w}>" for w in words]
+    data = np.frombuffer("".join(marked).encode("utf-8", "surrogatepass"), np.uint8)
+    heads = np.flatnonzero((data & 0xC0) != 0x80)
+    width = np.diff(heads, append=len(data))
+    lens = np.fromiter(map(len, marked), np.int64, len(marked))
+    start, chars = np.cumsum(lens) - lens, len(heads)
+    # characters from each to the end of its word
+    left = np.repeat(start + lens, lens) - np.arange(chars)
+    crc = np.full(chars, 0xFFFFFFFF, np.uint32)
+    adds = np.zeros(chars)
+    for n in range(1, max(GRAMS) + 1):
+        # the n-th character from each; a gram that would leave its word doesn't count
+        reach = chars - n + 1
+        if reach < 1:
+            break
+        state, at, bytes_ = crc[:reach], heads[n - 1 :], width[n - 1 :]
+        state = CRC_TABLE[(state ^ data[at]) & np.uint32(0xFF)] ^ (state >> np.uint32(8))
+        for j in range(1, int(bytes_.max())):
+            more = np.flatnonzero(bytes_ > j)
+            own = state[more]
+            state[more] = CRC_TABLE[(own ^ data[at[more] + j]) & np.uint32(0xFF)] ^ (own >> np.uint32(8))
+        crc[:reach] = state
+        if n in GRAMS:
+            adds[:reach] += np.where(left[:reach] >= n, value[(state ^ np.uint32(0xFFFFFFFF)) % np.uint32(BUCKETS)], 0.0)
+    whole = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in marked), np.int64, len(marked))
+    count = 1 + sum(np.maximum(lens - n + 1, 0) for n in GRAMS)
+    return (value[whole] + np.add.reduceat(adds, start)) / count
+
+
 def window_means(values: np.ndarray, width: int = WINDOW) -> np.ndarray:
     """Mean of every run of ``width`` values, or of all where there are fewer; one zero for none."""
     n = len(values)
@@ -73,15 +121,38 @@ class ToxicityModel:
         self.known = Remembered(CACHE_WORDS, self.word)
 
     def word(self, w: str) -> float:
-        return float(self.value[subwords(w)].mean())
+        return float(word_values([w], self.value)[0])
+
+    def learn(self, words: set[str]) -> None:
+        """Remembers the values of those ``words`` that aren't remembered yet."""
+        some, held = [], 0
+        for w in [w for w in words if w not in self.known and w not in self.known.old] + [None]:
+            n = 0 if w is None else len(w)
+            if some and (w is None or held + n > NEW_CHARS):
+                for x, v in zip(some, word_values(some, self.value).tolist()):
+                    self.known.put(x, v)
+                some, held = [], 0
+            some.append(w)
+            held += n
+
+    def logits(self, texts: list[str]) -> np.ndarray:
+        """Of every text the logit of its highest window."""
+        out = np.empty(len(texts))
+        for s in range(0, len(texts), 256):
+            own = [t.lower().split() for t in texts[s : s + 256]]
+            self.learn(set(chain.from_iterable(own)))
+            for i, words in enumerate(own, s):
+                out[i] = window_means(np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))).max()
+        return out + self.bias
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.logits(texts), -500, 500)))
 
     def logit(self, text: str) -> float:
-        words = text.lower().split()
-        v = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
-        return float(window_means(v).max()) + self.bias
+        return float(self.logits([text])[0])
 
     def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.logit(text), -500, 500))))
+        return float(self.scores([text])[0])
 
     def __reduce__(self):
         return ToxicityModel, (self.value, self.bias)
@@ -190,9 +261,8 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id",
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: list[str]) -> dict:
-        m = sent.value
-        s = [m.score(t) for t in texts]
-        return {"score": s, "predicted": [int(x >= 0.5) for x in s]}
+        s = sent.value.scores(texts)
+        return {"score": s, "predicted": (s >= 0.5).astype(np.int32)}
 
     out = map_texts(df, {id_col: "bigint"} | (keep or {}), text_col, run, {"score": "double", "predicted": "int"})
     return out.withColumn("held_out", crc_mod(F.col(id_col), 5) == 0)

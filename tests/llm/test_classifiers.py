@@ -3,6 +3,7 @@
 import math
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,3 +204,19 @@ def test_quantile_of_all_scores(spark, monkeypatch):
         df = spark.createDataFrame([(float(v),) for v in s], "s double").cache()
         for q in (0.0, 0.13, 0.5, 1.0):
             assert math.isclose(quality.quantile(df, q), np.quantile(s, q), rel_tol=1e-12, abs_tol=1e-12)
+
+
+def test_values_of_words_are_made_together(monkeypatch):
+    """Of any script, and the same numbers whatever words come with them: one call for all new words of some texts."""
+    value = np.random.default_rng(3).normal(size=toxicity.BUCKETS).astype(np.float32)
+    words = ["", "a", "ab", "words", "\ud800x", "日本語", "é", "𝒳𝒴𝒵𝒲q", "شاي", "<>", "x" * 300]
+    want = [value[toxicity.subwords(w)].astype(np.float64).mean() for w in words]
+    got = toxicity.word_values(words, value)
+    assert np.allclose(got, want, rtol=0, atol=1e-12)
+    assert [toxicity.word_values([w], value)[0] for w in words] == got.tolist()
+    calls, made = [], toxicity.word_values
+    monkeypatch.setattr(toxicity, "word_values", lambda ws, v: calls.append(len(ws)) or made(ws, v))
+    m = toxicity.ToxicityModel(value, 0.5)
+    texts = [" ".join(words[1:]), "", "a ab new"] * 3
+    scores = m.scores(texts)
+    assert calls == [len(words)] and scores.tolist() == [toxicity.ToxicityModel(value, 0.5).score(t) for t in texts]
