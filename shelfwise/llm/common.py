@@ -25,10 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that the cluster shares (``spark.checkpoint.dir``)."""
+def cut_lineage(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Reliable checkpoint in the folder that the cluster shares (``spark.checkpoint.dir``); where ``df`` is known to have
+    at most ``rows`` rows, in as many partitions as these need."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else fitted(df, rows)).checkpoint(eager=True)
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str | int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -160,9 +161,15 @@ def few_tasks(df: DataFrame) -> DataFrame:
     return df.coalesce(max(8, df.rdd.getNumPartitions() // 16))
 
 
-def join_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` checkpointed, counted, and marked for broadcast where its rows are ``most`` at most; else the join shuffles."""
-    df = cut_lineage(df)
+def counted(df: DataFrame) -> int:
+    """Rows of a checkpointed ``df``."""
+    return few_tasks(df).count()
+
+
+def join_side(df: DataFrame, most: int = BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
+    """``df`` checkpointed (of at most ``rows`` rows, where that is known), counted, and marked for broadcast where its
+    rows are ``most`` at most; else the join shuffles."""
+    df = cut_lineage(df, rows)
     few = few_tasks(df)
     return F.broadcast(few) if few.count() <= most else df
 
@@ -182,17 +189,18 @@ def unsettled_nodes(e: DataFrame) -> tuple[int, int]:
     return r[0], r[1]
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
     """(node, component) for every node of ``edges``; component is the smallest node reachable.
 
     Up to ``TASK_LINKS`` counted links are joined in one task. Beyond: alternating large-star and small-star rounds over (node, smaller neighbour) rows. A round's intermediate tables
     are cut by reliable checkpoints: both sides of every join are then plain shuffles, which adaptive execution can
     split where one node holds a third of all rows, and minima are combined before they are shuffled. Only two counts
     a round come to the driver; rounds end once every node hangs on one root. Null ids and self loops are ignored; no edges: no rows.
+    ``rows``: most rows of ``edges``, where that is known.
     """
     e = edges.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v"))
     e = e.where("u is not null and v is not null and u <> v")
-    e = cut_lineage(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = cut_lineage(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), rows)
     if few_tasks(e).count() <= TASK_LINKS:
         return e.coalesce(1).mapInArrow(joined, "node bigint, component bigint")
     while True:

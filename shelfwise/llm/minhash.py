@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, connected_components, cut_lineage, drop_written, forest, join_side, map_texts, written_table
+from .common import BROADCAST_ROWS, connected_components, counted, cut_lineage, drop_written, fitted, forest, join_side, map_texts, written_table
 
 #: Minwise tokens a document has, and the probability of missing a pair at the threshold.
 #: A pair of similarity s agrees in Binomial(MINWISE, s) of the tokens; where it agrees in a share q, a tree keeps it
@@ -145,15 +145,15 @@ def in_trees(docs: DataFrame, trees: int | None = None) -> DataFrame:
     return docs.select(*[c for c in docs.columns if c != "keys"], F.posexplode(keys).alias("tree", "key"))
 
 
-def members_of(keyed: DataFrame) -> DataFrame:
-    """The rows (id, tree, key, w, comp) of ``keyed`` whose node holds others too, not all known to be one component.
+def members_of(keyed: DataFrame, most: int | None = None) -> DataFrame:
+    """The rows (id, tree, key, w, comp) of ``keyed`` (``most`` of them at most) whose node holds others too, not all known to be one component.
 
     Without a column comp no component is known. Nodes that are done are left before their rows are joined with anything.
     """
     keyed = keyed if "comp" in keyed.columns else with_known(keyed, None)
     # a plain table: adaptive execution can then split a node that a third of all documents share
-    nodes = join_side(keyed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key"))
-    return cut_lineage(keyed.join(nodes, "key").select("id", "tree", "key", "w", "comp"))
+    nodes = join_side(keyed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key"), rows=most)
+    return cut_lineage(keyed.join(nodes, "key").select("id", "tree", "key", "w", "comp"), most)
 
 
 def gathered(rows: DataFrame) -> DataFrame:
@@ -165,19 +165,20 @@ def gathered(rows: DataFrame) -> DataFrame:
     never costs more copies than its nodes do. Either way all pairs within a node are compared.
     """
     rows = cut_lineage(rows)
-    low = cut_lineage(rows.groupBy("key").agg(F.min("comp").alias("low"), F.count("*").alias("n")))
+    most = counted(rows)
+    low = cut_lineage(rows.groupBy("key").agg(F.min("comp").alias("low"), F.count("*").alias("n")), most)
     # a component is one row a node, however many documents it has there
     edges = rows.select("key", "comp").distinct().join(low.select("key", "low"), "key").where("comp > low").select(F.col("comp").alias("a"), F.col("low").alias("b")).distinct()
-    families = cut_lineage(connected_components(edges).select(F.col("node").alias("comp"), F.col("component").alias("family")))
+    families = cut_lineage(connected_components(edges, rows=most).select(F.col("node").alias("comp"), F.col("component").alias("family")), most)
     blocks = lambda n: F.ceil(n / F.lit(float(BLOCK_DOCS)))
     of_node = low.join(families.select(F.col("comp").alias("low"), "family"), "low").groupBy("family").agg(F.sum(F.col("n") * blocks(F.col("n"))).alias("apart"))
-    docs = cut_lineage(rows.select("id", "w", "comp").distinct().join(families, "comp"))
+    docs = cut_lineage(rows.select("id", "w", "comp").distinct().join(families, "comp"), most)
     n_docs = docs.groupBy("family").agg(F.count("*").alias("n"))
-    whole = join_side(n_docs.join(of_node, "family").where(F.col("n") * blocks(F.col("n")) <= F.col("apart")).select("family"))
+    whole = join_side(n_docs.join(of_node, "family").where(F.col("n") * blocks(F.col("n")) <= F.col("apart")).select("family"), rows=most)
     # a node belongs to one family, that of its smallest component: rows of nodes are joined by nodes, documents of a family once
-    inside = join_side(low.join(families.select(F.col("comp").alias("low"), "family"), "low").join(whole, "family", "left_semi").select("key"))
+    inside = join_side(low.join(families.select(F.col("comp").alias("low"), "family"), "low").join(whole, "family", "left_semi").select("key"), rows=most)
     together = docs.join(whole, "family", "left_semi").select(F.xxhash64("family", F.lit("family")).alias("key"), "id", "w", "comp")
-    return cut_lineage(rows.join(inside, "key", "left_anti").select("key", "id", "w", "comp").distinct().unionByName(together))
+    return cut_lineage(rows.join(inside, "key", "left_anti").select("key", "id", "w", "comp").distinct().unionByName(together), 2 * most)
 
 
 def blocks_of(docs, shingles):
@@ -201,13 +202,14 @@ def dealt(rows: DataFrame, star: bool = False) -> DataFrame:
     documents of the node share blocks. With ``star`` blocks are only compared within and with the first block.
     """
     per, node = parts_of(rows)
-    node = cut_lineage(node.where("shared + bigs > 1").drop("most"))
+    most = counted(rows)
+    node = cut_lineage(node.where("shared + bigs > 1").drop("most"), most)
     if node.isEmpty():
         # every node is one block
         one = F.lit(0)
         return rows.select("key", one.alias("i"), one.alias("j"), one.alias("block"), "id", "comp")
     after = F.sum("own").over(W.partitionBy("key").orderBy("comp")) - F.col("own")
-    out = rows.join(join_side(node), "key", "left").join(join_side(per.select("key", "comp", "own", after.alias("after"))), ["key", "comp"], "left")
+    out = rows.join(join_side(node), "key", "left").join(join_side(per.select("key", "comp", "own", after.alias("after")), rows=most), ["key", "comp"], "left")
     out = out.withColumns({"shared": F.coalesce("shared", F.lit(1)), "bigs": F.coalesce("bigs", F.lit(0))})
     spread = F.xxhash64("id", F.lit(5))
     out = out.withColumn("first", F.when(F.col("own").isNotNull(), F.col("shared") + F.col("after")))
@@ -263,25 +265,26 @@ def early_nodes(members: DataFrame, known: DataFrame | None = None) -> tuple[Dat
     compared if they are small (of nodes of the same documents, in whatever trees, one) or narrow; the documents of wide
     ones are dense.
     """
-    rows = members.select("key", "id", "w", "comp") if known is None else cut_lineage(with_known(members.select("key", "id", "w"), known))
+    most = counted(members)
+    rows = members.select("key", "id", "w", "comp") if known is None else cut_lineage(with_known(members.select("key", "id", "w"), known), most)
     nodes = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.min("comp").alias("a"), F.max("comp").alias("b"), *[F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (1, 2)])
-    nodes = cut_lineage(nodes.where("a < b").withColumn("small", is_small(F.col("n"), F.col("w"))))
+    nodes = cut_lineage(nodes.where("a < b").withColumn("small", is_small(F.col("n"), F.col("w"))), most)
     once = nodes.where("small").groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("small"))
-    keys = join_side(once.unionByName(nodes.where("not small").select("key", "small")))
-    asked = cut_lineage(rows.join(keys, "key").select("key", "id", "w", "comp", "small"))
+    keys = join_side(once.unionByName(nodes.where("not small").select("key", "small")), rows=most)
+    asked = cut_lineage(rows.join(keys, "key").select("key", "id", "w", "comp", "small"), most)
     small, large = asked.where("small").drop("small"), asked.where("not small").drop("small")
-    wide = cut_lineage(parts_of(large)[1].where(F.col("shared") + F.col("bigs") - F.col("most") > NARROW_BLOCKS).select("key"))
+    wide = cut_lineage(parts_of(large)[1].where(F.col("shared") + F.col("bigs") - F.col("most") > NARROW_BLOCKS).select("key"), most)
     if wide.isEmpty():
         return asked.drop("small"), large.limit(0).select("id", "w")
-    marked = cut_lineage(large.join(join_side(wide.withColumn("wide", F.lit(True))), "key", "left").select("key", "id", "w", "comp", "wide"))
-    return small.unionByName(marked.where("wide is null").drop("wide")), cut_lineage(marked.where("wide").select("id", "w").distinct())
+    marked = cut_lineage(large.join(join_side(wide.withColumn("wide", F.lit(True))), "key", "left").select("key", "id", "w", "comp", "wide"), most)
+    return small.unionByName(marked.where("wide is null").drop("wide")), cut_lineage(marked.where("wide").select("id", "w").distinct(), most)
 
 
-def larger_nodes(docs: DataFrame) -> DataFrame:
-    """The rows (key, id, w, comp) of larger nodes of the first trees, no component being known."""
+def larger_nodes(docs: DataFrame, most: int) -> DataFrame:
+    """The rows (key, id, w, comp) of larger nodes of the first trees, no component being known; ``most``: documents at most."""
     some = in_trees(with_known(docs, None), STAR_TREES).select("key", "id", "w", "comp")
     nodes = some.groupBy("key").agg(F.count("*").alias("n"), F.sum("w").alias("w")).where((F.col("n") > 1) & ~is_small(F.col("n"), F.col("w")))
-    return some.join(join_side(nodes.select("key")), "key", "left_semi")
+    return some.join(join_side(nodes.select("key"), rows=most * STAR_TREES), "key", "left_semi")
 
 
 def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,31 +326,38 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
 
     signed = map_texts(df, {id_col: "bigint"}, text_col, sign, {"n_shingles": "bigint", "digest": "binary", "keys": "array<bigint>"})
     sigs = cut_lineage(signed.withColumnRenamed(id_col, "id"))
+    # small tables aren't spread over as many tasks as shuffles have
+    n = counted(sigs)
     groups = sigs.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    copies = cut_lineage(groups.where("n > 1").select("digest", "first"))
+    copies = cut_lineage(groups.where("n > 1").select("digest", "first"), n)
     named = sigs.join(copies, "digest", "left").withColumn("rep", F.coalesce("first", "id"))
     reps = named.where("id = rep and digest is not null").select("id", F.col("n_shingles").alias("w"), "keys")
 
+    def components(links: DataFrame) -> DataFrame:
+        # links are checkpointed: of as few partitions as their rows need
+        rows = counted(links)
+        return cut_lineage(connected_components(fitted(links, rows), rows=rows), rows)
+
     def full_sets(ids: DataFrame) -> DataFrame:
         # only of documents that are to be compared, made anew from their texts
         texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("body"))
-        texts = texts.join(join_side(ids), "id", "left_semi")
+        texts = texts.join(join_side(ids, rows=n), "id", "left_semi")
         made = map_texts(texts, {"id": "bigint"}, "body", lambda ts: {"set": [shingle_set(t, shingle).tobytes() for t in ts]}, {"set": "binary"})
         return written_table(made.where(F.length("set") > 0), "sets")
 
     sets, links, known = None, None, None
-    large = cut_lineage(larger_nodes(reps))
+    large = cut_lineage(larger_nodes(reps, n), n * STAR_TREES)
     if not large.isEmpty():
-        in_large = cut_lineage(large.select("id").distinct())
+        in_large = cut_lineage(large.select("id").distinct(), n)
         sets = full_sets(in_large)
         links = compared(dealt(large, star=True), sets, percent)
-        known = cut_lineage(connected_components(links))
-    asked, dense = early_nodes(members_of(in_trees(with_known(reps, known))))
+        known = components(links)
+    asked, dense = early_nodes(members_of(in_trees(with_known(reps, known)), n * early))
     ids = asked.select("id").unionByName(dense.select("id")).distinct()
     sets = full_sets(ids) if sets is None else sets.unionByName(full_sets(ids.join(in_large, "id", "left_anti")))
     found = compared(dealt(gathered(asked)), sets, percent)
     links = found if links is None else links.unionByName(found)
-    known = cut_lineage(connected_components(links))
+    known = components(links)
     if not dense.isEmpty():
 
         def branch(batches):
@@ -357,10 +367,10 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
 
         some = sets.join(join_side(dense), "id").select("id", "w", "set")
         keyed = cut_lineage(some.mapInArrow(branch, "id bigint, w bigint, keys array<bigint>"))
-        links = links.unionByName(compared(dealt(members_of(in_trees(with_known(keyed, known), STAR_TREES)), star=True), sets, percent))
-        known = cut_lineage(connected_components(links))
-        links = links.unionByName(compared(dealt(gathered(members_of(in_trees(with_known(keyed, known))))), sets, percent))
-        known = cut_lineage(connected_components(links))
+        links = links.unionByName(compared(dealt(members_of(in_trees(with_known(keyed, known), STAR_TREES), n * STAR_TREES), star=True), sets, percent))
+        known = components(links)
+        links = links.unionByName(compared(dealt(gathered(members_of(in_trees(with_known(keyed, known)), n * deep))), sets, percent))
+        known = components(links)
     linked_to = known.select(F.col("node").alias("rep"), "component")
     slim = sigs.drop("keys").join(copies, "digest", "left").withColumn("rep", F.coalesce("first", "id"))
     out = cut_lineage(slim.select("id", "n_shingles", "rep")).join(linked_to, "rep", "left")

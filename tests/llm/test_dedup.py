@@ -304,3 +304,24 @@ def test_embedding_edges(spark):
     rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (None, [1.0, 0.0], 0), (2, [0.0, 1.0], 0)]
     got = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(spark.createDataFrame(rows, schema)).collect())
     assert got == [(0, 0, None, True), (1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)]
+
+
+def test_small_tables_are_few_tasks(spark, monkeypatch):
+    """Whatever the number of shuffle partitions: what has few rows isn't spread over all of them again and again."""
+    parts, cut = [], minhash.cut_lineage
+    monkeypatch.setattr(minhash, "cut_lineage", lambda df, *a: parts.append(cut(df, *a)) or parts[-1])
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        words = [f"w{i}" for i in range(60)]
+        docs = spark.createDataFrame([(i, " ".join([*words[:50], f"own{i}"] if i % 2 else [f"x{i}y{j}" for j in range(9)])) for i in range(80)], "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: 1 if i % 2 else i for i in range(80)}
+    many = [p.columns for p in parts if p.rdd.getNumPartitions() > 16]
+    # links come from the groups' own tasks, the result from the last join
+    assert len(parts) > 10 and all(c in (["a", "b"], ["id", "n_shingles", "rep"]) for c in many)
