@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -46,6 +47,25 @@ def slices(batches: Iterable[pa.RecordBatch], text: str | int, limit: int = SLIC
             yield batch.slice(start)
 
 
+def release() -> None:
+    """Gives the memory that a worker has freed back to the machine: workers outlive their tasks, and executors are held to a limit."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def released(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run`` of a task's batches, after which the worker's freed memory is given back."""
+
+    def own(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return own
+
+
 def map_texts(df: DataFrame, keep: dict[str, str], text: str, fn: Callable[[list[str]], dict], out: dict[str, str]) -> DataFrame:
     """``df`` reduced to the columns ``keep`` (name -> Spark type) plus what ``fn`` computes from whole texts.
 
@@ -62,7 +82,7 @@ def map_texts(df: DataFrame, keep: dict[str, str], text: str, fn: Callable[[list
             cols = [b.column(i) for i in range(b.num_columns - 1)] + [pa.array(made[k], ARROW[t]) for k, t in out.items()]
             yield pa.RecordBatch.from_arrays(cols, names=[f"_k{i}" for i in range(len(keep))] + list(out))
 
-    made = narrow.mapInArrow(run, types)
+    made = narrow.mapInArrow(released(run), types)
     return made.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keep)], *out)
 
 
@@ -75,7 +95,7 @@ def filter_texts(df: DataFrame, text: str, fn: Callable[[list[str]], list[bool]]
             texts = [t or "" for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(fn(texts), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(released(run), df.schema)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, connected_components, counted, cut_lineage, drop_written, fitted, forest, join_side, map_texts, written_table
+from .common import BROADCAST_ROWS, connected_components, counted, cut_lineage, drop_written, fitted, forest, join_side, map_texts, released, written_table
 
 #: Minwise tokens a document has, and the probability of missing a pair at the threshold.
 #: A pair of similarity s agrees in Binomial(MINWISE, s) of the tokens; where it agrees in a share q, a tree keeps it
@@ -251,7 +251,7 @@ def compared(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 comps.append(c)
         yield flush()
 
-    return cut_lineage(full.mapInArrow(run, "a bigint, b bigint"))
+    return cut_lineage(full.mapInArrow(released(run), "a bigint, b bigint"))
 
 
 def is_small(docs, shingles):
@@ -366,7 +366,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("w"), pa.array(keys, pa.list_(pa.int64()))], names=["id", "w", "keys"])
 
         some = sets.join(join_side(dense), "id").select("id", "w", "set")
-        keyed = cut_lineage(some.mapInArrow(branch, "id bigint, w bigint, keys array<bigint>"))
+        keyed = cut_lineage(some.mapInArrow(released(branch), "id bigint, w bigint, keys array<bigint>"))
         links = links.unionByName(compared(dealt(members_of(in_trees(with_known(keyed, known), STAR_TREES), n * STAR_TREES), star=True), sets, percent))
         known = components(links)
         links = links.unionByName(compared(dealt(gathered(members_of(in_trees(with_known(keyed, known)), n * deep))), sets, percent))

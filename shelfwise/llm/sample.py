@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, join_side
+from .common import crc_mod, join_side, released
 
 
 def own_labels(labels: DataFrame, label: str, held_mod: int, held_rem: int, id_col: str) -> DataFrame:
@@ -82,4 +82,4 @@ def fitted_on(rows: DataFrame, fit: Callable[[list[str], list[int]], Any]) -> An
         own = [r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)))]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(*once(own)))], pa.binary())], names=["model"])
 
-    return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").collect()[0]["model"])
+    return pickle.loads(rows.repartition(1).mapInArrow(released(run), "model binary").collect()[0]["model"])
